@@ -1,11 +1,24 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the library's own operators, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+FAMILIES = ("q_metrics", "q_corpus", "q_bench", "q_scenes", "q_raster")
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for name in FAMILIES:
+        out |= import_module(f"sceneweave.plans.{name}").QUERIES
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name in FAMILIES:
+        out |= import_module(f"sceneweave.plans.{name}").SQL
+    return out
