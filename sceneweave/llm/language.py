@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sceneweave.llm.common import map_batches
 
@@ -67,8 +68,9 @@ def to_windows(text: bytes) -> np.ndarray:
     return padded.reshape(-1, WINDOW)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 128, rate: float = 0.004, seed: int = 3) -> Network:
-    """Train on (n, WINDOW) bytes. Parts of windows are blanked at random, so that short texts are learned too."""
+def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 12, least_steps: int = 600, batch: int = 128, rate: float = 0.004, seed: int = 3) -> Network:
+    """Train on (n, WINDOW) bytes, more often on few of them. Parts of windows are blanked at random, so that short texts are learned too."""
+    epochs = max(epochs, -(-least_steps * batch // len(windows)))
     rng = np.random.default_rng(seed)
     scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     net = Network(languages, scale(256, EMBED) * 4, [scale(w * EMBED, FILTERS) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), scale(len(WIDTHS) * FILTERS, len(languages)), np.zeros(len(languages), np.float32))
@@ -152,16 +154,22 @@ _tables: dict[bytes, list[list[np.ndarray]]] = {}
 
 
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, one row per input row.
+    """doc_id, lang_pred, score, one row per input row; see ``annotate``. Other columns are not read."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return annotate(rows, network).select("doc_id", "lang_pred", "score")
+
+
+def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score, which replace columns of these names.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was
     learned. Else the score is the mean probability of the language over the
-    windows. Only the text is an input. Other columns are not read.
+    windows. Only the text is an input.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.drop("lang_pred", "score").withColumn(text_col, F.col(text_col).cast("string"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
+        texts = batch.column(text_col).to_pylist()
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if network else []
         if some:
@@ -192,9 +200,9 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
             for i in some:
                 best = int(sums[i].argmax())
                 langs[i], scores[i] = network.languages[best], min(1.0, chances[i, best] / n[i, best])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    return map_batches(rows, work, "doc_id long, lang_pred string, score double")
+    return map_batches(rows, work, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

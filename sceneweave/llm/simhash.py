@@ -200,5 +200,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of ``docs`` whose id names their component, one row each; all columns stay."""
     groups = near_duplicates(docs, id_col, text_col, shingle, budget)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.dropDuplicates([id_col])
-    return one.join(kept, id_col, "left_semi").select(*docs.columns)
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
