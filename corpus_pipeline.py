@@ -19,21 +19,16 @@ from sceneweave.llm.common import checkpoint_folder, read_table
 from sceneweave.llm.queries import tokenizer_file
 
 
-def _with_texts(docs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """``docs`` with the texts that another table (doc_id, column) has for them."""
-    joined = docs.drop("text").join(texts.select("doc_id", F.col(column).alias("text")), "doc_id")
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents without a language (null, or no letter) and keeps the rest as they are."""
     network = language.train(docs.where(~language.held_out()))
-    rejected = language.predict(docs, network).where(F.col("lang_pred") == language.UNKNOWN).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return language.annotate(docs, network).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_texts(docs, lines.drop_repeated_lines(docs), "kept_text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cleaned = lines.drop_repeated_lines(docs, carry=tuple(others)).withColumnRenamed("kept_text", "text")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ SELECT a.area_id, a.id AS before_id, b.id AS after_id FROM o a JOIN o b ON a.are
     "e22_utm_epsg": f"WITH {SC}, k AS (SELECT id, (x1 + x2) / 2 - id % 5 * 40 AS lon, (y1 + y2) / 2 - id % 2 * 30 AS lat FROM sc) SELECT id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(floor((lon + 180) / 6) AS INT) + 1 AS INTEGER) AS epsg FROM k",
     "e23_grid_origin": f"WITH {SC} SELECT id, round_even((x1 * 1000 - 5120.0) / 10.0, 0) * 10.0 AS origin_x, round_even((y1 * 1000 + 5120.0) / 10.0, 0) * 10.0 AS origin_y FROM sc",
     "e24_band_plan": f"WITH {RA} SELECT id, CAST(CASE band_count WHEN 4 THEN 1 WHEN 12 THEN 4 WHEN 13 THEN 4 END AS INTEGER) AS red, CAST(CASE band_count WHEN 4 THEN 4 WHEN 12 THEN 8 WHEN 13 THEN 8 END AS INTEGER) AS nir, CAST(CASE band_count WHEN 12 THEN 11 WHEN 13 THEN 12 END AS INTEGER) AS swir, CASE WHEN band_count >= 12 THEN '4,3,2' WHEN band_count >= 3 THEN '1,2,3' END AS preview FROM ra",
-    "e25_change_floor": f"WITH {RA}, k AS (SELECT id, gsd_m, round_even(CAST(least(10000.0 / (width * height * gsd_m * gsd_m), 0.2) AS DOUBLE), 8) AS f FROM ra) SELECT id, f AS floor, CAST(CASE WHEN gsd_m >= 8 THEN 92.0 ELSE 95.0 END AS DOUBLE) AS percentile, printf('speckle floor # of the scene, which is 1 ha at %.2f m/px', round(gsd_m, 3)) AS reason FROM k",
+    "e25_change_floor": f"WITH {RA}, k AS (SELECT id, gsd_m, round_even(CAST(least(10000.0 / (width * height * gsd_m * gsd_m), 0.2) AS DOUBLE), 8) AS f FROM ra) SELECT id, f AS floor, CAST(CASE WHEN gsd_m >= 8 THEN 92.0 ELSE 95.0 END AS DOUBLE) AS percentile, printf('speckle floor # of the scene, which is 1 ha at %.2f m/px', round(gsd_m, 6)) AS reason FROM k",
     "f9_diagnose": f"""WITH {SC}, ar AS (SELECT DISTINCT area_id FROM sc), rq AS (SELECT area_id * 10 AS request_id, area_id, 0.001 AS mc FROM ar UNION ALL SELECT area_id * 10 + 1, area_id, 50.0 FROM ar UNION ALL SELECT area_id * 10 + 2, area_id + 100, 50.0 FROM ar),
 k AS (SELECT request_id, mc, least(count(*) FILTER (WHERE cloud_cover < mc), 12) AS kept, least(count(id), 12) AS n, min(cloud_cover) AS c FROM rq LEFT JOIN sc ON sc.area_id = rq.area_id AND collection = 'sentinel-2-l2a' GROUP BY request_id, mc)
 SELECT request_id, kept, CASE WHEN kept = 0 THEN n END AS filtered_out, CASE WHEN kept = 0 THEN round(c, 6) END AS clearest,

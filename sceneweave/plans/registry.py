@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("q_metrics", "q_corpus", "q_bench", "q_scenes", "q_raster")
+FAMILIES = ("q_metrics", "q_corpus", "q_bench", "q_scenes", "q_raster", "q_trace", "q_streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
