@@ -59,7 +59,7 @@ def comparison(results: DataFrame, benchmarks: list[str]) -> DataFrame:
     """(model, one text column per benchmark): four places, or "-" where a cell is absent."""
     cells = latest_headlines(results, ["model", "benchmark"]).groupBy("model").pivot("benchmark", benchmarks).agg(F.first("value"))
     seen = results.select("model").distinct().join(cells, "model", "left")
-    return seen.select("model", *[F.coalesce(F.format_string("%.4f", F.col(f"`{b}`")), F.lit("-")).alias(b) for b in benchmarks])
+    return seen.select("model", *[F.when(F.col(f"`{b}`").isNotNull(), F.format_string("%.4f", F.col(f"`{b}`"))).otherwise("-").alias(b) for b in benchmarks])
 
 
 def matrix_grid(models: DataFrame, benchmarks: DataFrame) -> DataFrame:

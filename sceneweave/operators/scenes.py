@@ -83,7 +83,7 @@ def diagnose(catalogue: DataFrame, requests: DataFrame, limit: int = 12) -> Data
     passes = F.col("id").isNotNull() & (F.col("max_cloud").isNull() | ~_optical(F.col("collection")) | (F.col("cloud_cover") < F.col("max_cloud")))
     counts = joined.groupBy("request_id", "collection", "max_cloud").agg(F.least(F.count_if(passes), F.lit(limit)).alias("kept"), F.least(F.count("id"), F.lit(limit)).alias("all"), F.min("cloud_cover").alias("clearest"))
     empty = (F.col("kept") == 0) & F.col("max_cloud").isNotNull() & _optical(F.col("collection"))
-    clearest_text = F.coalesce(F.format_string("%.0f%%", F.bround("clearest", 0)), F.lit("unknown"))
+    clearest_text = F.when(F.col("clearest").isNotNull(), F.format_string("%.0f%%", F.bround("clearest", 0))).otherwise("unknown")
     some = F.concat(F.col("all").cast("string"), F.lit(" acquisition(s) exist here, but none below "), F.format_string("%.0f%%", "max_cloud"), F.lit(" cloud -- the clearest is "), clearest_text, F.lit(". Raise the threshold, widen the dates, or use Sentinel-1: radar is unaffected by the cloud that makes optical unusable."))
     none = F.lit("No acquisitions at all over this footprint in this window. Widen the date range or move the area of interest.")
     return counts.select("request_id", "kept", F.when(empty, F.col("all")).alias("filtered_out"), F.when(empty, F.col("clearest")).alias("clearest"), F.when(empty & (F.col("all") > 0), some).when(empty, none).otherwise("").alias("hint"))
