@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from sceneweave.llm.common import cut_lineage, map_batches
 
-STRIP = " \t\n\v\f\r"
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+STRIP = b" \t\n\v\f\r"
 #: Bits of a Bloom filter per expected hash, and hash functions: about 1 % of false positives.
 BITS, PROBES = 10, 7
 
@@ -50,26 +49,31 @@ class Bloom:
         return found
 
 
-def line_key(line: str) -> str:
-    return line.strip(STRIP).translate(LOWER)
+def line_key(line: bytes) -> bytes:
+    """A UTF-8 line without white space at both ends, A-Z in lower case."""
+    return line.strip(STRIP).lower()
 
 
-def hashed_keys(text: str | None, least_length: int) -> dict[int, str]:
-    """Hash and key of the distinct long line keys of a text."""
-    if not text or len(text) < least_length:
+def is_long(key: bytes, least_length: int) -> bool:
+    """Whether a key has so many code points; each is one to four bytes."""
+    return len(key) >= least_length and (len(key) >= 4 * least_length or len(key.decode()) >= least_length)
+
+
+def hashed_keys(text: bytes, least_length: int) -> dict[bytes, int]:
+    """The distinct long line keys of a text, and their hashes."""
+    if len(text) < least_length:
         return {}
-    keys = {line_key(x) for x in text.split("\n") if len(x) >= least_length}
-    return {xxhash.xxh64_intdigest(k.encode("utf-8", "replace")): k for k in keys if len(k) >= least_length}
+    keys = {line_key(x) for x in text.split(b"\n") if len(x) >= least_length}
+    return {k: xxhash.xxh64_intdigest(k) for k in keys if is_long(k, least_length)}
 
 
-def repeated_hashes(docs: DataFrame, least_length: int = 40) -> DataFrame:
-    """(hash): the line-key hashes of ``docs`` (doc_id, text) that more than one document may hold."""
+def repeated_hashes(marks: DataFrame) -> DataFrame:
+    """(hash): the hashes of ``marks`` (doc_id, hash) that more than one row may hold."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Each hash of the batch once; often is true if two of its documents hold it."""
-        found = [np.fromiter(hashed_keys(x.as_py(), least_length), np.uint64) for x in batch.column("text")]
-        hashes, times = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times > 1)], ["hash", "often"])
+        """Each hash of the batch once; often is true if two of its rows hold it."""
+        hashes, times = np.unique(batch.column("hash").to_numpy(), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(times > 1)], ["hash", "often"])
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [(b.column("hash").to_numpy().view(np.uint64), b.column("often").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
@@ -79,9 +83,8 @@ def repeated_hashes(docs: DataFrame, least_length: int = 40) -> DataFrame:
         once, twice = Bloom(expected), Bloom(expected)
         for hashes, often in blocks:
             # One batch may bring a hash from several tasks.
-            distinct, first, times = np.unique(hashes, return_index=True, return_counts=True)
-            again = once.holds(distinct) | (times > 1)
-            again[np.isin(distinct, hashes[often])] = True
+            distinct, times = np.unique(hashes, return_counts=True)
+            again = once.holds(distinct) | (times > 1) | np.isin(distinct, hashes[often])
             once.add(distinct)
             twice.add(distinct[again])
         for hashes, _ in blocks:
@@ -89,12 +92,12 @@ def repeated_hashes(docs: DataFrame, least_length: int = 40) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
 
-    hashes = map_batches(docs.select("text"), emit, "hash long, often boolean")
+    hashes = map_batches(marks.select("hash"), emit, "hash long, often boolean")
     return hashes.repartition("hash").mapInArrow(suspect, "hash long").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_length: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept_text.
+def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_length: int = 40, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, kept_text, and the columns of ``carry``.
 
     A line's key is the line without white space at both ends and with A-Z in
     lower case. Keys of ``least_length`` characters or more that
@@ -102,54 +105,59 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_length: int
     the one with the largest id. Null and empty texts are one empty line. Rows
     that share an id count as one document, and each of them is cleaned; rows
     with a null id are returned as they are and do not count.
+
+    Texts are shuffled by id once: the confirmation of suspects and the final
+    cleaning read the same exchange. For that both must be the same plan, down
+    to names and null filters: a name of its own keeps the id's alias in both.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    suspects = cut_lineage(repeated_hashes(known, least_length))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    known = rows.where("_id IS NOT NULL")
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, hashes = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for doc_id, text in zip(batch.column("_id").to_pylist(), batch.column("text"), strict=True):
             found = hashed_keys(text.as_py(), least_length)
             ids += [doc_id] * len(found)
-            hashes += found
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "hash"])
+            hashes += found.values()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["_id", "hash"])
 
-    held = map_batches(known, emit, "doc_id long, hash long").join(suspects, "hash", "left_semi")
-    per_doc = held.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    marks = cut_lineage(map_batches(known.select("_id", "text"), mark, "_id long, hash long"))
+    per_doc = marks.join(cut_lineage(repeated_hashes(marks)), "hash", "left_semi").groupBy("_id").agg(F.collect_set("hash").alias("hashes"))
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hashes, lines = [], [], []
-        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("hashes"), strict=True):
+    def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, lines = [], []
+        for doc_id, text, wanted in zip(batch.column("_id").to_pylist(), batch.column("text"), batch.column("hashes"), strict=True):
             wanted = set(wanted.values.to_numpy().view(np.uint64).tolist())
-            for h, key in hashed_keys(text.as_py(), least_length).items():
-                if h in wanted:
-                    ids.append(doc_id)
-                    hashes.append(h)
-                    lines.append(key)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(lines, pa.string())], ["doc_id", "hash", "key"])
-
-    exact = map_batches(known.join(per_doc, "doc_id").select("doc_id", "text", "hashes"), keys, "doc_id long, hash long, key string")
-    exact = cut_lineage(exact.dropDuplicates(["doc_id", "key"]))
-    common = exact.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs).select("key", "keeper")
-    losing = exact.join(common, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("hash").alias("lost"))
+            found = [k for k, h in hashed_keys(text.as_py(), least_length).items() if h in wanted]
+            ids += [doc_id] * len(found)
+            lines += found
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.binary())], ["_id", "key"])
+
+    exact = map_batches(known.join(per_doc, "_id"), confirm, "_id long, key binary").where("_id IS NOT NULL AND key IS NOT NULL").dropDuplicates(["_id", "key"])
+    common = exact.groupBy("key").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= least_docs).select("key", "keeper")
+    losing = exact.join(common, "key").where("_id <> keeper").groupBy("_id").agg(F.collect_set("key").alias("lost"))
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_lines, n_dropped, texts = [], [], []
         for text, lost in zip(batch.column("text"), batch.column("lost"), strict=True):
             text = text.as_py()
-            lines = text.split("\n")
-            kept = lines
+            lines = kept = text.split(b"\n")
             if lost.values is not None:
-                wanted = set(lost.values.to_numpy().view(np.uint64).tolist())
-                gone = {key for h, key in hashed_keys(text, least_length).items() if h in wanted}
+                gone = set(lost.as_py())
                 kept = [x for x in lines if line_key(x) not in gone]
+                text = b"\n".join(kept)
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
-            texts.append("\n".join(kept))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
-
-    return map_batches(rows.join(losing, "doc_id", "left").select("doc_id", "text", "lost"), clean, "doc_id long, n_lines long, n_dropped long, kept_text string")
+            texts.append(text)
+        made = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), *made, *(batch.column(c) for c in carried)], ["doc_id", "n_lines", "n_dropped", "kept_text", *carried])
+
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    nameless = rows.where("_id IS NULL").withColumn("lost", F.lit(None).cast("array<binary>"))
+    cleaned = known.join(losing, "_id", "left").union(nameless)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    cleaned = map_batches(cleaned, clean, "doc_id long, n_lines long, n_dropped long, kept_text binary" + kinds)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.col("kept_text").cast("string").alias("kept_text"), *[F.col(a).alias(b) for a, b in zip(carried, carry, strict=True)])
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
