@@ -72,9 +72,9 @@ def normalize_box(values: list[Column], scale: str = "auto", width: Column | Non
 
 
 def coerce_box(text: Column) -> Column:
-    """Four numbers of a list or its text, as array<double>; null if not exactly four."""
+    """The first four numbers of a list or its text, as array<double>; null if there are fewer."""
     numbers = F.regexp_extract_all(text, F.lit(NUM), F.lit(1))
-    return F.when(F.size(numbers) == 4, F.transform(numbers, lambda x: x.cast("double")))
+    return F.when(F.size(numbers) >= 4, F.transform(F.slice(numbers, 1, 4), lambda x: x.cast("double")))
 
 
 def parse_published_box(text: Column) -> Column:

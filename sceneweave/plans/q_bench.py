@@ -10,7 +10,7 @@ from sceneweave.functions import lookup, text
 from sceneweave.operators import bench, corpus, results
 from sceneweave.plans.fixtures import view, view_sql
 from sceneweave.plans.shared import shared_folder
-from sceneweave.sources import tables
+from sceneweave.sources import adapters, tables  # noqa: F401  adapters register themselves
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEED = 1234
@@ -123,6 +123,17 @@ def h1_union_samples(spark, sf):
     return both.select("sample_id", "task", "qtype", F.size(bench.gold_texts(F.coalesce("references", F.array().cast("array<string>")), F.col("answer"))).alias("golds"))
 
 
+def l3_load_samples(spark, sf):
+    """Question and answer files made from tables, read by a registered adapter."""
+    root = f"{shared_folder(spark)}/rsvqa-{uuid.uuid4().hex}"
+    q = view(spark, sf, "questions").withColumn("part", F.col("img_id") % 8)
+    q.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("question_id").alias("id"), "img_id", F.concat(F.lit("q"), "question_id").alias("question"), F.col("qtype").alias("type"), "active")).alias("questions"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/q")
+    a = view(spark, sf, "answers").groupBy("question_id").agg(F.min_by("answer", F.when(F.coalesce("active", F.lit(True)), F.col("pos"))).alias("answer")).where("answer IS NOT NULL").withColumn("part", F.col("question_id") % 8)
+    a.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("question_id", "answer")).alias("answers"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/a")
+    s = bench.load_samples(spark, {"adapter": "rsvqa", "name": "lr", "questions": f"{root}/q", "answers": f"{root}/a", "root": "img", "suffix": ".tif"})
+    return s.select("sample_id", "task", F.col("images")[0]["path"].alias("path"), "answer", "qtype")
+
+
 def a9_prediction_log(spark, sf):
     folder = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
     tables.write_predictions(view(spark, sf, "vqa").select("sample_id", "gold"), view(spark, sf, "predictions").select("sample_id", "model", "answer"), folder)
@@ -181,7 +192,7 @@ def c11_pending_cells(spark, sf):
     return results.pending_cells(grid, done).withColumn("state", F.lit("pending")).union(results.cached_cells(grid, done).withColumn("state", F.lit("cached")))
 
 
-QUERIES = {f.__name__: f for f in [a2_read_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples]}
+QUERIES = {f.__name__: f for f in [a2_read_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
 
 RES = f"res AS ({view_sql('results')}), head AS (SELECT * FROM res WHERE metric = CASE task WHEN 'vqa' THEN 'oa' WHEN 'caption' THEN 'cider_d' WHEN 'grounding' THEN 'acc@0.5' ELSE 'oa' END)"
 QA = f"q AS ({view_sql('questions')}), a AS ({view_sql('answers')}), f AS (SELECT question_id, arg_min(answer, pos) AS answer FROM a WHERE coalesce(active, TRUE) GROUP BY question_id), qa AS (SELECT q.*, f.answer FROM q JOIN f USING (question_id) WHERE coalesce(q.active, TRUE))"
@@ -217,5 +228,6 @@ SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS imag
     "f11_comparison": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.model, " + ", ".join(_cell(p, "coalesce(printf('%.4f', {}), '-')") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT model FROM res) s LEFT JOIN c ON c.model = s.model GROUP BY s.model",
     "f13_sweep_status": f"WITH {RES}, c AS (SELECT model, CASE WHEN seq % 7 = 0 THEN 'error' WHEN seq % 11 = 0 THEN 'pending' ELSE 'ok' END AS status FROM res) SELECT model, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS done, count(*) FILTER (WHERE status = 'error') AS failed, round_even(100.0 * count(*) FILTER (WHERE status <> 'pending') / count(*), 1) AS percent, CAST(5.0 AS DOUBLE) AS per_second FROM c GROUP BY model",
     "f15_normalise_scores": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), r AS (SELECT benchmark, min(value) AS lo, max(value) AS hi FROM c GROUP BY benchmark) SELECT model, round(CAST(sum(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1 END * CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) / sum(CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) AS DOUBLE), 6) AS overall, count(*) AS n_benchmarks FROM c JOIN r USING (benchmark) GROUP BY model",
+    "l3_load_samples": f"WITH {QA} SELECT 'lr-' || question_id AS sample_id, 'vqa' AS task, 'img/' || img_id || '.tif' AS path, CAST(answer AS VARCHAR) AS answer, qtype FROM qa",
     "h1_union_samples": f"WITH {QA}, caps AS ({view_sql('captions')}) SELECT 'rs-' || question_id AS sample_id, 'vqa' AS task, qtype, CAST(1 AS INTEGER) AS golds FROM qa UNION ALL SELECT 'cap-' || sample_id, 'caption', NULL, CAST(count(*) AS INTEGER) FROM caps WHERE part = 'reference' GROUP BY sample_id",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sceneweave.functions import boxes
 from sceneweave.operators import bench, corpus, metrics, raster, results, scenes
 from sceneweave.plans import fixtures, trace
-from sceneweave.sources import tables
+from sceneweave.sources import adapters, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -209,3 +209,33 @@ def test_pair_search_has_no_nested_loop(spark):
     assert [(p.a_id, p.b_id, p.coregistered, p.gsd_match) for p in found.collect()] == [(1, 2, True, True)]
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def samples(spark, tmp_path, payload, **spec):
+    (tmp_path / "a.json").write_text(json.dumps(payload))
+    return bench.load_samples(spark, {"name": "b", "annotations": str(tmp_path / "a.json"), "root": "img", "suffix": ".png", **spec}).collect()
+
+
+def test_question_adapters(spark, tmp_path):
+    rows = samples(spark, tmp_path, [{"image_id": "1", "question": "q?", "ground_truth": "yes", "type": ""}, {"image_id": "2.png", "question": "r?", "ground_truth": 3, "type": "count"}], adapter="vrsbench_vqa")
+    assert [(r.sample_id, r["images"][0].path, r.answer, r.qtype) for r in rows] == [("b-0", "img/1.png", "yes", None), ("b-1", "img/2.png", "3", "count")]
+    renamed = samples(spark, tmp_path, [{"picture": "x", "query": "q", "gold": "a"}], adapter="vrsbench_vqa", fields={"image_id": "picture", "answer": "gold"})
+    assert renamed[0].question == "q" and renamed[0].answer == "a"
+    with pytest.raises(KeyError):
+        bench.load_samples(spark, {"adapter": "none"})
+
+
+def test_caption_and_box_adapters(spark, tmp_path):
+    rows = samples(spark, tmp_path, {"data": [{"image": "1", "caption": ["a", "b"]}, {"image": "2", "caption": "c"}]}, adapter="vrsbench_caption")
+    assert [(r.answer, r.references) for r in rows] == [("a", ["a", "b"]), ("c", ["c"])]
+    rows = samples(spark, tmp_path, [{"image": "1", "question": "q", "bbox": [10, 20, 50, 60]}, {"image": "1", "question": "q", "bbox": "(50, 20, 10, 60)"}], adapter="vrsbench_referring", scale="percent")
+    assert tuple(rows[0].bbox) == pytest.approx((0.1, 0.2, 0.5, 0.6)) and rows[1].bbox is None
+
+
+def test_pair_and_file_adapters(spark, tmp_path):
+    rows = samples(spark, tmp_path, [{"img_name": "x", "question": "q", "answer": "a", "type": "t"}, {"img1": "p.png", "img2": "r.png", "question": "q", "answer": "a"}], adapter="cdvqa")
+    assert [[i.path for i in r["images"]] for r in rows] == [["img/im1/x.png", "img/im2/x.png"], ["img/p.png", "img/r.png"]]
+    (tmp_path / "q.json").write_text(json.dumps({"questions": [{"id": 1, "img_id": 5, "question": "q", "type": "p", "active": True}, {"id": 2, "img_id": 5, "question": "r", "type": "p", "active": False}]}))
+    (tmp_path / "n.json").write_text(json.dumps({"answers": [{"id": 7, "question_id": 1, "answer": "no", "active": False}, {"id": 8, "question_id": 1, "answer": "yes", "active": True}]}))
+    rows = bench.load_samples(spark, {"adapter": "rsvqa", "name": "lr", "questions": str(tmp_path / "q.json"), "answers": str(tmp_path / "n.json"), "root": "img", "suffix": ".tif"}).collect()
+    assert [(r.sample_id, r.answer, r["images"][0].path) for r in rows] == [("lr-1", "yes", "img/5.tif")]
