@@ -1,10 +1,10 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form: A-Z in lower case, copyright lines gone,
+A text is brought to a canonical form: lower case, copyright lines gone,
 everything but letters and digits a single space, and equivalent spellings made
 one. The SHA-256 of the form is joined with the digests of known licences. A
 document is looked up as a whole, and so is each of its lines, for the notices
-that name a licence in one line.
+that name a licence in one line. Both come from one pass over the text.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
-OTHER_CHARACTERS = r"[^\p{L}\p{N}]+"
+OTHER_CHARACTERS = r"[^\p{L}\p{N}\n]+"
 
 # Spellings that count as the same word.
 EQUIVALENT = {
@@ -84,14 +83,19 @@ NOTICES = {
 
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; an empty string for null."""
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER_CHARACTERS, " "), F.lit(" "))
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line; one empty line for null."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    out = F.replace(F.regexp_replace(out, OTHER_CHARACTERS, " "), F.lit("\n"), F.lit(" \n "))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
     for other, usual in EQUIVALENT.items():
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.transform(F.split(out, "\n"), lambda x: F.trim(x))
+
+
+def joined(lines: Column) -> Column:
+    """The canonical form of the whole text."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -106,17 +110,26 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     license_id is the licence whose text the whole document is, or null;
     n_notices counts the document's lines that are a known text by themselves,
     and notice_ids lists their licences in order, joined by commas (empty if
-    none). Null texts are empty and match nothing. Notices are gathered by id,
-    so rows of one doc_id share them; rows with a null id have none. If two
-    known texts have one canonical form, the smaller license_id stands for it.
-    Other columns are not read.
+    none). Null texts are empty and match nothing. Repeated and null ids are
+    rows of their own. If two known texts have one canonical form, the smaller
+    license_id stands for it. Other columns are not read.
+
+    The known side is joined by digest, on whichever side size allows. Of the
+    lines only those that match go on to be gathered by document.
     """
-    digests = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    digests = known.select("license_id", joined(canonical_lines(F.col("text"))).alias("form")).where("form <> ''")
     digests = digests.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("known_id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(digests, "digest")
-    notices = found.groupBy("doc_id", "known_id").count().groupBy("doc_id").agg(F.sum("count").alias("n"), F.array_join(F.array_sort(F.collect_list("known_id")), ",").alias("ids"))
-    whole = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"))
-    whole = whole.join(digests.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(notices, "doc_id", "left")
-    return whole.select("doc_id", "text_digest", F.col("known_id").alias("license_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("ids", F.lit("")).alias("notice_ids"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    forms = F.concat(F.array(joined(F.col("lines"))), F.col("lines"))  # the whole text, then its lines
+    looked_up = rows.select("row", "doc_id", F.posexplode(forms).alias("k", "form")).where("k = 0 OR form <> ''")
+    looked_up = looked_up.select("row", "doc_id", "k", F.sha2("form", 256).alias("digest")).join(digests, "digest", "left").where("k = 0 OR known_id IS NOT NULL")
+    whole, line = F.col("k") == 0, F.col("k") > 0
+    gathered = looked_up.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max(F.when(whole, F.col("digest"))).alias("text_digest"),
+        F.max(F.when(whole, F.col("known_id"))).alias("license_id"),
+        F.count_if(line).alias("n_notices"),
+        F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("known_id")))), ",").alias("notice_ids"),
+    )
+    return gathered.drop("row")

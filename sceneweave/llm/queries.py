@@ -101,24 +101,26 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
-    out = f"regexp_replace({out}, {_sql_text(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
-    out = f"(' ' || regexp_replace({out}, {_sql_text(licences.OTHER_CHARACTERS)}, ' ', 'g') || ' ')"
+def _lines_sql(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_sql_text(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"(' ' || replace(regexp_replace({out}, {_sql_text(licences.OTHER_CHARACTERS)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ')"
     for a, b in licences.EQUIVALENT.items():
         out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+    return f"list_transform(string_split({out}, chr(10)), lambda x: trim(x))"
+
+
+def _digest_sql(lines: str) -> str:
+    return f"sha256(coalesce(array_to_string(list_filter({lines}, lambda x: x <> ''), ' '), ''))"
 
 
 def oracle_sql() -> dict[str, str]:
     known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in [*licences.TEXTS.items(), *((b, a) for a, b in licences.NOTICES.items())])
     return {
         "op4_license_scan": f"""
-WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS known_id FROM (VALUES {known}) v(i, t) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT known_id, ',' ORDER BY known_id) AS ids
-            FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines) l JOIN known USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS text_digest FROM documents)
+WITH known AS (SELECT {_digest_sql("l")} AS digest, min(i) AS known_id FROM (SELECT i, {_lines_sql("t")} AS l FROM (VALUES {known}) v(i, t)) z GROUP BY 1),
+forms AS (SELECT doc_id, {_lines_sql("text")} AS l FROM documents), lines AS (SELECT doc_id, unnest(l) AS line FROM forms),
+notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT known_id, ',' ORDER BY known_id) AS ids FROM (SELECT doc_id, sha256(line) AS digest FROM lines WHERE line <> '') k JOIN known USING (digest) GROUP BY doc_id),
+whole AS (SELECT doc_id, {_digest_sql("l")} AS text_digest FROM forms)
 SELECT w.doc_id, w.text_digest, k.known_id AS license_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.ids, '') AS notice_ids
 FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN notices n ON n.doc_id = w.doc_id""",
         "op6_line_dedup": r"""
