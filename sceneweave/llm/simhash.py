@@ -197,7 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row each; all columns stay."""
+    """The rows of ``docs`` whose id names their component, one row each; all columns stay.
+
+    Rows that share an id are one document. Rows with a null id cannot be told apart and stay.
+    """
     groups = near_duplicates(docs, id_col, text_col, shingle, budget)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return named.union(docs.where(F.col(id_col).isNull()))
