@@ -9,11 +9,11 @@ all of them: their log-probabilities are added up.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -22,7 +22,7 @@ from sceneweave.llm.common import map_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Windows that go through the network at once in prediction.
 AT_ONCE = 2048
 
@@ -116,20 +116,20 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, windows_per_doc: int = 3) -> Network | None:
+def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, most_languages: int = 200, windows_per_doc: int = 3) -> Network | None:
     """Fit a network on about ``per_language`` rows of each label; null labels and texts without letters are left out.
 
-    The bound: rows are chosen by a hash of their id and text, with a threshold from the
-    label's count, and cut into windows on the executors; the driver gets at
-    most ``windows_per_doc`` windows of a chosen row. None if there is nothing to learn.
+    The bound: the ``most_languages`` most frequent labels are learned; rows are
+    chosen by a hash of their id and text, with a threshold from the label's
+    count, and cut into windows on the executors; the driver gets at most
+    ``windows_per_doc`` windows of a chosen row. None if there is nothing to learn.
     """
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share * 1_000_000)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
