@@ -74,17 +74,37 @@ def k3_headlines(spark, sf):
     return runs.headlines(spark, folder).select("model", "benchmark", F.round("value", 6).alias("value"))
 
 
+def _areas(spark, sf):
+    ids = view(spark, sf, "scenes").select("area_id").distinct()
+    return ids.select("area_id", (70.0 + F.col("area_id")).alias("west"), F.lit(10.0).alias("south"), (71.0 + F.col("area_id")).alias("east"), F.lit(11.5).alias("north"))
+
+
 def k4_acquisition_feed(spark, sf):
-    s = view(spark, sf, "scenes")
-    areas = s.select("area_id").distinct().select("area_id", (70.0 + F.col("area_id")).alias("west"), F.lit(10.0).alias("south"), (71.0 + F.col("area_id")).alias("east"), F.lit(11.5).alias("north"))
-    return runs.acquisition_feed(s.drop("area_id"), areas).select("area_id", "id", "collection")
+    return runs.acquisition_feed(view(spark, sf, "scenes").drop("area_id"), _areas(spark, sf)).select("area_id", "id", "collection")
+
+
+def k4_acquisition_feed_stream(spark, sf):
+    """The same over a stream of scenes, joined with the table of areas."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    west, south = 70 + (F.col("user_id") % 50) / 10.0, 10 + (F.col("user_id") % 30) / 10.0
+    optical = F.col("event_id") % 3 != 0
+    s = events.select(
+        F.col("event_id").alias("id"),
+        F.when(optical, "sentinel-2-l2a").otherwise("sentinel-1-rtc").alias("collection"),
+        F.col("ts").alias("datetime"),
+        F.when(optical & (F.col("event_id") % 17 != 0), F.col("value") % 100).alias("cloud_cover"),
+        west.alias("x1"), south.alias("y1"), (west + 0.2).alias("x2"), (south + 0.2).alias("y2"),
+    )
+    return _finish(spark, runs.acquisition_feed(s, _areas(spark, sf)), "append", "k4").select("area_id", "id", "collection")
 
 
-QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silent_runs, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed]}
+QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silent_runs, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed, k4_acquisition_feed_stream]}
 
 EV = f"ev AS ({view_sql('run_events')})"
 K1 = "SELECT run_id, CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'complete') THEN 'complete' ELSE 'running' END AS status, count(*) FILTER (WHERE type = 'step') AS steps, count(*) AS n_events"
 K3 = "SELECT CAST(user_id % 3 AS VARCHAR) AS model, count(*) AS n, round(avg(CAST(event_id % 4 = 0 AS INT)), 6) AS oa FROM events GROUP BY 1"
+K4 = f"WITH sc AS ({view_sql('scenes')}), ar AS (SELECT DISTINCT area_id FROM sc) SELECT ar.area_id, sc.id, sc.collection FROM sc JOIN ar ON (x1 + x2) / 2 BETWEEN 70.0 + ar.area_id AND 71.0 + ar.area_id AND (y1 + y2) / 2 BETWEEN 10.0 AND 11.5 WHERE collection = 'sentinel-1-rtc' OR cloud_cover < 20"
 SQL = {
     "k1_run_summary": f"WITH {EV} {K1}, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM ev GROUP BY run_id",
     "k1_run_summary_stream": f"WITH {EV} {K1} FROM ev GROUP BY run_id",
@@ -92,5 +112,6 @@ SQL = {
     "k3_running_accuracy": K3,
     "k3_running_accuracy_stream": K3,
     "k3_headlines": f"WITH r AS ({view_sql('results')}) SELECT model, benchmark, round(arg_max(value, seq), 6) AS value FROM r WHERE metric = 'oa' GROUP BY ALL",
-    "k4_acquisition_feed": f"WITH sc AS ({view_sql('scenes')}), ar AS (SELECT DISTINCT area_id FROM sc) SELECT ar.area_id, sc.id, sc.collection FROM sc JOIN ar ON (x1 + x2) / 2 BETWEEN 70.0 + ar.area_id AND 71.0 + ar.area_id AND (y1 + y2) / 2 BETWEEN 10.0 AND 11.5 WHERE collection = 'sentinel-1-rtc' OR cloud_cover < 20",
+    "k4_acquisition_feed_stream": K4,
+    "k4_acquisition_feed": K4,
 }
