@@ -71,10 +71,10 @@ WHERE c.role = 'assistant'""",
     "rasters": """SELECT p_partkey AS id, concat('tile_', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '_VV' WHEN 1 THEN '_msi' ELSE '' END, '.tif') AS name,
        CAST(p_size * 10 AS INT) AS width, CAST(120 AS INT) AS height, CAST(CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 12 ELSE 2 END AS INT) AS band_count,
        CASE WHEN p_partkey % 2 = 0 THEN 'float32' ELSE 'uint16' END AS dtype,
-       CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'EPSG:4326' ELSE 'EPSG:32643' END AS crs,
-       CAST(p_partkey % 40 AS DOUBLE) AS bx1, CAST(p_partkey * 7 % 30 AS DOUBLE) AS by1,
-       CAST(p_partkey % 40 AS DOUBLE) + 2.0 AS bx2, CAST(p_partkey * 7 % 30 AS DOUBLE) + 1.5 AS by2,
-       CASE WHEN p_partkey % 3 = 0 THEN 0.0001 ELSE 10.0 + p_partkey % 3 END AS pixel_x FROM @part""",
+       CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 6 < 2 THEN 'EPSG:4326' ELSE 'EPSG:32643' END AS crs,
+       floor(p_partkey % 1000 / 2.0) * 0.9 + p_partkey % 2 * 0.05 AS bx1, CAST(floor(p_partkey / 1000.0) % 100 AS DOUBLE) * 0.8 AS by1,
+       floor(p_partkey % 1000 / 2.0) * 0.9 + p_partkey % 2 * 0.05 + 2.0 AS bx2, CAST(floor(p_partkey / 1000.0) % 100 AS DOUBLE) * 0.8 + 1.5 AS by2,
+       CAST(CASE WHEN p_partkey % 6 < 2 THEN 0.0001 ELSE 10.0 + p_partkey % 3 * 0.4 END AS DOUBLE) AS pixel_x FROM @part""",
     "queries": """SELECT doc_id AS run_id, doc_id AS set_id, CASE doc_id % 8 WHEN 0 THEN 'Highlight the river' WHEN 1 THEN 'Describe this scene'
          WHEN 2 THEN 'How many ships are there?' WHEN 3 THEN 'What changed between the dates?' WHEN 4 THEN 'Has built-up increased?'
          WHEN 5 THEN '' WHEN 6 THEN 'Nice picture' ELSE 'Is there water?' END AS query FROM @documents""",

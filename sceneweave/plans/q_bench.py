@@ -49,12 +49,12 @@ def a12_sniff_keys(spark, sf):
 
 
 def a5_assemble_pairs(spark, sf):
-    """Archive members made from conversations: each key has its json and, mostly, both images."""
+    """Archive members made from conversations: each key has its json, and those of over two turns have both images."""
     turns = view(spark, sf, "turns")
     record = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "speaker", "value"))), lambda t: F.struct(t["speaker"].alias("from"), t["value"].alias("value"))).alias("conversations"), F.struct(F.concat(F.lit("img"), F.col("conv_id") % 40).alias("image_id"), F.lit("kind").alias("question_type")).alias("meta")))
     json = turns.groupBy("conv_id").agg(record.alias("payload")).withColumn("suffix", F.lit("json"))
-    ids = turns.select("conv_id").distinct()
-    images = ids.where("conv_id % 7 <> 0").select("conv_id", F.lit("b").alias("payload"), F.lit("before").alias("suffix")).union(ids.select("conv_id", F.lit("a"), F.lit("after")))
+    ids = turns.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    images = ids.where("turns > 2").select("conv_id", F.lit("b").alias("payload"), F.lit("before").alias("suffix")).union(ids.select("conv_id", F.lit("a"), F.lit("after")))
     members = json.unionByName(images).select((F.col("conv_id") % 3).cast("string").alias("shard"), F.lpad(F.col("conv_id").cast("string"), 6, "0").alias("key"), "suffix", "payload")
     pairs, questions = bench.assemble_pairs(members)
     shared = pairs.select(F.col("image_id").alias("img_name"), F.lit(1).alias("has"))
@@ -63,7 +63,9 @@ def a5_assemble_pairs(spark, sf):
 
 def a6_load_patch_bands(spark, sf):
     keys = view(spark, sf, "annotations").select("patch_id", "s1_name").distinct()
-    stored = keys.where("try_cast(substr(patch_id, 2) AS INT) % 5 <> 0").select(F.col("patch_id").alias("key")).union(keys.where("try_cast(substr(s1_name, 4) AS INT) % 3 <> 0").select("s1_name")).distinct().withColumn("bands", F.array(F.lit(1.0)))
+    optical = view(spark, sf, "patches").where("NOT contains_seasonal_snow").select(F.col("patch_id").alias("key"))
+    radar = view(spark, sf, "annotations").where("split = 'train'").select(F.col("s1_name").alias("key")).distinct()
+    stored = optical.union(radar).withColumn("bands", F.array(F.lit(1.0)))
     found, missed = bench.load_patch_bands(keys, stored)
     return found.select("patch_id", "s1_name", F.lit(True).alias("found")).union(missed.select("patch_id", "s1_name", F.lit(False)))
 
@@ -110,8 +112,8 @@ def e26_config_hash(spark, sf):
 
 
 def f7_describe(spark, sf):
-    a = view(spark, sf, "annotations").select(F.col("id").alias("pos"), F.concat(F.lit("s-"), "id").alias("sample_id"), F.concat("patch_id", F.lit(".png")).alias("image"), F.col("category").alias("qtype"))
-    listing = a.where("pos % 9 <> 4").select(F.col("image").alias("path")).distinct()
+    a = view(spark, sf, "annotations").select(F.col("id").alias("pos"), F.concat(F.lit("s-"), "id").alias("sample_id"), F.concat("patch_id", F.lit(".png")).alias("image"), F.col("category").alias("qtype"), "split")
+    listing = a.where("split = 'train'").select(F.col("image").alias("path")).distinct()
     return bench.describe(a, listing).withColumn("images_probed", F.col("images_probed").cast("long"))
 
 
@@ -202,10 +204,11 @@ _tasks = "[" + ", ".join(f"'{t}'" for t in lookup.TASKS) + "]"
 SQL = {
     "a2_read_records": f"WITH q AS ({view_sql('questions')}) SELECT qtype, count(*) AS listed, CAST(sum(question_id) AS BIGINT) AS ids, count(*) AS keyed, CAST(sum(question_id) AS BIGINT) AS keys FROM q GROUP BY qtype",
     "a3_resolve_fields": f"WITH q AS ({view_sql('questions')}) SELECT question_id, img_id FROM q",
-    "a5_assemble_pairs": f"""WITH turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns WHERE conv_id % 7 <> 0 GROUP BY conv_id),
+    "a5_assemble_pairs": f"""WITH turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns GROUP BY conv_id HAVING count(*) > 2),
 k AS (SELECT conv_id, trim(regexp_replace(q, '^Image 1: <image>\\nImage 2: <image>\\n', '')) AS question, trim(a) AS answer FROM u)
 SELECT 'img' || (conv_id % 40) AS img_name, count(*) AS questions, CAST(sum(length(question)) AS BIGINT) AS q_chars, CAST(sum(length(answer)) AS BIGINT) AS a_chars FROM k WHERE question <> '' AND answer <> '' GROUP BY 1""",
-    "a6_load_patch_bands": f"WITH ann AS ({view_sql('annotations')}), k AS (SELECT DISTINCT patch_id, s1_name, CAST(substr(patch_id, 2) AS INT) % 5 <> 0 AND CAST(substr(s1_name, 4) AS INT) % 3 <> 0 AS found FROM ann), p AS (SELECT patch_id, bool_or(found) AS any_found FROM k GROUP BY patch_id) SELECT patch_id, s1_name, found FROM k JOIN p USING (patch_id) WHERE found OR NOT any_found",
+    "a6_load_patch_bands": f"""WITH ann AS ({view_sql("annotations")}), pa AS ({view_sql("patches")}), k AS (SELECT DISTINCT patch_id, s1_name, patch_id IN (SELECT patch_id FROM pa WHERE NOT contains_seasonal_snow) AND s1_name IN (SELECT s1_name FROM ann WHERE split = 'train') AS found FROM ann),
+p AS (SELECT patch_id, bool_or(found) AS any_found FROM k GROUP BY patch_id) SELECT patch_id, s1_name, found FROM k JOIN p USING (patch_id) WHERE found OR NOT any_found""",
     "a9_prediction_log": f"WITH v AS ({view_sql('vqa')}), p AS ({view_sql('predictions')}) SELECT model, gold, count(*) AS n, count(answer) AS answered FROM v JOIN p USING (sample_id) GROUP BY ALL",
     "a10_append_results": f"WITH {RES} SELECT model, metric, count(*) AS n, round(sum(round_even(value, 6)), 4) AS total, round(sum(round_even(seq / 4, 2)), 2) AS seconds FROM res GROUP BY ALL",
     "a11_read_absent": f"WITH {RES} SELECT count(*) AS present, CAST(0 AS BIGINT) AS absent FROM res",
@@ -220,7 +223,7 @@ SELECT 'img' || (conv_id % 40) AS img_name, count(*) AS questions, CAST(sum(leng
     "d2_seeded_subset": f"WITH q AS ({view_sql('questions')}) SELECT question_id, img_id FROM q ORDER BY md5('{SEED}-' || CAST(question_id AS VARCHAR)), question_id LIMIT 200",
     "e14_requests": f"WITH d AS ({view_sql('queries')}), s AS (SELECT run_id AS sample_id, ({_tasks})[run_id % 6 + 1] AS task, query AS question FROM d) SELECT sample_id, task, {_prompt} AS prompt, CAST(CASE task WHEN 'caption' THEN 128 WHEN 'change_caption' THEN 128 WHEN 'grounding' THEN 64 ELSE 32 END AS INTEGER) AS max_new_tokens FROM s",
     "e26_config_hash": f"""WITH p AS ({view_sql('predictions')}) SELECT sample_id, substr(sha256('{{"model":"' || model || '","seed":' || sample_id || '}}'), 1, 12) AS hash, model || '__v1' AS slug FROM p""",
-    "f7_describe": f"""WITH ann AS ({view_sql('annotations')}), a AS (SELECT id AS pos, 's-' || id AS sample_id, patch_id || '.png' AS image, category AS qtype FROM ann), l AS (SELECT DISTINCT image FROM a WHERE pos % 9 <> 4), p AS (SELECT * FROM a ORDER BY pos LIMIT 200), m AS (SELECT * FROM p WHERE image NOT IN (SELECT image FROM l))
+    "f7_describe": f"""WITH ann AS ({view_sql('annotations')}), a AS (SELECT id AS pos, 's-' || id AS sample_id, patch_id || '.png' AS image, category AS qtype, split FROM ann), l AS (SELECT DISTINCT image FROM a WHERE split = 'train'), p AS (SELECT * FROM a ORDER BY pos LIMIT 200), m AS (SELECT * FROM p WHERE image NOT IN (SELECT image FROM l))
 SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS images_probed, (SELECT count(*) FROM m) AS images_missing, coalesce((SELECT string_agg(image, ',' ORDER BY pos) FROM (SELECT * FROM m ORDER BY pos LIMIT 5) z), '') AS missing_examples,
  (SELECT string_agg(qtype, ',' ORDER BY qtype) FROM (SELECT DISTINCT qtype FROM a WHERE coalesce(qtype, '') <> '' ORDER BY qtype LIMIT 20) z) AS question_types, (SELECT arg_min(sample_id, pos) FROM a) AS example_id""",
     "f10_dashboard": f"WITH {RES}, c AS (SELECT backend, model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.backend, s.model, " + ", ".join(_cell(p, "round({}, 6)") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT backend, model FROM res) s LEFT JOIN c ON c.backend = s.backend AND c.model = s.model GROUP BY ALL",

@@ -59,7 +59,7 @@ def c7_pair_bitemporal(spark, sf):
 
 
 def c5_check_pairs(spark, sf):
-    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m").where("crs IS NOT NULL AND id <= 4000"), cell=1.0, least_iou=0.5)
+    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m").where("crs IS NOT NULL"), cell=1.0, least_iou=0.3)
     return p.select("a_id", "b_id", "size_match", "crs_match", F.round("extent_iou", 6).alias("extent_iou"), "gsd_match", "coregistered", F.size("warnings").cast("long").alias("n_warnings"))
 
 
@@ -122,9 +122,9 @@ ROUTE = """CASE WHEN config = 'crossmodal_pair' THEN ['crossmodal_vqa', 'input_c
 SQL = {
     "a4_flatten_scenes": f"WITH {SC} SELECT id, collection, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, round(cloud_cover, 6) AS cloud_cover, round(x1, 6) AS x1, round(y2, 6) AS y2 FROM sc",
     "b6_search_scenes": f"WITH {SC} SELECT id, collection, round(cloud_cover, 6) AS cloud_cover FROM sc WHERE {SEARCH} AND (collection = 'sentinel-1-rtc' OR cloud_cover < 20)",
-    "c5_check_pairs": f"""WITH {RA}, g AS (SELECT * FROM ra WHERE geo AND id <= 4000), p AS (SELECT a.id AS a_id, b.id AS b_id, a.width AS aw, b.width AS bw, a.gsd_m AS ag, b.gsd_m AS bg, least(a.bx2, b.bx2) - greatest(a.bx1, b.bx1) AS w, least(a.by2, b.by2) - greatest(a.by1, b.by1) AS h FROM g a JOIN g b ON a.id < b.id AND a.crs = b.crs),
+    "c5_check_pairs": f"""WITH {RA}, g AS (SELECT * FROM ra WHERE geo), p AS (SELECT a.id AS a_id, b.id AS b_id, a.width AS aw, b.width AS bw, a.gsd_m AS ag, b.gsd_m AS bg, least(a.bx2, b.bx2) - greatest(a.bx1, b.bx1) AS w, least(a.by2, b.by2) - greatest(a.by1, b.by1) AS h FROM g a JOIN g b ON a.id < b.id AND a.crs = b.crs),
 q AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w * h / (6.0 - w * h) ELSE 0.0 END AS iou, abs(ag - bg) / greatest(ag, bg) <= 0.05 AS gm FROM p)
-SELECT a_id, b_id, aw = bw AS size_match, TRUE AS crs_match, round(CAST(iou AS DOUBLE), 6) AS extent_iou, gm AS gsd_match, iou >= 0.9 AS coregistered, CAST(aw <> bw AS BIGINT) + CAST(iou < 0.9 AS BIGINT) + CAST(NOT gm AS BIGINT) AS n_warnings FROM q WHERE iou >= 0.5""",
+SELECT a_id, b_id, aw = bw AS size_match, TRUE AS crs_match, round(CAST(iou AS DOUBLE), 6) AS extent_iou, gm AS gsd_match, iou >= 0.9 AS coregistered, CAST(aw <> bw AS BIGINT) + CAST(iou < 0.9 AS BIGINT) + CAST(NOT gm AS BIGINT) AS n_warnings FROM q WHERE iou >= 0.3""",
     "c6_pair_crossmodal": f"""WITH {SC}, o AS (SELECT area_id, id, row_number() OVER (PARTITION BY area_id ORDER BY cloud_cover, id) AS r FROM sc WHERE collection = 'sentinel-2-l2a' AND cloud_cover < 8), s AS (SELECT area_id, id, row_number() OVER (PARTITION BY area_id ORDER BY datetime DESC, id) AS r FROM sc WHERE collection = 'sentinel-1-rtc')
 SELECT o.area_id, o.id AS optical_id, s.id AS sar_id FROM o JOIN s ON s.area_id = o.area_id AND o.r = 1 AND s.r = 1""",
     "c7_pair_bitemporal": f"""WITH {SC}, o AS (SELECT area_id, id, datetime < TIMESTAMP '{MIDDLE}' AS early, row_number() OVER (PARTITION BY area_id, datetime < TIMESTAMP '{MIDDLE}' ORDER BY coalesce(cloud_cover, 100), id) AS r FROM sc WHERE collection = 'sentinel-2-l2a' AND datetime >= TIMESTAMP '{START}' AND datetime < TIMESTAMP '{END}')

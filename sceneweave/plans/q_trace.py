@@ -28,7 +28,7 @@ def b7_validate_params(spark, sf):
 def c8_join_boxes(spark, sf):
     b = view(spark, sf, "boxes")
     gold = b.select("sample_id", boxes.normalize_box([F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")], "milli").alias("box"))
-    said = b.where("sample_id % 3 <> 0").select("sample_id", boxes.parse_bbox(F.col("raw_text"), "milli").alias("predicted"))
+    said = b.where("raw_text NOT LIKE '{<%'").select("sample_id", boxes.parse_bbox(F.col("raw_text"), "milli").alias("predicted"))
     return gold.join(said, "sample_id", "left").select("sample_id", F.round(boxes.iou(F.col("predicted"), F.col("box")), 6).alias("iou"))
 
 
@@ -124,7 +124,7 @@ ANSWERS = f"""ans AS (SELECT r.*, me.changed_area_frac AS c, abs(sar_water_fract
 verdict AS (SELECT *, CASE WHEN kind = 'yes' AND c < 0.02 THEN TRUE WHEN kind = 'yes' AND c > 0.02 THEN FALSE ELSE coalesce(gap > 0.15, FALSE) END AS warned FROM ans)"""
 SQL = {
     "b7_validate_params": f"WITH {ME}, c AS (SELECT set_id, changed_area_frac * 400 AS v FROM me) SELECT set_id AS run_id, CASE set_id % 3 WHEN 0 THEN 'sar_indices' WHEN 1 THEN 'change_mask' ELSE 'vlm_vqa' END AS tool, CASE set_id % 3 WHEN 0 THEN v BETWEEN 80 AND 99.5 WHEN 1 THEN v BETWEEN 0.02 AND 0.9 ELSE set_id % 2 = 0 AND v BETWEEN 1 AND 512 END AS valid, set_id % 3 = 2 AND set_id % 2 = 1 AS unknown FROM c",
-    "c8_join_boxes": f"WITH {_boxes('milli')} SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 0.0 ELSE round(iou, 6) END AS iou FROM scored",
+    "c8_join_boxes": f"WITH {_boxes('milli')} SELECT scored.sample_id, CASE WHEN raw_text LIKE '{{<%' THEN 0.0 ELSE round(iou, 6) END AS iou FROM scored JOIN b ON b.sample_id = scored.sample_id",
     "c9_agree": f"WITH {ME} SELECT set_id AS pair_id, round(abs(optical_water_fraction - sar_water_fraction), 6) AS gap, abs(optical_water_fraction - sar_water_fraction) <= 0.15 AS agrees, CAST(CASE WHEN abs(optical_water_fraction - sar_water_fraction) <= 0.15 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM me WHERE sar_water_fraction IS NOT NULL",
     "c12_select_tools": f"WITH {RUNS}, {TOOLS} SELECT run_id, tool, CAST(ord AS INTEGER) AS ord FROM runs JOIN tools USING (task, config)",
     "e15_evidence_preamble": f"WITH {ME} SELECT set_id, CASE WHEN set_id % 2 = 0 THEN '{lookup.EVIDENCE_HEADER_AGAIN}' ELSE '{lookup.EVIDENCE_HEADER}' END || chr(10) || concat_ws(chr(10), {_label('changed_area_frac')} || CAST(CAST(round_even(changed_area_frac, 4) AS DECIMAL(6,4)) AS VARCHAR), {_label('direction')} || direction, {_label('sar_water_fraction')} || CAST(CAST(sar_water_fraction AS DECIMAL(6,4)) AS VARCHAR)) AS preamble FROM me",
