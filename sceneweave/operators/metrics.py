@@ -55,6 +55,19 @@ def caption_grams(captions: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).groupBy("sample_id", "part", "ref", "n", "gram").count()
 
 
+def gram_table(tokens: DataFrame) -> DataFrame:
+    """(sample_id, n, gram, c, most, refs): a candidate's count, the largest of its references', and each reference's.
+
+    Candidate and references meet in one aggregate, so that no score joins the grams with themselves.
+    """
+    reference = F.col("part") == "reference"
+    return caption_grams(tokens).groupBy("sample_id", "n", "gram").agg(
+        F.coalesce(F.sum(F.when(~reference, F.col("count"))), F.lit(0)).alias("c"),
+        F.coalesce(F.max(F.when(reference, F.col("count"))), F.lit(0)).alias("most"),
+        F.collect_list(F.when(reference, F.struct("ref", "count"))).alias("refs"),
+    )
+
+
 def tokenized(captions: DataFrame) -> DataFrame:
     """(sample_id, part, ref, tokens) from (sample_id, part, ref, text); part is candidate or reference."""
     return captions.select("sample_id", "part", "ref", text.caption_tokens(F.col("text")).alias("tokens"))
@@ -63,10 +76,7 @@ def tokenized(captions: DataFrame) -> DataFrame:
 def bleu(captions: DataFrame) -> DataFrame:
     """One row bleu1..bleu4 over the corpus: clipped counts against the best reference, brevity from the closest length."""
     tokens = tokenized(captions)
-    grams = caption_grams(tokens)
-    best = grams.where("part = 'reference'").groupBy("sample_id", "n", "gram").agg(F.max("count").alias("most"))
-    clipped = grams.where("part = 'candidate'").join(best, ["sample_id", "n", "gram"], "left")
-    sums = clipped.groupBy("n").agg(F.sum(F.least("count", F.coalesce("most", F.lit(0)))).alias("clipped"), F.sum("count").alias("total"))
+    sums = gram_table(tokens).groupBy("n").agg(F.sum(F.least("c", "most")).alias("clipped"), F.sum("c").alias("total"))
     lengths = tokens.withColumn("length", F.size("tokens"))
     candidate = lengths.where("part = 'candidate'").select("sample_id", F.col("length").alias("c"))
     pairs = candidate.join(lengths.where("part = 'reference'").select("sample_id", F.col("length").alias("r")), "sample_id", "left")
@@ -103,21 +113,20 @@ def cider_d(captions: DataFrame, sigma: float = 6.0) -> DataFrame:
     """
     tokens = tokenized(captions)
     samples = tokens.where("part = 'candidate'").select("sample_id")
-    grams = caption_grams(tokens.join(samples, "sample_id", "left_semi"))
-    df = grams.where("part = 'reference'").select("sample_id", "n", "gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
+    grams = gram_table(tokens.join(samples, "sample_id", "left_semi"))
+    df = grams.where("most > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
     total = samples.agg(F.count("*").alias("samples"))
-    weighted = grams.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total))  # one row
-    weighted = weighted.withColumn("w", F.col("count") * (F.ln("samples") - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))))
-    own = ["sample_id", "part", "ref", "n"]
-    norms = weighted.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cand, ref = weighted.where("part = 'candidate'"), weighted.where("part = 'reference'")
-    dots = cand.select("sample_id", "n", "gram", F.col("w").alias("cw")).join(ref.select("sample_id", "n", "gram", "ref", F.col("w").alias("rw")), ["sample_id", "n", "gram"])
-    dots = dots.groupBy("sample_id", "ref", "n").agg(F.sum(F.least("cw", "rw") * F.col("rw")).alias("dot"))
+    idf = F.ln("samples") - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))
+    weighted = grams.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total)).withColumn("idf", idf)  # one row
+    # A row of its own, without reference, carries the candidate's own norm.
+    own = F.array(F.struct(F.lit(None).cast(tokens.schema["ref"].dataType).alias("ref"), F.lit(0).cast("long").alias("count")))
+    spread = weighted.select("sample_id", "n", (F.col("c") * F.col("idf")).alias("cw"), "idf", F.explode(F.concat(own, "refs")).alias("r"))
+    rw = F.col("r.count") * F.col("idf")
+    sums = spread.groupBy("sample_id", "n", F.col("r.ref").alias("ref")).agg(F.sum(F.when(F.col("cw") > 0, F.least(F.col("cw"), rw) * rw).otherwise(0.0)).alias("dot"), F.sqrt(F.sum(rw * rw)).alias("rn"), F.sqrt(F.sum(F.col("cw") * F.col("cw"))).alias("norm"))
+    sums = sums.withColumn("cn", F.max(F.when(F.col("ref").isNull(), F.col("norm"))).over(Window.partitionBy("sample_id", "n"))).where("ref IS NOT NULL")
     lengths = tokens.withColumn("length", F.size("tokens"))
     pair = lengths.where("part = 'reference'").select("sample_id", "ref", F.col("length").alias("rl")).join(lengths.where("part = 'candidate'").select("sample_id", F.col("length").alias("cl")), "sample_id")
-    cn = norms.where("part = 'candidate'").select("sample_id", "n", F.col("norm").alias("cn"))
-    rn = norms.where("part = 'reference'").select("sample_id", "ref", "n", F.col("norm").alias("rn"))
-    value = dots.join(cn, ["sample_id", "n"]).join(rn, ["sample_id", "ref", "n"]).join(pair, ["sample_id", "ref"])
+    value = sums.join(pair, ["sample_id", "ref"])
     scaled = F.when((F.col("cn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("cn") * F.col("rn"))).otherwise(F.col("dot"))
     penalty = F.exp(-((F.col("cl") - F.col("rl")) * (F.col("cl") - F.col("rl"))) / (2 * sigma**2))
     refs = pair.groupBy("sample_id").agg(F.count("*").alias("refs"))
