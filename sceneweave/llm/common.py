@@ -38,13 +38,18 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """Apply ``work`` to each Arrow batch; None gives no rows."""
+def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
+    """Apply ``work`` to each Arrow batch, ``rows`` rows at a time; None gives no rows.
+
+    Spark bounds a batch by bytes as well as by rows, so a slice of it is small
+    whatever the length of its texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := work(batch.slice(at, rows))) is not None:
+                    yield out
 
     return frame.mapInArrow(run, schema)
 

@@ -92,7 +92,7 @@ def repeated_hashes(marks: DataFrame) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
 
-    hashes = map_batches(marks.select("hash"), emit, "hash long, often boolean")
+    hashes = map_batches(marks.select("hash"), emit, "hash long, often boolean", rows=1 << 20)
     return hashes.repartition("hash").mapInArrow(suspect, "hash long").distinct()
 
 

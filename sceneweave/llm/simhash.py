@@ -144,7 +144,7 @@ def fingerprint_links(fingerprints: DataFrame, budget: int = 4, unit_rows: int =
         keys = [(reorder(words, order) >> np.uint64(64 - width)).astype(np.int64) + (v << widest) for v, (order, width) in enumerate(all_views)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(words.view(np.int64), len(all_views)))], ["node", "fp"])
 
-    dealt = map_batches(fingerprints.select("fp"), deal, "node long, fp long")
+    dealt = map_batches(fingerprints.select("fp"), deal, "node long, fp long", rows=1 << 14)
     # Large nodes are cut into pieces; a unit is a pair of pieces of one node.
     large = dealt.groupBy("node").count().where(F.col("count") > unit_rows)
     large = large.select("node", F.ceil(F.col("count") / unit_rows).cast("int").alias("pieces"))
