@@ -36,13 +36,20 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    """The rows at length one, in double precision; scaled first, so that squares stay finite."""
+    m = m.astype(np.float64)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
     """Random normals, the same for a given shape on each executor."""
     return np.random.default_rng([SEED, dim, tables, bits]).standard_normal((dim, tables * bits))
 
 
 def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, unit_rows: int) -> DataFrame:
-    """What linked, of distinct vectors (node long, copies long, unit array<double>).
+    """What linked, of distinct vectors (node long, copies long, v array).
 
     Rows of kind 0: (node, copies of the vectors that it links with); of kind 1:
     links (a, b) that span the same components as all links do.
@@ -56,27 +63,26 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, u
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("unit")
+        lists = batch.column("v")
         lengths = np.diff(lists.offsets.to_numpy())
-        flat, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
+        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
         out = np.zeros((len(lists), tables), np.int64)
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
-            m = flat[offsets[rows][:, None] + np.arange(dim)]
+            m = _unit_rows(flat[offsets[rows][:, None] + np.arange(dim)])
             out[rows] = ((m @ hyperplanes(int(dim), tables, bits)) >= 0).reshape(len(rows), tables, bits) @ powers
         signs = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * tables, pa.int32()), pa.array(out.ravel().astype(np.int32)))
-        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), lists, signs, pa.array(lengths.astype(np.int32))], ["node", "copies", "unit", "signs", "dim"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), signs, pa.array(lengths.astype(np.int32))], ["node", "signs", "dim"])
 
-    signed = map_batches(vectors.select("node", "copies", "unit"), sign, "node long, copies long, unit array<double>, signs array<int>, dim int")
+    signed = cut_lineage(map_batches(vectors.select("node", "v"), sign, "node long, signs array<int>, dim int"))
     bucket = F.shiftleft(F.col("dim").cast("long"), 40) + F.shiftleft(F.col("table").cast("long"), bits) + F.col("value")
-    filed = signed.select("*", F.posexplode("signs").alias("table", "value")).withColumn("bucket", bucket)
-    sizes = signed.select("dim", F.posexplode("signs").alias("table", "value")).groupBy(bucket.alias("bucket")).count()
-    large = sizes.where(F.col("count") > unit_rows).select("bucket", F.ceil(F.col("count") / unit_rows).cast("int").alias("pieces"))
-    alone = sizes.where(F.col("count") == 1).select("bucket")
-    placed = filed.join(alone, "bucket", "left_anti").join(large, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    filed = signed.select("node", "dim", F.posexplode("signs").alias("table", "value")).select("node", "table", bucket.alias("bucket"))
+    # Placement moves ids; the vectors are moved once, to the units that need them.
+    sizes = filed.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / unit_rows).cast("int").alias("pieces"))
+    placed = filed.join(sizes, "bucket").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.select("bucket", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "table", "node", "copies", "unit", "signs")
+    placed = placed.select("bucket", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "table", "node")
+    placed = placed.join(vectors.select("node", "copies", "v"), "node").join(signed.select("node", "signs"), "node")
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, p, q, piece, at, node, copies = (table.column(k).to_numpy() for k in ("bucket", "p", "q", "piece", "table", "node", "copies"))
@@ -86,7 +92,7 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, u
             if hi - lo < 2:
                 continue
             part = table.slice(lo, hi - lo)
-            m, signs = _matrix(part, "unit"), _matrix(part, "signs")
+            m, signs = _unit_rows(_matrix(part, "v")), _matrix(part, "signs")
             own, first = piece[lo:hi], int(at[lo])
             if p[lo] == q[lo]:
                 one = two = np.arange(hi - lo)
@@ -125,27 +131,24 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     null id links with nothing either and has null component_id and kept. A
     repeated id is a vector like any other. Other columns are not read.
     """
-    chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind, arrow = ("float", pa.float32()) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else ("double", pa.float64())
+    chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
 
     def prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, units = [], []
+        keys, kept = [], []
         for vec_id, v in zip(batch.column("vec_id"), _vectors(batch, "v"), strict=True):
-            if v is None or vec_id.as_py() is None or not v.any():
-                keys.append(None)
-                units.append(None)
-                continue
-            keys.append(md5((v + 0.0).tobytes()).digest())
-            v = v / np.abs(v).max()
-            units.append(v / np.sqrt(v @ v))
-        return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "digest", "unit"])
+            links = v is not None and vec_id.as_py() is not None and v.any()
+            keys.append(md5((v + 0.0).tobytes()).digest() if links else None)
+            kept.append(v if links else None)
+        return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.float64())).cast(pa.list_(arrow))], ["vec_id", "digest", "v"])
 
-    prepared = map_batches(chosen, prepare, "vec_id long, digest binary, unit array<double>")
-    keyed = cut_lineage(prepared.select("vec_id", "digest", "unit"))
+    prepared = map_batches(chosen, prepare, f"vec_id long, digest binary, v array<{kind}>")
+    keyed = cut_lineage(prepared.select("vec_id", "digest", "v"))
     nodes = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     # One vector stands for its copies: the row of the smallest id.
     shown = keyed.where("digest IS NOT NULL").join(nodes.withColumnRenamed("node", "vec_id").withColumnRenamed("digest", "d"), "vec_id")
-    shown = shown.where("digest = d").dropDuplicates(["digest"]).select(F.col("digest"), F.col("vec_id").alias("id"), "copies", "unit")
-    shown = shown.select(F.xxhash64("digest", "id").alias("node"), "digest", "id", "copies", "unit")
+    shown = shown.where("digest = d").dropDuplicates(["digest"]).select(F.col("digest"), F.col("vec_id").alias("id"), "copies", "v")
+    shown = shown.select(F.xxhash64("digest", "id").alias("node"), "digest", "id", "copies", "v")
     shown = cut_lineage(shown)
     found = cut_lineage(cosine_links(shown, threshold, tables, bits, unit_rows))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("linked")).withColumnRenamed("a", "node")
