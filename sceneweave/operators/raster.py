@@ -117,11 +117,12 @@ def quadrant_counts(hit: Column, y: str = "y", x: str = "x", h: str = "h", w: st
     return [F.count_if(hit & top & left).alias("nw"), F.count_if(hit & top & ~left).alias("ne"), F.count_if(hit & ~top & left).alias("sw"), F.count_if(hit & ~top & ~left).alias("se")]
 
 
-def quadrant_phrase() -> Column:
+def quadrant_phrase(prefix: str = "") -> Column:
     """From nw, ne, sw, se: where a mask lies. Equal counts keep the order NW, NE, SW, SE."""
     names = [("north-west", "nw", 3), ("north-east", "ne", 2), ("south-west", "sw", 1), ("south-east", "se", 0)]
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.col(c).alias("n"), F.lit(k).alias("k"), F.lit(name).alias("name")) for name, c, k in names])))
-    total = F.col("nw") + F.col("ne") + F.col("sw") + F.col("se")
+    counts = [F.col(prefix + c) for _, c, _ in names]
+    ranked = F.reverse(F.array_sort(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("k"), F.lit(name).alias("name")) for n, (name, _, k) in zip(counts, names, strict=True)])))
+    total = counts[0] + counts[1] + counts[2] + counts[3]
     first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     return (
         F.when(total == 0, "nowhere")
@@ -152,42 +153,26 @@ def optical_indices(pixels: DataFrame, water_threshold: float = 0.0, builtup_thr
     wide = wide.withColumn("built", F.when(F.col("v_swir").isNotNull(), F.col("built")))
     q = lambda hit, p: [c.alias(f"{p}_{n}") for c, n in zip(quadrant_counts(hit), ("nw", "ne", "sw", "se"), strict=True)]
     sums = wide.groupBy("scene_id").agg(F.avg(F.col("water").cast("int")).alias("wf"), F.avg(F.col("built").cast("int")).alias("bf"), *q(F.col("water"), "water"), *q(F.coalesce("built", F.lit(False)), "built"))
-    place = lambda p: F.transform(F.array(F.struct(*[F.col(f"{p}_{n}").alias(n) for n in ("nw", "ne", "sw", "se")])), phrase_of)
     out = counts.join(sums, "scene_id", "left")
     applicable = F.col("nir").isNotNull()
     return out.select(
         "scene_id",
         applicable.alias("applicable"),
         F.bround("wf", 4).alias("water_fraction"),
-        F.when(applicable, F.get(place("water"), F.lit(0))).alias("water_location"),
+        F.when(applicable, quadrant_phrase("water_")).alias("water_location"),
         F.bround("bf", 4).alias("builtup_fraction"),
-        F.when(F.col("bf").isNotNull(), F.get(place("built"), F.lit(0))).alias("builtup_location"),
+        F.when(F.col("bf").isNotNull(), quadrant_phrase("built_")).alias("builtup_location"),
         F.when(~applicable, F.concat(F.col("n").cast("string"), F.lit("-band input has no near-infrared band; NDWI and NDBI need one"))).alias("reason"),
     )
 
 
-def phrase_of(s: Column) -> Column:
-    """quadrant_phrase over a struct's fields."""
-    names = [("north-west", "nw", 3), ("north-east", "ne", 2), ("south-west", "sw", 1), ("south-east", "se", 0)]
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(s[c].alias("n"), F.lit(k).alias("k"), F.lit(name).alias("name")) for name, c, k in names])))
-    total = s["nw"] + s["ne"] + s["sw"] + s["se"]
-    first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    return (
-        F.when(total == 0, "nowhere")
-        .when(first["n"] / total < 0.35, "spread across the scene")
-        .when(second["n"] / total > 0.28, F.concat(F.lit("mainly "), first["name"], F.lit(" and "), second["name"]))
-        .otherwise(F.concat(F.lit("mainly "), first["name"]))
-    )
-
-
 def sar_indices(gray: DataFrame, percentile: float | Column = 95.0) -> DataFrame:
     """(scene_id, threshold, water_fraction, water_location, builtup_fraction, builtup_location) of grey radar pixels."""
     cuts = otsu(gray).join(gray.groupBy("scene_id").agg(F.percentile("gray", F.lit(percentile) / 100.0).alias("bright")), "scene_id").join(sizes(gray), "scene_id")
     marked = gray.join(cuts, "scene_id").withColumn("water", F.col("gray") < F.col("cut")).withColumn("built", F.col("gray") > F.col("bright"))
     q = lambda hit, p: [c.alias(f"{p}_{n}") for c, n in zip(quadrant_counts(hit), ("nw", "ne", "sw", "se"), strict=True)]
     sums = marked.groupBy("scene_id").agg(F.max("cut").alias("cut"), F.avg(F.col("water").cast("int")).alias("wf"), F.avg(F.col("built").cast("int")).alias("bf"), *q(F.col("water"), "water"), *q(F.col("built"), "built"))
-    place = lambda p: F.get(F.transform(F.array(F.struct(*[F.col(f"{p}_{n}").alias(n) for n in ("nw", "ne", "sw", "se")])), phrase_of), F.lit(0))
-    return sums.select("scene_id", F.bround("cut", 4).alias("threshold"), F.bround("wf", 4).alias("water_fraction"), place("water").alias("water_location"), F.bround("bf", 4).alias("builtup_fraction"), place("built").alias("builtup_location"))
+    return sums.select("scene_id", F.bround("cut", 4).alias("threshold"), F.bround("wf", 4).alias("water_fraction"), quadrant_phrase("water_").alias("water_location"), F.bround("bf", 4).alias("builtup_fraction"), quadrant_phrase("built_").alias("builtup_location"))
 
 
 def paired(before: DataFrame, after: DataFrame) -> DataFrame:
