@@ -19,6 +19,11 @@ from sceneweave.llm.common import checkpoint_folder, read_table
 from sceneweave.llm.queries import tokenizer_file
 
 
+#: Words in a shingle, and bits in which near-duplicates differ at most: nine of ten bits agree.
+#: A wider budget would find more copies, but would begin to join unrelated documents of a large corpus.
+SHINGLE, BUDGET = 5, 6
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents without a language (null, or no letter) and keeps the rest as they are."""
     network = language.train(docs.where(~language.held_out()))
@@ -32,7 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, shingle=SHINGLE, budget=BUDGET)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

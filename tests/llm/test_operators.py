@@ -84,17 +84,17 @@ def test_simhash_agrees_with_spark_hash(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c d", 42)
 
 
-@pytest.mark.parametrize("unit_rows", [512, 4])
-def test_trie_join_finds_all_links(spark, unit_rows):
+@pytest.mark.parametrize("unit_rows,budget", [(512, 4), (4, 4), (512, 6), (4, 0)])
+def test_trie_join_finds_all_links(spark, unit_rows, budget):
     rng = np.random.default_rng(5)
     words = [int(x) for x in rng.integers(0, 2**63, 150, dtype=np.uint64)]
     for w in words[:60]:
-        for flips in (1, 3, 4, 5):
+        for flips in (1, 3, 4, 5, 6, 7):
             words.append(w ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False)))
     words = sorted({w - 2**64 if w >= 2**63 else w for w in words})
-    links = [(i, j) for i in range(len(words)) for j in range(i) if ((words[i] ^ words[j]) & (2**64 - 1)).bit_count() <= 4]
+    links = [(i, j) for i in range(len(words)) for j in range(i) if ((words[i] ^ words[j]) & (2**64 - 1)).bit_count() <= budget]
     roots = roots_of(len(words), links)
-    got = connected_components(simhash.fingerprint_links(spark.createDataFrame([(w,) for w in words], "fp long"), 4, unit_rows)).collect()
+    got = connected_components(simhash.fingerprint_links(spark.createDataFrame([(w,) for w in words], "fp long"), budget, unit_rows)).collect()
     assert {(g.node, g.root) for g in got} == {(words[i], words[r]) for i, r in enumerate(roots) if r != i}
 
 

@@ -34,7 +34,7 @@ def test_stages_match_brute_force(spark, tmp_path):
             want = {i: b"\n".join(x for x in t.encode().split(b"\n") if gone.get(lines.line_key(x), i) == i).decode() for i, t in want.items()}
         elif k == 2:
             ids = sorted(want)
-            prints = np.array([simhash.fingerprint(want[i], 4) for i in ids], np.uint64)
+            prints = np.array([simhash.fingerprint(want[i], corpus_pipeline.SHINGLE) for i in ids], np.uint64)
             left = {}
             roots = list(range(len(ids)))
 
@@ -43,7 +43,7 @@ def test_stages_match_brute_force(spark, tmp_path):
                     i = roots[i]
                 return i
 
-            for a, b in zip(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4), strict=True):
+            for a, b in zip(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= corpus_pipeline.BUDGET), strict=True):
                 x, y = find(int(a)), find(int(b))
                 roots[max(x, y)] = min(x, y)
             for n, i in enumerate(ids):
