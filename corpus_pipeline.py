@@ -14,14 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneweave.llm import language, lines, packing, secrets, simhash
+from sceneweave.llm import jaccard, language, lines, packing, secrets
 from sceneweave.llm.common import checkpoint_folder, read_table
 from sceneweave.llm.queries import tokenizer_file
 
 
-#: Words in a shingle, and bits in which near-duplicates differ at most: nine of ten bits agree.
-#: A wider budget would find more copies, but would begin to join unrelated documents of a large corpus.
-SHINGLE, BUDGET = 5, 6
+#: Words in a shingle, bits in which fingerprints differ that the trie join proposes, and the least Jaccard similarity of near-duplicates.
+SHINGLE, BUDGET, SIMILARITY = 5, 6, 0.8
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, shingle=SHINGLE, budget=BUDGET)
+    return jaccard.keep_one(docs, shingle=SHINGLE, budget=BUDGET, similarity=SIMILARITY)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

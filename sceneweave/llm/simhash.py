@@ -39,23 +39,33 @@ FRONTIER = 100_000
 LEAF_PAIRS = 32
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit SimHash of one text; 0 if it has no words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle in order; a shorter text is one shingle, and one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < shingle:
         hashes = [digest(join(words), SEED)]
     else:
         hashes = [digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a text's shingles; 0 if there are none."""
     bits = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype=">u8")
+    values = hashes.astype(">u8")
     for at in range(0, len(values), 8192):
         bits += np.unpackbits(values[at : at + 8192].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > len(values)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The 64-bit SimHash of one text; 0 if it has no words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -201,7 +211,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows that share an id are one document. Rows with a null id cannot be told apart and stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, budget)
+    return keep_named(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col)
+
+
+def keep_named(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``groups`` (doc_id, component_id), and those with a null id."""
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return named.union(docs.where(F.col(id_col).isNull()))
