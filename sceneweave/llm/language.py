@@ -116,21 +116,22 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, most_languages: int = 200, windows_per_doc: int = 3) -> Network | None:
+def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = 600, most_rows: int = 120_000, least_rows: int = 20, windows_per_doc: int = 3) -> Network | None:
     """Fit a network on about ``per_language`` rows of each label; null labels and texts without letters are left out.
 
-    The bound: the ``most_languages`` most frequent labels are learned; rows are
-    chosen by a hash of their id and text, with a threshold from the label's
-    count, and cut into windows on the executors; the driver gets at most
-    ``windows_per_doc`` windows of a chosen row. None if there is nothing to learn.
+    Every label is learned. The bound: about ``most_rows`` rows in all, which many
+    labels share, but ``least_rows`` of each; rows are chosen by a hash of their
+    id and text, with a threshold from the label's count, and cut into windows on
+    the executors; the driver gets at most ``windows_per_doc`` windows of a chosen
+    row. None if there is nothing to learn.
     """
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
-    chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share * 1_000_000)
+    each = max(least_rows, min(per_language, most_rows // len(counts)))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, out = [], []
@@ -146,8 +147,9 @@ def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text",
     if not found:
         return None
     languages = sorted({lang for lang, _ in found})
+    places = {lang: i for i, lang in enumerate(languages)}
     windows = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW)
-    return fit(windows, np.array([languages.index(lang) for lang, _ in found]), languages)
+    return fit(windows, np.array([places[lang] for lang, _ in found]), languages)
 
 
 _tables: dict[bytes, list[list[np.ndarray]]] = {}
