@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and the entropy of sliding windows.
 
-Strings of token characters are examined by character class. Within a string a
-window slides over the characters; its Shannon entropy follows from counts that
-each step changes by one character in and one out. Windows over the class's
-threshold make a span, unless an allow-list rule explains the string.
+Strings of token characters are cut into runs of one character class: hex digits,
+letters and digits, and the string itself. Within a run a window slides over the
+characters; its Shannon entropy follows from counts that each step changes by
+one character in and one out. A window over the class's threshold makes the
+whole run a span, unless an allow-list rule explains the run.
 """
 
 from __future__ import annotations
@@ -25,19 +26,44 @@ ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "entropy")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A candidate has a digit within a run of token characters.
+#: A candidate is a maximal string of token characters; the runs in it are examined, too.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUNS = (re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 WINDOW = 20
 #: Class, its characters, and the entropy in bits from which a window counts.
 CLASSES = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0), ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.6), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8))
+HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{9}", re.IGNORECASE)
+
+
+def word_like(letters: str) -> bool:
+    """Short, or words run together: parts of two letters at least and of 3.5 on average, with vowels and no nine consonants in a row."""
+    if len(letters) < 8:
+        return True
+    vowels = sum(c in "aeiouyAEIOUY" for c in letters)
+    humps = HUMP.findall(letters)
+    return len(letters) >= 3.5 * len(humps) and min(map(len, humps)) > 1 and 7 * vowels >= len(letters) and not CONSONANTS.search(letters)
+
+
+class Words:
+    """A rule whose letters have to look like words."""
+
+    def __init__(self, pattern: str):
+        self.pattern = re.compile(pattern)
+
+    def fullmatch(self, value: str) -> bool:
+        return bool(self.pattern.fullmatch(value)) and all(word_like(x) for x in re.findall("[A-Za-z]+", value))
+
+
 #: Strings that are long and varied, but no secrets.
 ALLOWED = (
-    ("letters only, or digits only", re.compile(r"[A-Za-z+/_=-]+|[0-9+/_=-]+")),
+    ("words only", Words(r"[A-Za-z+/_=-]+")),
+    ("digits only", re.compile(r"[0-9+/_=-]+")),
     ("unique identifier", re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")),
-    ("words and numbers joined by marks", re.compile(r"(?:[A-Za-z]*[a-z]{2,}|[A-Z]{1,8}|[0-9]{1,8})(?:[+/_=-]+(?:[A-Za-z]*[a-z]{2,}|[A-Z]{1,8}|[0-9]{1,8}))+")),
-    ("word with a number behind", re.compile(r"[A-Za-z]+[0-9]{1,4}")),
+    ("words and numbers joined by marks", Words(r"(?:[A-Za-z]++(?<=[a-z]{2})|[A-Z]{1,8}|[0-9]{1,8})(?:[+/_=-]+(?:[A-Za-z]++(?<=[a-z]{2})|[A-Z]{1,8}|[0-9]{1,8}))+")),
+    ("word with a number behind", Words(r"[A-Za-z]+[0-9]{1,4}")),
 )
-TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]
 
 
 def entropy_spans(candidate: str) -> list[tuple[int, int]]:
@@ -67,6 +93,16 @@ def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     return spans
 
 
+def secret_runs(candidate: str) -> list[tuple[int, int]]:
+    """The runs within a candidate that hold a window over their threshold, whole; none lies within another."""
+    runs = {(0, len(candidate)), *(m.span() for run in RUNS for m in run.finditer(candidate))}
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs, key=lambda r: (r[0], -r[1])):
+        if (not out or b > out[-1][1]) and entropy_spans(candidate[a:b]):
+            out.append((a, b))
+    return out
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; places in code points, end exclusive."""
     if not text:
@@ -80,7 +116,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        for a, b in entropy_spans(m[0]):
+        for a, b in secret_runs(m[0]):
             start, end = m.start() + a, m.start() + b
             if not any(s <= start and end <= e for _, s, e in base):
                 found.append(("entropy", start, end))
