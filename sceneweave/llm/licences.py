@@ -12,7 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
+
+def _not_beginning(words: list[str], also: str = "") -> str:
+    """A pattern, without lookahead, of the start of what begins with none of ``words``; a line's end counts as any character."""
+    heads = sorted({w[0] for w in words})
+    more = [h + _not_beginning(rest) for h in heads if all(rest := [w[1:] for w in words if w[0] == h])]
+    return "(" + "|".join([f"[^{''.join(heads)}{also}\\n]", *more]) + ")"
+
+
+#: What follows "copyright" at the start of a wrapped line of a licence, unlike a name.
+NOT_NAMES = ["notice", "holder", "owner", "license", "licence", "statement", "disclaimer", "interest", "infring", "protect", "laws", "law ", "and ", "or ", "in ", "is ", "of ", "for ", "on ", "to ", "act "]
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9])|copyright[ \t]+" + _not_beginning(NOT_NAMES, r" \t") + r"|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 OTHER_CHARACTERS = r"[^\p{L}\p{N}\n]+"
 
 # Spellings that count as the same word.
@@ -80,7 +90,11 @@ NOTICES = {
     "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0",
     UNLICENSE_START: "Unlicense",
 }
-
+for _part, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    NOTICES |= dict.fromkeys([f"Licensed under CC {_part} 4.0.", f"This work is licensed under CC {_part} 4.0.", f"This work is licensed under a Creative Commons {_words} 4.0 International License.", f"SPDX-License-Identifier: CC-{_part}-4.0"], f"CC-{_part}-4.0")
+# Title lines that stand above the full texts.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'], "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License']}
+NOTICES |= {f"{_title}\n{TEXTS[_id]}": _id for _id, _titles in TITLES.items() for _title in _titles}
 
 
 def canonical_lines(text: Column) -> Column:
