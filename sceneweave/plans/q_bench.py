@@ -14,13 +14,20 @@ from sceneweave.sources import adapters, tables  # noqa: F401  adapters register
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEED = 1234
+#: Records in one made document, about.
+MOST_RECORDS = 10_000
+
+
+def _in_parts(frame, column):
+    """``frame`` with a part for each row, as many as its rows need for documents of bounded size."""
+    return frame.withColumn("part", F.pmod(F.xxhash64(column), F.lit(max(1, -(-frame.count() // MOST_RECORDS)))))
 
 
 def _json_folder(spark, frame, kind):
     """Benchmark files made from a table: one document with a list under a known key, or with objects by id."""
     folder = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
     record = F.struct(F.col("question_id").alias("id"), F.col("img_id").alias("image"), F.col("qtype").alias("type"), "active")
-    part = frame.withColumn("part", F.col("question_id") % 16)
+    part = _in_parts(frame, "question_id")
     if kind == "list":
         docs = part.groupBy("part").agg(F.to_json(F.struct(F.collect_list(record).alias("questions"))).alias("value"))
     else:
@@ -128,9 +135,10 @@ def h1_union_samples(spark, sf):
 def l3_load_samples(spark, sf):
     """Question and answer files made from tables, read by a registered adapter."""
     root = f"{shared_folder(spark)}/rsvqa-{uuid.uuid4().hex}"
-    q = view(spark, sf, "questions").withColumn("part", F.col("img_id") % 8)
+    q = _in_parts(view(spark, sf, "questions"), "question_id")
     q.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("question_id").alias("id"), "img_id", F.concat(F.lit("q"), "question_id").alias("question"), F.col("qtype").alias("type"), "active")).alias("questions"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/q")
-    a = view(spark, sf, "answers").groupBy("question_id").agg(F.min_by("answer", F.when(F.coalesce("active", F.lit(True)), F.col("pos"))).alias("answer")).where("answer IS NOT NULL").withColumn("part", F.col("question_id") % 8)
+    a = view(spark, sf, "answers").groupBy("question_id").agg(F.min_by("answer", F.when(F.coalesce("active", F.lit(True)), F.col("pos"))).alias("answer")).where("answer IS NOT NULL")
+    a = _in_parts(a, "question_id")
     a.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("question_id", "answer")).alias("answers"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/a")
     s = bench.load_samples(spark, {"adapter": "rsvqa", "name": "lr", "questions": f"{root}/q", "answers": f"{root}/a", "root": "img", "suffix": ".tif"})
     return s.select("sample_id", "task", F.col("images")[0]["path"].alias("path"), "answer", "qtype")
