@@ -6,6 +6,7 @@ cluster's shared folder, and graph components are found by joins.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -21,11 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a temporary one only in local mode, where none is set, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     folder = folder or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^]]*])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -38,6 +41,21 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in column ``size`` how many of ``rows`` hold it.
+
+    A key with more than one in ``parts`` of all ``total`` rows is joined by
+    broadcast, where its rows are: there are fewer than ``parts`` such keys,
+    whatever the data. The other keys are shuffled. Both inputs are read twice,
+    so they should be cheap to read. ``how`` is inner or left.
+    """
+    is_hot = F.col(size) > total / parts
+    hot, cold = table.where(is_hot), table.where(~is_hot)
+    placed = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return placed.unionByName(others).drop(size)
+
+
 def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
     """Apply ``work`` to each Arrow batch, ``rows`` rows at a time; None gives no rows.
 
@@ -109,7 +127,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps: in each, nodes are
     re-attached to the smallest neighbour, until the edges stay as they are.
     Each round is written to the checkpoint folder. The driver sees one count
-    and one hash sum a round.
+    and one hash sum a round. The centre of a large star is a hot key of the
+    large-star step; its neighbours are joined where they are. In the small-star
+    step a node only has the different minima of the stars that it was in.
     """
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -119,8 +139,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
         both = edges.union(edges.select("b", "a"))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_skewed(both, lowest, ["a"], "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut_lineage(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())

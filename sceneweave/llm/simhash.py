@@ -4,9 +4,9 @@ A document's fingerprint has bit i set if over half of its word shingles' XXH64
 values have it set. Fingerprints link when at most ``budget`` of 64 bits differ,
 and linked fingerprints form components.
 
-The trie join. Two trie nodes of the same depth are visited together, their
-differing bits are added up, and a pair is dropped as soon as the sum passes
-the budget. To deal the trie out over tasks, its bits are taken in several
+The trie join. Two trie nodes are visited together, their differing bits are
+added up, and a pair is dropped as soon as the sum passes the budget. Chains of
+nodes with one child are one step. To deal the trie out over tasks, its bits are taken in several
 orders ("views"): the 64 bits form ``budget + 2`` blocks, and each view puts two
 of the blocks on top. Two fingerprints with at most ``budget`` differing bits
 agree in two whole blocks, so in some view they share the node below those
@@ -21,6 +21,8 @@ leaf. A unit returns a spanning forest of its links instead of all its pairs.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,26 +32,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import connected_components, cut_lineage, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
 
 SEED = 42
 #: Node pairs that are visited at once.
 FRONTIER = 100_000
-#: Pairs of subtrees with so few leaf pairs are compared leaf by leaf.
-LEAF_PAIRS = 32
+#: Bytes of a text that are split into words at once.
+SLICE = 1 << 20
+SPACE = re.compile(rb"[ \t-\r]")
+FULL = np.uint64(2**64 - 1)
+
+
+def word_blocks(text: str | None, shingle: int) -> Iterator[list[bytes]]:
+    """The text's words in blocks, in each of which shingles begin that no other block has: ``shingle - 1`` words lie in two.
+
+    Words are split off a slice of the text at a time, so that a very long text
+    is never a list of all its words.
+    """
+    data, held, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+    while at < len(data):
+        cut = len(data)
+        if at + SLICE < cut and (space := SPACE.search(data, at + SLICE)):
+            cut = space.start()
+        words = held + data[at:cut].lower().split()
+        at = cut
+        if at < len(data) and len(words) < shingle:
+            held = words
+            continue
+        yield words
+        held = words[len(words) - shingle + 1 :] if shingle > 1 else []
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """The hash of each word shingle in order; a shorter text is one shingle, and one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < shingle:
-        hashes = [digest(join(words), SEED)]
-    else:
-        hashes = [digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    return np.array(hashes, dtype=np.uint64)
+    digest, join, found = xxhash.xxh64_intdigest, b" ".join, []
+    for words in word_blocks(text, shingle):
+        if len(words) >= shingle:
+            some = [digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
+            found.append(np.array(some, dtype=np.uint64))
+        elif words and not found:
+            return np.array([digest(join(words), SEED)], dtype=np.uint64)
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -99,49 +122,66 @@ def reorder(words: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def trie_pairs(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, lo2: np.ndarray | None = None, hi2: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of words that differ in at most ``budget`` bits, within each range [lo, hi) or between [lo, hi) and [lo2, hi2).
+def branch_levels(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The level at which each node [lo, hi) of sorted words has two children; 64 for one word."""
+    differ = words[lo] ^ words[hi - 1]
+    for shift in (1, 2, 4, 8, 16, 32):
+        differ = differ | differ >> np.uint64(shift)
+    return 64 - np.bitwise_count(differ).astype(np.int64)
 
-    Words are sorted within each range. A node is a range of words and a level.
-    """
-    counts: dict[int, np.ndarray] = {}
 
-    def ones(level: int) -> np.ndarray:
-        if level not in counts:
-            bit = (words >> np.uint64(63 - level)) & np.uint64(1)
-            counts[level] = np.concatenate(([0], np.cumsum(bit.astype(np.int64))))
-        return counts[level]
+def upper_children(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Where the words with bit ``level`` set begin in each node [lo, hi), by bisection."""
+    lo, hi, bit = lo.copy(), hi.copy(), np.uint64(1) << (63 - level).astype(np.uint64)
+    while (open_ := lo < hi).any():
+        middle = (lo + hi) // 2
+        ones = words[np.minimum(middle, len(words) - 1)] & bit != 0
+        hi = np.where(open_ & ones, middle, hi)
+        lo = np.where(open_ & ~ones, middle + 1, lo)
+    return lo
 
+
+def trie_pairs(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, lo2: np.ndarray | None = None, hi2: np.ndarray | None = None, visits: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of words that differ in at most ``budget`` bits, within each range [lo, hi) or between [lo, hi) and [lo2, hi2).
+
+    Words are sorted within each range, and no word is in both ranges of a
+    pair. A node is a range of words that share their bits above its branching
+    level. A visit of a node pair adds the bits in which the two differ above
+    the first branching level of either, and drops the pair if the sum passes
+    the budget; the rest go on to the children, or are two leaves. ``visits``
+    counts pairs visited, pruned and found.
+    """
     lo, hi = np.asarray(lo, np.int64), np.asarray(hi, np.int64)
     lo2, hi2 = (lo, hi) if lo2 is None else (np.asarray(lo2, np.int64), np.asarray(hi2, np.int64))
-    stack = [(0, lo, hi, lo2, hi2, np.zeros(len(lo), np.int64))]
+    full = (hi > lo) & (hi2 > lo2) & ~((lo == lo2) & (hi - lo == 1))
+    stack = [tuple(x[full] for x in (lo, hi, lo2, hi2)) + (np.zeros(full.sum(), np.int64), np.zeros(full.sum(), np.int64))]
     while stack:
-        level, a0, a1, b0, b1, differ = stack.pop()
+        a0, a1, b0, b1, level, differ = stack.pop()
+        if not len(a0):
+            continue
         if len(a0) > FRONTIER:
             half = len(a0) // 2
-            stack += [(level, *(x[half:] for x in (a0, a1, b0, b1, differ))), (level, *(x[:half] for x in (a0, a1, b0, b1, differ)))]
-            continue
-        small = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
-        if small.any():
-            x0, y0, wide = a0[small], b0[small], (b1 - b0)[small]
-            total = (a1 - a0)[small] * wide
-            at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-            i = np.repeat(x0, total) + at // np.repeat(wide, total)
-            j = np.repeat(y0, total) + at % np.repeat(wide, total)
-            near = (np.bitwise_count(words[i] ^ words[j]) <= budget) & ((i < j) | np.repeat(x0 != y0, total))
-            if near.any():
-                yield i[near], j[near]
-            a0, a1, b0, b1, differ = (x[~small] for x in (a0, a1, b0, b1, differ))
-        if not len(a0) or level > 63:
+            stack += [tuple(x[half:] for x in (a0, a1, b0, b1, level, differ)), tuple(x[:half] for x in (a0, a1, b0, b1, level, differ))]
             continue
-        c = ones(level)
-        am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
-        two = a0 != b0  # a node with itself has one mixed pair of children, not two
-        children = [(a0, am, b0, bm, differ), (am, a1, bm, b1, differ), (a0, am, bm, b1, differ + 1), (am[two], a1[two], b0[two], bm[two], differ[two] + 1)]
-        a0, a1, b0, b1, differ = (np.concatenate(x) for x in zip(*children, strict=True))
-        keep = (a1 > a0) & (b1 > b0) & (differ <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
-        if keep.any():
-            stack.append((level + 1, *(x[keep] for x in (a0, a1, b0, b1, differ))))
+        branch_a, branch_b = branch_levels(words, a0, a1), branch_levels(words, b0, b1)
+        to = np.minimum(branch_a, branch_b)
+        # The bits from level up to but not including ``to``, which each of the two nodes has in common.
+        above = np.where(level == 0, FULL, (np.uint64(1) << (64 - np.maximum(level, 1)).astype(np.uint64)) - np.uint64(1))
+        below = np.where(to == 64, np.uint64(0), FULL >> np.minimum(to, 63).astype(np.uint64))
+        differ = differ + np.bitwise_count((words[a0] ^ words[b0]) & above & ~below)
+        keep, leaves = differ <= budget, to == 64
+        if visits is not None:
+            visits.update(visited=len(a0), pruned=int((~keep).sum()), found=int((keep & leaves).sum()))
+        if (keep & leaves).any():
+            yield a0[keep & leaves], b0[keep & leaves]
+        a0, a1, b0, b1, differ, to, branch_a, branch_b = (x[keep & ~leaves] for x in (a0, a1, b0, b1, differ, to, branch_a, branch_b))
+        middle_a = np.where(branch_a == to, upper_children(words, a0, np.where(branch_a == to, a1, a0), to), a1)
+        middle_b = np.where(branch_b == to, upper_children(words, b0, np.where(branch_b == to, b1, b0), to), b1)
+        alone = a0 == b0  # a node with itself has one mixed pair of children, not two
+        children = [(a0, middle_a, b0, middle_b, to, differ), (middle_a, a1, middle_b, b1, to, differ), (a0, middle_a, middle_b, b1, to, differ), tuple(x[~alone] for x in (middle_a, a1, b0, middle_b, to, differ))]
+        a0, a1, b0, b1, to, differ = (np.concatenate(x) for x in zip(*children, strict=True))
+        some = (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 == 1))
+        stack.append(tuple(x[some] for x in (a0, a1, b0, b1, to, differ)))
 
 
 def fingerprint_links(fingerprints: DataFrame, budget: int = 4, unit_rows: int = 512) -> DataFrame:

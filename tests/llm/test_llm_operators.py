@@ -338,3 +338,26 @@ def test_empty_tables(spark, documents):
     assert bpe.digests(bpe.decode_documents(bpe.encode_documents(none, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)).count() == 0
     v = empty(vector_table(spark))
     assert vectors.near_duplicate_vectors(v).count() == 0 and vectors.top_k(v, v).count() == 0
+
+
+def test_every_link_comes_from_a_visit_of_the_trie():
+    """Two leaves meet only after their nodes did; far pairs are pruned, and no pair is compared beside the visits."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    words = np.unique(np.concatenate([base, base ^ np.uint64(0b10100)]))
+    visits = Counter()
+    found = sum(len(i) for i, _ in simhash.trie_pairs(words, np.array([0]), np.array([len(words)]), 4, visits=visits))
+    assert visits["found"] == found == sum(1 for i in range(len(words)) for j in range(i) if (int(words[i]) ^ int(words[j])).bit_count() <= 4)
+    assert visits["pruned"] > len(words) and visits["visited"] < len(words) ** 2 / 2
+    few = Counter()
+    assert [x.tolist() for x in next(simhash.trie_pairs(np.array([1, 3], np.uint64), np.array([0]), np.array([2]), 4, visits=few))] == [[0], [1]]
+    assert few["visited"] == 2
+
+
+def test_long_texts_are_split_a_slice_at_a_time(monkeypatch):
+    text = " ".join(f"W{i}" for i in range(500)) + "  "
+    whole = {k: simhash.shingle_hashes(text, k).tolist() for k in (1, 4, 600)}
+    for size in (1, 5, 64):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert {k: simhash.shingle_hashes(text, k).tolist() for k in whole} == whole
+        assert max(map(len, simhash.word_blocks(text, 4))) < 4 + size
