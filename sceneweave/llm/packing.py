@@ -3,8 +3,9 @@
 A document's n ids are cut into pieces whose lengths are powers of two, of at
 most ``longest``: as many whole sequences as fit, then the binary digits of the
 rest from high to low. Each piece is a sequence by itself, so that no sequence
-crosses documents and none is padded; pieces of equal length form a bucket from
-which batches are drawn.
+crosses documents and none is padded. Pieces of equal length are brought
+together in buckets, and a batch takes the pieces that stand next to each other
+in one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,14 +37,14 @@ class WordTokenizer:
     """A tokenizer whose splits never cross white space, applied word by word with a memory of words.
 
     Words of letters, with or without a mark behind, are merged by tiktoken over
-    the same vocabulary; the tokenizer itself encodes the rest.
+    the same vocabulary; the tokenizer itself encodes the rest, among them words
+    with a special token's string inside, which it reads as that token.
     """
 
     made: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
         self.merges, self.ids = self._ranks()
 
     @classmethod
@@ -121,18 +122,29 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, and ids if ``with_ids``.
+#: Bytes of text for each share of a bucket: its pieces fit a task, and a bucket of most of the corpus is many tasks.
+SHARE_BYTES = 64 << 20
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, batch_ids: int = 65_536) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id, and ids if ``with_ids``.
 
     Every document ends with ``end_id``; a null or blank text is that id alone.
-    A sequence_id is the row's place in its partition with the partition's
-    number above it: unique, but with gaps. Rows with equal or null doc_id are
-    packed like any other. ``longest`` must be a power of two. Other columns
-    are not read.
+    ``bucket`` is the length. Buckets are dealt out in shares, the more the
+    longer the corpus is; within a share of a bucket pieces are numbered by
+    doc_id and start. sequence_id is bucket, share and number in one long:
+    unique, with gaps between shares. A batch is up to ``batch_ids`` ids' worth
+    of consecutive pieces, all of one length.
+
+    A document's ids are in one task's memory, four bytes each, however long
+    the text is. Rows with equal or null doc_id are packed like any other.
+    ``longest`` must be a power of two. Other columns are not read.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = n_bytes // SHARE_BYTES + 1
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokenizer, pieces = WordTokenizer.of(tokenizer_path), []
@@ -147,10 +159,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*pieces, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     pieces = map_batches(rows, work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    packed = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.col("length"))
-    return packed if with_ids else packed.drop("ids")
+    pieces = pieces if with_ids else pieces.drop("ids")
+    # No column of a piece decides alone: the pieces of one long document are spread, too.
+    pieces = pieces.withColumn("bucket", F.col("length")).withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shares)))
+    number = F.row_number().over(Window.partitionBy("bucket", "share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")).cast("long") - 1
+    placed = pieces.withColumn("number", number)
+    power = F.round(F.log2("bucket")).cast("long")
+    base = F.shiftleft(power * F.lit(shares) + F.col("share"), 36)
+    # At least one piece is a batch, whatever its length.
+    per_batch = F.greatest(F.lit(1), F.floor(F.lit(batch_ids) / F.col("bucket")))
+    placed = placed.withColumn("sequence_id", base + F.col("number")).withColumn("offset", F.lit(0).cast("long")).withColumn("batch_id", (base + F.floor(F.col("number") / per_batch)).cast("long"))
+    return placed.drop("share", "number")
 
 
 def bucket_summary(packed: DataFrame) -> DataFrame:
-    """bucket, n_sequences, n_tokens: how many sequences each length has."""
-    return packed.groupBy("bucket").agg(F.count("*").alias("n_sequences"), F.sum("length").alias("n_tokens"))
+    """bucket, n_sequences, n_batches, n_tokens: what each length has."""
+    return packed.groupBy("bucket").agg(F.count("*").alias("n_sequences"), F.count_distinct("batch_id").alias("n_batches"), F.sum("length").alias("n_tokens"))

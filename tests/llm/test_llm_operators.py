@@ -285,19 +285,25 @@ def test_secret_rows_and_redaction(spark):
     assert {r.text for r in masked.collect() if r.doc_id == 1} == {"[SECRET]"} and masked.count() == len(rows)
 
 
-def test_packing_matches_the_tokenizer(documents):
+SPECIAL = ["a <|endoftext|> b", "ab<|endoftext|>cd", "<|startoftext|>", "x\n<|startoftext|><|endoftext|>\ny", "<|EndOfText|> <|endoftext|", "it's<|endoftext|>'s"]
+
+
+def test_packing_matches_the_tokenizer(spark, documents, monkeypatch):
+    """Against a tokenizer as it comes from its file, over whole texts."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    got = packing.pack(documents, path).collect()
+    untouched = Tokenizer.from_file(path)
+    assert untouched.encode(SPECIAL[0], add_special_tokens=False).ids == [320, 49407, 321]
+    docs = documents.select("doc_id", "text", "ids").union(spark.createDataFrame([(2000 + i, t, "c") for i, t in enumerate(SPECIAL)], "doc_id long, text string, ids string"))
+    monkeypatch.setattr(packing, "SHARE_BYTES", 100_000)
+    got = packing.pack(docs, path, batch_ids=4096).collect()
     by_doc = defaultdict(list)
     for g in got:
         assert g.length & (g.length - 1) == 0 and g.length <= 2048 and g.offset == 0
         by_doc[g.doc_id].append(g)
     assert len({g.sequence_id for g in got}) == len(got)
-    once = documents.where("doc_id IS NOT NULL AND doc_id <> 3").collect()
+    once = docs.where("doc_id IS NOT NULL AND doc_id <> 3").collect()
     for r in once:
-        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        ids = np.array([*untouched.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
         pieces = sorted(by_doc[r.doc_id], key=lambda g: g.start)
         assert b"".join(bytes(p.ids) for p in pieces) == ids.tobytes()
         assert [p.start for p in pieces] == np.cumsum([0] + [p.length for p in pieces])[:-1].tolist()
@@ -305,11 +311,26 @@ def test_packing_matches_the_tokenizer(documents):
     assert sum(p.length for p in by_doc[3]) == 2 * sum(packing.piece_lengths(by_doc[3][0].doc_tokens, 2048))
 
 
+def test_packed_batches_hold_one_length(spark, documents, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE_BYTES", 100_000)
+    packed = packing.pack(documents, public_tokenizers.path("word_bpe_49k.json"), batch_ids=4096, with_ids=False)
+    batches, by_sequence = defaultdict(list), {}
+    for g in packed.collect():
+        batches[g.batch_id].append(g)
+        by_sequence[g.sequence_id] = g
+    assert all(len({g.length for g in b}) == 1 and sum(g.length for g in b) <= 4096 for b in batches.values())
+    # The pieces of a batch stand next to each other.
+    assert all(max(x) - min(x) + 1 == len(x) for b in batches.values() if (x := [g.sequence_id for g in b]))
+    full = sum(sum(g.length for g in b) == 4096 for b in batches.values())
+    assert full > 5 and len(batches) < len(by_sequence) / 2
+    assert {(r.bucket, r.n_sequences) for r in packing.bucket_summary(packed).collect()} == set(Counter(g.bucket for g in by_sequence.values()).items())
+
+
 def test_words_encode_as_the_whole_text():
     path = public_tokenizers.path("word_bpe_49k.json")
-    own = packing.WordTokenizer(path)
-    for x in ["don't we'll stop\x1c!a  é́ é İstanbul ΣΑΣ 日本<|endoftext|>x 12 3", "...!? -- a.b,c|d", "Å Ångström ﬁ", "ﾊﾝ ½ ²x", "a b c\x85d"]:
-        assert np.frombuffer(own.encode(x), "<u4").tolist() == own.tokenizer.encode(x, add_special_tokens=False).ids, x
+    own, untouched = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    for x in ["don't we'll stop\x1c!a  é́ é İstanbul ΣΑΣ 日本<|endoftext|>x 12 3", "...!? -- a.b,c|d", "Å Ångström ﬁ", "ﾊﾝ ½ ²x", "a b c\x85d", *SPECIAL]:
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == untouched.encode(x, add_special_tokens=False).ids, x
 
 
 def test_rollup_counts_each_batch_once(spark, tmp_path):
