@@ -6,12 +6,16 @@ be out of step with the split of the whole text at first, but both fall into
 step soon: from a boundary that both have, they go on alike, as the pattern
 looks only ahead. A chunk looks for the first boundary that the next chunk has
 too, and hands over there. Where no such boundary lies in the overlap, the whole
-text is split in one piece instead.
+text is split in one piece instead. The pattern has to match every character,
+as tokenizers' patterns do.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import map_batches
+from sceneweave.llm.common import cut_lineage, map_batches
 
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 8_192, 512
 #: Encoded pre-tokens that a worker keeps.
 KEPT = 400_000
 
@@ -48,99 +52,110 @@ class Codec:
             cls.made[path, pattern] = cls(path, pattern)
         return cls.made[path, pattern]
 
-    def ids(self, piece: str) -> list[int]:
-        if (found := self.known.get(piece)) is None:
-            if len(self.known) >= KEPT:
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token as little-endian unsigned 32-bit integers."""
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            if len(self.known) + len(pieces) > KEPT:
                 self.known.clear()
-            found = self.known[piece] = self.merges._encode_single_piece(piece)
+            for piece in dict.fromkeys(pieces):
+                if piece not in self.known:
+                    ids = self.merges._encode_single_piece(piece)
+                    self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            found = list(map(self.known.__getitem__, pieces))
         return found
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-def boundaries(split: regex.Pattern, text: str, start: int, stop: int, last: bool) -> list[int]:
-    """Starts of the matches in text[start:stop], and the end of the last one.
+def sure_boundaries(split: regex.Pattern, text: str, start: int) -> list[int]:
+    """Starts of the matches from ``start`` on that text after the end could not move.
 
-    If the text goes on after ``stop``, the boundaries that more text could
-    still move are left out: those in the last run of white space, and those
-    within a few characters of the end.
+    Those in the last run of white space are left out, and those within a few
+    characters of the end.
     """
-    found = [m.start() for m in split.finditer(text, start, stop)]
-    if last:
-        return [*found, stop]
-    sure = min(len(text[:stop].rstrip()), stop - 4)
-    return [x for x in found[:-1] if x < sure]
+    sure = min(len(text.rstrip()), len(text) - 4)
+    return [x for x in [m.start() for m in split.finditer(text, start)][:-1] if x < sure]
 
 
-def handover(split: regex.Pattern, text: str, own: list[int], edge: int) -> int | None:
-    """The first boundary that the split from ``edge`` on shares with ``own``; None if there is none."""
-    mine = set(own)
-    return next((x for x in boundaries(split, text, edge, len(text), False) if x in mine), None)
+def encode_part(codec: Codec, k: int, part: str, last: bool, chunk: int, overlap: int) -> tuple[bytes, int, list[int], list[int]] | None:
+    """Ids from a chunk's start to where it hands over, that place in the next chunk, and places for taking over with the ids before each.
+
+    None if the next chunk shares no boundary.
+    """
+    pieces = codec.split.findall(part)
+    if last and not k:
+        return b"".join(codec.encode(pieces)), 0, [0], [0]
+    starts = [0, *accumulate(map(len, pieces))]
+    to = len(part)
+    if not last:
+        mine = set(starts[:-2])
+        to = next((x for x in sure_boundaries(codec.split, part, chunk) if x in mine), None)
+        if to is None:
+            return None
+    n = bisect_left(starts, to)
+    coded = codec.encode(pieces[:n])
+    before = [0, *accumulate(len(x) // 4 for x in coded)]
+    head = bisect_left(starts, overlap + 1)
+    return b"".join(coded), to - chunk, starts[: min(head, n + 1)], before[:head]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids binary): the ids as little-endian unsigned 32-bit integers, one row per input row.
 
     A null or empty text has no ids. Rows of equal or null doc_id stay apart.
-    Other columns are not read. Only texts over ``chunk`` characters are cut;
-    their chunks are dealt over the cluster and meet again once encoded. A text
-    of one chunk has nothing to stitch and is split and merged in one call.
+    Other columns are not read. Every text is encoded in chunks of ``chunk``
+    characters; those of a text of several chunks are dealt over the cluster
+    and meet again once encoded, so that a very long text is not one task's
+    work. Its ids are one value, as they are one row of the result. The cut
+    chunks are kept in the checkpoint folder, as the rows are numbered there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    part_schema = "doc_id long, row long, k int, part string, last boolean"
+    part_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+    code_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec.of(path, pattern)
-        ids = [np.array(codec.merges.encode_ordinary(x.as_py()), "<u4").tobytes() for x in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    def table(found: list[tuple], kinds: list[pa.DataType], names: str) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names.split())
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for doc_id, row, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "row", "text")), strict=True):
-            parts += [(doc_id, row, k, text[at : at + chunk + overlap], at + chunk >= len(text)) for k, at in enumerate(range(0, len(text), chunk))]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*parts, strict=True), kinds, strict=True)], ["doc_id", "row", "k", "part", "last"])
+            parts += [(doc_id, row, k, text[at : at + chunk + overlap], at + chunk >= len(text)) for k, at in enumerate(range(0, max(1, len(text)), chunk))]
+        return table(parts, part_kinds, "doc_id row k part last")
 
-    def encode_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec, out = Codec.of(path, pattern), []
         for doc_id, row, k, part, last in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "k", "part", "last")), strict=True):
-            own = boundaries(codec.split, part, 0, len(part), last)
-            to = len(part) if last else handover(codec.split, part, own, chunk)
-            if to is None:
-                out.append((doc_id, row, k, None, None, None, None))
-                continue
-            own = [x for x in own if x <= to]
-            pieces = [codec.ids(part[a:b]) for a, b in zip(own, own[1:], strict=False)]
-            ids = np.array([i for p in pieces for i in p], "<u4")
-            starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
-            # Where the chunk before may hand over, and how many ids come before each place.
-            head = [(a, int(n)) for a, n in zip(own, starts, strict=False) if a <= overlap]
-            out.append((doc_id, row, k, ids.tobytes(), to - chunk, [a for a, _ in head], [n for _, n in head]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "row", "k", "ids", "handed", "at", "before"])
+            found = encode_part(codec, k, part, last, chunk, overlap)
+            out.append((doc_id, row, k, *(found or (None, None, None, None))))
+        return table(out, code_kinds, "doc_id row k ids handed at before")
 
     def stitch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc_id, row, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "parts")), strict=True):
-            ids, start, stuck = [], 0, False
+            ids, start = [], 0
             for p in sorted(parts, key=lambda p: p["k"]):
-                if p["ids"] is None or start not in p["at"]:
-                    stuck = True
+                if start is None or p["ids"] is None or start not in p["at"]:
+                    start = None
                     break
                 ids.append(p["ids"][4 * p["before"][p["at"].index(start)] :])
                 start = p["handed"]
-            out.append((doc_id, row, None if stuck else b"".join(ids)))
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "row", "ids"])
-
-    short = map_batches(rows.where(F.length("text") <= chunk), whole, "doc_id long, ids binary")
-    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    cuts = map_batches(long, cut, "doc_id long, row long, k int, part string, last boolean").repartition("row", "k")
-    coded = map_batches(cuts, encode_part, "doc_id long, row long, k int, ids binary, handed int, at array<int>, before array<long>")
-    gathered = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids", "handed", "at", "before")).alias("parts"))
-    stitched = map_batches(gathered.select("doc_id", "row", "parts"), stitch, "doc_id long, row long, ids binary")
-    stuck = long.join(stitched.where("ids IS NULL").select("row"), "row", "left_semi").select("doc_id", "text")
-    return short.union(stitched.where("ids IS NOT NULL").select("doc_id", "ids")).union(map_batches(stuck, whole, "doc_id long, ids binary"))
+            out.append((doc_id, row, None if start is None else b"".join(ids)))
+        return table(out, [pa.int64(), pa.int64(), pa.binary()], "doc_id row ids")
+
+    coded = lambda parts: map_batches(parts, encode, "doc_id long, row long, k int, ids binary, handed int, at array<int>, before array<long>", rows=256)
+    of_one = rows.where(F.length("text") <= chunk).select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("k"), F.col("text").alias("part"), F.lit(True).alias("last"))
+    of_more = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    cuts = cut_lineage(map_batches(of_more, cut, part_schema, rows=64))
+    gathered = coded(cuts.repartition("row", "k")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids", "handed", "at", "before")).alias("parts"))
+    stitched = cut_lineage(map_batches(gathered.select("doc_id", "row", "parts"), stitch, "doc_id long, row long, ids binary", rows=64))
+    # A text whose chunks never fall into step is put together again and encoded as one chunk.
+    stuck = cuts.join(stitched.where("ids IS NULL").select("row"), "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
+    stuck = stuck.select("doc_id", "row", F.lit(0).alias("k"), F.array_join(F.transform("parts", lambda p: F.substring(p["part"], 1, chunk)), "").alias("part"), F.lit(True).alias("last"))
+    return coded(of_one).union(coded(stuck)).select("doc_id", "ids").union(stitched.where("ids IS NOT NULL").select("doc_id", "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -159,11 +159,11 @@ def test_top_k_with_large_components_stays_exact(spark):
         assert [(g.vec_id, g.score) for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] == [(i, -s) for s, i in best]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (400, 60)])
+@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (400, 60), (40, 12)])
 def test_bpe_is_tiktoken_and_round_trips(spark, documents, chunk, overlap):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    more = [(1000 + i, t) for i, t in enumerate([" " * 3000, "it's  \n\n we'll don't" * 200, " a" * 900 + " " * 300 + "b" * 40, "\r\n" * 500 + "x", "12 345" * 300, "<|endoftext|>" * 3])]
+    more = [(1000 + i, t) for i, t in enumerate([" " * 3000, "it's  \n\n we'll don't" * 200, " a" * 900 + " " * 300 + "b" * 40, "\r\n" * 500 + "x", "12 345" * 300, "<|endoftext|>" * 3, "é日本 テキスト " * 4000])]
     docs = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = bpe.digests(bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap), path, public_tokenizers.PATTERN)).collect()
     want = Counter()
