@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneweave.llm import bpe, language, licences, lines, packing, rollup, secrets, simhash, vectors
-from sceneweave.llm.common import checkpoint_folder, cut_lineage, read_table
+from sceneweave.llm.common import checkpoint_folder, cut_lineage, join_skewed, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,8 +70,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     counted = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("hash"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 6).cast("long").alias("estimate"), rollup.word_count(F.col("text")).alias("words"), rollup.piece_count(F.col("text")).alias("pieces"))
     counted = cut_lineage(counted)
-    first = counted.groupBy("hash", "digest").agg(F.min("doc_id").alias("first_id"))
-    copies = counted.join(first, ["hash", "digest"]).where("doc_id > first_id")
+    first = cut_lineage(counted.groupBy("hash", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    copies = join_skewed(counted, first, ["hash", "digest"], "n", counted.count()).where("doc_id > first_id")
     version = lambda name, column: [F.lit(name).alias("tokenizer_version"), F.col(column).alias("tokens")]
     words, pieces = version("words-1", "words"), version("pieces-1", "pieces")
     totals = rollup.TokenRollup(spark, f"{checkpoint_folder(spark)}/token-rollup-{uuid.uuid4().hex}")

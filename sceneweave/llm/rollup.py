@@ -5,14 +5,19 @@ a delete takes both away, and a revised count adds the difference. Totals by
 source, language and tokenizer version are sums of deltas, so that a batch needs
 no look at earlier rows.
 
-A batch is written as sums per key to a folder of its own and then marked as
-committed. A batch id counts once: a batch that is sent again after its mark is
-skipped, and one that broke off before its mark is written anew. A retry must
-not run beside the first attempt.
+Each attempt at a batch writes its sums per key to a folder of its own. A file
+under the batch's name then says which attempt counts; it is renamed into place
+and never replaced. So a batch counts once: one that is sent again is skipped,
+one that broke off leaves a folder that nothing reads, and of two attempts side
+by side the first to finish counts (where the file system renames atomically
+and without replacing, as HDFS does).
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,26 +52,49 @@ class TokenRollup:
             raise ValueError(f"not a batch id: {batch_id!r}")
         return f"{self.root}/{kind}/{batch_id}".rstrip("/")
 
-    def committed(self) -> list[str]:
-        """Ids of the batches that count."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder("commits"))
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+    def _files(self, folder: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def committed(self) -> dict[str, str]:
+        """The attempt that counts, by batch id."""
+        path, files = self._files(self._folder("commits"))
+        if not files.exists(path) or not len(files.listStatus(path)):
+            return {}
+        marks = self.spark.read.text(self._folder("commits"), wholetext=True).select("_metadata.file_name", "value")
+        return {r["file_name"]: r["value"] for r in marks.collect()}
+
+    def _commit(self, batch_id: str, attempt: str) -> bool:
+        """Whether this attempt is the first."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        made, files = self._files(self._folder("attempts", attempt))
+        out = files.create(made, False)
+        out.write(bytearray(attempt, "ascii"))
+        out.close()
+        mark, _ = self._files(self._folder("commits", batch_id))
+        files.mkdirs(mark.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(mark.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(files.makeQualified(made), files.makeQualified(mark), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        return True
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes (columns of CHANGE; others are ignored). False if it counted before."""
-        folder = self._folder("deltas", batch_id)
+        self._folder("deltas", batch_id)  # refuses ids that are no names
         if batch_id in self.committed():
             return False
+        attempt = uuid.uuid4().hex
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.where("docs <> 0 OR tokens <> 0").write.mode("overwrite").parquet(folder)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder("commits", batch_id))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
-        return True
+        sums.where("docs <> 0 OR tokens <> 0").write.parquet(self._folder("deltas", batch_id) + f"/{attempt}")
+        return self._commit(batch_id, attempt)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens over all committed batches; keys without documents and tokens are left out."""
-        folders = [self._folder("deltas", b) for b in self.committed()]
+        folders = [self._folder("deltas", batch) + f"/{attempt}" for batch, attempt in self.committed().items()]
         rows = self.spark.read.schema(CHANGE).parquet(*folders) if folders else self.spark.createDataFrame([], CHANGE)
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")

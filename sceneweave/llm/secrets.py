@@ -104,7 +104,11 @@ def secret_runs(candidate: str) -> list[tuple[int, int]]:
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind; places in code points, end exclusive."""
+    """(kind, start, end) by start, then kind; places in code points, end exclusive.
+
+    Entropy spans stand beside the base patterns' spans, over the same
+    characters too.
+    """
     if not text:
         return []
     found = []
@@ -114,12 +118,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
     for m in CANDIDATE.finditer(text):
-        for a, b in secret_runs(m[0]):
-            start, end = m.start() + a, m.start() + b
-            if not any(s <= start and end <= e for _, s, e in base):
-                found.append(("entropy", start, end))
+        found += [("entropy", m.start() + a, m.start() + b) for a, b in secret_runs(m[0])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -141,6 +141,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, spans array<struct<kind, start, end>>: one row per input row, an empty array for null and clean texts.
 
     Other columns are not read; repeated and null ids are rows like any other.
+    An empty text has no spans. A text of any length is scanned whole, in one
+    pass per pattern over one text at a time.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
