@@ -6,6 +6,7 @@ multiplied with each other in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import connected_components, cut_lineage, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
 
 SEED = 7
 
@@ -48,6 +49,19 @@ def hyperplanes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim, tables, bits]).standard_normal((dim, tables * bits))
 
 
+#: Share of pairs at exactly the threshold that no table may file together.
+MISSED = 0.0056
+#: Vectors that share a bucket by chance, on average, at most.
+BUCKET = 64
+
+
+def table_sizes(n: int, threshold: float) -> tuple[int, int]:
+    """Tables and bits for n vectors: bits follow the number of vectors, and tables make up for the pairs that more bits part."""
+    bits = min(30, max(12, math.ceil(math.log2(max(1, n) / BUCKET))))
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-together))) if together < 1 else 1, bits
+
+
 def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, unit_rows: int) -> DataFrame:
     """What linked, of distinct vectors (node long, copies long, v array).
 
@@ -120,12 +134,14 @@ def cosine_links(vectors: DataFrame, threshold: float, tables: int, bits: int, u
     return map_whole_groups(placed, ["bucket", "p", "q"], compare, "kind int, a long, b long")
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = 16, bits: int = 12, unit_rows: int = 512) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int | None = None, bits: int | None = None, unit_rows: int = 512) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one node with a number of copies. With 16 tables of 12
-    bits a pair at exactly 0.95 is found with a probability of 0.995, a closer
-    one with more; no pair below the threshold links. Vectors that are null,
+    Equal vectors are one node with a number of copies. Tables and bits follow
+    the number of vectors (``table_sizes``), so that a bucket holds a bounded
+    number of vectors by chance; a pair at exactly the threshold is found with
+    a probability of 0.994, a closer one with more; no pair below the threshold
+    links. Vectors that are null,
     zero, empty or hold null or non-finite components link with nothing and are
     their own component. Vectors of different lengths do not link. A row with a
     null id links with nothing either and has null component_id and kept. A
@@ -150,30 +166,32 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     shown = shown.where("digest = d").dropDuplicates(["digest"]).select(F.col("digest"), F.col("vec_id").alias("id"), "copies", "v")
     shown = shown.select(F.xxhash64("digest", "id").alias("node"), "digest", "id", "copies", "v")
     shown = cut_lineage(shown)
-    found = cut_lineage(cosine_links(shown, threshold, tables, bits, unit_rows))
+    n = shown.count()
+    least_tables, usual_bits = table_sizes(n, threshold)
+    found = cut_lineage(cosine_links(shown, threshold, tables or least_tables, bits or usual_bits, unit_rows))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("linked")).withColumnRenamed("a", "node")
     roots = connected_components(found.where("kind = 1").select("a", "b"))
-    classes = shown.select("node", "digest", "id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = classes.groupBy("root").agg(F.min("id").alias("component"))
-    classes = classes.join(named, "root").select("digest", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    joined = keyed.select("vec_id", "digest").join(classes, "digest", "left")
+    rooted = cut_lineage(shown.select("node", "digest", "id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n_nodes")))
+    classes = join_skewed(rooted, named, ["root"], "n_nodes", n).select("digest", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
+    joined = join_skewed(keyed.select("vec_id", "digest"), cut_lineage(classes), ["digest"], "copies", keyed.count(), "left")
     joined = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 20_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_bytes: int = 32 << 20, fan_in: int = 32) -> DataFrame:
     """Each query's k best rows by exact integer inner product: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Queries and vectors are cut into blocks
-    of about ``block_rows``; each pair of blocks is one matrix product, of which
-    a task keeps k rows per query. The lists are merged in two steps: blocks
-    are merged in groups first, then the groups. Ties go to the smaller vec_id.
-    Vectors that are null, empty or hold null or non-finite components, and
-    rows with null ids, take no part; vectors of different lengths do not meet.
-    Candidates with the query's own id are left out; a repeated id is a
-    candidate as often as it occurs, and a query once. Sums are exact; vectors
-    so long that products could pass a long (scaled components of 2**31 over
-    the root of their number) take no part either.
+    of about ``block_bytes``, as longs; each pair of blocks is one matrix
+    product, of which a task keeps k rows per query. Lists are merged ``fan_in``
+    at a time until one is left. Ties go to the smaller vec_id. Vectors that
+    are null, empty or hold null or non-finite components, and rows with null
+    ids, take no part; vectors of different lengths do not meet. Candidates
+    with the query's own id are left out; a repeated id is a candidate as often
+    as it occurs, and a query once. Scores are exact. A vector with a scaled
+    component that no long holds takes no part, and a pair whose score no long
+    holds is not in the result.
     """
 
     def digitise(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,19 +200,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             if v is not None and vec_id.as_py() is not None:
                 with np.errstate(over="ignore"):
                     v = np.floor(scale * v)
-                if not np.abs(v).max() * np.sqrt(len(v)) < 2**31:
-                    continue
-                ids.append(vec_id.as_py())
-                rows.append(v.astype(np.int64))
+                if np.abs(v).max() < 2.0**63:
+                    ids.append(vec_id.as_py())
+                    rows.append(v.astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array([len(r) for r in rows], pa.int32())], ["id", "v", "dim"])
 
     def chosen(frame: DataFrame) -> DataFrame:
         frame = frame.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         return map_batches(frame, digitise, "id long, v array<bigint>, dim int")
 
+    def blocks_of(frame: DataFrame) -> int:
+        """By bytes; of few vectors as many as the cluster has cores, but none under 4,096 of them."""
+        n, components = frame.agg(F.count("*"), F.sum(F.size(vector_col))).first()
+        return max(1, -(-8 * (components or 0) // block_bytes), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 4096))
+
     candidates, asked = chosen(vectors), chosen(queries).dropDuplicates(["id"])
-    n_c, n_q = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n_c // block_rows)), max(1, -(-n_q // block_rows))
+    shards, blocks = blocks_of(vectors), blocks_of(queries)
     by = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = candidates.select("*", by(shards).alias("shard"), every(blocks).alias("block"))
@@ -209,10 +230,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         ids, m = ids[by_id], _matrix(c, "v")[by_id]
         asked_ids, w = q.column("id").to_numpy(), _matrix(q, "v")
         n, tie = min(k, len(ids)), np.arange(len(ids), dtype=np.int64)
-        most = int(np.abs(w).max()) * int(np.abs(m).max()) * w.shape[1]
-        exact_in_double = most < 2**53
-        if exact_in_double:
-            w, m = w.astype(np.float64), m.astype(np.float64)
+        # The largest sums that a vector can take part in; products in floats bound them from above.
+        reach_m, reach_w = np.abs(m.astype(float)).max(axis=1), np.abs(w.astype(float)).max(axis=1) * w.shape[1]
+        most = int(reach_w.max() * 1.001) * int(reach_m.max() * 1.001 + 1)
+        wide = most >= 2**62
+        factors = (w.astype(np.float64), m.astype(np.float64)) if most < 2**53 else (w, m)
         #: Score and place in one number, where both fit: no two alike, and the smaller id is larger.
         place = 1 << int(len(ids)).bit_length()
         one_number = most * place < 2**62
@@ -220,17 +242,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         out = []
         for at in range(0, len(w), step):
             some = asked_ids[at : at + step]
-            worth = (w[at : at + step] @ m.T).astype(np.int64)
+            worth = (factors[0][at : at + step] @ factors[1].T).astype(np.int64)
+            own = some[:, None] == ids
             if one_number:
                 order = worth * place - tie
-                own = some[:, None] == ids
                 order[own] = np.iinfo(np.int64).min
                 best = np.argpartition(order, len(ids) - n, axis=1)[:, len(ids) - n :].ravel()
                 rows = np.repeat(np.arange(len(some)), n)
                 real = ~own[rows, best]
                 rows, best = rows[real], best[real]
             else:
-                lists = [[x for x in np.lexsort((ids, -line)) if ids[x] != i][:k] for line, i in zip(worth, some, strict=True)]
+                if wide:  # pairs whose sum may have wrapped are added up in whole numbers
+                    for i, j in np.argwhere(reach_w[at : at + step, None] * reach_m[None, :] >= 2.0**62):
+                        score = sum(x * y for x, y in zip(w[at + i].tolist(), m[j].tolist(), strict=True))
+                        fits = -(2**63) <= score < 2**63
+                        worth[i, j], own[i, j] = score if fits else 0, own[i, j] or not fits
+                lists = [[x for x in np.lexsort((ids, ~line)) if not no[x]][:k] for line, no in zip(worth, own, strict=True)]
                 rows = np.repeat(np.arange(len(some)), [len(x) for x in lists])
                 best = np.array([x for one in lists for x in one], np.int64)
             out.append((some[rows], ids[best], worth[rows, best]))
@@ -238,7 +265,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return pa.table([pa.array(columns[0]), pa.array(np.full(len(columns[0]), key[1].as_py(), np.int32)), pa.array(columns[1]), pa.array(columns[2])], names=names)
 
     keys = ["block", "shard", "dim"]
-    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "query_id long, shard int, vec_id long, score long")
+    lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "query_id long, shard int, vec_id long, score long")
     best = [F.col("score").desc(), F.col("vec_id")]
-    merged = tiles.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", F.expr("shard div 32")).orderBy(*best))).where(F.col("rank") <= k)
-    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    while shards > fan_in:
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / fan_in).cast("int"))
+        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*best))).where(F.col("rank") <= k).drop("rank")
+        shards = -(-shards // fan_in)
+    return lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -138,15 +138,15 @@ def test_embedding_links_match_brute_force(spark, unit_rows):
     assert len(links) > 300
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 7])
-def test_top_k_matches_brute_force(spark, block_rows):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 900, "fan_in": 2}])
+def test_top_k_matches_brute_force(spark, sizes):
     table = vector_table(spark)
     usable = [(r.vec_id, np.floor(256 * np.array(r.embedding)).astype(int)) for r in table.collect() if r.embedding and all(x is not None and abs(x) < 1e300 for x in r.embedding)]
     want = set()
     for q, v in {q: v for q, v in usable if q % 5 == 0}.items():
         best = sorted((-int(v @ w), i) for i, w in usable if i != q and len(w) == len(v))[:5]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    got = vectors.top_k(table, table.where("vec_id % 5 = 0"), block_rows=block_rows).collect()
+    got = vectors.top_k(table, table.where("vec_id % 5 = 0"), **sizes).collect()
     assert {tuple(g) for g in got} == want and len(got) == len(want)
 
 
@@ -159,6 +159,42 @@ def test_top_k_with_large_components_stays_exact(spark):
         assert [(g.vec_id, g.score) for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] == [(i, -s) for s, i in best]
 
 
+def test_top_k_leaves_out_only_pairs_that_no_long_holds(spark):
+    """Long vectors meet the ones with which their score fits; a component beyond a long takes the vector out."""
+    rows = [[2.0**40, 1.0], [0.0, 3.0], [1.0, 2.0], [2.0**40, -1.0], [2.0**54, 0.0], [-(2.0**54), 5.0], [2.0**60, 0.0]]
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {(g.query_id, g.vec_id): g.score for g in vectors.top_k(table, table, k=9).collect()}
+    whole = [[int(256 * x) for x in v] for v in rows]
+    score = {(i, j): sum(a * b for a, b in zip(whole[i], whole[j], strict=True)) for i in range(6) for j in range(6) if i != j}
+    assert got == {pair: s for pair, s in score.items() if -(2**63) <= s < 2**63}
+    assert len(got) < len(score)
+
+
+def test_tables_and_bits_follow_the_number_of_vectors(spark):
+    assert vectors.table_sizes(50_000, 0.95) == (16, 12)
+    for n in (10**3, 10**6, 10**9, 10**12):
+        tables, bits = vectors.table_sizes(n, 0.95)
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 0.006
+        assert n / 2**bits <= 1000 and (bits == 30 or n / 2**bits <= 64)
+
+
+@pytest.mark.parametrize("bits", [None, 20])
+def test_planted_pairs_near_the_threshold_are_found(spark, bits):
+    """Ten thousand vectors, of which 2,000 have a partner at a cosine of 0.95 to 0.97."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((10_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((2_000, 64))
+    side -= (side * base[:2_000]).sum(axis=1, keepdims=True) * base[:2_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.97, (2_000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, cosine * base[:2_000] + np.sqrt(1 - cosine**2) * side]))]
+    tables = bits and vectors.table_sizes(64 << bits, 0.95)[0]
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bits=bits, tables=tables)
+    found = {r.vec_id for r in got.where("n_links > 0").collect()}
+    assert found <= {*range(2_000), *range(10_000, 12_000)} and len(found) >= 0.99 * 4_000
+
+
 @pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (400, 60), (40, 12)])
 def test_bpe_is_tiktoken_and_round_trips(spark, documents, chunk, overlap):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
