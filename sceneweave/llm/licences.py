@@ -9,9 +9,16 @@ that name a licence in one line. Both come from one pass over the text.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneweave.llm.common import cut_lineage
+
+#: Digests of known texts that are broadcast at most, 64 characters each.
+MOST_BROADCAST = 100_000
+
 
 def _not_beginning(words: list[str], also: str = "") -> str:
     """A pattern, without lookahead, of the start of what begins with none of ``words``; a line's end counts as any character."""
@@ -67,7 +74,6 @@ BSD_2 = """Redistribution and use in source and binary forms, with or without mo
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 BSD_3 = BSD_2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE", 1)
 UNLICENSE_START = "This is free and unencumbered software released into the public domain."
-
 TEXTS = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3}
 # One-line notices.
 NOTICES = {
@@ -96,15 +102,33 @@ for _part, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "B
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'], "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License']}
 NOTICES |= {f"{_title}\n{TEXTS[_id]}": _id for _id, _titles in TITLES.items() for _title in _titles}
 
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the texts in the folder licence_texts, whole, and without what follows the end of their terms."""
+    found = []
+    for file in sorted(files("sceneweave.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+            found.append((name, text))
+            if TERMS_END in text:
+                found += [(name, text[: text.index(TERMS_END)]), (name, text[: text.index(TERMS_END) + len(TERMS_END)])]
+    return found
+
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form of each line; one empty line for null."""
+    """The canonical form of each line; one empty line for null.
+
+    Words stand between two blanks each while spellings are replaced, so that
+    each word has blanks of its own.
+    """
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
-    out = F.replace(F.regexp_replace(out, OTHER_CHARACTERS, " "), F.lit("\n"), F.lit(" \n "))
+    out = F.replace(F.regexp_replace(out, OTHER_CHARACTERS, "  "), F.lit("\n"), F.lit(" \n "))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for other, usual in EQUIVALENT.items():
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {usual} "))
-    return F.transform(F.split(out, "\n"), lambda x: F.trim(x))
+    return F.transform(F.split(F.replace(out, F.lit("  "), F.lit(" ")), "\n"), lambda x: F.trim(x))
 
 
 def joined(lines: Column) -> Column:
@@ -114,7 +138,7 @@ def joined(lines: Column) -> Column:
 
 def known_licences(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the built-in texts and notices."""
-    rows = [*TEXTS.items(), *((b, a) for a, b in NOTICES.items())]
+    rows = [*TEXTS.items(), *((b, a) for a, b in NOTICES.items()), *long_texts()]
     return spark.createDataFrame(rows, "license_id string, text string")
 
 
@@ -126,13 +150,16 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     and notice_ids lists their licences in order, joined by commas (empty if
     none). Null texts are empty and match nothing. Repeated and null ids are
     rows of their own. If two known texts have one canonical form, the smaller
-    license_id stands for it. Other columns are not read.
+    license_id stands for it. Other columns are not read. A very long text is
+    one row's array of lines.
 
-    The known side is joined by digest, on whichever side size allows. Of the
-    lines only those that match go on to be gathered by document.
+    Up to ``MOST_BROADCAST`` known digests go to the documents, more are joined
+    by shuffle. Of the lines only those that match go on to be gathered by
+    document.
     """
     digests = known.select("license_id", joined(canonical_lines(F.col("text"))).alias("form")).where("form <> ''")
-    digests = digests.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("known_id"))
+    digests = cut_lineage(digests.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("known_id")))
+    digests = F.broadcast(digests) if digests.count() <= MOST_BROADCAST else digests
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     forms = F.concat(F.array(joined(F.col("lines"))), F.col("lines"))  # the whole text, then its lines

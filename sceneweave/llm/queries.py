@@ -102,11 +102,11 @@ def _sql_text(value: str) -> str:
 
 
 def _lines_sql(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), {_sql_text(licences.COPYRIGHT_LINE)}, chr(10), 'g')"
-    out = f"(' ' || replace(regexp_replace({out}, {_sql_text(licences.OTHER_CHARACTERS)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ')"
-    for a, b in licences.EQUIVALENT.items():
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"list_transform(string_split({out}, chr(10)), lambda x: trim(x))"
+    """Each line's words, one by one: a list of lists, unlike the operator, which replaces in the whole text."""
+    out = f"string_split(regexp_replace(lower(coalesce({text}, '')), {_sql_text(licences.COPYRIGHT_LINE)}, chr(10), 'g'), chr(10))"
+    word = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licences.EQUIVALENT.items()) + " ELSE w END"
+    words = f"list_transform(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+'), lambda w: {word})"
+    return f"list_transform({out}, lambda x: coalesce(array_to_string({words}, ' '), ''))"
 
 
 def _digest_sql(lines: str) -> str:
@@ -114,7 +114,7 @@ def _digest_sql(lines: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in [*licences.TEXTS.items(), *((b, a) for a, b in licences.NOTICES.items())])
+    known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in [*licences.TEXTS.items(), *((b, a) for a, b in licences.NOTICES.items()), *licences.long_texts()])
     return {
         "op4_license_scan": f"""
 WITH known AS (SELECT {_digest_sql("l")} AS digest, min(i) AS known_id FROM (SELECT i, {_lines_sql("t")} AS l FROM (VALUES {known}) v(i, t)) z GROUP BY 1),
