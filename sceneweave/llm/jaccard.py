@@ -8,9 +8,10 @@ closer ones but for less. No candidate is a link before its similarity is
 computed from both sets, so neither search can join what is not similar.
 
 Each member of a bucket is compared with the bucket's leader first, and the
-links form components. Only buckets that still hold several components have
-all their pairs compared; they are cut into pieces, and each pair of pieces is
-a unit of work that returns a spanning forest of its links.
+links form components. In buckets that still hold several components, the nodes
+outside the largest one are compared with all others; both sides are cut into
+pieces, and each pair of pieces is a unit of work that returns a spanning forest
+of its links.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import connected_components, cut_lineage, local_components, map_batches, map_whole_groups
-from sceneweave.llm.simhash import SEED, fingerprint_links, fingerprint_of, keep_named, shingle_hashes
+from sceneweave.llm.common import connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
+from sceneweave.llm.simhash import SEED, fingerprint_links, fingerprint_of, keep_first, shingle_hashes
 
 BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,49 +106,57 @@ def read_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -
     return map_batches(chosen, work, "node long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, part_rows: int = 10_000) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. A node of very many pairs has its set sent to several places, by parts of its pairs."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = batch.column("x"), batch.column("y")
         near = [similar(p.values.to_numpy().view(np.uint64), q.values.to_numpy().view(np.uint64), similarity) for p, q in zip(x, y, strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    joined, total = pairs, pairs.count()
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        counts = cut_lineage(pairs.groupBy(end).agg(F.count("*").alias("n")))
+        parts = counts.withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+        ends = cut_lineage(join_skewed(joined, parts, [end], "n", total).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts"))).drop("parts"))
+        spread = sets.withColumnRenamed("node", end).join(parts.drop("n"), end).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+        joined = ends.join(spread.select(end, "part", F.col("shingles").alias(name)), [end, "part"]).drop("part")
     return map_batches(joined.select("a", "b", "x", "y"), work, "a long, b long")
 
 
 def links_within(members: DataFrame, sets: DataFrame, similarity: float, unit_rows: int) -> DataFrame:
-    """(a, b): a spanning forest of the links among the nodes of each bucket (bucket, node, n)."""
-    placed = members.withColumn("pieces", F.ceil(F.col("n") / unit_rows).cast("int"))
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.select("bucket", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "node").join(sets, "node")
+    """(a, b): a spanning forest of the links between components, among the nodes of each bucket (bucket, node, root)."""
+    roots = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    buckets = roots.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("few"))
+    buckets = cut_lineage(buckets.select("bucket", "largest", "n", F.ceil(F.col("few") / unit_rows).cast("int").alias("p_pieces"), F.ceil(F.col("n") / unit_rows).cast("int").alias("q_pieces")))
+    placed = cut_lineage(join_skewed(members, buckets, ["bucket"], "n", members.count()))
+    piece = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = placed.where("root <> largest").select("bucket", piece("p_pieces").alias("p"), every("q_pieces").alias("q"), F.lit(0).alias("side"), "node")
+    all_ = placed.select("bucket", every("p_pieces").alias("p"), piece("q_pieces").alias("q"), F.lit(1).alias("side"), "node")
+    units = few.union(all_).join(sets, "node")
 
     def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, p, q, piece, node = (table.column(k).to_numpy() for k in ("bucket", "p", "q", "piece", "node"))
+        bucket, p, q, side, node = (table.column(k).to_numpy() for k in ("bucket", "p", "q", "side", "node"))
         start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
         for s, e in zip(start, np.append(start[1:], len(node)), strict=True):
-            sets_here = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles").slice(s, e - s)]
-            first, second = np.flatnonzero(piece[s:e] == p[s]), np.flatnonzero(piece[s:e] == q[s])
+            first, second = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
             if not len(first) or not len(second):
                 continue
+            sets_here = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles").slice(s, e - s)]
             i, j = similar_pairs(sets_here, first, second, similarity)
             labels = local_components(e - s, i, j)
-            linked = np.flatnonzero(labels != np.arange(e - s))
+            linked = np.flatnonzero(node[s:e] != node[s:e][labels])
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[s:e][linked]), pa.array(node[s:e][labels[linked]])], ["a", "b"])
 
-    return map_whole_groups(placed.select("bucket", "p", "q", "piece", "node", "shingles"), ["bucket", "p", "q"], join, "a long, b long")
+    return map_whole_groups(units.select("bucket", "p", "q", "side", "node", "shingles"), ["bucket", "p", "q"], join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 6, similarity: float = 0.8, unit_rows: int = 512) -> DataFrame:
-    """(doc_id, component_id), one row per input row: texts of at least this similarity link, and links form components.
-
-    A text without words links with its like only. Ids are treated as in ``simhash.near_duplicates``.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int, similarity: float, unit_rows: int) -> DataFrame:
+    """(doc_id, text_key, root, component_id), one row per input row."""
     marked = cut_lineage(with_sets(docs, id_col, text_col, shingle))
-    classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"))
+    classes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"), F.count("*").alias("n_rows")))
 
     prints = marked.select("fp", "node").distinct()
     named = prints.groupBy("fp").agg(F.min("node").alias("chief"))
@@ -156,8 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = far.select(F.col("x").alias("a"), F.col("y").alias("b")).union(prints.join(named, "fp").select("node", "chief"))
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("leader")).where("n > 1")
-    crowd = cut_lineage(members.join(shared, "bucket"))
+    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("leader")).where("n > 1"))
+    crowd = cut_lineage(join_skewed(members, shared.withColumn("rows", F.col("n")), ["bucket"], "rows", members.count()))
     tried = tried.union(crowd.select("node", "leader")).where("a <> b")
     tried = cut_lineage(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
@@ -168,16 +177,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A bucket of two has had its one pair compared; of equal buckets one is enough.
     roots = connected_components(links)
     crowd = crowd.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = crowd.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low <> high")
-    several = several.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
-    links = links.union(links_within(crowd.join(several, "bucket").select("bucket", "node", "n"), sets, similarity, unit_rows))
+    several = crowd.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low <> high")
+    several = cut_lineage(several.groupBy("rows", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "rows"))
+    remaining = cut_lineage(join_skewed(cut_lineage(crowd), several, ["bucket"], "rows", crowd.count()).select("bucket", "node", "root"))
+    links = links.union(links_within(remaining, sets, similarity, unit_rows))
 
     roots = connected_components(links)
-    rooted = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    rooted = cut_lineage(classes.select("node", "first_id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    ids = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes")))
+    ids = cut_lineage(join_skewed(rooted, ids, ["root"], "n_nodes", rooted.count()).select("node", "root", "component_id", "n_rows"))
+    return join_skewed(marked.select("doc_id", "text_key", "node"), ids, ["node"], "n_rows", marked.count()).drop("node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 6, similarity: float = 0.8, unit_rows: int = 512) -> DataFrame:
+    """(doc_id, component_id), one row per input row: texts of at least this similarity link, and links form components.
+
+    A text without words links with its like only. Ids are treated as in ``simhash.near_duplicates``.
+    """
+    return grouped(docs, id_col, text_col, shingle, budget, similarity, unit_rows).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 6, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, as ``simhash.keep_one`` returns them."""
-    return keep_named(docs, near_duplicates(docs, id_col, text_col, shingle, budget, similarity), id_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 6, similarity: float = 0.8, unit_rows: int = 512) -> DataFrame:
+    """One row of each component, as ``simhash.keep_first`` chooses it."""
+    return keep_first(docs, grouped(docs, id_col, text_col, shingle, budget, similarity, unit_rows), id_col, text_col)

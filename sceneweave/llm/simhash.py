@@ -90,14 +90,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): text_key is the text's hash, fp the fingerprint as a signed long."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, work, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return map_batches(chosen, work, "doc_id long, text_key long, fp long")
 
 
 def views(budget: int) -> list[tuple[list[int], int]]:
@@ -229,33 +230,49 @@ def fingerprint_links(fingerprints: DataFrame, budget: int = 4, unit_rows: int =
     return map_whole_groups(placed, ["node", "p", "q"], join, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id), one row per input row; root is the component's smallest fingerprint."""
+    marked = cut_lineage(with_fingerprints(docs, id_col, text_col, shingle))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")))
+    roots = connected_components(fingerprint_links(classes, budget))
+    rooted = cut_lineage(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes")))
+    named = join_skewed(rooted, named, ["root"], "n_classes", rooted.count()).select("fp", "root", "component_id", "n_rows")
+    return join_skewed(marked, cut_lineage(named), ["fp"], "n_rows", marked.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
     A null or blank text has fingerprint zero and links like any other; a
     repeated row is in the result as often as in the input; a row with a null
     id links too, but gives no component its name (a component of null ids
-    only has a null component_id). Other columns are not read.
+    only has a null component_id). A very long text is hashed a slice at a
+    time; a task keeps eight bytes for each of its shingles. Other columns are
+    not read.
+
+    A fingerprint of very many documents, and a component of very many
+    fingerprints, are joined by broadcast, all others by shuffle.
     """
-    marked = cut_lineage(with_fingerprints(docs, id_col, text_col, shingle))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(classes, budget))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, id_col, text_col, shingle, budget)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one row each; all columns stay.
+    """One row of each component of ``near_duplicates``; see ``keep_first``."""
+    return keep_first(docs, grouped(docs, id_col, text_col, shingle, budget), id_col, text_col)
 
-    Rows that share an id are one document. Rows with a null id cannot be told apart and stay.
-    """
-    return keep_named(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col)
 
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each root in ``groups`` (doc_id, text_key, root), with all its columns: that of the smallest id.
 
-def keep_named(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that name their component in ``groups`` (doc_id, component_id), and those with a null id."""
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return named.union(docs.where(F.col(id_col).isNull()))
+    Of rows that share this id, the one with the smallest hash of the text
+    stays, then the one with the smallest hash of all columns; so equal rows
+    are one, and rows of one id in different groups all stay. Rows with a null
+    id cannot be named and stay.
+    """
+    first = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
+    kept = keyed.join(first, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.select("row.*").union(docs.where(F.col(id_col).cast("long").isNull()))
