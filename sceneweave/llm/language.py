@@ -166,7 +166,8 @@ def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was
     learned. Else the score is the mean probability of the language over the
-    windows. Only the text is an input.
+    windows. Only the text is an input. Of a text of any length all windows are
+    read, some thousands at a time.
     """
     rows = docs.drop("lang_pred", "score").withColumn(text_col, F.col(text_col).cast("string"))
 
@@ -207,6 +208,11 @@ def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -
     return map_batches(rows, work, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the fold that training never sees: crc32 of the id's digits mod 3 is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))

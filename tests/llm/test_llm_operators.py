@@ -236,6 +236,27 @@ def test_language_of_odd_texts(documents):
     assert {g.lang_pred for g in unlabelled.collect()} == {"und"}
 
 
+def test_predictions_match_a_plain_forward_pass(spark):
+    """Every window of every text, one at a time through the filters as they are, log-probabilities added up."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(9001, "la casa de las flores " * 3000, "es"), (9002, "x", "en"), (9003, "12 34", "en"), (9004, None, "en")], "doc_id long, text string, lang string"))
+    net = language.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, net).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        data, logs = r.text.encode(), []
+        for at in range(0, len(data), language.WINDOW):
+            window = np.frombuffer(data[at : at + language.WINDOW].ljust(language.WINDOW, b"\0"), np.uint8)
+            e, pooled = net.embed[window], []
+            for width, bank in zip(language.WIDTHS, net.filters, strict=True):
+                pooled.append(np.max([e[p : p + width].ravel() @ bank for p in range(language.WINDOW - width + 1)], axis=0))
+            logits = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.dense + net.dense_bias
+            logs.append(logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max())
+        best = int(np.sum(logs, axis=0).argmax())
+        assert got[r.doc_id][0] == net.languages[best] and abs(got[r.doc_id][1] - np.exp(logs)[:, best].mean()) < 1e-3
+
+
 def test_network_tables_equal_the_filters():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 256, (40, language.WINDOW)).astype(np.uint8)

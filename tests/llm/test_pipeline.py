@@ -3,62 +3,110 @@
 from collections import defaultdict
 
 import corpus_pipeline
-import numpy as np
-import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from sceneweave.llm import language, lines, packing, secrets, simhash
+from sceneweave.llm import language, lines, secrets
+from sceneweave.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def without_repeated_lines(texts):
+    """texts: (key, doc_id, text) rows; those with a null id are left alone."""
+    holders = defaultdict(set)
+    for _, i, t in texts:
+        if i is not None:
+            for x in t.encode().split(b"\n"):
+                if len((key := lines.line_key(x)).decode()) >= 40:
+                    holders[key].add(i)
+    gone = {key: max(v) for key, v in holders.items() if len(v) >= 5}
+    return [(k, i, t if i is None else b"\n".join(x for x in t.encode().split(b"\n") if gone.get(lines.line_key(x), i) == i).decode()) for k, i, t in texts]
+
+
+def one_of_each_group(texts):
+    sets = [shingles(t) for _, _, t in texts]
+    roots = list(range(len(texts)))
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and both:
+                x, y = find(a), find(b)
+                roots[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for n, row in enumerate(texts):
+        groups[find(n)].append(row)
+    kept = []
+    for rows in groups.values():
+        named = [r for r in rows if r[1] is not None]
+        kept += [min(named, key=lambda r: r[1])] if named else []
+        kept += [r for r in rows if r[1] is None]
+    return kept
+
+
 def test_stages_match_brute_force(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = [(9_000_001, None, "en", "x", 0), (9_000_002, "123 456", "en", "x", 7), (9_000_003, 'one line with a token = "abcdefabcdef12345678" in it', "en", "x", 52)]
-    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    """With null, blank and long texts, a repeated row, null ids, ids of two texts, and columns whose names the stages use inside."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("node", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    some = docs.where("doc_id < 3 AND n_chars > 200").first()
+    extra = [(9_000_001, None), (9_000_002, "123 456"), (9_000_003, 'one line of English prose with a token = "abcdefabcdef12345678" in the middle of it'), (9_000_004, ""), (None, "a text of the English language that has no id at all"), (None, None), (some.doc_id, some.text), (9_000_005, "the first of the texts that share this number here"), (9_000_005, "and another one, with the same number, that is not like it"), (9_000_006, "these words of prose are in the text " * 4000)]
+    docs = docs.union(spark.createDataFrame([(i, t, None, "x", None, "clash", "clash") for i, t in extra], docs.schema)).repartition(5)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "secret scans", "packing"]
-    want = {r.doc_id: r.text for r in docs.collect()}
-    columns = docs.columns
+    columns, network = docs.columns, language.train(docs.where(~language.held_out()))
+    found = {(r.doc_id, r.text): r for r in language.annotate(docs, network).collect()}
+    want = [(n, r.doc_id, r.text) for n, r in enumerate(docs.collect())]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         if k == 0:
-            want = {i: t for i, t in want.items() if t and language.LETTER.search(t)}
+            before = len(want)
+            want = [(n, i, t) for n, i, t in want if t and language.LETTER.search(t) and found[i, t].score >= corpus_pipeline.SURE]
+            assert 4 <= before - len(want) < 12
+            assert all(r.lang == found[r.doc_id, r.text].lang_pred for r in docs.collect())
         elif k == 1:
-            holders = defaultdict(set)
-            for i, t in want.items():
-                for x in t.encode().split(b"\n"):
-                    key = lines.line_key(x)
-                    if len(key.decode()) >= 40:
-                        holders[key].add(i)
-            gone = {key: max(v) for key, v in holders.items() if len(v) >= 5}
-            want = {i: b"\n".join(x for x in t.encode().split(b"\n") if gone.get(lines.line_key(x), i) == i).decode() for i, t in want.items()}
+            want = without_repeated_lines(want)
         elif k == 2:
-            ids = sorted(want)
-            prints = np.array([simhash.fingerprint(want[i], corpus_pipeline.SHINGLE) for i in ids], np.uint64)
-            left = {}
-            roots = list(range(len(ids)))
-
-            def find(i, roots=roots):
-                while roots[i] != i:
-                    i = roots[i]
-                return i
-
-            for a, b in zip(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= corpus_pipeline.BUDGET), strict=True):
-                x, y = find(int(a)), find(int(b))
-                roots[max(x, y)] = min(x, y)
-            for n, i in enumerate(ids):
-                if find(n) == n:
-                    left[i] = want[i]
-            want = left
+            want = one_of_each_group(want)
         elif k == 3:
-            want = {i: secrets.redact(t) for i, t in want.items()}
+            want = [(n, i, secrets.redact(t)) for n, i, t in want]
         if k < 4:
             assert docs.columns == columns
-            assert {r.doc_id: r.text for r in docs.collect()} == want
-            if k:
-                assert all(r.n_chars == len(r.text) for r in docs.collect())
-    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    assert {r.doc_id: r.doc_tokens for r in docs.collect()} == {i: len(own.encode(t)) // 4 + 1 for i, t in want.items()}
+            assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted(((i, t) for _, i, t in want), key=repr)
+            assert k == 0 or all(r.n_chars == len(r.text) for r in docs.collect())
+            assert {(r.node, r.lang_pred) for r in docs.collect()} == {("clash", "clash")}
+    tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    per_row = defaultdict(int)
+    for r in docs.collect():
+        per_row[r.doc_id] += r.length
+    tokens = defaultdict(int)
+    for _, i, t in want:
+        tokens[i] += len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert per_row == tokens and sum(i == 9_000_005 for _, i, _ in want) == 2
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.union(spark.createDataFrame([(9_000_001, "12", None, "x", 2), (9_000_002, None, None, "x", 0)], docs.schema))
+    got = corpus_pipeline.identify_languages(spark, docs, SF)
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.where("doc_id < 9000000").collect()}
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_of_an_empty_table(spark, k):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
+    got = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert got.columns == docs.columns and got.count() == 0
 
 
 def test_run_returns_the_last_stage(spark):
