@@ -1,6 +1,6 @@
 """A corpus pipeline: each stage is written as Parquet and read again as the next one's documents.
 
-language ID (texts without a language go) -> line dedup -> SimHash near-dedup
+language ID (texts of no sure language go, lang is what was found) -> line dedup -> SimHash near-dedup
 (one document of each group stays) -> secrets (replaced by a mark) -> packing.
 
 All stages but the last return the columns of documents, with n_chars brought
@@ -19,14 +19,26 @@ from sceneweave.llm.common import checkpoint_folder, read_table
 from sceneweave.llm.queries import tokenizer_file
 
 
+#: Least mean probability of a text's language.
+SURE = 0.5
 #: Words in a shingle, bits in which fingerprints differ that the trie join proposes, and the least Jaccard similarity of near-duplicates.
 SHINGLE, BUDGET, SIMILARITY = 5, 6, 0.8
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language (null, or no letter) and keeps the rest as they are."""
+    """The documents whose language the network is sure of, with that language in ``lang``.
+
+    Rejected are null texts, texts without a letter, and texts of which no
+    language has half the probability: a few letters, or no prose. If there is
+    no label to learn from, texts with a letter stay as they are.
+    """
     network = language.train(docs.where(~language.held_out()))
-    return language.annotate(docs, network).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    if network is None:
+        return docs.where(language.has_letter(F.col("text")))
+    aside = {c: f"aside_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = language.annotate(docs.withColumnsRenamed(aside), network)
+    sure = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).withColumn("lang", F.col("lang_pred"))
+    return sure.drop("lang_pred", "score").withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
