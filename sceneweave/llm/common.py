@@ -56,6 +56,11 @@ def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], size: str, t
     return placed.unionByName(others).drop(size)
 
 
+def broadcast_if_few(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``frame``, whose rows are a few numbers each, marked for broadcast if it has no more rows than that; it should be cheap to read."""
+    return F.broadcast(frame) if frame.count() <= most_rows else frame
+
+
 def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
     """Apply ``work`` to each Arrow batch, ``rows`` rows at a time; None gives no rows.
 

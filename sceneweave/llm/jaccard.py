@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import broadcast_if_few, connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
 from sceneweave.llm.simhash import SEED, fingerprint_links, fingerprint_of, keep_first, shingle_hashes
 
 BANDS, ROWS = 24, 4
@@ -102,7 +102,7 @@ def read_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     text = F.col(text_col).cast("string")
-    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(wanted, "text_key").dropDuplicates(["node"]).select("node", "text")
+    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(broadcast_if_few(wanted), "text_key").dropDuplicates(["node"]).select("node", "text")
     return map_batches(chosen, work, "node long, shingles array<long>")
 
 
@@ -162,16 +162,17 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     named = prints.groupBy("fp").agg(F.min("node").alias("chief"))
     far = fingerprint_links(named.select("fp"), budget).distinct()
     far = far.join(named.select(F.col("fp").alias("a"), F.col("chief").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("chief").alias("y")), "b")
-    tried = far.select(F.col("x").alias("a"), F.col("y").alias("b")).union(prints.join(named, "fp").select("node", "chief"))
+    ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    far = far.select(F.col("x").alias("a"), F.col("y").alias("b")).union(prints.join(named, "fp").select("node", "chief"))
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("leader")).where("n > 1"))
     crowd = cut_lineage(join_skewed(members, shared.withColumn("rows", F.col("n")), ["bucket"], "rows", members.count()))
-    tried = tried.union(crowd.select("node", "leader")).where("a <> b")
-    tried = cut_lineage(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = cut_lineage(ordered(far.union(crowd.select("node", "leader"))))
 
     wanted = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = cut_lineage(read_sets(docs, text_col, shingle, classes.select("node", "text_key").join(wanted, "node")))
+    wanted = cut_lineage(classes.select("node", "text_key").join(wanted, "node"))
+    sets = cut_lineage(read_sets(docs, text_col, shingle, wanted))
     links = cut_lineage(confirmed(tried, sets, similarity))
 
     # A bucket of two has had its one pair compared; of equal buckets one is enough.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import broadcast_if_few, connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
 
 SEED = 42
 #: Node pairs that are visited at once.
@@ -271,8 +271,14 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     are one, and rows of one id in different groups all stay. Rows with a null
     id cannot be named and stay.
     """
-    first = groups.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).distinct()
+    pairs = groups.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
+    first = pairs.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key", F.lit(True).alias("is_first"))
+    pairs = pairs.join(first, ["doc_id", "text_key"], "left").where("is_first IS NULL OR n > 1")
+    # What cannot stay as it is: rows that go, and rows that are there more than once. If these are few, texts stay where they are.
+    touched = cut_lineage(pairs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce("is_first", F.lit(False)).alias("_first")))
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(first, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return kept.select("row.*").union(docs.where(F.col(id_col).cast("long").isNull()))
+    once = keyed.join(broadcast_if_few(touched.select("_id", "_key")), ["_id", "_key"], "left_anti").select(*docs.columns)
+    repeated = keyed.join(broadcast_if_few(touched.where("_first").select("_id", "_key")), ["_id", "_key"], "left_semi")
+    repeated = repeated.groupBy("_id", "_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return once.union(repeated)
