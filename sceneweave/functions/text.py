@@ -191,7 +191,7 @@ def text_confidence(text: Column) -> Column:
 
 
 def percent(value: Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", value * 100)
+    return F.format_string(f"%.{places}f%%", F.bround(value * 100, places))
 
 
 def agreement(answer: Column, changed: Column, sar_water: Column, optical_water: Column) -> Column:

@@ -118,8 +118,21 @@ def pair_report(a: str = "a", b: str = "b") -> list[Column]:
     return [F.coalesce(size, F.lit(False)).alias("size_match"), F.coalesce(crs, F.lit(False)).alias("crs_match"), overlap.alias("extent_iou"), gsd.alias("gsd_match"), F.coalesce(same, F.lit(False)).alias("coregistered"), said.alias("warnings")]
 
 
+def check_named_pairs(pairs: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The checks for ``pairs`` (a_id, b_id) of rasters (id, width, height, crs, bounds, gsd_m), whatever their CRS, and without one too.
+
+    Pairs with an id that no raster has are left out.
+    """
+    raster = F.struct("width", "height", "crs", "bounds", "gsd_m")
+    joined = pairs.join(rasters.select(F.col("id").alias("a_id"), raster.alias("a")), "a_id").join(rasters.select(F.col("id").alias("b_id"), raster.alias("b")), "b_id")
+    return joined.select("a_id", "b_id", *pair_report())
+
+
 def check_pairs(rasters: DataFrame, cell: float = 1.0, least_iou: float = 0.0) -> DataFrame:
-    """(a_id, b_id, overlap and checks) for all pairs of rasters (id, width, height, crs, bounds, gsd_m) that overlap.
+    """(a_id, b_id, overlap and checks) for all pairs of rasters (id, width, height, crs, bounds, gsd_m) of one CRS that overlap.
+
+    Boxes in different CRS have no common ground to search; ``check_named_pairs``
+    compares given pairs.
 
     Boxes are filed under the grid cells that they touch, so that pairs meet by
     an equality. A pair is reported from one cell only: the one of the corner

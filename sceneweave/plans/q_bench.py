@@ -173,7 +173,7 @@ def f10_dashboard(spark, sf):
 
 
 def f10_recent_runs(spark, sf):
-    return results.recent_runs(view(spark, sf, "results")).select(F.col("ts").cast("string").alias("ts"), "backend", "model", "n_benchmarks")
+    return results.recent_runs(view(spark, sf, "results")).select(F.col("ts").cast("string").alias("ts"), "backend", "model", "n_benchmarks", "scores")
 
 
 def f11_comparison(spark, sf):
@@ -235,7 +235,7 @@ p AS (SELECT patch_id, bool_or(found) AS any_found FROM k GROUP BY patch_id) SEL
 SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS images_probed, (SELECT count(*) FROM m) AS images_missing, coalesce((SELECT string_agg(image, ',' ORDER BY pos) FROM (SELECT * FROM m ORDER BY pos LIMIT 5) z), '') AS missing_examples,
  (SELECT string_agg(qtype, ',' ORDER BY qtype) FROM (SELECT DISTINCT qtype FROM a WHERE coalesce(qtype, '') <> '' ORDER BY qtype LIMIT 20) z) AS question_types, (SELECT arg_min(sample_id, pos) FROM a) AS example_id""",
     "f10_dashboard": f"WITH {RES}, c AS (SELECT backend, model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.backend, s.model, " + ", ".join(_cell(p, "round({}, 6)") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT backend, model FROM res) s LEFT JOIN c ON c.backend = s.backend AND c.model = s.model GROUP BY ALL",
-    "f10_recent_runs": f"WITH {RES} SELECT CAST(ts AS VARCHAR) AS ts, backend, model, count(DISTINCT benchmark) AS n_benchmarks FROM head GROUP BY ALL",
+    "f10_recent_runs": f"WITH {RES}, l AS (SELECT ts, backend, model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), c AS (SELECT *, benchmark || '=' || printf('%.6f', round(value, 6)) AS v FROM l) SELECT CAST(ts AS VARCHAR) AS ts, backend, model, count(*) AS n_benchmarks, string_agg(v, ';' ORDER BY v) AS scores FROM c GROUP BY ALL",
     "f11_comparison": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.model, " + ", ".join(_cell(p, "coalesce(printf('%.4f', {}), '-')") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT model FROM res) s LEFT JOIN c ON c.model = s.model GROUP BY s.model",
     "f13_sweep_status": f"WITH {RES}, c AS (SELECT model, CASE WHEN seq % 7 = 0 THEN 'error' WHEN seq % 11 = 0 THEN 'pending' ELSE 'ok' END AS status FROM res) SELECT model, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS done, count(*) FILTER (WHERE status = 'error') AS failed, round_even(100.0 * count(*) FILTER (WHERE status <> 'pending') / count(*), 1) AS percent, CAST(5.0 AS DOUBLE) AS per_second FROM c GROUP BY model",
     "f15_normalise_scores": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), r AS (SELECT benchmark, min(value) AS lo, max(value) AS hi FROM c GROUP BY benchmark) SELECT model, round(CAST(sum(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1 END * CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) / sum(CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) AS DOUBLE), 6) AS overall, count(*) AS n_benchmarks FROM c JOIN r USING (benchmark) GROUP BY model",

@@ -58,9 +58,20 @@ def c7_pair_bitemporal(spark, sf):
     return ops.pair_bitemporal(view(spark, sf, "scenes"), (_ts(START), _ts(MIDDLE)), (_ts(MIDDLE), _ts(END)))
 
 
+CHECKS = ["size_match", "crs_match", "gsd_match", "coregistered"]
+
+
 def c5_check_pairs(spark, sf):
-    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m").where("crs IS NOT NULL"), cell=1.0, least_iou=0.3)
-    return p.select("a_id", "b_id", "size_match", "crs_match", F.round("extent_iou", 6).alias("extent_iou"), "gsd_match", "coregistered", F.size("warnings").cast("long").alias("n_warnings"))
+    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m"), cell=1.0)
+    return p.select("a_id", "b_id", *CHECKS, F.round("extent_iou", 6).alias("extent_iou"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+def c5_check_named_pairs(spark, sf):
+    """Each raster with the next two by id: the same or another CRS, no CRS, no bounds, and any overlap."""
+    r = _rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m")
+    pairs = r.select(F.col("id").alias("a_id"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("b_id"))
+    p = ops.check_named_pairs(pairs, r)
+    return p.select("a_id", "b_id", *CHECKS, F.round("extent_iou", 6).alias("extent_iou"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 def f9_diagnose(spark, sf):
@@ -96,7 +107,7 @@ def e24_band_plan(spark, sf):
 def e25_change_floor(spark, sf):
     r = _rasters(spark, sf)
     pixels = F.col("width") * F.col("height")
-    return r.select("id", scenes.change_floor(F.col("gsd_m"), pixels).alias("floor"), scenes.builtup_percentile(F.col("gsd_m")).alias("percentile"), F.regexp_replace(scenes.change_floor_reason(F.round("gsd_m", 6), pixels), r"0\.\d{6}", "#").alias("reason"))
+    return r.select("id", scenes.change_floor(F.col("gsd_m"), pixels).alias("floor"), scenes.builtup_percentile(F.col("gsd_m")).alias("percentile"), scenes.change_floor_reason(F.round("gsd_m", 6), pixels).alias("reason"))
 
 
 def f14_infer_sets(spark, sf):
@@ -108,11 +119,19 @@ def e16_route(spark, sf):
     return q.select("run_id", text.route(F.col("query"), F.col("config")).alias("r")).select("run_id", "r.task", "r.rule", "r.confidence")
 
 
-QUERIES = {f.__name__: f for f in [a4_flatten_scenes, b6_search_scenes, c5_check_pairs, c6_pair_crossmodal, c7_pair_bitemporal, d3_newest, d3_newest_per_area, d4_clearest, e16_route, e20_modality, e21_gsd, e22_utm_epsg, e23_grid_origin, e24_band_plan, e25_change_floor, f9_diagnose, f14_infer_sets]}
+QUERIES = {f.__name__: f for f in [a4_flatten_scenes, b6_search_scenes, c5_check_pairs, c5_check_named_pairs, c6_pair_crossmodal, c7_pair_bitemporal, d3_newest, d3_newest_per_area, d4_clearest, e16_route, e20_modality, e21_gsd, e22_utm_epsg, e23_grid_origin, e24_band_plan, e25_change_floor, f9_diagnose, f14_infer_sets]}
 
 SC = f"sc AS ({view_sql('scenes')})"
 RA = f"""ra0 AS ({view_sql("rasters")}), ra AS (SELECT *, id % 11 <> 0 AS has_bounds, crs IS NOT NULL AND id % 11 <> 0 AS geo,
  CASE WHEN coalesce(crs LIKE '%4326%', FALSE) THEN pixel_x * 111320.0 * greatest(cos(radians(CASE WHEN id % 11 <> 0 THEN (by1 + by2) / 2.0 ELSE 0.0 END)), 0.01) ELSE pixel_x END AS gsd_m FROM ra0)"""
+#: Two rasters side by side, and what the checks say about them.
+PAIR = """p AS (SELECT a.id AS a_id, b.id AS b_id, a.width AS aw, b.width AS bw, a.height AS ah, b.height AS bh, a.crs AS ac, b.crs AS bc, a.gsd_m AS ag, b.gsd_m AS bg, a.geo AS ageo, a.geo AND b.geo AS geos,
+ least(a.bx2, b.bx2) - greatest(a.bx1, b.bx1) AS w, least(a.by2, b.by2) - greatest(a.by1, b.by1) AS h FROM {join}),
+q AS (SELECT *, aw = bw AND ah = bh AS size_match, geos AND ac = bc AS crs_match, CASE WHEN geos THEN CASE WHEN w > 0 AND h > 0 THEN w * h / (6.0 - w * h) ELSE 0.0 END END AS iou, geos AND abs(ag - bg) / greatest(ag, bg) <= 0.05 AS gsd_match FROM p)"""
+REPORT = """SELECT * FROM (SELECT a_id, b_id, size_match, coalesce(crs_match, FALSE) AS crs_match, gsd_match, coalesce((crs_match AND iou >= 0.9) OR (NOT coalesce(crs_match AND iou >= 0.9, FALSE) AND size_match AND NOT ageo), FALSE) AS coregistered, round(CAST(iou AS DOUBLE), 6) AS extent_iou, concat_ws('; ',
+ CASE WHEN NOT size_match THEN 'pixel dimensions differ: ' || aw || 'x' || ah || ' vs ' || bw || 'x' || bh END, CASE WHEN geos AND ac <> bc THEN 'CRS differs: ' || ac || ' vs ' || bc END,
+ CASE WHEN geos AND iou < 0.9 AND iou > 0 THEN printf('extents only partially overlap (IoU %.2f)', CAST(iou AS DOUBLE)) END, CASE WHEN geos AND iou = 0 THEN 'extents do not overlap: images cover different ground' END,
+ CASE WHEN geos AND NOT gsd_match THEN printf('ground sample distance differs: %.2f m vs %.2f m', CAST(ag AS DOUBLE), CAST(bg AS DOUBLE)) END, CASE WHEN NOT geos THEN 'one or both inputs are not georeferenced; co-registration assumed from identical pixel dimensions' END) AS warnings FROM q) z"""
 SETS = f"""im AS ({view_sql("images")}), se AS (SELECT set_id, count(*) AS n, count(*) FILTER (WHERE modality = 'sar') AS s, string_agg(CASE WHEN modality = 'sar' THEN 'sar' ELSE 'optical' END, ',' ORDER BY position) AS xr FROM im GROUP BY set_id),
 sets AS (SELECT set_id, n, CASE WHEN n = 1 THEN 'single' WHEN n > 2 THEN NULL WHEN s = 1 THEN 'crossmodal_pair' ELSE 'bitemporal_pair' END AS config, xr FROM se)"""
 SEARCH = f"x1 <= {BBOX[2]} AND x2 >= {BBOX[0]} AND y1 <= {BBOX[3]} AND y2 >= {BBOX[1]} AND datetime >= TIMESTAMP '{START}' AND datetime <= TIMESTAMP '{END}'"
@@ -122,9 +141,8 @@ ROUTE = """CASE WHEN config = 'crossmodal_pair' THEN ['crossmodal_vqa', 'input_c
 SQL = {
     "a4_flatten_scenes": f"WITH {SC} SELECT id, collection, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, round(cloud_cover, 6) AS cloud_cover, round(x1, 6) AS x1, round(y2, 6) AS y2 FROM sc",
     "b6_search_scenes": f"WITH {SC} SELECT id, collection, round(cloud_cover, 6) AS cloud_cover FROM sc WHERE {SEARCH} AND (collection = 'sentinel-1-rtc' OR cloud_cover < 20)",
-    "c5_check_pairs": f"""WITH {RA}, g AS (SELECT * FROM ra WHERE geo), p AS (SELECT a.id AS a_id, b.id AS b_id, a.width AS aw, b.width AS bw, a.gsd_m AS ag, b.gsd_m AS bg, least(a.bx2, b.bx2) - greatest(a.bx1, b.bx1) AS w, least(a.by2, b.by2) - greatest(a.by1, b.by1) AS h FROM g a JOIN g b ON a.id < b.id AND a.crs = b.crs),
-q AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN w * h / (6.0 - w * h) ELSE 0.0 END AS iou, abs(ag - bg) / greatest(ag, bg) <= 0.05 AS gm FROM p)
-SELECT a_id, b_id, aw = bw AS size_match, TRUE AS crs_match, round(CAST(iou AS DOUBLE), 6) AS extent_iou, gm AS gsd_match, iou >= 0.9 AS coregistered, CAST(aw <> bw AS BIGINT) + CAST(iou < 0.9 AS BIGINT) + CAST(NOT gm AS BIGINT) AS n_warnings FROM q WHERE iou >= 0.3""",
+    "c5_check_pairs": f"WITH {RA}, {PAIR.format(join="ra a JOIN ra b ON a.id < b.id AND a.geo AND b.geo AND a.crs = b.crs")} {REPORT} WHERE extent_iou > 0",
+    "c5_check_named_pairs": f"WITH {RA}, {PAIR.format(join="ra a JOIN ra b ON b.id IN (a.id + 1, a.id + 2)")} {REPORT}",
     "c6_pair_crossmodal": f"""WITH {SC}, o AS (SELECT area_id, id, row_number() OVER (PARTITION BY area_id ORDER BY cloud_cover, id) AS r FROM sc WHERE collection = 'sentinel-2-l2a' AND cloud_cover < 8), s AS (SELECT area_id, id, row_number() OVER (PARTITION BY area_id ORDER BY datetime DESC, id) AS r FROM sc WHERE collection = 'sentinel-1-rtc')
 SELECT o.area_id, o.id AS optical_id, s.id AS sar_id FROM o JOIN s ON s.area_id = o.area_id AND o.r = 1 AND s.r = 1""",
     "c7_pair_bitemporal": f"""WITH {SC}, o AS (SELECT area_id, id, datetime < TIMESTAMP '{MIDDLE}' AS early, row_number() OVER (PARTITION BY area_id, datetime < TIMESTAMP '{MIDDLE}' ORDER BY coalesce(cloud_cover, 100), id) AS r FROM sc WHERE collection = 'sentinel-2-l2a' AND datetime >= TIMESTAMP '{START}' AND datetime < TIMESTAMP '{END}')
@@ -138,7 +156,7 @@ SELECT a.area_id, a.id AS before_id, b.id AS after_id FROM o a JOIN o b ON a.are
     "e22_utm_epsg": f"WITH {SC}, k AS (SELECT id, (x1 + x2) / 2 - id % 5 * 40 AS lon, (y1 + y2) / 2 - id % 2 * 30 AS lat FROM sc) SELECT id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(floor((lon + 180) / 6) AS INT) + 1 AS INTEGER) AS epsg FROM k",
     "e23_grid_origin": f"WITH {SC} SELECT id, round_even((x1 * 1000 - 5120.0) / 10.0, 0) * 10.0 AS origin_x, round_even((y1 * 1000 + 5120.0) / 10.0, 0) * 10.0 AS origin_y FROM sc",
     "e24_band_plan": f"WITH {RA} SELECT id, CAST(CASE band_count WHEN 4 THEN 1 WHEN 12 THEN 4 WHEN 13 THEN 4 END AS INTEGER) AS red, CAST(CASE band_count WHEN 4 THEN 4 WHEN 12 THEN 8 WHEN 13 THEN 8 END AS INTEGER) AS nir, CAST(CASE band_count WHEN 12 THEN 11 WHEN 13 THEN 12 END AS INTEGER) AS swir, CASE WHEN band_count >= 12 THEN '4,3,2' WHEN band_count >= 3 THEN '1,2,3' END AS preview FROM ra",
-    "e25_change_floor": f"WITH {RA}, k AS (SELECT id, gsd_m, round_even(CAST(least(10000.0 / (width * height * gsd_m * gsd_m), 0.2) AS DOUBLE), 8) AS f FROM ra) SELECT id, f AS floor, CAST(CASE WHEN gsd_m >= 8 THEN 92.0 ELSE 95.0 END AS DOUBLE) AS percentile, printf('speckle floor # of the scene, which is 1 ha at %.2f m/px', round(gsd_m, 6)) AS reason FROM k",
+    "e25_change_floor": f"WITH {RA}, k AS (SELECT id, gsd_m, width * height AS n, round_even(CAST(least(10000.0 / (width * height * gsd_m * gsd_m), 0.2) AS DOUBLE), 8) AS f FROM ra) SELECT id, f AS floor, CAST(CASE WHEN gsd_m >= 8 THEN 92.0 ELSE 95.0 END AS DOUBLE) AS percentile, printf('speckle floor %.6f of the scene, which is 1 ha at %.2f m/px', round(round_even(CAST(least(10000.0 / (n * round(gsd_m, 6) * round(gsd_m, 6)), 0.2) AS DOUBLE), 8), 6), round(gsd_m, 6)) AS reason FROM k",
     "f9_diagnose": f"""WITH {SC}, ar AS (SELECT DISTINCT area_id FROM sc), rq AS (SELECT area_id * 10 AS request_id, area_id, 0.001 AS mc FROM ar UNION ALL SELECT area_id * 10 + 1, area_id, 50.0 FROM ar UNION ALL SELECT area_id * 10 + 2, area_id + 100, 50.0 FROM ar),
 k AS (SELECT request_id, mc, least(count(*) FILTER (WHERE cloud_cover < mc), 12) AS kept, least(count(id), 12) AS n, min(cloud_cover) AS c FROM rq LEFT JOIN sc ON sc.area_id = rq.area_id AND collection = 'sentinel-2-l2a' GROUP BY request_id, mc)
 SELECT request_id, kept, CASE WHEN kept = 0 THEN n END AS filtered_out, CASE WHEN kept = 0 THEN round(c, 6) END AS clearest,

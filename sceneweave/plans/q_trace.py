@@ -9,6 +9,7 @@ from sceneweave.operators import scenes as scene_ops
 from sceneweave.plans import trace
 from sceneweave.plans.fixtures import view, view_sql
 from sceneweave.plans.q_metrics import _boxes
+from sceneweave.plans.q_scenes import ROUTE
 
 
 def _sets(spark, sf):
@@ -21,8 +22,8 @@ def _runs(spark, sf):
 
 def b7_validate_params(spark, sf):
     d = view(spark, sf, "measures")
-    calls = d.select(F.col("set_id").alias("run_id"), F.when(F.col("set_id") % 3 == 0, "sar_indices").when(F.col("set_id") % 3 == 1, "change_mask").otherwise("vlm_vqa").alias("tool"), F.when(F.col("set_id") % 3 == 0, "builtup_percentile").when(F.col("set_id") % 3 == 1, "threshold").when(F.col("set_id") % 2 == 0, "max_new_tokens").otherwise("top_p").alias("param"), (F.col("changed_area_frac") * 400).alias("value"))
-    return trace.validate_params(calls, trace.rules_table(spark)).select("run_id", "tool", (F.col("violations") == "").alias("valid"), F.contains("violations", F.lit("not permitted")).alias("unknown"))
+    calls = d.select(F.col("set_id").alias("run_id"), F.when(F.col("set_id") % 3 == 0, "sar_indices").when(F.col("set_id") % 3 == 1, "change_mask").otherwise("vlm_vqa").alias("tool"), F.when(F.col("set_id") % 3 == 0, "builtup_percentile").when(F.col("set_id") % 3 == 1, "threshold").when(F.col("set_id") % 2 == 0, "max_new_tokens").otherwise("top_p").alias("param"), F.round(F.col("changed_area_frac") * 400, 0).alias("value"))
+    return trace.validate_params(calls, trace.rules_table(spark)).select("run_id", "tool", "violations")
 
 
 def c8_join_boxes(spark, sf):
@@ -50,7 +51,7 @@ def e15_evidence_preamble(spark, sf):
 def e18_agreement(spark, sf):
     m = view(spark, sf, "measures").join(view(spark, sf, "vqa").select(F.col("sample_id").alias("set_id"), "raw_text"), "set_id")
     a = text.agreement(F.col("raw_text"), F.when(F.col("set_id") % 4 != 3, F.col("changed_area_frac")), F.col("sar_water_fraction"), F.col("optical_water_fraction"))
-    return m.select("set_id", a.alias("a")).select("set_id", "a.adjustment", F.substring("a.warning", 1, 30).alias("warning"))
+    return m.select("set_id", a.alias("a")).select("set_id", "a.adjustment", "a.warning")
 
 
 def e19_generation_budget(spark, sf):
@@ -93,7 +94,7 @@ def l2_tools(spark, sf):
 
 def l4_traces(spark, sf):
     traces, _ = trace.trace(spark, view(spark, sf, "queries"), _sets(spark, sf), view(spark, sf, "measures"))
-    return traces.select("run_id", "task", F.substring("answer", 1, 20).alias("answer"), F.col("warning").isNotNull().alias("warned"), "n_steps")
+    return traces.select("run_id", "task", "rule", "answer", "warning", F.round("confidence", 3).alias("confidence"), "n_steps")
 
 
 def l4_steps(spark, sf):
@@ -118,27 +119,36 @@ runs AS (SELECT run_id, set_id, query, config, CASE WHEN config = 'crossmodal_pa
 TOOLS = "tools AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', '{c}', {o})" for t, k, c, o in lookup.TOOLS) + ") v(tool, task, config, ord))"
 _toks = lambda c: f"list_transform(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> ''), lambda t: lower(trim(t, '.,;:!?')))"
 _any = lambda t, words: f"list_has_any({t}, [" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "])"
+_percent = lambda c: f"printf('%.1f%%', {c} * 100)"
+_warn = lambda said, only: f"'the answer reports {said}, but the change mask covers {only}' || {_percent('c')} || ' of the scene'"
+WATER = f"'optical and SAR disagree on water extent (' || {_percent('o')} || ' vs ' || {_percent('s')} || '); cloud or shadow is likely'"
 _label = lambda k: "'- " + lookup.EVIDENCE_LABELS[k] + ": '"
 #: What the stand-in answers, and whether that contradicts the measures.
-ANSWERS = f"""ans AS (SELECT r.*, me.changed_area_frac AS c, abs(sar_water_fraction - optical_water_fraction) AS gap, CASE WHEN task = 'grounding' THEN 'box' WHEN task IN ('caption', 'change_caption') OR r.run_id % 8 IN (1, 5) THEN 'caption' ELSE 'yes' END AS kind FROM runs r LEFT JOIN me ON me.set_id = r.set_id),
+ANSWERS = f"""ans AS (SELECT r.*, me.changed_area_frac AS c, abs(sar_water_fraction - optical_water_fraction) AS gap, sar_water_fraction AS s, optical_water_fraction AS o, CASE WHEN task = 'grounding' THEN 'box' WHEN task IN ('caption', 'change_caption') OR r.run_id % 8 IN (1, 5) THEN 'caption' ELSE 'yes' END AS kind FROM runs r LEFT JOIN me ON me.set_id = r.set_id),
 verdict AS (SELECT *, CASE WHEN kind = 'yes' AND c < 0.02 THEN TRUE WHEN kind = 'yes' AND c > 0.02 THEN FALSE ELSE coalesce(gap > 0.15, FALSE) END AS warned FROM ans)"""
 SQL = {
-    "b7_validate_params": f"WITH {ME}, c AS (SELECT set_id, changed_area_frac * 400 AS v FROM me) SELECT set_id AS run_id, CASE set_id % 3 WHEN 0 THEN 'sar_indices' WHEN 1 THEN 'change_mask' ELSE 'vlm_vqa' END AS tool, CASE set_id % 3 WHEN 0 THEN v BETWEEN 80 AND 99.5 WHEN 1 THEN v BETWEEN 0.02 AND 0.9 ELSE set_id % 2 = 0 AND v BETWEEN 1 AND 512 END AS valid, set_id % 3 = 2 AND set_id % 2 = 1 AS unknown FROM c",
+    "b7_validate_params": f"""WITH {ME}, c AS (SELECT set_id, round(changed_area_frac * 400, 0) AS v FROM me), k AS (SELECT set_id, v, CASE set_id % 3 WHEN 0 THEN 'sar_indices' WHEN 1 THEN 'change_mask' ELSE 'vlm_vqa' END AS tool,
+ CASE WHEN set_id % 3 = 0 THEN ['builtup_percentile', '80.0', '99.5'] WHEN set_id % 3 = 1 THEN ['threshold', '0.02', '0.9'] WHEN set_id % 2 = 0 THEN ['max_new_tokens', '1.0', '512.0'] END AS rule FROM c)
+SELECT set_id AS run_id, tool, CASE WHEN rule IS NULL THEN tool || ': parameter ''top_p'' is not permitted' WHEN v NOT BETWEEN CAST(rule[2] AS DOUBLE) AND CAST(rule[3] AS DOUBLE) THEN tool || ': ' || chr(39) || rule[1] || chr(39) || '=' || printf('%.1f', v) || ' outside [' || rule[2] || ', ' || rule[3] || ']' ELSE '' END AS violations FROM k""",
     "c8_join_boxes": f"WITH {_boxes('milli')} SELECT scored.sample_id, CASE WHEN raw_text LIKE '{{<%' THEN 0.0 ELSE round(iou, 6) END AS iou FROM scored JOIN b ON b.sample_id = scored.sample_id",
     "c9_agree": f"WITH {ME} SELECT set_id AS pair_id, round(abs(optical_water_fraction - sar_water_fraction), 6) AS gap, abs(optical_water_fraction - sar_water_fraction) <= 0.15 AS agrees, CAST(CASE WHEN abs(optical_water_fraction - sar_water_fraction) <= 0.15 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM me WHERE sar_water_fraction IS NOT NULL",
     "c12_select_tools": f"WITH {RUNS}, {TOOLS} SELECT run_id, tool, CAST(ord AS INTEGER) AS ord FROM runs JOIN tools USING (task, config)",
     "e15_evidence_preamble": f"WITH {ME} SELECT set_id, CASE WHEN set_id % 2 = 0 THEN '{lookup.EVIDENCE_HEADER_AGAIN}' ELSE '{lookup.EVIDENCE_HEADER}' END || chr(10) || concat_ws(chr(10), {_label('changed_area_frac')} || CAST(CAST(round_even(changed_area_frac, 4) AS DECIMAL(6,4)) AS VARCHAR), {_label('direction')} || direction, {_label('sar_water_fraction')} || CAST(CAST(sar_water_fraction AS DECIMAL(6,4)) AS VARCHAR)) AS preamble FROM me",
-    "e18_agreement": f"""WITH {ME}, v AS ({view_sql("vqa")}), k AS (SELECT set_id, {_toks("raw_text")} AS t, CASE WHEN set_id % 4 <> 3 THEN changed_area_frac END AS c, abs(sar_water_fraction - optical_water_fraction) AS g FROM me JOIN v ON v.sample_id = me.set_id),
-w AS (SELECT set_id, g, c, {_any("t", lookup.NEGATIVE_WORDS)} AS nothing, {_any("t", lookup.POSITIVE_WORDS)} AS something FROM k),
-z AS (SELECT set_id, CASE WHEN nothing AND c > 0.10 THEN 1 WHEN something AND c < 0.02 THEN 2 WHEN (nothing AND c < 0.02) OR (something AND c > 0.02) THEN 3 WHEN g > 0.15 THEN 4 WHEN g IS NOT NULL THEN 5 ELSE 6 END AS i FROM w)
-SELECT set_id, CAST([-0.18, -0.15, 0.10, -0.12, 0.08, 0.0][i] AS DOUBLE) AS adjustment, CASE i WHEN 1 THEN 'the answer reports no change, ' WHEN 2 THEN 'the answer reports change, but' WHEN 4 THEN 'optical and SAR disagree on wat' END[1:30] AS warning FROM z""",
+    "e18_agreement": f"""WITH {ME}, v AS ({view_sql("vqa")}), k AS (SELECT set_id, {_toks("raw_text")} AS t, CASE WHEN set_id % 4 <> 3 THEN changed_area_frac END AS c, abs(sar_water_fraction - optical_water_fraction) AS g, sar_water_fraction AS s, optical_water_fraction AS o FROM me JOIN v ON v.sample_id = me.set_id),
+w AS (SELECT set_id, g, c, s, o, {_any("t", lookup.NEGATIVE_WORDS)} AS nothing, {_any("t", lookup.POSITIVE_WORDS)} AS something FROM k),
+z AS (SELECT set_id, c, s, o, CASE WHEN nothing AND c > 0.10 THEN 1 WHEN something AND c < 0.02 THEN 2 WHEN (nothing AND c < 0.02) OR (something AND c > 0.02) THEN 3 WHEN g > 0.15 THEN 4 WHEN g IS NOT NULL THEN 5 ELSE 6 END AS i FROM w)
+SELECT set_id, CAST([-0.18, -0.15, 0.10, -0.12, 0.08, 0.0][i] AS DOUBLE) AS adjustment, CASE i WHEN 1 THEN {_warn("no change", "") } WHEN 2 THEN {_warn("change", "only ")} WHEN 4 THEN {WATER} END AS warning FROM z""",
     "e19_generation_budget": f"WITH {RUNS} SELECT run_id, run_id % 8 IN (2, 4, 7) AS closed, CAST(CASE WHEN task IN ('caption', 'change_caption') THEN 200 WHEN task = 'grounding' THEN 64 WHEN task = 'crossmodal_vqa' THEN 128 WHEN run_id % 8 IN (2, 4, 7) THEN 24 ELSE 64 END AS INTEGER) AS tokens FROM runs",
     "e27_trace_json": f"""WITH {RUNS} SELECT run_id, '{{"run_id":' || run_id || ',"task":"' || task || '","config":"' || config || '"}}' AS json FROM runs""",
     "e28_echo": f"WITH {RUNS} SELECT run_id, CASE WHEN task = 'grounding' THEN '{lookup.ECHO_BOX}' WHEN task IN ('caption', 'change_caption') OR query ILIKE '%describe%' THEN '{lookup.ECHO_CAPTION}' ELSE 'yes' END AS answer FROM runs",
     "f12_blend": f"WITH p AS ({view_sql('predictions')}) SELECT model AS run_id, round_even(avg(CASE WHEN answer IS NULL THEN 0.05 ELSE 0.84 END)::DOUBLE, 3) AS confidence FROM p WHERE sample_id % 3 <> 0 GROUP BY model",
     "l1_run_model": f"WITH {RUNS} SELECT run_id, length(query) || ' characters' AS answer, CASE WHEN task IN ('vqa', 'change_vqa', 'crossmodal_vqa') THEN 'length' ELSE 'stop' END AS finish FROM runs",
     "l2_tools": f"WITH {RUNS}, {TOOLS}, n AS (SELECT tool, count(*) AS calls FROM runs JOIN tools USING (task, config) GROUP BY tool) SELECT tool, '1.0.0' AS version, param, calls FROM n JOIN (VALUES ('change_mask', 'threshold'), ('change_mask', 'min_area_frac'), ('optical_indices', 'water_threshold'), ('optical_indices', 'builtup_threshold'), ('sar_indices', 'builtup_percentile')) v(tool, param) USING (tool)",
-    "l4_traces": f"WITH {ME}, {RUNS}, {ANSWERS} SELECT run_id, task, substr(CASE kind WHEN 'box' THEN '{lookup.ECHO_BOX}' WHEN 'caption' THEN '{lookup.ECHO_CAPTION}' ELSE 'yes' END, 1, 20) AS answer, warned, CAST(1 + CASE WHEN task LIKE 'change%' THEN 1 WHEN task = 'crossmodal_vqa' THEN 2 ELSE 0 END + CASE WHEN warned THEN 1 ELSE 0 END AS BIGINT) AS n_steps FROM verdict",
+    "l4_traces": f"""WITH {ME}, {RUNS}, {ANSWERS},
+sc AS (SELECT v.*, {ROUTE}[2] AS rule, CASE WHEN kind = 'yes' AND c < 0.02 THEN 2 WHEN kind = 'yes' AND c > 0.02 THEN 3 WHEN gap > 0.15 THEN 4 WHEN gap IS NOT NULL THEN 5 ELSE 6 END AS i, 1 + CAST(warned AS INTEGER) AS asked, CASE kind WHEN 'yes' THEN 0.84 ELSE 0.78 END AS own,
+ CASE WHEN task LIKE 'change%' AND c IS NOT NULL THEN 0.5 WHEN task = 'crossmodal_vqa' THEN coalesce(o - o + 0.85, 0) + coalesce(s - s + 0.8, 0) ELSE 0 END AS said, CASE WHEN task LIKE 'change%' THEN CAST(c IS NOT NULL AS INTEGER) WHEN task = 'crossmodal_vqa' THEN CAST(o IS NOT NULL AS INTEGER) + CAST(s IS NOT NULL AS INTEGER) ELSE 0 END AS saying FROM (SELECT *, run_id % 8 AS m FROM verdict) v)
+SELECT run_id, task, rule, CASE kind WHEN 'box' THEN '{lookup.ECHO_BOX}' WHEN 'caption' THEN '{lookup.ECHO_CAPTION}' ELSE 'yes' END AS answer, CASE i WHEN 2 THEN {_warn("change", "only ")} WHEN 4 THEN {WATER} END AS warning,
+ round_even(least(greatest(round_even(CAST((said + own * asked) / (saying + asked) AS DOUBLE), 3) + [0, -0.15, 0.10, -0.12, 0.08, 0.0][i], 0.05), 0.92)::DOUBLE, 3) AS confidence, CAST(asked + CASE WHEN task LIKE 'change%' THEN 1 WHEN task = 'crossmodal_vqa' THEN 2 ELSE 0 END AS BIGINT) AS n_steps FROM sc""",
     "l4_steps": f"""WITH {ME}, {RUNS}, {TOOLS}, {ANSWERS}, st AS (SELECT v.run_id, tool, row_number() OVER (PARTITION BY v.run_id ORDER BY ord) AS step, warned FROM verdict v JOIN tools USING (task, config)),
 al AS (SELECT tool, step, 0 AS rev FROM st UNION ALL SELECT tool, step + 1, 1 FROM st WHERE warned AND tool LIKE 'vlm%') SELECT tool, CAST(step AS INTEGER) AS step, count(*) AS n, CAST(sum(rev) AS BIGINT) AS revisions FROM al GROUP BY tool, step""",
     "l5_retries": f"""WITH p AS ({view_sql("predictions")}), {ME} SELECT sample_id AS run_id, 'p' AS prompt, CAST(128 AS INTEGER) AS max_new_tokens, 'truncated' AS kind FROM p WHERE finish = 'length' AND sample_id % 2 = 0

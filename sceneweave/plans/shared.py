@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
+from sceneweave.operators.cluster import cut_lineage, shared_folder
 
-from pyspark.sql import SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+__all__ = ["cut_lineage", "shared_folder"]

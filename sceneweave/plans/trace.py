@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneweave.functions import lookup, scenes, text
+from sceneweave.operators.cluster import cut_lineage
 
 MOST_TOKENS = 384
 
@@ -165,10 +166,11 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     body = text.render_prompt(F.col("task"), F.when(F.trim("query") != "", F.col("query")).otherwise("Describe the image."))
     with_preamble = lambda again: F.concat_ws("\n\n", F.nullif(text.evidence_preamble(values, again), F.lit("")), body)
     first = measured.withColumn("prompt", with_preamble(None)).withColumn("max_new_tokens", tokens["tokens"])
-    replies = model(first.select("run_id", "prompt", "max_new_tokens"))
+    # A model is asked once: both rounds of replies are kept before anything reads them.
+    replies = cut_lineage(model(first.select("run_id", "prompt", "max_new_tokens")))
     answered = first.join(replies.select("run_id", "answer", "finish"), "run_id")
     retries = retry_truncated(answered).unionByName(retry_contradicted(answered, with_preamble(F.lit(True))))
-    second = model(retries.select("run_id", "prompt", "max_new_tokens")).select("run_id", F.col("answer").alias("answer_2"))
+    second = cut_lineage(model(retries.select("run_id", "prompt", "max_new_tokens"))).select("run_id", F.col("answer").alias("answer_2"))
     second = retries.select("run_id", F.col("reason").alias("reason_2"), F.col("max_new_tokens").alias("tokens_2")).join(second, "run_id")
     final = answered.join(second, "run_id", "left").withColumn("final_answer", F.coalesce("answer_2", "answer"))
     vlm = text.text_confidence
