@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneweave.functions import boxes, text
+from sceneweave.operators.cluster import cut_lineage, join_skewed
 
 
 def mark_answers(frame: DataFrame, prediction: str = "raw_text", gold: str = "gold") -> DataFrame:
@@ -108,16 +109,17 @@ def cider_d(captions: DataFrame, sigma: float = 6.0) -> DataFrame:
     """One row cider_d over the corpus.
 
     Document frequencies come from all reference sets. Candidates without
-    references add nothing but count in the number of samples. Gram joins are
-    left to adaptive execution: neither side is broadcast by hand.
+    references add nothing but count in the number of samples. Grams are
+    counted once and kept; a gram of very many samples gets its frequency by
+    broadcast, the others by shuffle.
     """
     tokens = tokenized(captions)
     samples = tokens.where("part = 'candidate'").select("sample_id")
-    grams = gram_table(tokens.join(samples, "sample_id", "left_semi"))
-    df = grams.where("most > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
+    grams = cut_lineage(gram_table(tokens.join(samples, "sample_id", "left_semi")))
+    df = cut_lineage(grams.groupBy("n", "gram").agg(F.count_if(F.col("most") > 0).alias("df"), F.count("*").alias("rows")))
     total = samples.agg(F.count("*").alias("samples"))
-    idf = F.ln("samples") - F.ln(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))
-    weighted = grams.join(df, ["n", "gram"], "left").crossJoin(F.broadcast(total)).withColumn("idf", idf)  # one row
+    idf = F.ln("samples") - F.ln(F.greatest("df", F.lit(1)))
+    weighted = join_skewed(grams, df, ["n", "gram"], "rows", grams.count()).crossJoin(F.broadcast(total)).withColumn("idf", idf)  # one row
     # A row of its own, without reference, carries the candidate's own norm.
     own = F.array(F.struct(F.lit(None).cast(tokens.schema["ref"].dataType).alias("ref"), F.lit(0).cast("long").alias("count")))
     spread = weighted.select("sample_id", "n", (F.col("c") * F.col("idf")).alias("cw"), "idf", F.explode(F.concat(own, "refs")).alias("r"))
@@ -158,18 +160,26 @@ def defect_rates(predictions: DataFrame, flags: dict[str, Column], by: list[str]
     return predictions.groupBy(*(by or [])).agg(*rates, F.count("*").alias("n"))
 
 
-def multilabel_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+def multilabel_metrics(scores: DataFrame, threshold: float = 0.5, ranges: int = 4096) -> DataFrame:
     """One row (micro_f1, macro_f1, mean_ap) from (sample_id, label, score, truth).
 
     Average precision of a label is the mean of the precision at each true row,
-    in order of score, then sample_id. Labels are few, rows are many: precision
-    needs the rank within a label, from a window per label.
+    in order of score, then sample_id. Labels are few, rows are many: each
+    label's scores are cut into equal ``ranges`` between the least and the
+    greatest score. Counts per range add up to what lies above it, and only
+    the rows of a range are ranked together.
     """
     hit = (F.col("score") >= threshold).cast("int")
     counts = scores.groupBy("label").agg(F.sum(hit * F.col("truth")).alias("tp"), F.sum(hit * (1 - F.col("truth"))).alias("fp"), F.sum((1 - hit) * F.col("truth")).alias("fn"))
     f1 = lambda tp, fp, fn: F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
     sums = counts.agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro_f1"), F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"))
-    order = Window.partitionBy("label").orderBy(F.col("score").desc(), "sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scores.withColumn("true_so_far", F.sum("truth").over(order)).withColumn("rank", F.count("*").over(order))
-    ap = ranked.where("truth = 1").groupBy("label").agg(F.avg(F.col("true_so_far") / F.col("rank")).alias("ap"))
+    limits = scores.agg(F.min("score").alias("least"), F.max("score").alias("greatest"))  # one row
+    width = F.nullif(F.col("greatest") - F.col("least"), F.lit(0.0))
+    cut = scores.crossJoin(F.broadcast(limits)).withColumn("range", F.coalesce(F.floor((F.col("greatest") - F.col("score")) / width * ranges), F.lit(0)).cast("int")).drop("least", "greatest")
+    above = Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    steps = cut.groupBy("label", "range").agg(F.count("*").alias("n"), F.sum("truth").alias("t"))
+    steps = steps.select("label", "range", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t_above"))
+    order = Window.partitionBy("label", "range").orderBy(F.col("score").desc(), "sample_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cut.withColumn("t", F.sum("truth").over(order)).withColumn("n", F.count("*").over(order)).where("truth = 1").join(steps, ["label", "range"])
+    ap = ranked.groupBy("label").agg(F.avg((F.col("t") + F.col("t_above")) / (F.col("n") + F.col("n_above"))).alias("ap"))
     return sums.crossJoin(F.broadcast(ap.agg(F.avg("ap").alias("mean_ap"))))  # one row each

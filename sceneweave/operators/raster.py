@@ -50,14 +50,14 @@ def stretch(pixels: DataFrame, keys: tuple[str, ...] = ("scene_id", "band"), low
     return pixels.join(limits, list(keys)).withColumn("level", level).drop("lo", "hi")
 
 
-def is_linear(pixels: DataFrame, rasters: DataFrame | None = None, reference_dtype: bool = False) -> DataFrame:
+def is_linear(pixels: DataFrame, rasters: DataFrame | None = None, reference_dtype: bool = False, approximate: bool = False) -> DataFrame:
     """(scene_id, linear): at most two bands, a float type, nothing negative, and a 99th percentile over eight times the median.
 
     The stored type comes from ``rasters`` (scene_id, dtype); with
     ``reference_dtype`` every raster counts as float.
     """
     usable = F.when(finite(F.col("v")), F.col("v"))
-    stats = pixels.groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.min(usable).alias("least"), percentiles("v", (0.5, 0.99)).alias("p"))
+    stats = pixels.groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.min(usable).alias("least"), percentiles("v", (0.5, 0.99), approximate).alias("p"))
     typed = F.lit(True)
     if rasters is not None and not reference_dtype:
         stats = stats.join(rasters.select("scene_id", "dtype"), "scene_id", "left")

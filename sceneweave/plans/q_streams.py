@@ -29,22 +29,28 @@ def _stream(spark, sf):
     return s.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), "value")
 
 
-def _finish(spark, frame, mode, name):
-    """Run a stream to the end of its input and read what it wrote."""
+def _finish(spark, frame, mode, name, writer=None):
+    """Run a stream to the end of its input and read what it wrote, by a function of the folder or as it is."""
     folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    each = writer(f"{folder}/out") if writer else write
+    q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
 def k1_run_summary_stream(spark, sf):
-    out = _finish(spark, runs.run_summary(_stream(spark, sf), "36500 days"), "update", "k1")
-    last = out.groupBy("run_id").agg(F.max_by(F.struct("status", "steps", "n_events"), "batch").alias("l"))
-    return last.select("run_id", "l.status", "l.steps", "l.n_events")
+    parts = _finish(spark, _stream(spark, sf), "append", "k1", runs.append_summaries)
+    return runs.merged_summary(parts).select("run_id", "status", "steps", "n_events", _stamp("first_ts"), _stamp("last_ts"))
+
+
+def k2_silent_sessions_stream(spark, sf):
+    """Stretches of events without a silence, of those that the watermark has closed at the log's end."""
+    s = _finish(spark, runs.silent_sessions(_stream(spark, sf), GAP), "append", "k2")
+    return s.select("run_id", _stamp("start"), _stamp("end"), "n")
 
 
 def k2_silent_runs(spark, sf):
@@ -59,7 +65,7 @@ def k3_running_accuracy(spark, sf):
 
 def k3_running_accuracy_stream(spark, sf):
     s = _stream(spark, sf).select((F.col("run_id") % 3).cast("string").alias("model"), F.col("seq").alias("sample_id"), (F.col("seq") % 4 == 0).cast("int").alias("hit"), "ts")
-    out = _finish(spark, runs.deduplicated(s.union(s), "36500 days"), "append", "k3")
+    out = _finish(spark, runs.deduplicated(s.union(s)), "append", "k3")
     return runs.running_accuracy(out).select("model", "n", F.round("oa", 6).alias("oa"))
 
 
@@ -99,15 +105,19 @@ def k4_acquisition_feed_stream(spark, sf):
     return _finish(spark, runs.acquisition_feed(s, _areas(spark, sf)), "append", "k4").select("area_id", "id", "collection")
 
 
-QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silent_runs, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed, k4_acquisition_feed_stream]}
+QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silent_runs, k2_silent_sessions_stream, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed, k4_acquisition_feed_stream]}
 
 EV = f"ev AS ({view_sql('run_events')})"
-K1 = "SELECT run_id, CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'complete') THEN 'complete' ELSE 'running' END AS status, count(*) FILTER (WHERE type = 'step') AS steps, count(*) AS n_events"
+K1 = "SELECT run_id, CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'complete') THEN 'complete' ELSE 'running' END AS status, count(*) FILTER (WHERE type = 'step') AS steps, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts"
 K3 = "SELECT CAST(user_id % 3 AS VARCHAR) AS model, count(*) AS n, round(avg(CAST(event_id % 4 = 0 AS INT)), 6) AS oa FROM events GROUP BY 1"
 K4 = f"WITH sc AS ({view_sql('scenes')}), ar AS (SELECT DISTINCT area_id FROM sc) SELECT ar.area_id, sc.id, sc.collection FROM sc JOIN ar ON (x1 + x2) / 2 BETWEEN 70.0 + ar.area_id AND 71.0 + ar.area_id AND (y1 + y2) / 2 BETWEEN 10.0 AND 11.5 WHERE collection = 'sentinel-1-rtc' OR cloud_cover < 20"
 SQL = {
-    "k1_run_summary": f"WITH {EV} {K1}, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM ev GROUP BY run_id",
+    "k1_run_summary": f"WITH {EV} {K1} FROM ev GROUP BY run_id",
     "k1_run_summary_stream": f"WITH {EV} {K1} FROM ev GROUP BY run_id",
+    "k2_silent_sessions_stream": f"""WITH {EV}, g AS (SELECT run_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= {GAP}, TRUE) AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+k AS (SELECT run_id, ts, sum(CAST(fresh AS INT)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+z AS (SELECT run_id, min(ts) AS a, max(ts) + INTERVAL {GAP} SECONDS AS b, count(*) AS n FROM k GROUP BY run_id, session)
+SELECT run_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS "start", strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", n FROM z WHERE b <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""",
     "k2_silent_runs": f"WITH {EV}, g AS (SELECT run_id, epoch(ts) AS t, epoch(lag(ts) OVER (PARTITION BY run_id ORDER BY ts)) AS b FROM ev) SELECT run_id, count(*) AS n_gaps, CAST(max(floor(t) - floor(b)) AS BIGINT) AS longest_gap_s FROM g WHERE t - b >= {GAP} GROUP BY run_id",
     "k3_running_accuracy": K3,
     "k3_running_accuracy_stream": K3,

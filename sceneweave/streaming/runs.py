@@ -8,16 +8,38 @@ from pyspark.sql import functions as F
 from sceneweave.operators import scenes as scene_ops
 
 
-def run_summary(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """(run_id, status, steps, n_events, first_ts, last_ts): error, else complete, else running; in update mode as a stream."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", watermark)
+def partial_summary(events: DataFrame) -> DataFrame:
+    """(run_id, failed, done, steps, n_events, first_ts, last_ts): sums that add up over parts of a log."""
     failed, done = F.max((F.col("type") == "error").cast("int")), F.max((F.col("type") == "complete").cast("int"))
-    sums = events.groupBy("run_id").agg(failed.alias("failed"), done.alias("done"), F.count_if(F.col("type") == "step").alias("steps"), F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return events.groupBy("run_id").agg(failed.alias("failed"), done.alias("done"), F.count_if(F.col("type") == "step").alias("steps"), F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def merged_summary(parts: DataFrame) -> DataFrame:
+    """(run_id, status, steps, n_events, first_ts, last_ts) of partial summaries: error, else complete, else running."""
+    sums = parts.groupBy("run_id").agg(F.max("failed").alias("failed"), F.max("done").alias("done"), F.sum("steps").alias("steps"), F.sum("n_events").alias("n_events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     status = F.when(F.col("failed") == 1, "error").when(F.col("done") == 1, "complete").otherwise("running")
     return sums.select("run_id", status.alias("status"), "steps", "n_events", "first_ts", "last_ts")
 
 
+def run_summary(events: DataFrame) -> DataFrame:
+    """The summary of each run of a table of events (run_id, type, ts)."""
+    return merged_summary(partial_summary(events))
+
+
+def append_summaries(path: str):
+    """A foreachBatch function that keeps a micro-batch's partial summaries in a folder of their own.
+
+    A run may go on for any time, so a state per run could never be dropped;
+    partial summaries need none. A repeated batch writes over what it wrote
+    before. ``merged_summary`` reads the folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partial_summary(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def silent_runs(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
     """(run_id, n_gaps, longest_gap_s): silences of over ``gap_seconds`` between a run's events.
 
