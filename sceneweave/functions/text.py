@@ -240,9 +240,9 @@ def clean_qtype(value: Column) -> Column:
 
 
 def resolve_image(name: Column, root: str, suffix: str = "") -> Column:
-    """root/name with the suffix put on once."""
+    """root/name with the suffix put on once; the name alone without a root."""
     named = F.when(name.endswith(suffix), name).otherwise(F.concat(name, F.lit(suffix))) if suffix else name
-    return F.concat(F.lit(root.rstrip("/") + "/"), named)
+    return F.concat(F.lit(root.rstrip("/") + "/"), named) if root else named
 
 
 def config_hash(columns: list[Column]) -> Column:

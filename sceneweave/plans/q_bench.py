@@ -124,23 +124,43 @@ def f7_describe(spark, sf):
     return bench.describe(a, listing).withColumn("images_probed", F.col("images_probed").cast("long"))
 
 
-def h1_union_samples(spark, sf):
-    q = bench.join_qa(view(spark, sf, "questions"), view(spark, sf, "answers"))
-    vqa = q.select(F.concat(F.lit("rs-"), "question_id").alias("sample_id"), F.lit("vqa").alias("task"), F.col("answer").cast("string").alias("answer"), F.col("qtype"))
-    caps = view(spark, sf, "captions").where("part = 'reference'").groupBy("sample_id").agg(F.array_sort(F.collect_list("text")).alias("references")).select(F.concat(F.lit("cap-"), "sample_id").alias("sample_id"), F.lit("caption").alias("task"), "references")
-    both = bench.union_samples([vqa, caps])
-    return both.select("sample_id", "task", "qtype", F.size(bench.gold_texts(F.coalesce("references", F.array().cast("array<string>")), F.col("answer"))).alias("golds"))
+def _annotation_files(spark, rows, record):
+    """A benchmark release made from a table: documents that are lists of records."""
+    folder = f"{shared_folder(spark)}/release-{uuid.uuid4().hex}"
+    _in_parts(rows, rows.columns[0]).groupBy("part").agg(F.to_json(F.collect_list(record)).alias("value")).select("value", "part").write.partitionBy("part").text(folder)
+    return folder
 
 
-def l3_load_samples(spark, sf):
-    """Question and answer files made from tables, read by a registered adapter."""
+def _rsvqa_files(spark, sf):
     root = f"{shared_folder(spark)}/rsvqa-{uuid.uuid4().hex}"
     q = _in_parts(view(spark, sf, "questions"), "question_id")
     q.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("question_id").alias("id"), "img_id", F.concat(F.lit("q"), "question_id").alias("question"), F.col("qtype").alias("type"), "active")).alias("questions"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/q")
     a = view(spark, sf, "answers").groupBy("question_id").agg(F.min_by("answer", F.when(F.coalesce("active", F.lit(True)), F.col("pos"))).alias("answer")).where("answer IS NOT NULL")
     a = _in_parts(a, "question_id")
     a.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct("question_id", "answer")).alias("answers"))).alias("value")).select("value", "part").write.partitionBy("part").text(f"{root}/a")
-    s = bench.load_samples(spark, {"adapter": "rsvqa", "name": "lr", "questions": f"{root}/q", "answers": f"{root}/a", "root": "img", "suffix": ".tif"})
+    return {"adapter": "rsvqa", "name": "lr", "questions": f"{root}/q", "answers": f"{root}/a", "root": "img", "suffix": ".tif"}
+
+
+def h1_union_samples(spark, sf):
+    """Releases in the shape of each of the five adapters, made from the tables, loaded and put into one table."""
+    vqa, boxes_, caps, turns = view(spark, sf, "vqa"), view(spark, sf, "boxes"), view(spark, sf, "captions"), view(spark, sf, "questions")
+    text_of = lambda c: F.col(c).cast("string")
+    specs = [
+        {"adapter": "vrsbench_vqa", "name": "v", "annotations": _annotation_files(spark, vqa, F.struct(F.concat(F.lit("i"), "sample_id").alias("image"), F.col("raw_text").alias("question"), F.col("gold").alias("gt"), F.col("qtype").alias("type")))},
+        {"adapter": "vrsbench_caption", "name": "c", "annotations": _annotation_files(spark, caps.where("part = 'reference'").groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref", "text"))), lambda r: r["text"]).alias("captions")), F.struct(text_of("sample_id").alias("image_id"), "captions")), "suffix": ".png"},
+        {"adapter": "vrsbench_referring", "name": "r", "annotations": _annotation_files(spark, boxes_, F.struct(text_of("sample_id").alias("image_id"), F.concat(F.lit("box "), "sample_id").alias("expression"), F.array("gx1", "gy1", "gx2", "gy2").alias("bbox"))), "scale": "milli"},
+        {"adapter": "cdvqa", "name": "d", "annotations": _annotation_files(spark, turns, F.struct(text_of("question_id").alias("img_name"), F.col("qtype").alias("question"), F.lit("yes").alias("answer"))), "root": "cd", "suffix": ".png"},
+        _rsvqa_files(spark, sf),
+    ]
+    both = bench.union_samples([bench.load_samples(spark, spec) for spec in specs])
+    golds = F.size(bench.gold_texts(F.coalesce("references", F.array().cast("array<string>")), F.col("answer")))
+    box = F.array_join(F.transform(F.array("bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2"), lambda x: F.round(x * 1000, 0).cast("int").cast("string")), ",")
+    return both.select("task", F.array_join(F.transform("images", lambda i: F.concat_ws(":", i["role"], i["path"])), ",").alias("images"), "question", "answer", "qtype", golds.alias("golds"), F.when(F.col("bbox").isNotNull(), box).alias("box"))
+
+
+def l3_load_samples(spark, sf):
+    """Question and answer files made from tables, read by a registered adapter."""
+    s = bench.load_samples(spark, _rsvqa_files(spark, sf))
     return s.select("sample_id", "task", F.col("images")[0]["path"].alias("path"), "answer", "qtype")
 
 
@@ -240,5 +260,10 @@ SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS imag
     "f13_sweep_status": f"WITH {RES}, c AS (SELECT model, CASE WHEN seq % 7 = 0 THEN 'error' WHEN seq % 11 = 0 THEN 'pending' ELSE 'ok' END AS status FROM res) SELECT model, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS done, count(*) FILTER (WHERE status = 'error') AS failed, round_even(100.0 * count(*) FILTER (WHERE status <> 'pending') / count(*), 1) AS percent, CAST(5.0 AS DOUBLE) AS per_second FROM c GROUP BY model",
     "f15_normalise_scores": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), r AS (SELECT benchmark, min(value) AS lo, max(value) AS hi FROM c GROUP BY benchmark) SELECT model, round(CAST(sum(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1 END * CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) / sum(CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) AS DOUBLE), 6) AS overall, count(*) AS n_benchmarks FROM c JOIN r USING (benchmark) GROUP BY model",
     "l3_load_samples": f"WITH {QA} SELECT 'lr-' || question_id AS sample_id, 'vqa' AS task, 'img/' || img_id || '.tif' AS path, CAST(answer AS VARCHAR) AS answer, qtype FROM qa",
-    "h1_union_samples": f"WITH {QA}, caps AS ({view_sql('captions')}) SELECT 'rs-' || question_id AS sample_id, 'vqa' AS task, qtype, CAST(1 AS INTEGER) AS golds FROM qa UNION ALL SELECT 'cap-' || sample_id, 'caption', NULL, CAST(count(*) AS INTEGER) FROM caps WHERE part = 'reference' GROUP BY sample_id",
+    "h1_union_samples": f"""WITH {QA}, v AS ({view_sql("vqa")}), caps AS ({view_sql("captions")}), bx AS ({view_sql("boxes")}), r AS (SELECT sample_id, arg_min(text, ref) AS answer, count(*) AS n FROM caps WHERE part = 'reference' GROUP BY sample_id)
+SELECT 'vqa' AS task, 'single:i' || sample_id AS images, raw_text AS question, gold AS answer, qtype, 1 AS golds, CAST(NULL AS VARCHAR) AS box FROM v
+UNION ALL SELECT 'caption', 'single:' || sample_id || '.png', NULL, answer, NULL, CAST(n AS INTEGER), NULL FROM r
+UNION ALL SELECT 'grounding', 'single:' || sample_id, 'box ' || sample_id, NULL, NULL, 0, gx1 || ',' || gy1 || ',' || gx2 || ',' || gy2 FROM bx
+UNION ALL SELECT 'change_vqa', 'before:cd/im1/' || question_id || '.png,after:cd/im2/' || question_id || '.png', qtype, 'yes', NULL, 1, NULL FROM q
+UNION ALL SELECT 'vqa', 'single:img/' || img_id || '.tif', 'q' || question_id, CAST(answer AS VARCHAR), qtype, 1, NULL FROM qa""",
 }

@@ -239,3 +239,53 @@ def test_pair_and_file_adapters(spark, tmp_path):
     (tmp_path / "n.json").write_text(json.dumps({"answers": [{"id": 7, "question_id": 1, "answer": "no", "active": False}, {"id": 8, "question_id": 1, "answer": "yes", "active": True}]}))
     rows = bench.load_samples(spark, {"adapter": "rsvqa", "name": "lr", "questions": str(tmp_path / "q.json"), "answers": str(tmp_path / "n.json"), "root": "img", "suffix": ".tif"}).collect()
     assert [(r.sample_id, r.answer, r["images"][0].path) for r in rows] == [("lr-1", "yes", "img/5.tif")]
+
+
+def test_a_model_is_asked_once_for_each_request(spark, tmp_path):
+    """Both rounds of replies are used several times; the model writes down every prompt it gets."""
+    import os
+    import uuid
+
+    folder = str(tmp_path)
+    queries = spark.createDataFrame([(i, "Is there water?", i) for i in range(40)], "run_id long, query string, set_id long")
+    sets = spark.createDataFrame([(i, "bitemporal_pair") for i in range(40)], "set_id long, config string")
+    measures = spark.createDataFrame([(i, 0.01 if i % 4 == 0 else 0.3) for i in range(40)], "set_id long, changed_area_frac double")
+
+    def make():
+        def reply(prompts, budgets):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as log:
+                log.write("x" * len(prompts))
+            return [("yes", "stop")] * len(prompts)
+
+        return reply
+
+    traces, steps = trace.trace(spark, queries, sets, measures, lambda requests: trace.run_model(requests, make))
+    assert {r.run_id for r in traces.where("warning IS NOT NULL").collect()} == set(range(0, 40, 4))
+    assert steps.where("revises IS NOT NULL").count() == 10
+    assert sum(os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder)) == 50
+
+
+def test_named_pairs_of_any_crs(spark):
+    raster = "id long, width int, height int, crs string, bounds struct<x1:double,y1:double,x2:double,y2:double>, gsd_m double"
+    box = (0.0, 0.0, 10.0, 10.0)
+    r = spark.createDataFrame([(1, 10, 10, "EPSG:4326", box, 10.0), (2, 10, 10, "EPSG:32643", box, 10.0), (3, 10, 10, None, None, None), (4, 10, 10, "EPSG:4326", (20.0, 0.0, 30.0, 10.0), 10.0)], raster)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 1), (1, 4), (1, 99)], "a_id long, b_id long")
+    got = {(x.a_id, x.b_id): x for x in scenes.check_named_pairs(pairs, r).collect()}
+    assert set(got) == {(1, 2), (1, 3), (3, 1), (1, 4)}
+    assert got[1, 2].warnings == ["CRS differs: EPSG:4326 vs EPSG:32643"] and not got[1, 2].crs_match
+    assert got[3, 1].coregistered and not got[1, 3].coregistered and "not georeferenced" in got[1, 3].warnings[0]
+    assert got[1, 4].warnings == ["extents do not overlap: images cover different ground"]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 4096])
+def test_average_precision_whatever_the_ranges(spark, ranges):
+    rows = [(i, "ab"[i % 2], (i * 7 % 10) / 10, int(i % 3 == 0)) for i in range(60)] + [(100 + i, "c", 0.5, i % 2) for i in range(6)]
+    got = metrics.multilabel_metrics(spark.createDataFrame(rows, "sample_id long, label string, score double, truth int"), ranges=ranges).first()
+    want = []
+    for label in "abc":
+        hits, points = 0, []
+        for n, r in enumerate(sorted((r for r in rows if r[1] == label), key=lambda r: (-r[2], r[0])), 1):
+            hits += r[3]
+            points += [hits / n] * r[3]
+        want.append(sum(points) / len(points))
+    assert abs(got.mean_ap - sum(want) / 3) < 1e-12
