@@ -6,9 +6,8 @@ cluster's shared folder, and graph components are found by joins.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,44 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sceneweave.operators.cluster import cut_lineage, join_skewed, shared_folder
+
+__all__ = ["arrow_rows", "broadcast_if_few", "checkpoint_folder", "connected_components", "cut_lineage", "join_skewed", "local_components", "map_batches", "map_whole_groups", "read_table"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only in local mode, where none is set, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    folder = folder or context.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[[^]]*])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+    """The shared folder, set as the one for checkpoints."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a key and in column ``size`` how many of ``rows`` hold it.
-
-    A key with more than one in ``parts`` of all ``total`` rows is joined by
-    broadcast, where its rows are: there are fewer than ``parts`` such keys,
-    whatever the data. The other keys are shuffled. Both inputs are read twice,
-    so they should be cheap to read. ``how`` is inner or left.
-    """
-    is_hot = F.col(size) > total / parts
-    hot, cold = table.where(is_hot), table.where(~is_hot)
-    placed = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return placed.unionByName(others).drop(size)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside: for rows of some kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def broadcast_if_few(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import broadcast_if_few, connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import arrow_rows, broadcast_if_few, connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
 from sceneweave.llm.simhash import SEED, fingerprint_links, fingerprint_of, keep_first, shingle_hashes
 
 BANDS, ROWS = 24, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles that are one column block of a unit's product.
-COLUMNS = 8192
+COLUMNS = 2048
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -76,22 +76,23 @@ def similar_pairs(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray,
 
 
 def with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_key, fp, node, buckets): node stands for the set of shingles, buckets are its bands' keys."""
+    """(doc_id, text_key, fp, node, buckets, size): node stands for the set of shingles, buckets are its bands' keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, nodes, keys = [], [], []
+        prints, nodes, keys, sizes = [], [], [], []
         for x in batch.column(2):
             hashes = shingle_hashes(x.as_py(), shingle)
             values = np.unique(hashes)
             prints.append(fingerprint_of(hashes))
             nodes.append(xxhash.xxh64_intdigest(values.tobytes(), SEED))
             keys.append(band_keys(values))
+            sizes.append(len(values))
         signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(prints), signed(nodes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "node", "buckets"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(prints), signed(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "text_key", "fp", "node", "buckets", "size"])
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return map_batches(chosen, work, "doc_id long, text_key long, fp long, node long, buckets array<long>")
+    return map_batches(chosen, work, "doc_id long, text_key long, fp long, node long, buckets array<long>, size long")
 
 
 def read_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def links_within(members: DataFrame, sets: DataFrame, similarity: float, unit_ro
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int, similarity: float, unit_rows: int) -> DataFrame:
     """(doc_id, text_key, root, component_id), one row per input row."""
     marked = cut_lineage(with_sets(docs, id_col, text_col, shingle))
-    classes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"), F.count("*").alias("n_rows")))
+    classes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"), F.first("size").alias("size"), F.count("*").alias("n_rows")))
 
     prints = marked.select("fp", "node").distinct()
     named = prints.groupBy("fp").agg(F.min("node").alias("chief"))
@@ -165,15 +166,19 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     ordered = lambda pairs: pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     far = far.select(F.col("x").alias("a"), F.col("y").alias("b")).union(prints.join(named, "fp").select("node", "chief"))
 
-    members = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("leader")).where("n > 1"))
+    members = classes.select("node", "size", F.explode("buckets").alias("bucket"))
+    shared = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "size"), F.xxhash64("bucket", "node")).alias("leader")).where("n > 1"))
     crowd = cut_lineage(join_skewed(members, shared.withColumn("rows", F.col("n")), ["bucket"], "rows", members.count()))
-    tried = cut_lineage(ordered(far.union(crowd.select("node", "leader"))))
+    # Sets whose sizes are further apart than that cannot be so similar.
+    fit = F.least("size", "leader.size") >= similarity * F.greatest("size", "leader.size") - 1e-9
+    tried = cut_lineage(ordered(far.union(crowd.where(fit).select("node", "leader.node"))))
 
-    wanted = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "node")
+    # Nodes of buckets with several components are read as well, whether or not their leader could be like them.
+    wanted = tried.select("a").union(tried.select("b")).union(crowd.where("n > 2").select("node")).distinct().withColumnRenamed("a", "node")
     wanted = cut_lineage(classes.select("node", "text_key").join(wanted, "node"))
     sets = cut_lineage(read_sets(docs, text_col, shingle, wanted))
-    links = cut_lineage(confirmed(tried, sets, similarity))
+    with arrow_rows(docs.sparkSession, 1000):
+        links = cut_lineage(confirmed(tried, sets, similarity))
 
     # A bucket of two has had its one pair compared; of equal buckets one is enough.
     roots = connected_components(links)
@@ -181,7 +186,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     several = crowd.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low <> high")
     several = cut_lineage(several.groupBy("rows", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "rows"))
     remaining = cut_lineage(join_skewed(cut_lineage(crowd), several, ["bucket"], "rows", crowd.count()).select("bucket", "node", "root"))
-    links = links.union(links_within(remaining, sets, similarity, unit_rows))
+    with arrow_rows(docs.sparkSession, 1000):
+        links = links.union(cut_lineage(links_within(remaining, sets, similarity, unit_rows)))
 
     roots = connected_components(links)
     rooted = cut_lineage(classes.select("node", "first_id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

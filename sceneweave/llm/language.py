@@ -24,7 +24,7 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Windows that go through the network at once in prediction.
-AT_ONCE = 2048
+AT_ONCE = 1024
 
 
 @dataclass

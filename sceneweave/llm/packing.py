@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from sceneweave.llm.common import map_batches
 
 #: Encoded words that a worker keeps.
-KEPT = 600_000
+KEPT = 300_000
 #: Below it all characters are in normal form C, and lower() works on each by itself.
 PLAIN = "\u0300"
 #: A run of these is one piece; an apostrophe may begin a contraction.
