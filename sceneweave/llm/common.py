@@ -114,6 +114,10 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray |
             labels = further
 
 
+#: Edges of a task.
+EDGES = 50_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long) but the roots; root is the smallest node of its component.
 
@@ -123,6 +127,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and one hash sum a round. The centre of a large star is a hot key of the
     large-star step; its neighbours are joined where they are. In the small-star
     step a node only has the different minima of the stars that it was in.
+    Steps run in as many tasks as their edges need: most rounds are of few.
     """
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -131,10 +136,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
+        few = lambda frame: frame.coalesce(max(1, -(-mark[0] // EDGES)))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
         lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = join_skewed(both, lowest, ["a"], "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(few(join_skewed(both, lowest, ["a"], "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        edges = cut_lineage(few(few(small.union(lowest.select("a", F.col("m").alias("b")))).distinct()))
     raise RuntimeError("components did not settle")

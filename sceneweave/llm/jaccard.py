@@ -187,7 +187,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     several = cut_lineage(several.groupBy("rows", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "rows"))
     remaining = cut_lineage(join_skewed(cut_lineage(crowd), several, ["bucket"], "rows", crowd.count()).select("bucket", "node", "root"))
     with arrow_rows(docs.sparkSession, 1000):
-        links = links.union(cut_lineage(links_within(remaining, sets, similarity, unit_rows)))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cut_lineage(links_within(remaining, sets, similarity, unit_rows)))
 
     roots = connected_components(links)
     rooted = cut_lineage(classes.select("node", "first_id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
