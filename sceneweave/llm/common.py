@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from sceneweave.operators.cluster import cut_lineage, join_skewed, shared_folder
 
-__all__ = ["arrow_rows", "broadcast_if_few", "checkpoint_folder", "connected_components", "cut_lineage", "join_skewed", "local_components", "map_batches", "map_whole_groups", "read_table"]
+__all__ = ["arrow_rows", "bound_batches", "broadcast_if_few", "checkpoint_folder", "connected_components", "cut_lineage", "join_skewed", "local_components", "map_batches", "map_whole_groups", "read_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,17 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Bytes of an Arrow batch, unless the session names a bound: a task and its worker hold several batches of texts at once, on the way in and out.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES`` in a session without a bound of its own. A longer row is a batch by itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def broadcast_if_few(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``frame``, whose rows are a few numbers each, marked for broadcast if it has no more rows than that; it should be cheap to read."""
     return F.broadcast(frame) if frame.count() <= most_rows else frame
@@ -55,6 +66,7 @@ def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatc
     Spark bounds a batch by bytes as well as by rows, so a slice of it is small
     whatever the length of its texts.
     """
+    bound_batches(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,6 +84,7 @@ def map_whole_groups(frame: DataFrame, keys: list[str], work: Callable[[pa.Table
     call and a task holds no more than a batch and one group. Callers bound
     the size of a group before.
     """
+    bound_batches(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

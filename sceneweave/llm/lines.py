@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import cut_lineage, join_skewed, map_batches
+from sceneweave.llm.common import bound_batches, cut_lineage, join_skewed, map_batches
 
 STRIP = b" \t\n\v\f\r"
 #: Bits of a filter for each line, at least, and hash functions: 1.2 % of false positives or less.
@@ -121,6 +121,7 @@ def seen_again(docs: DataFrame, least_length: int, size: int) -> bytes:
         if at is not None and again.any():
             yield done()
 
+    bound_batches(docs.sparkSession)
     parts = docs.select("text").mapInArrow(build, "piece int, once binary, again binary")
     merged = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(merge, "piece int, again binary")
     bits = np.zeros(size // 8, np.uint8)
