@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneweave.llm import bpe, language, licences, lines, negatives, packing, rollup, secrets, simhash, vectors
+from sceneweave.llm import bpe, language, licences, lines, negatives, packing, rollup, secrets, simhash, spelling, vectors
 from sceneweave.llm.common import checkpoint_folder, cut_lineage, join_skewed, read_table
 
 
@@ -93,6 +93,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(relabelled, relabelled.where("vec_id % 100 = 0"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_license_scan, op5_language_id, op6_line_dedup, op7_exact_top_k, op8_secret_scan, op9_packing, op10_token_counts, op12_hard_negatives, pipeline]
+    found = [op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_license_scan, op5_language_id, op6_line_dedup, op7_exact_top_k, op8_secret_scan, op9_packing, op10_token_counts, op12_hard_negatives, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -120,6 +124,17 @@ def _digest_sql(lines: str) -> str:
     return f"sha256(coalesce(array_to_string(list_filter({lines}, lambda x: x <> ''), ' '), ''))"
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text whose code points are below 256, byte by byte with the usual table."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ 0xEDB88320 * (byte & 1)
+        table.append(byte)
+    each = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(CAST({table} AS BIGINT[])[1 + (xor(c, b) & 255)], c >> 8)), 4294967295)"
+
+
 def oracle_sql() -> dict[str, str]:
     known = ", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in [*licences.TEXTS.items(), *((b, a) for a, b in licences.NOTICES.items()), *licences.long_texts()])
     return {
@@ -155,6 +170,20 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SEL
 n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+        "op13_spelling_variants": f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+                        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) x GROUP BY ALL),
+hashed AS (SELECT w, n, {_crc32_sql("concat(doc_id, ':', w)")} AS h FROM runs WHERE doc_id IS NOT NULL UNION ALL SELECT w, n, 1 FROM runs WHERE doc_id IS NULL),
+thinned AS (SELECT CASE WHEN h % 199 = 0 THEN concat(left(w, h % length(w)), substring(w, h % length(w) + 2)) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM thinned WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, pos, concat(left(word, pos), substring(word, pos + 2)) AS rest FROM (SELECT word, unnest(range(length(word))) AS pos FROM words) p),
+links AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+          UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT a AS word, b AS near, n AS near_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM links JOIN words ON words.word = b),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND r = 1),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NULL)
+SELECT f.word, f.form, e.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e USING (word)""",
         "op10_token_counts": r"""
 WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
 one AS (SELECT source, lang, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
