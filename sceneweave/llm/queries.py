@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneweave.llm import bpe, language, licences, lines, negatives, packing, rollup, secrets, simhash, spelling, vectors
+from sceneweave.llm import bpe, language, licences, lines, negatives, packing, personal, rollup, secrets, simhash, spelling, vectors
 from sceneweave.llm.common import checkpoint_folder, cut_lineage, join_skewed, read_table
 
 
@@ -86,6 +86,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are every hundredth vector; every seventh vector has the next label."""
     embeddings = read_table(spark, sf_dir, "embeddings")
@@ -104,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_license_scan, op5_language_id, op6_line_dedup, op7_exact_top_k, op8_secret_scan, op9_packing, op10_token_counts, op12_hard_negatives, op13_spelling_variants, pipeline]
+    found = [op1_simhash_near_dedup, op2_embedding_near_dedup, op3_byte_bpe, op4_license_scan, op5_language_id, op6_line_dedup, op7_exact_top_k, op8_secret_scan, op9_packing, op10_token_counts, op11_personal_data, op12_hard_negatives, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in found}
 
 
