@@ -249,7 +249,7 @@ def features(kinds: np.ndarray, found: np.ndarray, shapes: np.ndarray) -> np.nda
     own = np.concatenate([np.ones((len(kinds), 1)), found > 0, found < 0, shapes], axis=1)
     out = np.zeros((len(kinds), len(BASE), own.shape[1]))
     out[np.arange(len(kinds)), kinds] = own
-    return out.reshape(len(kinds), -1)
+    return out.reshape(len(kinds), len(BASE) * own.shape[1])
 
 
 def fit(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
