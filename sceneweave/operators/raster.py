@@ -1,8 +1,8 @@
 """Raster measurement over pixel tables: (scene_id, band, y, x, v), one row per pixel.
 
 Thresholds come from histograms: a scene of any size is 256 counts after the
-map side, and quadrants are four. Percentiles are exact up to the size that a
-value count per scene allows; above it, ``approximate`` takes a sketch.
+map side, and quadrants are four. Percentiles are exact, by selection in bounded
+memory; ``approximate`` takes a sketch instead, in one pass.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneweave.functions import scenes
+from sceneweave.operators.selection import exact_percentiles
 
 BINS = 256
 QUIET = 0.02
@@ -28,18 +29,19 @@ def norm_diff(a: Column, b: Column) -> Column:
     return F.when(F.abs(a + b) > 1e-6, (a - b) / (a + b)).otherwise(0.0)
 
 
-def percentiles(column: str, shares: tuple[float, ...], approximate: bool = False) -> Column:
-    values = F.when(finite(F.col(column)), F.col(column))
-    shares_col = F.array(*[F.lit(s) for s in shares])
-    return F.percentile_approx(values, list(shares), 100_000) if approximate else F.percentile(values, shares_col)
+def percentiles(pixels: DataFrame, keys: list[str], shares: tuple[float, ...], value: str, approximate: bool = False) -> DataFrame:
+    """(keys, p): percentiles of the finite values of each group."""
+    usable = pixels.select(*keys, F.when(finite(F.col(value)), F.col(value)).alias("v"))
+    if approximate:
+        return usable.groupBy(*keys).agg(F.percentile_approx("v", list(shares), 100_000).alias("p"))
+    return exact_percentiles(usable, keys, shares)
 
 
 def stretch_limits(pixels: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98, value: str = "v", approximate: bool = False) -> DataFrame:
     """(keys, lo, hi): percentiles of the finite values, or their range where the percentiles are equal."""
-    usable = F.when(finite(F.col(value)), F.col(value))
-    limits = pixels.groupBy(*keys).agg(percentiles(value, (low, high), approximate).alias("p"), F.min(usable).alias("least"), F.max(usable).alias("most"))
-    flat = F.col("p")[1] <= F.col("p")[0]
-    return limits.select(*keys, F.when(flat, F.col("least")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("most")).otherwise(F.col("p")[1]).alias("hi"))
+    limits = percentiles(pixels, keys, (0.0, low, high, 1.0), value, approximate)
+    flat = F.col("p")[2] <= F.col("p")[1]
+    return limits.select(*keys, F.when(flat, F.col("p")[0]).otherwise(F.col("p")[1]).alias("lo"), F.when(flat, F.col("p")[3]).otherwise(F.col("p")[2]).alias("hi"))
 
 
 def stretch(pixels: DataFrame, keys: tuple[str, ...] = ("scene_id", "band"), low: float = 0.02, high: float = 0.98, value: str = "v", approximate: bool = False) -> DataFrame:
@@ -57,7 +59,7 @@ def is_linear(pixels: DataFrame, rasters: DataFrame | None = None, reference_dty
     ``reference_dtype`` every raster counts as float.
     """
     usable = F.when(finite(F.col("v")), F.col("v"))
-    stats = pixels.groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.min(usable).alias("least"), percentiles("v", (0.5, 0.99), approximate).alias("p"))
+    stats = pixels.groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.min(usable).alias("least")).join(percentiles(pixels, ["scene_id"], (0.5, 0.99), "v", approximate), "scene_id")
     typed = F.lit(True)
     if rasters is not None and not reference_dtype:
         stats = stats.join(rasters.select("scene_id", "dtype"), "scene_id", "left")
@@ -166,9 +168,15 @@ def optical_indices(pixels: DataFrame, water_threshold: float = 0.0, builtup_thr
     )
 
 
-def sar_indices(gray: DataFrame, percentile: float | Column = 95.0) -> DataFrame:
-    """(scene_id, threshold, water_fraction, water_location, builtup_fraction, builtup_location) of grey radar pixels."""
-    cuts = otsu(gray).join(gray.groupBy("scene_id").agg(F.percentile("gray", F.lit(percentile) / 100.0).alias("bright")), "scene_id").join(sizes(gray), "scene_id")
+def sar_indices(gray: DataFrame, percentile: float | DataFrame = 95.0) -> DataFrame:
+    """(scene_id, threshold, water_fraction, water_location, builtup_fraction, builtup_location) of grey radar pixels.
+
+    ``percentile`` is that of built-up ground, for all scenes or by scene
+    (scene_id, percentile).
+    """
+    shares = percentile.select("scene_id", F.array(F.col("percentile") / 100.0).alias("shares")) if isinstance(percentile, DataFrame) else (percentile / 100.0,)
+    bright = exact_percentiles(gray, ["scene_id"], shares, "gray").select("scene_id", F.col("p")[0].alias("bright"))
+    cuts = otsu(gray).join(bright, "scene_id").join(sizes(gray), "scene_id")
     marked = gray.join(cuts, "scene_id").withColumn("water", F.col("gray") < F.col("cut")).withColumn("built", F.col("gray") > F.col("bright"))
     q = lambda hit, p: [c.alias(f"{p}_{n}") for c, n in zip(quadrant_counts(hit), ("nw", "ne", "sw", "se"), strict=True)]
     sums = marked.groupBy("scene_id").agg(F.max("cut").alias("cut"), F.avg(F.col("water").cast("int")).alias("wf"), F.avg(F.col("built").cast("int")).alias("bf"), *q(F.col("water"), "water"), *q(F.col("built"), "built"))
