@@ -88,6 +88,16 @@ UNION ALL SELECT doc_id, 2, 'optical' FROM @documents WHERE doc_id % 35 = 1""",
     "predictions": """SELECT doc_id AS sample_id, source AS model, CASE WHEN n_chars % 10 = 0 THEN 'length' ELSE 'stop' END AS finish,
        CASE WHEN n_chars % 4 = 0 THEN NULL ELSE lang END AS answer FROM @documents""",
 }
+#: Scenes as pairs of sets see them: four bands from four vectors, and radar with one band under ids of its own.
+RADAR = 1_000_000
+VIEWS |= {
+    "set_images": f"""SELECT i.set_id, i.position, i.modality, (i.set_id * 3 + i.position * (1 + i.set_id % 4)) % n.k + CASE WHEN i.modality = 'sar' THEN {RADAR} ELSE 0 END AS scene_id
+FROM ({VIEWS["images"]}) i CROSS JOIN (SELECT CAST(floor(max(vec_id) / 4.0) AS BIGINT) AS k FROM @embeddings) n""",
+    "scene_rasters": f"""SELECT id + o AS id, CAST(8 AS INT) AS width, CAST(8 AS INT) AS height, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 7 = 0 THEN 'EPSG:32644' ELSE 'EPSG:32643' END AS crs,
+       id % 3 * 0.05 AS bx1, 0.0 AS by1, id % 3 * 0.05 + 1.0 AS bx2, 1.0 AS by2, CAST(CASE id % 4 WHEN 0 THEN 30 WHEN 1 THEN 100 WHEN 2 THEN 5 END AS DOUBLE) AS gsd_m
+FROM (SELECT CAST(floor(vec_id / 4.0) AS BIGINT) AS id FROM @embeddings WHERE vec_id % 4 = 0) r CROSS JOIN (SELECT 0 AS o UNION ALL SELECT {RADAR}) b""",
+    "scene_pixels": f"""SELECT scene_id, band, y, x, v FROM ({VIEWS["pixels"]}) p UNION ALL SELECT scene_id + {RADAR}, band, y, x, v FROM ({VIEWS["sar"]}) q""",
+}
 TABLE = re.compile(r"@([a-z]\w*)")
 
 

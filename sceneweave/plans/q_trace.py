@@ -9,6 +9,7 @@ from sceneweave.operators import scenes as scene_ops
 from sceneweave.plans import trace
 from sceneweave.plans.fixtures import view, view_sql
 from sceneweave.plans.q_metrics import _boxes
+from sceneweave.plans.q_raster import RGB, SR, _levels, _otsu
 from sceneweave.plans.q_scenes import ROUTE
 
 
@@ -92,13 +93,18 @@ def l2_tools(spark, sf):
     return registry.listing(spark).join(used, "tool").select("tool", "version", "param", "calls")
 
 
+def _traced(spark, sf):
+    rasters = view(spark, sf, "scene_rasters").withColumn("bounds", boxes.box(F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2")))
+    return trace.trace_images(spark, view(spark, sf, "queries"), view(spark, sf, "set_images"), rasters, view(spark, sf, "scene_pixels"))
+
+
 def l4_traces(spark, sf):
-    traces, _ = trace.trace(spark, view(spark, sf, "queries"), _sets(spark, sf), view(spark, sf, "measures"))
-    return traces.select("run_id", "task", "rule", "answer", "warning", F.round("confidence", 3).alias("confidence"), "n_steps")
+    traces, _ = _traced(spark, sf)
+    return traces.select("run_id", "task", "rule", "answer", "warning", F.round("confidence", 3).alias("confidence"), "n_steps", "coregistered", F.size("check_warnings").cast("long").alias("n_check_warnings"))
 
 
 def l4_steps(spark, sf):
-    _, steps = trace.trace(spark, view(spark, sf, "queries"), _sets(spark, sf), view(spark, sf, "measures"))
+    _, steps = _traced(spark, sf)
     return steps.groupBy("tool", "step").agg(F.count("*").alias("n"), F.count("revises").alias("revisions"))
 
 
@@ -126,6 +132,24 @@ _label = lambda k: "'- " + lookup.EVIDENCE_LABELS[k] + ": '"
 #: What the stand-in answers, and whether that contradicts the measures.
 ANSWERS = f"""ans AS (SELECT r.*, me.changed_area_frac AS c, abs(sar_water_fraction - optical_water_fraction) AS gap, sar_water_fraction AS s, optical_water_fraction AS o, CASE WHEN task = 'grounding' THEN 'box' WHEN task IN ('caption', 'change_caption') OR r.run_id % 8 IN (1, 5) THEN 'caption' ELSE 'yes' END AS kind FROM runs r LEFT JOIN me ON me.set_id = r.set_id),
 verdict AS (SELECT *, CASE WHEN kind = 'yes' AND c < 0.02 THEN TRUE WHEN kind = 'yes' AND c > 0.02 THEN FALSE ELSE coalesce(gap > 0.15, FALSE) END AS warned FROM ans)"""
+#: The check and the measures of each set, from rasters and pixels.
+MEASURED = f"""si AS ({view_sql("set_images")}), ra AS ({view_sql("scene_rasters")}), {RGB.replace("round((r", "((r").replace("/ 255.0, 9)", "/ 255.0)")},
+cx AS (SELECT si.set_id, config, min(gsd_m) AS gsd, count(*) AS n, min_by(scene_id, position) AS a, max_by(scene_id, position) AS b FROM si JOIN ra ON ra.id = scene_id JOIN co ON co.set_id = si.set_id GROUP BY ALL),
+ck AS (SELECT cx.*, p.crs IS NOT NULL AND q.crs IS NOT NULL AS geo, p.crs = q.crs AS same_crs, greatest(0, least(p.bx2, q.bx2) - greatest(p.bx1, q.bx1)) AS both_x, p.crs AS crs_a, abs(p.gsd_m - q.gsd_m) / greatest(p.gsd_m, q.gsd_m) <= 0.05 AS same_gsd, p.gsd_m IS NOT NULL AND q.gsd_m IS NOT NULL AS gsds FROM cx JOIN ra p ON p.id = a JOIN ra q ON q.id = b),
+cr AS (SELECT *, n = 1 OR (geo AND same_crs AND both_x / (2 - both_x) >= 0.9) OR (crs_a IS NULL) AS coregistered FROM ck),
+cw AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE CAST(geo AND NOT same_crs AS INT) + CAST(geo AND both_x / (2 - both_x) < 0.9 AS INT) + CAST(geo AND gsds AND NOT same_gsd AS INT) + CAST(NOT geo AS INT) + CAST(NOT coregistered AS INT) END AS n_warnings FROM cr),
+fl AS (SELECT DISTINCT a, b, concat(a, '-', b) AS pair_id, coalesce(round_even(CAST(least(10000.0 / (64 * gsd * gsd), 0.2) AS DOUBLE), 8), 0) AS f FROM cx WHERE config = 'bitemporal_pair'),
+df AS (SELECT pair_id, f, g.y, g.x, abs(h.gray - g.gray) AS diff FROM fl JOIN gray g ON g.scene_id = a JOIN gray h ON h.scene_id = b AND h.y = g.y AND h.x = g.x), {_otsu("dt", "df", "pair_id", "diff")},
+c1 AS (SELECT pair_id, round_even(cut, 4) AS t, CASE WHEN avg(CAST(diff > cut AS INT)) >= max(f) THEN round_even(avg(CAST(diff > cut AS INT)), 4) ELSE 0 END AS ch, round_even(least(0.5 + abs(avg(diff) - cut) * 2, 0.9), 3) AS cf FROM df JOIN dt USING (pair_id) GROUP BY pair_id, cut),
+c2 AS (SELECT pair_id, CASE WHEN avg(CAST(diff > u AS INT)) >= max(f) THEN round_even(avg(CAST(diff > u AS INT)), 4) ELSE 0 END AS ch, round_even(least(0.5 + abs(avg(diff) - u) * 2, 0.9), 3) AS cf
+       FROM df JOIN (SELECT pair_id, round_even(greatest(t * 0.55, 0.02), 4) AS u FROM c1 WHERE ch < 0.02 AND round_even(greatest(t * 0.55, 0.02), 4) < t) l USING (pair_id) GROUP BY pair_id, u),
+{SR}, li AS (SELECT scene_id, min(v) >= 0 AND quantile_cont(v, 0.5) > 0 AND quantile_cont(v, 0.99) / quantile_cont(v, 0.5) > 8 AS linear FROM sr GROUP BY scene_id),
+db AS (SELECT scene_id, band, y, x, CASE WHEN linear THEN 10 * log10(greatest(v, 1e-6)) ELSE v END AS v FROM sr JOIN li USING (scene_id)), {_levels("rl", "db")}, rg AS (SELECT scene_id, y, x, level / 255.0 AS gray FROM rl), {_otsu("rt", "rg", "scene_id", "gray")},
+rw AS (SELECT scene_id, round_even(avg(CAST(gray < cut AS INT)), 4) AS w FROM rg JOIN rt USING (scene_id) GROUP BY scene_id),
+ow AS (SELECT scene_id, round_even(avg(CAST(g > n AS INT)), 4) AS w FROM (SELECT scene_id, y, x, max(v) FILTER (WHERE band = 2) AS g, max(v) FILTER (WHERE band = 4) AS n FROM px GROUP BY ALL) o GROUP BY scene_id),
+me AS (SELECT cw.set_id, coregistered, CAST(n_warnings AS BIGINT) AS n_warnings, coalesce(c2.ch, c1.ch) AS changed_area_frac, c1.cf AS cc, c2.cf AS cc2, rw.w AS sar_water_fraction, ow.w AS optical_water_fraction
+       FROM cw LEFT JOIN c1 ON config = 'bitemporal_pair' AND c1.pair_id = concat(a, '-', b) LEFT JOIN c2 ON config = 'bitemporal_pair' AND c2.pair_id = concat(a, '-', b)
+       LEFT JOIN rw ON config = 'crossmodal_pair' AND rw.scene_id + 1000000 = greatest(a, b) LEFT JOIN ow ON config = 'crossmodal_pair' AND ow.scene_id = least(a, b))"""
 SQL = {
     "b7_validate_params": f"""WITH {ME}, c AS (SELECT set_id, round(changed_area_frac * 400, 0) AS v FROM me), k AS (SELECT set_id, v, CASE set_id % 3 WHEN 0 THEN 'sar_indices' WHEN 1 THEN 'change_mask' ELSE 'vlm_vqa' END AS tool,
  CASE WHEN set_id % 3 = 0 THEN ['builtup_percentile', '80.0', '99.5'] WHEN set_id % 3 = 1 THEN ['threshold', '0.02', '0.9'] WHEN set_id % 2 = 0 THEN ['max_new_tokens', '1.0', '512.0'] END AS rule FROM c)
@@ -144,13 +168,14 @@ SELECT set_id, CAST([-0.18, -0.15, 0.10, -0.12, 0.08, 0.0][i] AS DOUBLE) AS adju
     "f12_blend": f"WITH p AS ({view_sql('predictions')}) SELECT model AS run_id, round_even(avg(CASE WHEN answer IS NULL THEN 0.05 ELSE 0.84 END)::DOUBLE, 3) AS confidence FROM p WHERE sample_id % 3 <> 0 GROUP BY model",
     "l1_run_model": f"WITH {RUNS} SELECT run_id, length(query) || ' characters' AS answer, CASE WHEN task IN ('vqa', 'change_vqa', 'crossmodal_vqa') THEN 'length' ELSE 'stop' END AS finish FROM runs",
     "l2_tools": f"WITH {RUNS}, {TOOLS}, n AS (SELECT tool, count(*) AS calls FROM runs JOIN tools USING (task, config) GROUP BY tool) SELECT tool, '1.0.0' AS version, param, calls FROM n JOIN (VALUES ('change_mask', 'threshold'), ('change_mask', 'min_area_frac'), ('optical_indices', 'water_threshold'), ('optical_indices', 'builtup_threshold'), ('sar_indices', 'builtup_percentile')) v(tool, param) USING (tool)",
-    "l4_traces": f"""WITH {ME}, {RUNS}, {ANSWERS},
-sc AS (SELECT v.*, {ROUTE}[2] AS rule, CASE WHEN kind = 'yes' AND c < 0.02 THEN 2 WHEN kind = 'yes' AND c > 0.02 THEN 3 WHEN gap > 0.15 THEN 4 WHEN gap IS NOT NULL THEN 5 ELSE 6 END AS i, 1 + CAST(warned AS INTEGER) AS asked, CASE kind WHEN 'yes' THEN 0.84 ELSE 0.78 END AS own,
- CASE WHEN task LIKE 'change%' AND c IS NOT NULL THEN 0.5 WHEN task = 'crossmodal_vqa' THEN coalesce(o - o + 0.85, 0) + coalesce(s - s + 0.8, 0) ELSE 0 END AS said, CASE WHEN task LIKE 'change%' THEN CAST(c IS NOT NULL AS INTEGER) WHEN task = 'crossmodal_vqa' THEN CAST(o IS NOT NULL AS INTEGER) + CAST(s IS NOT NULL AS INTEGER) ELSE 0 END AS saying FROM (SELECT *, run_id % 8 AS m FROM verdict) v)
+    "l4_traces": f"""WITH {RUNS}, {MEASURED}, {ANSWERS},
+sc AS (SELECT v.*, me.cc, me.cc2, me.coregistered, me.n_warnings, {ROUTE}[2] AS rule, CASE WHEN kind = 'yes' AND c < 0.02 THEN 2 WHEN kind = 'yes' AND c > 0.02 THEN 3 WHEN gap > 0.15 THEN 4 WHEN gap IS NOT NULL THEN 5 ELSE 6 END AS i, 1 + CAST(warned AS INTEGER) AS asked, CASE kind WHEN 'yes' THEN 0.84 ELSE 0.78 END AS own,
+ CASE WHEN task LIKE 'change%' THEN me.cc + coalesce(me.cc2, 0) WHEN task = 'crossmodal_vqa' THEN coalesce(o - o + 0.85, 0) + coalesce(s - s + 0.8, 0) ELSE 0 END AS said, CASE WHEN task LIKE 'change%' THEN 1 + CAST(me.cc2 IS NOT NULL AS INTEGER) WHEN task = 'crossmodal_vqa' THEN CAST(o IS NOT NULL AS INTEGER) + CAST(s IS NOT NULL AS INTEGER) ELSE 0 END AS saying FROM (SELECT *, run_id % 8 AS m FROM verdict) v JOIN me ON me.set_id = v.set_id)
 SELECT run_id, task, rule, CASE kind WHEN 'box' THEN '{lookup.ECHO_BOX}' WHEN 'caption' THEN '{lookup.ECHO_CAPTION}' ELSE 'yes' END AS answer, CASE i WHEN 2 THEN {_warn("change", "only ")} WHEN 4 THEN {WATER} END AS warning,
- round_even(least(greatest(round_even(CAST((said + own * asked) / (saying + asked) AS DOUBLE), 3) + [0, -0.15, 0.10, -0.12, 0.08, 0.0][i], 0.05), 0.92)::DOUBLE, 3) AS confidence, CAST(asked + CASE WHEN task LIKE 'change%' THEN 1 WHEN task = 'crossmodal_vqa' THEN 2 ELSE 0 END AS BIGINT) AS n_steps FROM sc""",
-    "l4_steps": f"""WITH {ME}, {RUNS}, {TOOLS}, {ANSWERS}, st AS (SELECT v.run_id, tool, row_number() OVER (PARTITION BY v.run_id ORDER BY ord) AS step, warned FROM verdict v JOIN tools USING (task, config)),
-al AS (SELECT tool, step, 0 AS rev FROM st UNION ALL SELECT tool, step + 1, 1 FROM st WHERE warned AND tool LIKE 'vlm%') SELECT tool, CAST(step AS INTEGER) AS step, count(*) AS n, CAST(sum(rev) AS BIGINT) AS revisions FROM al GROUP BY tool, step""",
+ round_even(least(greatest(round_even(CAST((said + own * asked) / (saying + asked) AS DOUBLE), 3) + [0, -0.15, 0.10, -0.12, 0.08, 0.0][i], 0.05), 0.92)::DOUBLE, 3) AS confidence, CAST(asked + CASE WHEN task LIKE 'change%' THEN 1 + CAST(cc2 IS NOT NULL AS INTEGER) WHEN task = 'crossmodal_vqa' THEN 2 ELSE 0 END AS BIGINT) AS n_steps, coregistered, n_warnings AS n_check_warnings FROM sc""",
+    "l4_steps": f"""WITH {RUNS}, {MEASURED}, {TOOLS}, {ANSWERS}, st AS (SELECT v.run_id, tool, ord, 0 AS again FROM verdict v JOIN tools USING (task, config)
+ UNION ALL SELECT run_id, 'change_mask', 1, 1 FROM verdict v JOIN me ON me.set_id = v.set_id WHERE cc2 IS NOT NULL AND task LIKE 'change%' UNION ALL SELECT v.run_id, tool, ord, 1 FROM verdict v JOIN tools USING (task, config) WHERE warned AND tool LIKE 'vlm%'),
+al AS (SELECT tool, again, row_number() OVER (PARTITION BY run_id ORDER BY ord, again) AS step FROM st) SELECT tool, CAST(step AS INTEGER) AS step, count(*) AS n, CAST(sum(again) AS BIGINT) AS revisions FROM al GROUP BY tool, step""",
     "l5_retries": f"""WITH p AS ({view_sql("predictions")}), {ME} SELECT sample_id AS run_id, 'p' AS prompt, CAST(128 AS INTEGER) AS max_new_tokens, 'truncated' AS kind FROM p WHERE finish = 'length' AND sample_id % 2 = 0
 UNION ALL SELECT sample_id, 'again', CAST(CASE WHEN sample_id % 2 = 0 THEN 64 ELSE 384 END AS INTEGER), 'contradicted' FROM p JOIN me ON set_id = sample_id WHERE finish <> 'length' AND ((sample_id % 5 = 0 AND changed_area_frac > 0.10) OR (sample_id % 5 = 1 AND changed_area_frac < 0.02))""",
 }

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sceneweave.functions import lookup, scenes, text
 from sceneweave.operators.cluster import cut_lineage
+from sceneweave.operators.scenes import infer_sets
+from sceneweave.plans.measure import measure_sets
 
 MOST_TOKENS = 384
 
@@ -136,19 +138,33 @@ def routed(queries: DataFrame, sets: DataFrame) -> DataFrame:
     return r.select("run_id", "query", "set_id", "config", F.col("r.task").alias("task"), F.col("r.rule").alias("rule"), F.col("r.confidence").alias("route_confidence"))
 
 
-def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: DataFrame, model: Callable[[DataFrame], DataFrame] = echo, gsd: float | None = 10.0, pixels: int = 120 * 120) -> tuple[DataFrame, DataFrame]:
-    """(traces, steps) for queries (run_id, query, set_id), sets (F14) and measures by set_id with columns of EVIDENCE.
+#: What ``measure.measure_sets`` gives besides evidence.
+MEASURED = {"gsd_m": "double", "pixels": "int", "coregistered": "boolean", "check_warnings": "array<string>", "change_confidence": "double", "change_confidence_2": "double", "change_threshold_2": "double", "change_reason_2": "string"}
 
-    traces: run_id, task, rule, answer, confidence, warning, n_steps.
+
+def trace_images(spark: SparkSession, queries: DataFrame, images: DataFrame, rasters: DataFrame, pixels: DataFrame, model: Callable[[DataFrame], DataFrame] = echo) -> tuple[DataFrame, DataFrame]:
+    """(traces, steps) from images alone: sets are inferred, checked and measured, then questions are traced; see ``measure.measure_sets`` and ``trace``."""
+    sets = infer_sets(images)
+    return trace(spark, queries, sets, cut_lineage(measure_sets(sets, images, rasters, pixels)), model)
+
+
+def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: DataFrame, model: Callable[[DataFrame], DataFrame] = echo) -> tuple[DataFrame, DataFrame]:
+    """(traces, steps) for queries (run_id, query, set_id), sets (F14) and measures by set_id with columns of EVIDENCE and MEASURED.
+
+    Measures may lack columns: what is missing was not measured, and a change
+    mask without a confidence counts as 0.5. A second attempt at a mask is a step
+    of its own that revises the first.
+
+    traces: run_id, task, rule, answer, confidence, warning, n_steps, coregistered, check_warnings.
     steps: run_id, step, tool, params, confidence, reason, revises.
     """
-    for name, kind in EVIDENCE.items():
+    for name, kind in (EVIDENCE | MEASURED).items():
         if name not in measures.columns:
             measures = measures.withColumn(name, F.lit(None).cast(kind))
     runs = routed(queries, sets)
     planned = select_tools(runs, tools_table(spark))
     tokens = text.generation_budget(F.col("task"), F.col("query"))
-    distance, size = F.lit(gsd).cast("double"), F.lit(pixels)
+    distance, size = F.col("gsd_m"), F.col("pixels")
     params = (
         F.when(F.col("tool") == "change_mask", F.to_json(F.struct(scenes.change_floor(distance, size).alias("min_area_frac"))))
         .when(F.col("tool") == "sar_indices", F.to_json(F.struct(scenes.builtup_percentile(distance).alias("builtup_percentile"))))
@@ -161,7 +177,7 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
         .when(F.col("tool").startswith("vlm_"), tokens["reason"])
         .otherwise("")
     )
-    measured = runs.join(measures.select("set_id", *EVIDENCE), "set_id", "left")
+    measured = runs.join(measures.select("set_id", *EVIDENCE, "coregistered", "check_warnings"), "set_id", "left")
     values = {k: F.col(k) for k in EVIDENCE}
     body = text.render_prompt(F.col("task"), F.when(F.trim("query") != "", F.col("query")).otherwise("Describe the image."))
     with_preamble = lambda again: F.concat_ws("\n\n", F.nullif(text.evidence_preamble(values, again), F.lit("")), body)
@@ -181,9 +197,13 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
         )
     )
     model_rows = final.select("run_id", F.explode(model_step).alias("m")).select("run_id", "m.*")
-    specialist = F.when(F.col("tool") == "optical_indices", F.when(F.col("optical_water_fraction").isNotNull(), 0.85)).when(F.col("tool") == "sar_indices", F.when(F.col("sar_water_fraction").isNotNull(), 0.8)).when(F.col("tool") == "change_mask", F.when(F.col("changed_area_frac").isNotNull(), 0.5))
-    steps = planned.withColumn("params", params).withColumn("reason", reason).join(measures.select("set_id", *EVIDENCE), "set_id", "left")
+    specialist = F.when(F.col("tool") == "optical_indices", F.when(F.col("optical_water_fraction").isNotNull(), 0.85)).when(F.col("tool") == "sar_indices", F.when(F.col("sar_water_fraction").isNotNull(), 0.8)).when(F.col("tool") == "change_mask", F.when(F.col("changed_area_frac").isNotNull(), F.coalesce("change_confidence", F.lit(0.5))))
+    steps = planned.join(measures.select("set_id", *EVIDENCE, *MEASURED), "set_id", "left").withColumn("params", params).withColumn("reason", reason)
     special = steps.where(~F.col("tool").startswith("vlm_")).select("run_id", "ord", F.lit(0).alias("k"), "tool", "params", specialist.alias("confidence"), "reason")
+    floor = scenes.change_floor(distance, size)
+    second = steps.where("tool = 'change_mask' AND change_threshold_2 IS NOT NULL")
+    second = second.select("run_id", "ord", F.lit(1).alias("k"), "tool", F.to_json(F.struct(floor.alias("min_area_frac"), F.col("change_threshold_2").alias("threshold"))).alias("params"), F.col("change_confidence_2").alias("confidence"), F.col("change_reason_2").alias("reason"))
+    special = special.unionByName(second)
     models = steps.where(F.col("tool").startswith("vlm_")).select("run_id", "ord", "tool", "reason").join(model_rows, "run_id")
     models = models.select("run_id", "ord", "k", "tool", F.to_json(F.struct(F.col("t").alias("max_new_tokens"))).alias("params"), vlm(F.col("a")).alias("confidence"), F.coalesce("why", "reason").alias("reason"))
     every = special.unionByName(models)
@@ -194,5 +214,5 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     blended = blend(every).withColumnRenamed("confidence", "mean")
     counts = every.groupBy("run_id").agg(F.count("*").alias("n_steps"))
     traces = final.withColumn("v", verdict).join(blended, "run_id").join(counts, "run_id")
-    traces = traces.select("run_id", "task", "rule", F.col("final_answer").alias("answer"), F.bround(text.bounded(F.col("mean") + F.col("v.adjustment")), 3).alias("confidence"), F.col("v.warning").alias("warning"), "n_steps")
+    traces = traces.select("run_id", "task", "rule", F.col("final_answer").alias("answer"), F.bround(text.bounded(F.col("mean") + F.col("v.adjustment")), 3).alias("confidence"), F.col("v.warning").alias("warning"), "n_steps", "coregistered", "check_warnings")
     return traces, numbered
