@@ -61,11 +61,11 @@ def join_predictions(samples: DataFrame, predictions: DataFrame, key: str = "sam
 
 
 def load_patch_bands(keys: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys (patch_id, s1_name) with optical and radar bands of the store (key, bands); and the keys that miss either."""
+    """Keys (patch_id, s1_name) with optical and radar bands of the store (key, bands); and the keys that miss either, whatever other keys of their patch have."""
     optical = store.select(F.col("key").alias("patch_id"), F.col("bands").alias("optical"))
     radar = store.select(F.col("key").alias("s1_name"), F.col("bands").alias("radar"))
     found = keys.join(optical, "patch_id").join(radar, "s1_name")
-    return found, keys.join(found.select("patch_id"), "patch_id", "left_anti")
+    return found, keys.join(found.select("patch_id", "s1_name").distinct(), ["patch_id", "s1_name"], "left_anti")
 
 
 def last_s1_names(annotations: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def assemble_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def describe(samples: DataFrame, listing: DataFrame, probe: int = 200) -> DataFrame:
-    """One row: num_samples, images_probed, images_missing, missing_examples, question_types, example_id.
+    """One row: num_samples, images_probed, images_missing, missing_examples, question_types, example_id, example (the first row as JSON).
 
     samples has (pos, sample_id, image, qtype); listing has the paths that exist.
     """
@@ -111,9 +111,9 @@ def describe(samples: DataFrame, listing: DataFrame, probe: int = 200) -> DataFr
     missing = probed.join(listing.select(F.col("path").alias("image")), "image", "left_anti")
     lost = missing.agg(F.count("*").alias("images_missing"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image"))), lambda x: x["image"]), 1, 5), ",").alias("missing_examples"))
     types = samples.where("coalesce(qtype, '') <> ''").select("qtype").distinct().orderBy("qtype").limit(20).agg(F.array_join(F.array_sort(F.collect_list("qtype")), ",").alias("question_types"))
-    head = samples.agg(F.count("*").alias("num_samples"), F.min_by("sample_id", "pos").alias("example_id"))
+    head = samples.agg(F.count("*").alias("num_samples"), F.min_by("sample_id", "pos").alias("example_id"), F.min_by(F.to_json(F.struct(*samples.columns)), "pos").alias("example"))
     counted = head.crossJoin(F.broadcast(probed.agg(F.count("*").alias("images_probed"))))  # one row each
-    return counted.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(types)).select("num_samples", "images_probed", "images_missing", "missing_examples", "question_types", "example_id")
+    return counted.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(types)).select("num_samples", "images_probed", "images_missing", "missing_examples", "question_types", "example_id", "example")
 
 
 SAMPLES = ["sample_id", "task", "images", "question", "answer", "references", "bbox", "qtype", "meta"]

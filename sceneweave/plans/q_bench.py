@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sceneweave.functions import lookup, text
+from sceneweave.functions import boxes, lookup, text
 from sceneweave.operators import bench, corpus, results
 from sceneweave.plans.fixtures import view, view_sql
 from sceneweave.plans.shared import shared_folder
@@ -124,10 +124,21 @@ def f7_describe(spark, sf):
     return bench.describe(a, listing).withColumn("images_probed", F.col("images_probed").cast("long"))
 
 
+def f7_readiness(spark, sf):
+    """Releases with all their files, with one of two, with none, and with none named."""
+    there, absent = _annotation_files(spark, view(spark, sf, "vqa"), F.struct("sample_id")), f"{shared_folder(spark)}/no-such-release-{uuid.uuid4().hex}"
+    specs = [{"adapter": "rsvqa", "name": "whole", "questions": there, "answers": there}, {"adapter": "rsvqa", "name": "half", "questions": there, "answers": absent}, {"adapter": "cdvqa", "name": "lost", "annotations": absent}, {"adapter": "cdvqa", "name": "unnamed"}]
+    ready = tables.readiness(spark, specs).select("benchmark", "ready", (F.col("missing") != "").alias("lacks"))
+    return ready.crossJoin(F.broadcast(view(spark, sf, "vqa").agg(F.count("*").alias("samples"))))  # one row
+
+
 def _annotation_files(spark, rows, record):
-    """A benchmark release made from a table: documents that are lists of records."""
+    """A benchmark release made from a table: documents that are lists of records, in the order of the first column from file to file."""
     folder = f"{shared_folder(spark)}/release-{uuid.uuid4().hex}"
-    _in_parts(rows, rows.columns[0]).groupBy("part").agg(F.to_json(F.collect_list(record)).alias("value")).select("value", "part").write.partitionBy("part").text(folder)
+    key = rows.columns[0]
+    parts = rows.withColumn("part", F.lpad(F.floor(F.col(key) / MOST_RECORDS).cast("string"), 12, "0"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("_id"), record.alias("r")))), lambda x: x["r"])
+    parts.groupBy("part").agg(F.to_json(ordered).alias("value")).select("value", "part").write.partitionBy("part").text(folder)
     return folder
 
 
@@ -155,7 +166,7 @@ def h1_union_samples(spark, sf):
     both = bench.union_samples([bench.load_samples(spark, spec) for spec in specs])
     golds = F.size(bench.gold_texts(F.coalesce("references", F.array().cast("array<string>")), F.col("answer")))
     box = F.array_join(F.transform(F.array("bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2"), lambda x: F.round(x * 1000, 0).cast("int").cast("string")), ",")
-    return both.select("task", F.array_join(F.transform("images", lambda i: F.concat_ws(":", i["role"], i["path"])), ",").alias("images"), "question", "answer", "qtype", golds.alias("golds"), F.when(F.col("bbox").isNotNull(), box).alias("box"))
+    return both.select("sample_id", "task", F.array_join(F.transform("images", lambda i: F.concat_ws(":", i["role"], i["path"])), ",").alias("images"), "question", "answer", "qtype", golds.alias("golds"), F.when(F.col("bbox").isNotNull(), box).alias("box"))
 
 
 def l3_load_samples(spark, sf):
@@ -165,10 +176,16 @@ def l3_load_samples(spark, sf):
 
 
 def a9_prediction_log(spark, sf):
+    """Answers to questions and boxes, written and read again: raw text beside what was parsed of it."""
     folder = f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
-    tables.write_predictions(view(spark, sf, "vqa").select("sample_id", "gold"), view(spark, sf, "predictions").select("sample_id", "model", "answer"), folder)
-    log = spark.read.schema("sample_id long, gold string, model string, answer string").json(folder)
-    return log.groupBy("model", "gold").agg(F.count("*").alias("n"), F.count("answer").alias("answered"))
+    vqa, boxes_ = view(spark, sf, "vqa"), view(spark, sf, "boxes")
+    samples = vqa.select("sample_id", F.lit("vqa").alias("task"), F.col("gold").alias("answer"), "qtype", F.lit("?").alias("question"))
+    boxed = boxes_.select((-1 - F.col("sample_id")).alias("sample_id"), F.lit("grounding").alias("task"), boxes.normalize_box([F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")], "milli").alias("bbox"))
+    said = vqa.select("sample_id", F.when(F.col("sample_id") % 7 != 0, F.col("raw_text")).otherwise(" ").alias("raw_text")).union(boxes_.select(-1 - F.col("sample_id"), "raw_text"))
+    tables.write_predictions(samples.unionByName(boxed, allowMissingColumns=True), said, folder, "milli")
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    log = spark.read.schema(f"sample_id long, reference string, reference_bbox {box}, qtype string, raw_text string, answer string, bbox {box}, parse_ok boolean").json(folder)
+    return log.select("sample_id", "reference", F.col("reference_bbox").isNotNull().alias("has_box"), "raw_text", "answer", F.col("bbox").isNotNull().alias("boxed"), "parse_ok")
 
 
 def a10_append_results(spark, sf):
@@ -222,7 +239,7 @@ def c11_pending_cells(spark, sf):
     return results.pending_cells(grid, done).withColumn("state", F.lit("pending")).union(results.cached_cells(grid, done).withColumn("state", F.lit("cached")))
 
 
-QUERIES = {f.__name__: f for f in [a2_read_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
+QUERIES = {f.__name__: f for f in [a2_read_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f7_readiness, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
 
 RES = f"res AS ({view_sql('results')}), head AS (SELECT * FROM res WHERE metric = CASE task WHEN 'vqa' THEN 'oa' WHEN 'caption' THEN 'cider_d' WHEN 'grounding' THEN 'acc@0.5' ELSE 'oa' END)"
 QA = f"q AS ({view_sql('questions')}), a AS ({view_sql('answers')}), f AS (SELECT question_id, arg_min(answer, pos) AS answer FROM a WHERE coalesce(active, TRUE) GROUP BY question_id), qa AS (SELECT q.*, f.answer FROM q JOIN f USING (question_id) WHERE coalesce(q.active, TRUE))"
@@ -235,9 +252,11 @@ SQL = {
     "a5_assemble_pairs": f"""WITH turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns GROUP BY conv_id HAVING count(*) > 2),
 k AS (SELECT conv_id, trim(regexp_replace(q, '^Image 1: <image>\\nImage 2: <image>\\n', '')) AS question, trim(a) AS answer FROM u)
 SELECT 'img' || (conv_id % 40) AS img_name, count(*) AS questions, CAST(sum(length(question)) AS BIGINT) AS q_chars, CAST(sum(length(answer)) AS BIGINT) AS a_chars FROM k WHERE question <> '' AND answer <> '' GROUP BY 1""",
-    "a6_load_patch_bands": f"""WITH ann AS ({view_sql("annotations")}), pa AS ({view_sql("patches")}), k AS (SELECT DISTINCT patch_id, s1_name, patch_id IN (SELECT patch_id FROM pa WHERE NOT contains_seasonal_snow) AND s1_name IN (SELECT s1_name FROM ann WHERE split = 'train') AS found FROM ann),
-p AS (SELECT patch_id, bool_or(found) AS any_found FROM k GROUP BY patch_id) SELECT patch_id, s1_name, found FROM k JOIN p USING (patch_id) WHERE found OR NOT any_found""",
-    "a9_prediction_log": f"WITH v AS ({view_sql('vqa')}), p AS ({view_sql('predictions')}) SELECT model, gold, count(*) AS n, count(answer) AS answered FROM v JOIN p USING (sample_id) GROUP BY ALL",
+    "a6_load_patch_bands": f"""WITH ann AS ({view_sql("annotations")}), pa AS ({view_sql("patches")}), k AS (SELECT DISTINCT patch_id, s1_name, patch_id IN (SELECT patch_id FROM pa WHERE NOT contains_seasonal_snow) AND s1_name IN (SELECT s1_name FROM ann WHERE split = 'train') AS found FROM ann)
+SELECT * FROM k""",
+    "a9_prediction_log": f"""WITH v AS ({view_sql("vqa")}), b AS ({view_sql("boxes")}), s AS (SELECT sample_id, gold, CASE WHEN sample_id % 7 <> 0 THEN raw_text ELSE ' ' END AS t FROM v)
+SELECT sample_id, gold AS reference, FALSE AS has_box, t AS raw_text, CASE WHEN t = ' ' THEN '' ELSE CASE sample_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'residential area' WHEN 3 THEN 'yes' WHEN 4 THEN '3' ELSE 'it is yes' END END AS answer, FALSE AS boxed, t <> ' ' AS parse_ok FROM s
+UNION ALL SELECT -1 - sample_id, NULL, TRUE, raw_text, NULL, raw_text <> 'no box here', raw_text <> 'no box here' FROM b""",
     "a10_append_results": f"WITH {RES} SELECT model, metric, count(*) AS n, round(sum(round_even(value, 6)), 4) AS total, round(sum(round_even(seq / 4, 2)), 2) AS seconds FROM res GROUP BY ALL",
     "a11_read_absent": f"WITH {RES} SELECT count(*) AS present, CAST(0 AS BIGINT) AS absent FROM res",
     "a12_sniff_keys": "SELECT unnest(['active', 'id', 'image', 'type']) AS key",
@@ -253,7 +272,8 @@ p AS (SELECT patch_id, bool_or(found) AS any_found FROM k GROUP BY patch_id) SEL
     "e26_config_hash": f"""WITH p AS ({view_sql('predictions')}) SELECT sample_id, substr(sha256('{{"model":"' || model || '","seed":' || sample_id || '}}'), 1, 12) AS hash, model || '__v1' AS slug FROM p""",
     "f7_describe": f"""WITH ann AS ({view_sql('annotations')}), a AS (SELECT id AS pos, 's-' || id AS sample_id, patch_id || '.png' AS image, category AS qtype, split FROM ann), l AS (SELECT DISTINCT image FROM a WHERE split = 'train'), p AS (SELECT * FROM a ORDER BY pos LIMIT 200), m AS (SELECT * FROM p WHERE image NOT IN (SELECT image FROM l))
 SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS images_probed, (SELECT count(*) FROM m) AS images_missing, coalesce((SELECT string_agg(image, ',' ORDER BY pos) FROM (SELECT * FROM m ORDER BY pos LIMIT 5) z), '') AS missing_examples,
- (SELECT string_agg(qtype, ',' ORDER BY qtype) FROM (SELECT DISTINCT qtype FROM a WHERE coalesce(qtype, '') <> '' ORDER BY qtype LIMIT 20) z) AS question_types, (SELECT arg_min(sample_id, pos) FROM a) AS example_id""",
+ (SELECT string_agg(qtype, ',' ORDER BY qtype) FROM (SELECT DISTINCT qtype FROM a WHERE coalesce(qtype, '') <> '' ORDER BY qtype LIMIT 20) z) AS question_types, (SELECT arg_min(sample_id, pos) FROM a) AS example_id, (SELECT '{{"pos":' || pos || ',"sample_id":"' || sample_id || '","image":"' || image || '"' || coalesce(',"qtype":"' || qtype || '"', '') || ',"split":"' || split || '"}}' FROM a ORDER BY pos LIMIT 1) AS example""",
+    "f7_readiness": f"WITH v AS ({view_sql('vqa')}) SELECT benchmark, ready, lacks, samples FROM (VALUES ('whole', TRUE, FALSE), ('half', FALSE, TRUE), ('lost', FALSE, TRUE), ('unnamed', FALSE, FALSE)) r(benchmark, ready, lacks) CROSS JOIN (SELECT count(*) AS samples FROM v) n",
     "f10_dashboard": f"WITH {RES}, c AS (SELECT backend, model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.backend, s.model, " + ", ".join(_cell(p, "round({}, 6)") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT backend, model FROM res) s LEFT JOIN c ON c.backend = s.backend AND c.model = s.model GROUP BY ALL",
     "f10_recent_runs": f"WITH {RES}, l AS (SELECT ts, backend, model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), c AS (SELECT *, benchmark || '=' || printf('%.6f', round(value, 6)) AS v FROM l) SELECT CAST(ts AS VARCHAR) AS ts, backend, model, count(*) AS n_benchmarks, string_agg(v, ';' ORDER BY v) AS scores FROM c GROUP BY ALL",
     "f11_comparison": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL) SELECT s.model, " + ", ".join(_cell(p, "coalesce(printf('%.4f', {}), '-')") + f" AS p{p[0]}" for p in PRIORITIES) + " FROM (SELECT DISTINCT model FROM res) s LEFT JOIN c ON c.model = s.model GROUP BY s.model",
@@ -261,9 +281,9 @@ SELECT (SELECT count(*) FROM a) AS num_samples, (SELECT count(*) FROM p) AS imag
     "f15_normalise_scores": f"WITH {RES}, c AS (SELECT model, benchmark, arg_max(value, seq) AS value FROM head GROUP BY ALL), r AS (SELECT benchmark, min(value) AS lo, max(value) AS hi FROM c GROUP BY benchmark) SELECT model, round(CAST(sum(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1 END * CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) / sum(CASE WHEN benchmark = '1-URGENT' THEN 2 ELSE 1 END) AS DOUBLE), 6) AS overall, count(*) AS n_benchmarks FROM c JOIN r USING (benchmark) GROUP BY model",
     "l3_load_samples": f"WITH {QA} SELECT 'lr-' || question_id AS sample_id, 'vqa' AS task, 'img/' || img_id || '.tif' AS path, CAST(answer AS VARCHAR) AS answer, qtype FROM qa",
     "h1_union_samples": f"""WITH {QA}, v AS ({view_sql("vqa")}), caps AS ({view_sql("captions")}), bx AS ({view_sql("boxes")}), r AS (SELECT sample_id, arg_min(text, ref) AS answer, count(*) AS n FROM caps WHERE part = 'reference' GROUP BY sample_id)
-SELECT 'vqa' AS task, 'single:i' || sample_id AS images, raw_text AS question, gold AS answer, qtype, 1 AS golds, CAST(NULL AS VARCHAR) AS box FROM v
-UNION ALL SELECT 'caption', 'single:' || sample_id || '.png', NULL, answer, NULL, CAST(n AS INTEGER), NULL FROM r
-UNION ALL SELECT 'grounding', 'single:' || sample_id, 'box ' || sample_id, NULL, NULL, 0, gx1 || ',' || gy1 || ',' || gx2 || ',' || gy2 FROM bx
-UNION ALL SELECT 'change_vqa', 'before:cd/im1/' || question_id || '.png,after:cd/im2/' || question_id || '.png', qtype, 'yes', NULL, 1, NULL FROM q
-UNION ALL SELECT 'vqa', 'single:img/' || img_id || '.tif', 'q' || question_id, CAST(answer AS VARCHAR), qtype, 1, NULL FROM qa""",
+SELECT 'v-' || (row_number() OVER (ORDER BY sample_id) - 1) AS sample_id, 'vqa' AS task, 'single:i' || sample_id AS images, raw_text AS question, gold AS answer, qtype, 1 AS golds, CAST(NULL AS VARCHAR) AS box FROM v
+UNION ALL SELECT 'c-' || (row_number() OVER (ORDER BY sample_id) - 1), 'caption', 'single:' || sample_id || '.png', NULL, answer, NULL, CAST(n AS INTEGER), NULL FROM r
+UNION ALL SELECT 'r-' || (row_number() OVER (ORDER BY sample_id) - 1), 'grounding', 'single:' || sample_id, 'box ' || sample_id, NULL, NULL, 0, gx1 || ',' || gy1 || ',' || gx2 || ',' || gy2 FROM bx
+UNION ALL SELECT 'd-' || (row_number() OVER (ORDER BY question_id) - 1), 'change_vqa', 'before:cd/im1/' || question_id || '.png,after:cd/im2/' || question_id || '.png', qtype, 'yes', NULL, 1, NULL FROM q
+UNION ALL SELECT 'lr-' || question_id, 'vqa', 'single:img/' || img_id || '.tif', 'q' || question_id, CAST(answer AS VARCHAR), qtype, 1, NULL FROM qa""",
 }

@@ -21,10 +21,15 @@ def _runs(spark, sf):
     return trace.routed(view(spark, sf, "queries"), _sets(spark, sf))
 
 
+TILES = [("change_mask", "tile", [256, 512])]
+
+
 def b7_validate_params(spark, sf):
+    """Ranges, a set of tile sizes, parameters that no tool has, and values that are missing."""
     d = view(spark, sf, "measures")
+    tiles = d.where("set_id % 3 = 1").select(F.col("set_id").alias("run_id"), F.lit("change_mask").alias("tool"), F.lit("tile").alias("param"), F.when(F.col("set_id") % 2 == 0, 256.0).when(F.col("set_id") % 7 != 0, 999.0).alias("value"))
     calls = d.select(F.col("set_id").alias("run_id"), F.when(F.col("set_id") % 3 == 0, "sar_indices").when(F.col("set_id") % 3 == 1, "change_mask").otherwise("vlm_vqa").alias("tool"), F.when(F.col("set_id") % 3 == 0, "builtup_percentile").when(F.col("set_id") % 3 == 1, "threshold").when(F.col("set_id") % 2 == 0, "max_new_tokens").otherwise("top_p").alias("param"), F.round(F.col("changed_area_frac") * 400, 0).alias("value"))
-    return trace.validate_params(calls, trace.rules_table(spark)).select("run_id", "tool", "violations")
+    return trace.validate_params(calls.union(tiles), trace.rules_table(spark, TILES)).select("run_id", "tool", "violations")
 
 
 def c8_join_boxes(spark, sf):
@@ -86,11 +91,11 @@ def l1_run_model(spark, sf):
 
 def l2_tools(spark, sf):
     """Parameters that each tool permits, for the tools that runs over these sets call."""
-    registry = trace.ToolRegistry()
+    registry = trace.ToolRegistry(TILES)
     for name in ("change_mask", "optical_indices", "sar_indices"):
         registry.add(name, "1.0.0", lambda table: table)
     used = trace.select_tools(_runs(spark, sf), trace.tools_table(spark)).groupBy("tool").agg(F.count("*").alias("calls"))
-    return registry.listing(spark).join(used, "tool").select("tool", "version", "param", "calls")
+    return registry.listing(spark).join(used, "tool").select("tool", "version", "accepts", "tasks", "param", "constraint", "calls")
 
 
 def _traced(spark, sf):
@@ -153,7 +158,7 @@ me AS (SELECT cw.set_id, coregistered, CAST(n_warnings AS BIGINT) AS n_warnings,
 SQL = {
     "b7_validate_params": f"""WITH {ME}, c AS (SELECT set_id, round(changed_area_frac * 400, 0) AS v FROM me), k AS (SELECT set_id, v, CASE set_id % 3 WHEN 0 THEN 'sar_indices' WHEN 1 THEN 'change_mask' ELSE 'vlm_vqa' END AS tool,
  CASE WHEN set_id % 3 = 0 THEN ['builtup_percentile', '80.0', '99.5'] WHEN set_id % 3 = 1 THEN ['threshold', '0.02', '0.9'] WHEN set_id % 2 = 0 THEN ['max_new_tokens', '1.0', '512.0'] END AS rule FROM c)
-SELECT set_id AS run_id, tool, CASE WHEN rule IS NULL THEN tool || ': parameter ''top_p'' is not permitted' WHEN v NOT BETWEEN CAST(rule[2] AS DOUBLE) AND CAST(rule[3] AS DOUBLE) THEN tool || ': ' || chr(39) || rule[1] || chr(39) || '=' || printf('%.1f', v) || ' outside [' || rule[2] || ', ' || rule[3] || ']' ELSE '' END AS violations FROM k""",
+SELECT set_id AS run_id, tool, concat_ws('; ', CASE WHEN rule IS NULL THEN tool || ': parameter ''top_p'' is not permitted' WHEN v NOT BETWEEN CAST(rule[2] AS DOUBLE) AND CAST(rule[3] AS DOUBLE) THEN tool || ': ' || chr(39) || rule[1] || chr(39) || '=' || printf('%.1f', v) || ' outside [' || rule[2] || ', ' || rule[3] || ']' END, CASE WHEN set_id % 3 = 1 AND set_id % 2 = 1 THEN 'change_mask: ' || chr(39) || 'tile' || chr(39) || '=' || CASE WHEN set_id % 7 = 0 THEN 'None' ELSE '999' END || ' not in [256, 512]' END) AS violations FROM k""",
     "c8_join_boxes": f"WITH {_boxes('milli')} SELECT scored.sample_id, CASE WHEN raw_text LIKE '{{<%' THEN 0.0 ELSE round(iou, 6) END AS iou FROM scored JOIN b ON b.sample_id = scored.sample_id",
     "c9_agree": f"WITH {ME} SELECT set_id AS pair_id, round(abs(optical_water_fraction - sar_water_fraction), 6) AS gap, abs(optical_water_fraction - sar_water_fraction) <= 0.15 AS agrees, CAST(CASE WHEN abs(optical_water_fraction - sar_water_fraction) <= 0.15 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM me WHERE sar_water_fraction IS NOT NULL",
     "c12_select_tools": f"WITH {RUNS}, {TOOLS} SELECT run_id, tool, CAST(ord AS INTEGER) AS ord FROM runs JOIN tools USING (task, config)",
@@ -167,7 +172,9 @@ SELECT set_id, CAST([-0.18, -0.15, 0.10, -0.12, 0.08, 0.0][i] AS DOUBLE) AS adju
     "e28_echo": f"WITH {RUNS} SELECT run_id, CASE WHEN task = 'grounding' THEN '{lookup.ECHO_BOX}' WHEN task IN ('caption', 'change_caption') OR query ILIKE '%describe%' THEN '{lookup.ECHO_CAPTION}' ELSE 'yes' END AS answer FROM runs",
     "f12_blend": f"WITH p AS ({view_sql('predictions')}) SELECT model AS run_id, round_even(avg(CASE WHEN answer IS NULL THEN 0.05 ELSE 0.84 END)::DOUBLE, 3) AS confidence FROM p WHERE sample_id % 3 <> 0 GROUP BY model",
     "l1_run_model": f"WITH {RUNS} SELECT run_id, length(query) || ' characters' AS answer, CASE WHEN task IN ('vqa', 'change_vqa', 'crossmodal_vqa') THEN 'length' ELSE 'stop' END AS finish FROM runs",
-    "l2_tools": f"WITH {RUNS}, {TOOLS}, n AS (SELECT tool, count(*) AS calls FROM runs JOIN tools USING (task, config) GROUP BY tool) SELECT tool, '1.0.0' AS version, param, calls FROM n JOIN (VALUES ('change_mask', 'threshold'), ('change_mask', 'min_area_frac'), ('optical_indices', 'water_threshold'), ('optical_indices', 'builtup_threshold'), ('sar_indices', 'builtup_percentile')) v(tool, param) USING (tool)",
+    "l2_tools": f"""WITH {RUNS}, {TOOLS}, n AS (SELECT tool, count(*) AS calls FROM runs JOIN tools USING (task, config) GROUP BY tool) SELECT tool, '1.0.0' AS version, accepts, tasks, param, said AS "constraint", calls FROM n
+JOIN (VALUES ('change_mask', 'bitemporal_pair', 'change_caption,change_vqa', 'threshold', '0.02 to 0.9'), ('change_mask', 'bitemporal_pair', 'change_caption,change_vqa', 'min_area_frac', '0.0 to 0.2'), ('change_mask', 'bitemporal_pair', 'change_caption,change_vqa', 'tile', '256 | 512'),
+('optical_indices', 'crossmodal_pair', 'crossmodal_vqa', 'water_threshold', '-1.0 to 1.0'), ('optical_indices', 'crossmodal_pair', 'crossmodal_vqa', 'builtup_threshold', '-1.0 to 1.0'), ('sar_indices', 'crossmodal_pair', 'crossmodal_vqa', 'builtup_percentile', '80.0 to 99.5')) v(tool, accepts, tasks, param, said) USING (tool)""",
     "l4_traces": f"""WITH {RUNS}, {MEASURED}, {ANSWERS},
 sc AS (SELECT v.*, me.cc, me.cc2, me.coregistered, me.n_warnings, {ROUTE}[2] AS rule, CASE WHEN kind = 'yes' AND c < 0.02 THEN 2 WHEN kind = 'yes' AND c > 0.02 THEN 3 WHEN gap > 0.15 THEN 4 WHEN gap IS NOT NULL THEN 5 ELSE 6 END AS i, 1 + CAST(warned AS INTEGER) AS asked, CASE kind WHEN 'yes' THEN 0.84 ELSE 0.78 END AS own,
  CASE WHEN task LIKE 'change%' THEN me.cc + coalesce(me.cc2, 0) WHEN task = 'crossmodal_vqa' THEN coalesce(o - o + 0.85, 0) + coalesce(s - s + 0.8, 0) ELSE 0 END AS said, CASE WHEN task LIKE 'change%' THEN 1 + CAST(me.cc2 IS NOT NULL AS INTEGER) WHEN task = 'crossmodal_vqa' THEN CAST(o IS NOT NULL AS INTEGER) + CAST(s IS NOT NULL AS INTEGER) ELSE 0 END AS saying FROM (SELECT *, run_id % 8 AS m FROM verdict) v JOIN me ON me.set_id = v.set_id)

@@ -25,15 +25,29 @@ def tools_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(lookup.TOOLS, "tool string, task string, config string, ord int")
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lookup.PARAM_RULES, "tool string, param string, lo double, hi double")
+RULE = "tool string, param string, lo double, hi double, allowed array<double>"
+
+
+def rules_table(spark: SparkSession, sets: list[tuple[str, str, list[float]]] = ()) -> DataFrame:
+    """Rules of parameters: ranges, and ``sets`` (tool, param, permitted values)."""
+    rows = [(*r, None) for r in lookup.PARAM_RULES] + [(tool, param, None, None, [float(v) for v in values]) for tool, param, values in sets]
+    return spark.createDataFrame(rows, RULE)
+
+
+def _number(value: Column) -> Column:
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def _members(join: str) -> Column:
+    return F.array_join(F.transform(F.array_sort("allowed"), _number), join)
 
 
 class ToolRegistry:
     """Measuring functions by name; a name is taken once."""
 
-    def __init__(self) -> None:
+    def __init__(self, sets: list[tuple[str, str, list[float]]] = ()) -> None:
         self.tools: dict[str, tuple[str, Callable]] = {}
+        self.sets = sets
 
     def add(self, name: str, version: str, function: Callable) -> None:
         if name in self.tools:
@@ -46,21 +60,36 @@ class ToolRegistry:
         return self.tools[name][1]
 
     def listing(self, spark: SparkSession) -> DataFrame:
-        """(tool, version, param, constraint): one row per permitted parameter, or one without."""
+        """(tool, version, accepts, tasks, param, constraint): one row per permitted parameter, or one without.
+
+        ``tasks`` are those that the tool serves for input of configuration
+        ``accepts``; a constraint is a range or the permitted values.
+        """
         rows = [(n, v) for n, (v, _) in sorted(self.tools.items())]
-        named = spark.createDataFrame(rows, "tool string, version string")
-        return named.join(rules_table(spark), "tool", "left").select("tool", "version", "param", F.format_string("%s to %s", "lo", "hi").alias("constraint"))
+        named = spark.createDataFrame(rows, "tool string, version string").withColumn("family", tool_family("tool"))
+        served = tools_table(spark).groupBy("tool", F.col("config").alias("accepts")).agg(F.array_join(F.array_sort(F.collect_set("task")), ",").alias("tasks"))
+        rules = rules_table(spark, self.sets).withColumnRenamed("tool", "family")
+        constraint = F.when(F.col("allowed").isNotNull(), _members(" | ")).when(F.col("lo").isNotNull(), F.format_string("%s to %s", "lo", "hi"))
+        return named.join(served, "tool", "left").join(rules, "family", "left").select("tool", "version", "accepts", "tasks", "param", constraint.alias("constraint"))
+
+
+def tool_family(tool: str) -> Column:
+    return F.when(F.col(tool).startswith("vlm_"), "vlm").otherwise(F.col(tool))
 
 
 def validate_params(params: DataFrame, rules: DataFrame) -> DataFrame:
     """(run_id, tool, violations) from (run_id, tool, param, value), one row per call: empty where all is permitted.
 
-    Rules of the tool family, the name before the first "_" for models, hold for its members.
+    Rules of the tool family, the name before the first "_" for models, hold for
+    its members. A rule is a range (lo, hi) or a list of permitted values; a null
+    value keeps neither.
     """
-    family = F.when(F.col("tool").startswith("vlm_"), "vlm").otherwise(F.col("tool"))
-    checked = params.withColumn("family", family).join(rules.withColumnRenamed("tool", "family"), ["family", "param"], "left")
+    checked = params.withColumn("family", tool_family("tool")).join(rules.withColumnRenamed("tool", "family"), ["family", "param"], "left")
+    named = F.concat("tool", F.lit(": '"), "param", F.lit("'="))
     said = (
-        F.when(F.col("lo").isNull(), F.concat("tool", F.lit(": parameter '"), "param", F.lit("' is not permitted")))
+        F.when(F.col("allowed").isNotNull(), F.when(~F.coalesce(F.array_contains("allowed", F.col("value")), F.lit(False)), F.concat(named, F.coalesce(_number(F.col("value")), F.lit("None")), F.lit(" not in ["), _members(", "), F.lit("]"))))
+        .when(F.col("lo").isNull(), F.concat("tool", F.lit(": parameter '"), "param", F.lit("' is not permitted")))
+        .when(F.col("value").isNull(), F.concat(named, F.lit("None outside ["), F.col("lo").cast("string"), F.lit(", "), F.col("hi").cast("string"), F.lit("]")))
         .when(~F.col("value").between(F.col("lo"), F.col("hi")), F.concat("tool", F.lit(": '"), "param", F.lit("'="), F.col("value").cast("string"), F.lit(" outside ["), F.col("lo").cast("string"), F.lit(", "), F.col("hi").cast("string"), F.lit("]")))
     )
     return checked.groupBy("run_id", "tool").agg(F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("violations"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sceneweave.functions import boxes, text
+
 ANNOTATIONS = ["ID", "s1_name", "patch_id", "input", "output", "type", "category", "split", "country", "season"]
 FEATURE = "id string, collection string, bbox array<double>, properties struct<datetime:string,`eo:cloud_cover`:double,platform:string,`sat:orbit_state`:string>"
 
@@ -24,9 +26,11 @@ def read_records(spark: SparkSession, path: str, containers: tuple[str, ...] = (
 
     A document is a list of objects; or an object with a list under one of the
     ``containers``, else with its first list of objects; or an object of
-    objects, whose keys become _key. Anything else is an error.
+    objects, whose keys become _key. Anything else is an error. ``pos`` goes on
+    from file to file, in the order of their paths.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
+    files = spark.read.text(path, wholetext=True)
+    whole = files.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
     members = F.expr("try_variant_get(doc, '$', 'map<string,variant>')")
     is_list = F.schema_of_variant("doc").startswith("ARRAY")
     as_list = lambda v: F.expr(f"try_variant_get({v}, '$', 'array<variant>')")
@@ -37,8 +41,13 @@ def read_records(spark: SparkSession, path: str, containers: tuple[str, ...] = (
     keyed = F.when(F.col("list").isNull() & F.forall(F.map_values("members"), lambda v: F.schema_of_variant(v).startswith("OBJECT")), F.map_entries("members"))
     rows = F.when(F.col("list").isNotNull(), F.transform(as_list("list"), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("value")))).otherwise(keyed)
     rows = F.coalesce(rows, F.raise_error(F.lit("unsupported annotation payload")).cast("array<struct<key:string,value:variant>>"))
-    flat = whole.select(F.posexplode(rows).alias("pos", "r")).select("pos", F.col("r.key").alias("_key"), F.col("r.value").alias("record"))
-    return flat.where(F.schema_of_variant("record").startswith("OBJECT"))
+    flat = whole.select("file", F.posexplode(rows).alias("pos", "r")).select("file", F.col("pos").cast("long").alias("pos"), F.col("r.key").alias("_key"), F.col("r.value").alias("record"))
+    if len(files.inputFiles()) > 1:
+        # One row a file; the records of the files before it.
+        sizes = whole.select("file", F.size(rows).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        flat = flat.join(sizes.select("file", before.alias("before")), "file").withColumn("pos", F.col("pos") + F.col("before"))
+    return flat.where(F.schema_of_variant("record").startswith("OBJECT")).select("pos", "_key", "record")
 
 
 def field(record: str, names: list[str], kind: str = "string") -> Column:
@@ -87,9 +96,51 @@ def write_instructions(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("task").text(path)
 
 
-def write_predictions(samples: DataFrame, predictions: DataFrame, path: str) -> None:
-    """Samples with predictions as JSON lines: the raw text stays beside the parsed answer."""
-    samples.join(predictions, "sample_id").write.mode("overwrite").json(path)
+#: A line of the prediction log, besides columns that tell logs apart.
+LOG = ["sample_id", "question", "reference", "references", "reference_bbox", "qtype", "raw_text", "answer", "bbox", "parse_ok"]
+
+
+def prediction_log(samples: DataFrame, predictions: DataFrame, scale: str = "auto") -> DataFrame:
+    """Columns of LOG, then other columns of ``predictions``: samples joined to (sample_id, raw_text).
+
+    Beside the raw text are what was parsed of it: for grounding tasks the box,
+    normalised from ``scale``, and whether there was one; for all others the
+    normalised answer, and whether any text was left. Columns that samples lack
+    are null.
+    """
+    kinds = {"question": "string", "answer": "string", "references": "array<string>", "bbox": "struct<x1:double,y1:double,x2:double,y2:double>", "qtype": "string", "task": "string"}
+    own = [(F.col(c) if c in samples.columns else F.lit(None).cast(kind)).alias("reference" if c == "answer" else "reference_bbox" if c == "bbox" else c) for c, kind in kinds.items()]
+    joined = samples.select("sample_id", *own).join(predictions, "sample_id")
+    grounding = F.coalesce(F.col("task") == "grounding", F.lit(False))
+    box = F.when(grounding, boxes.parse_bbox(F.col("raw_text"), scale))
+    answer = F.when(~grounding, text.normalize_answer(F.col("raw_text")))
+    parsed = F.when(grounding, box.isNotNull()).otherwise(F.coalesce(answer != "", F.lit(False)))
+    others = [c for c in predictions.columns if c not in LOG]
+    return joined.withColumns({"answer": answer, "bbox": box, "parse_ok": parsed}).select(*LOG, *others)
+
+
+def write_predictions(samples: DataFrame, predictions: DataFrame, path: str, scale: str = "auto") -> None:
+    """The prediction log as JSON lines, with null fields kept."""
+    prediction_log(samples, predictions, scale).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def readiness(spark: SparkSession, specs: list[dict]) -> DataFrame:
+    """(benchmark, adapter, ready, missing): whether every annotation file that a release needs is there.
+
+    Files are those under annotations, questions and answers of a spec; a spec
+    that names none is not ready. One listing a path, on the driver.
+    """
+
+    def exists(name: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+    rows = []
+    for spec in specs:
+        named = [spec[k] for k in ("annotations", "questions", "answers") if spec.get(k)]
+        missing = [n for n in named if not exists(n)]
+        rows.append((spec["name"], spec["adapter"], bool(named) and not missing, ",".join(missing)))
+    return spark.createDataFrame(rows, "benchmark string, adapter string, ready boolean, missing string")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
