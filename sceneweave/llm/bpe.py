@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import struct
 from bisect import bisect_left
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -24,9 +25,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import cut_lineage, map_batches
+from sceneweave.llm.common import cut_lineage, kept, map_batches
 
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 4_096, 256
+#: Characters from which the chunks of one text are dealt over the cluster; those of shorter texts are encoded and stitched where the text is.
+DEAL = 1 << 20
 #: Encoded pre-tokens that a worker keeps.
 KEPT = 400_000
 
@@ -39,8 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one rank file, made once per Python worker."""
 
-    made: dict[tuple[str, str], Codec] = {}
-
     def __init__(self, path: str, pattern: str) -> None:
         ranks = read_ranks(path)
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -48,9 +49,7 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls.made:
-            cls.made[path, pattern] = cls(path, pattern)
-        return cls.made[path, pattern]
+        return kept("bpe", (path, pattern), lambda: cls(path, pattern))
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         """The ids of each pre-token as little-endian unsigned 32-bit integers."""
@@ -101,15 +100,39 @@ def encode_part(codec: Codec, k: int, part: str, last: bool, chunk: int, overlap
     return b"".join(coded), to - chunk, starts[: min(head, n + 1)], before[:head]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def cut_text(text: str, chunk: int, overlap: int) -> list[tuple[int, str, bool]]:
+    """(number, chunk with its overlap, whether it is the last) of a text; an empty text is one empty chunk."""
+    return [(k, text[at : at + chunk + overlap], at + chunk >= len(text)) for k, at in enumerate(range(0, max(1, len(text)), chunk))]
+
+
+def stitched(parts: Iterable[tuple[bytes | None, int | None, list[int] | None, list[int] | None]]) -> bytes | None:
+    """The ids of a text from what ``encode_part`` gave for its chunks, in order; None where two chunks share no boundary."""
+    ids, start = [], 0
+    for coded, handed, at, before in parts:
+        if coded is None or start not in at:
+            return None
+        ids.append(coded[4 * before[at.index(start)] :])
+        start = handed
+    return b"".join(ids)
+
+
+def encode_text(codec: Codec, text: str, chunk: int, overlap: int) -> bytes:
+    """The ids of a text, chunk by chunk; in one piece where chunks never fall into step."""
+    parts = [encode_part(codec, k, part, last, chunk, overlap) or (None,) * 4 for k, part, last in cut_text(text, chunk, overlap)]
+    ids = stitched(parts)
+    return encode_part(codec, 0, text, True, chunk, overlap)[0] if ids is None else ids
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL) -> DataFrame:
     """(doc_id, ids binary): the ids as little-endian unsigned 32-bit integers, one row per input row.
 
     A null or empty text has no ids. Rows of equal or null doc_id stay apart.
     Other columns are not read. Every text is encoded in chunks of ``chunk``
-    characters; those of a text of several chunks are dealt over the cluster
+    characters that overlap, and stitched. This happens where the text is; only
+    the chunks of texts of over ``deal`` characters are dealt over the cluster
     and meet again once encoded, so that a very long text is not one task's
-    work. Its ids are one value, as they are one row of the result. The cut
-    chunks are kept in the checkpoint folder, as the rows are numbered there.
+    work. Its ids are one value, as they are one row of the result. Dealt
+    chunks are kept in the checkpoint folder, as their rows are numbered there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     part_schema = "doc_id long, row long, k int, part string, last boolean"
@@ -123,7 +146,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for doc_id, row, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "row", "text")), strict=True):
-            parts += [(doc_id, row, k, text[at : at + chunk + overlap], at + chunk >= len(text)) for k, at in enumerate(range(0, max(1, len(text)), chunk))]
+            parts += [(doc_id, row, *part) for part in cut_text(text, chunk, overlap)]
         return table(parts, part_kinds, "doc_id row k part last")
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -136,26 +159,24 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def stitch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc_id, row, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "parts")), strict=True):
-            ids, start = [], 0
-            for p in sorted(parts, key=lambda p: p["k"]):
-                if start is None or p["ids"] is None or start not in p["at"]:
-                    start = None
-                    break
-                ids.append(p["ids"][4 * p["before"][p["at"].index(start)] :])
-                start = p["handed"]
-            out.append((doc_id, row, None if start is None else b"".join(ids)))
+            out.append((doc_id, row, stitched((p["ids"], p["handed"], p["at"], p["before"]) for p in sorted(parts, key=lambda p: p["k"]))))
         return table(out, [pa.int64(), pa.int64(), pa.binary()], "doc_id row ids")
 
+    def encode_whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = Codec.of(path, pattern)
+        ids = [encode_text(codec, text.as_py(), chunk, overlap) for text in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
     coded = lambda parts: map_batches(parts, encode, "doc_id long, row long, k int, ids binary, handed int, at array<int>, before array<long>", rows=256)
-    of_one = rows.where(F.length("text") <= chunk).select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("k"), F.col("text").alias("part"), F.lit(True).alias("last"))
-    of_more = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    here = map_batches(rows.where(F.length("text") <= deal), encode_whole, "doc_id long, ids binary", rows=256)
+    of_more = rows.where(F.length("text") > deal).withColumn("row", F.monotonically_increasing_id())
     cuts = cut_lineage(map_batches(of_more, cut, part_schema, rows=64))
     gathered = coded(cuts.repartition("row", "k")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("k", "ids", "handed", "at", "before")).alias("parts"))
-    stitched = cut_lineage(map_batches(gathered.select("doc_id", "row", "parts"), stitch, "doc_id long, row long, ids binary", rows=64))
+    stitches = cut_lineage(map_batches(gathered.select("doc_id", "row", "parts"), stitch, "doc_id long, row long, ids binary", rows=64))
     # A text whose chunks never fall into step is put together again and encoded as one chunk.
-    stuck = cuts.join(stitched.where("ids IS NULL").select("row"), "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
+    stuck = cuts.join(stitches.where("ids IS NULL").select("row"), "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
     stuck = stuck.select("doc_id", "row", F.lit(0).alias("k"), F.array_join(F.transform("parts", lambda p: F.substring(p["part"], 1, chunk)), "").alias("part"), F.lit(True).alias("last"))
-    return coded(of_one).union(coded(stuck)).select("doc_id", "ids").union(stitched.where("ids IS NOT NULL").select("doc_id", "ids"))
+    return here.union(coded(stuck).select("doc_id", "ids")).union(stitches.where("ids IS NOT NULL").select("doc_id", "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

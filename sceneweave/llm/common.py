@@ -6,8 +6,10 @@ cluster's shared folder, and graph components are found by joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager, suppress
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,30 @@ def broadcast_if_few(frame: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= most_rows else frame
 
 
+_kept: dict[str, dict[Hashable, Any]] = {}
+
+
+def kept(owner: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from batch to batch for ``owner``, made once; what it kept for other owners goes.
+
+    Workers are used again by later stages, which have no need of an earlier
+    operator's tables.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    if key not in _kept[owner]:
+        _kept[owner][key] = make()
+    return _kept[owner][key]
+
+
+def release_memory() -> None:
+    """Give back to the system what a worker's allocators hold at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = 1024) -> DataFrame:
     """Apply ``work`` to each Arrow batch, ``rows`` rows at a time; None gives no rows.
 
@@ -73,6 +99,7 @@ def map_batches(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatc
             for at in range(0, batch.num_rows, rows):
                 if (out := work(batch.slice(at, rows))) is not None:
                     yield out
+        release_memory()
 
     return frame.mapInArrow(run, schema)
 
@@ -105,6 +132,8 @@ def map_whole_groups(frame: DataFrame, keys: list[str], work: Callable[[pa.Table
             held = table.slice(cut).to_batches()
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        release_memory()
 
     return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sceneweave.llm.common import map_batches
+from sceneweave.llm.common import kept, map_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 UNKNOWN = "und"
@@ -152,9 +152,6 @@ def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text",
     return fit(windows, np.array([places[lang] for lang, _ in found]), languages)
 
 
-_tables: dict[bytes, list[list[np.ndarray]]] = {}
-
-
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, one row per input row; see ``annotate``. Other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -176,17 +173,14 @@ def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if network else []
         if some:
-            mark = network.dense.tobytes()
-            if mark not in _tables:
-                _tables.clear()
-                _tables[mark] = network.tables()
+            tables = kept("language", network.dense.tobytes(), network.tables)
             sums, chances, n = (np.zeros((len(texts), len(network.languages))) for _ in range(3))
             held, owners, count = [], [], 0
 
             def flush() -> None:
                 windows, owner = np.concatenate(held), np.repeat([o for o, _ in owners], [k for _, k in owners])
                 for at in range(0, len(windows), AT_ONCE):
-                    log_p = network.log_probabilities(windows[at : at + AT_ONCE], _tables[mark])
+                    log_p = network.log_probabilities(windows[at : at + AT_ONCE], tables)
                     np.add.at(sums, owner[at : at + AT_ONCE], log_p)
                     np.add.at(chances, owner[at : at + AT_ONCE], np.exp(log_p))
                     np.add.at(n, owner[at : at + AT_ONCE], 1)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sceneweave.llm.common import map_batches
+from sceneweave.llm.common import kept, map_batches
 
 #: Encoded words that a worker keeps.
 KEPT = 300_000
@@ -41,17 +41,13 @@ class WordTokenizer:
     with a special token's string inside, which it reads as that token.
     """
 
-    made: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.merges, self.ids = self._ranks()
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+        return kept("packing", path, lambda: cls(path))
 
     def _ranks(self) -> tuple[tiktoken.Encoding, list[int]]:
         """The vocabulary as ranks of byte strings, and the id of each rank.

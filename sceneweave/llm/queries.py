@@ -65,10 +65,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Words are inserted by an estimate of six characters each, then revised to
     their count; pieces are inserted; then exact copies but the smallest doc_id
-    are deleted under both tokenizer versions.
+    are deleted under both tokenizer versions. A null text is an empty one, and
+    a copy of others. Repeated rows of one doc_id count as often as they occur,
+    as no id is larger than itself; rows with a null doc_id are never deleted.
+    Null sources and languages are keys like any other; an empty table has no
+    totals.
     """
-    docs = read_table(spark, sf_dir, "documents")
-    counted = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("hash"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 6).cast("long").alias("estimate"), rollup.word_count(F.col("text")).alias("words"), rollup.piece_count(F.col("text")).alias("pieces"))
+    docs, text = read_table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    counted = docs.select("doc_id", "source", "lang", F.xxhash64(text).alias("hash"), F.md5(text.cast("binary")).alias("digest"), F.floor(F.length(text) / 6).cast("long").alias("estimate"), rollup.word_count(F.col("text")).alias("words"), rollup.piece_count(F.col("text")).alias("pieces"))
     counted = cut_lineage(counted)
     first = cut_lineage(counted.groupBy("hash", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     copies = join_skewed(counted, first, ["hash", "digest"], "n", counted.count()).where("doc_id > first_id")
@@ -191,7 +195,7 @@ SELECT f.word, f.form, e.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN e
         "op10_token_counts": r"""
 WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
 one AS (SELECT source, lang, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-               length(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+')) AS pieces FROM d WHERE doc_id = first_id)
+               length(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+')) AS pieces FROM d WHERE doc_id IS NULL OR doc_id = first_id)
 SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM one GROUP BY ALL
 UNION ALL
 SELECT source, lang, 'pieces-1', count(*), CAST(sum(pieces) AS BIGINT) FROM one GROUP BY ALL""",

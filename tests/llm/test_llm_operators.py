@@ -195,13 +195,13 @@ def test_planted_pairs_near_the_threshold_are_found(spark, bits):
     assert found <= {*range(2_000), *range(10_000, 12_000)} and len(found) >= 0.99 * 4_000
 
 
-@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (400, 60), (40, 12)])
-def test_bpe_is_tiktoken_and_round_trips(spark, documents, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,deal", [(bpe.CHUNK, bpe.OVERLAP, bpe.DEAL), (400, 60, bpe.DEAL), (400, 60, 400), (40, 12, 40), (40, 12, 5_000)])
+def test_bpe_is_tiktoken_and_round_trips(spark, documents, chunk, overlap, deal):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     more = [(1000 + i, t) for i, t in enumerate([" " * 3000, "it's  \n\n we'll don't" * 200, " a" * 900 + " " * 300 + "b" * 40, "\r\n" * 500 + "x", "12 345" * 300, "<|endoftext|>" * 3, "é日本 テキスト " * 4000])]
     docs = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    got = bpe.digests(bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap), path, public_tokenizers.PATTERN)).collect()
+    got = bpe.digests(bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap, deal=deal), path, public_tokenizers.PATTERN)).collect()
     want = Counter()
     for r in docs.collect():
         ids = own.encode_ordinary(r.text or "")
