@@ -7,6 +7,7 @@ cluster's shared folder, and graph components are found by joins.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager, suppress
 from typing import Any
@@ -156,6 +157,16 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray |
             labels = further
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have shuffle files and checkpoints that nothing can read any more removed now.
+
+    Spark removes them when the driver collects its garbage, which it may not do
+    for half an hour; a loop of small jobs piles them up meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Edges of a task.
 EDGES = 50_000
 
@@ -185,4 +196,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut_lineage(few(few(small.union(lowest.select("a", F.col("m").alias("b")))).distinct()))
+        del both, lowest, large, small
+        forget_shuffles(edges.sparkSession)
     raise RuntimeError("components did not settle")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneweave.llm.common import arrow_rows, broadcast_if_few, connected_components, cut_lineage, join_skewed, local_components, map_batches, map_whole_groups
+from sceneweave.llm.common import arrow_rows, broadcast_if_few, connected_components, cut_lineage, forget_shuffles, join_skewed, local_components, map_batches, map_whole_groups
 from sceneweave.llm.simhash import SEED, fingerprint_links, fingerprint_of, keep_first, shingle_hashes
 
 BANDS, ROWS = 24, 4
@@ -156,6 +156,7 @@ def links_within(members: DataFrame, sets: DataFrame, similarity: float, unit_ro
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int, similarity: float, unit_rows: int) -> DataFrame:
     """(doc_id, text_key, root, component_id), one row per input row."""
+    spark = docs.sparkSession
     marked = cut_lineage(with_sets(docs, id_col, text_col, shingle))
     classes = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets"), F.first("size").alias("size"), F.count("*").alias("n_rows")))
 
@@ -173,12 +174,14 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     fit = F.least("size", "leader.size") >= similarity * F.greatest("size", "leader.size") - 1e-9
     tried = cut_lineage(ordered(far.union(crowd.where(fit).select("node", "leader.node"))))
 
+    forget_shuffles(spark)
     # Nodes of buckets with several components are read as well, whether or not their leader could be like them.
     wanted = tried.select("a").union(tried.select("b")).union(crowd.where("n > 2").select("node")).distinct().withColumnRenamed("a", "node")
     wanted = cut_lineage(classes.select("node", "text_key").join(wanted, "node"))
     sets = cut_lineage(read_sets(docs, text_col, shingle, wanted))
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(spark, 1000):
         links = cut_lineage(confirmed(tried, sets, similarity))
+    forget_shuffles(spark)
 
     # A bucket of two has had its one pair compared; of equal buckets one is enough.
     roots = connected_components(links)
@@ -186,9 +189,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: i
     several = crowd.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low <> high")
     several = cut_lineage(several.groupBy("rows", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "rows"))
     remaining = cut_lineage(join_skewed(cut_lineage(crowd), several, ["bucket"], "rows", crowd.count()).select("bucket", "node", "root"))
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(spark, 1000):
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cut_lineage(links_within(remaining, sets, similarity, unit_rows)))
 
+    forget_shuffles(spark)
     roots = connected_components(links)
     rooted = cut_lineage(classes.select("node", "first_id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes")))
