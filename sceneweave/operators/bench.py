@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneweave.functions import text
@@ -92,13 +92,17 @@ def assemble_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     A key needs its json and both images. The first key of a name, by shard and
     key, gives its images.
     """
-    whole = members.groupBy("shard", "key").pivot("suffix", ["json", "before", "after"]).agg(F.first("payload")).dropna(subset=["json", "before", "after"])
+    has = lambda kind: F.bool_or(F.col("suffix") == kind).alias(f"has_{kind}")
+    # Which keys are whole, and which give images, is decided without payloads; those of the chosen keys are moved once.
+    whole = members.groupBy("shard", "key").agg(has("json"), has("before"), has("after")).where("has_json AND has_before AND has_after").select("shard", "key")
     shape = "conversations array<struct<`from`:string,value:string>>, meta struct<image_id:string,question_type:string>"
-    parsed = whole.withColumn("record", F.from_json("json", shape)).withColumn("image_id", F.coalesce("record.meta.image_id", F.concat("key", F.lit(".png"))))
+    json = members.where("suffix = 'json'").groupBy("shard", "key").agg(F.first(F.col("payload").cast("string")).alias("json")).join(whole, ["shard", "key"])
+    parsed = json.withColumn("record", F.from_json("json", shape)).withColumn("image_id", F.coalesce("record.meta.image_id", F.concat("key", F.lit(".png"))))
     turns = parsed.select("shard", "key", F.posexplode("record.conversations").alias("turn", "t")).select(F.concat_ws("/", "shard", "key").alias("conv_id"), "turn", F.col("t.from").alias("speaker"), F.col("t.value").alias("value"))
     asked = parsed.withColumn("conv_id", F.concat_ws("/", "shard", "key")).join(question_answers(turns), "conv_id")
-    first = Window.partitionBy("image_id").orderBy("shard", "key")
-    images = asked.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("image_id", "before", "after")
+    chosen = asked.groupBy("image_id").agg(F.min(F.struct("shard", "key")).alias("k")).select("image_id", F.col("k.shard").alias("shard"), F.col("k.key").alias("key"))
+    payload = lambda kind: F.first(F.when(F.col("suffix") == kind, F.col("payload")), ignorenulls=True).alias(kind)
+    images = members.where("suffix IN ('before', 'after')").join(chosen, ["shard", "key"]).groupBy("shard", "key", "image_id").agg(payload("before"), payload("after")).select("image_id", "before", "after")
     return images, asked.select("shard", "key", F.col("image_id").alias("img_name"), "question", "answer", F.coalesce("record.meta.question_type", F.lit("")).alias("type"))
 
 

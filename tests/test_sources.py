@@ -63,3 +63,15 @@ def test_unmatched_predictions_are_an_error(spark):
     samples, said = spark.range(3).withColumnRenamed("id", "sample_id"), spark.range(1, 4).withColumnRenamed("id", "sample_id").withColumn("answer", F.lit("x"))
     with pytest.raises(ValueError, match="2 sample ids"):
         bench.join_predictions(samples, said)
+
+
+def test_images_move_once_and_only_those_of_chosen_keys(spark):
+    record = lambda image: json.dumps({"conversations": [{"from": "human", "value": "q?"}, {"from": "gpt", "value": "a"}], "meta": {"image_id": image, "question_type": "t"}})
+    rows = [(s, k, "json", record(image)) for s, k, image in (("0", "b", "x"), ("0", "a", "x"), ("1", "c", "y"), ("1", "d", "z"))]
+    rows += [(s, k, kind, f"{k}-{kind}") for s, k in (("0", "b"), ("0", "a"), ("1", "c")) for kind in ("before", "after")] + [("1", "d", "before", "lonely")]
+    members = spark.createDataFrame(rows, "shard string, key string, suffix string, payload string").withColumn("payload", F.col("payload").cast("binary"))
+    images, questions = bench.assemble_pairs(members)
+    assert sorted((r.image_id, bytes(r.before).decode(), bytes(r.after).decode()) for r in images.collect()) == [("x", "a-before", "a-after"), ("y", "c-before", "c-after")]
+    assert sorted((r.key, r.img_name) for r in questions.collect()) == [("a", "x"), ("b", "x"), ("c", "y")]
+    plan = images._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Pivot" not in plan
