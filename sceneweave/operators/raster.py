@@ -102,6 +102,11 @@ def otsu(gray: DataFrame, key: str = "scene_id", value: str = "gray") -> DataFra
     v = F.col(value)
     inside = gray.where(finite(v) & (v >= 0) & (v <= 1))
     hist = inside.withColumn("bin", F.least(F.floor(v * BINS), F.lit(BINS - 1)).cast("int")).groupBy(key, "bin").agg(F.count("*").cast("double").alias("c"))
+    return otsu_of_counts(hist, gray.select(key).distinct(), key)
+
+
+def otsu_of_counts(hist: DataFrame, keys: DataFrame, key: str = "scene_id") -> DataFrame:
+    """(key, cut) for each of ``keys``, from counts (key, bin, c) of 256 bins."""
     centre = (F.col("bin") + 0.5) / BINS
     upto = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(key)
@@ -110,7 +115,7 @@ def otsu(gray: DataFrame, key: str = "scene_id", value: str = "gray") -> DataFra
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1
     between = F.when(w1 > 0, F.col("w0") * w1 * gap * gap)
     best = sums.groupBy(key).agg(F.max_by(centre, F.when(between.isNotNull(), F.struct(F.round(between, 9), -F.col("bin")))).alias("cut"))
-    return gray.select(key).distinct().join(best, key, "left").select(key, F.coalesce("cut", F.lit(0.5)).alias("cut"))
+    return keys.join(best, key, "left").select(key, F.coalesce("cut", F.lit(0.5)).alias("cut"))
 
 
 def quadrant_counts(hit: Column, y: str = "y", x: str = "x", h: str = "h", w: str = "w") -> list[Column]:
@@ -211,6 +216,11 @@ def change_mask(pairs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         F.avg(F.when(F.col("hit"), F.col("delta"))).alias("shift"),
         *quadrant_counts(F.col("hit")),
     )
+    return change_report(sums)
+
+
+def change_report(sums: DataFrame) -> DataFrame:
+    """What is told of each pair, from its totals (used, given, floor, changed, mean, shift, nw, ne, sw, se)."""
     kept = F.col("changed") >= F.col("floor")
     sums = sums.withColumns({"location": F.when(kept, quadrant_phrase()).otherwise("nowhere"), "delta": F.when(kept, F.coalesce("shift", F.lit(0.0))).otherwise(0.0)}).withColumn("changed", F.when(kept, F.col("changed")).otherwise(0.0))
     direction = F.when(F.col("changed") < QUIET, "no significant change").when(F.col("delta") > 0.02, "brightened").when(F.col("delta") < -0.02, "darkened").otherwise("mixed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sceneweave.operators import raster
+from sceneweave.operators import raster, tiles
 from sceneweave.plans.fixtures import view, view_sql
 
 
@@ -26,6 +26,26 @@ def _sar_gray(spark, sf):
     return s.select("scene_id", "y", "x", (F.col("level") / 255.0).alias("gray"))
 
 
+#: Tiles of three rows and columns of scenes of eight: those at the edges are smaller.
+TILE = 3
+
+
+def _vector_tiles(spark, sf, keys):
+    """Tiles cut straight from the vectors, eight rows of eight, so that no pixel is ever a row."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL")
+    places = F.sequence(F.lit(0), F.lit((8 - 1) // TILE))
+    cut = vectors.withColumn("ty", F.explode(places)).withColumn("tx", F.explode(places))
+    extent = lambda at: F.least(F.lit(TILE), F.lit(8) - F.col(at) * TILE).cast("int")
+    cut = cut.withColumn("h", extent("ty")).withColumn("w", extent("tx"))
+    at = lambda i: ((F.col("ty") * TILE + F.floor(i / F.col("w"))) * 8 + F.col("tx") * TILE + i % F.col("w")).cast("int")
+    values = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.get("embedding", at(i)).cast("double") + 1.0)
+    return cut.select(*keys, *tiles.PLACE, values.alias("values"))
+
+
+def _scene_tiles(spark, sf):
+    return _vector_tiles(spark, sf, [F.floor(F.col("vec_id") / 4).cast("long").alias("scene_id"), (F.col("vec_id") % 4 + 1).cast("int").alias("band")])
+
+
 def g1_stack_bands(spark, sf):
     stacked, _ = raster.stack_bands(view(spark, sf, "pixels"), [1, 4], 12)
     return stacked.select("scene_id", "band", "y", "x", F.round("v", 6).alias("v"))
@@ -57,6 +77,12 @@ def g7_to_gray(spark, sf):
     return _gray(spark, sf).select("scene_id", "y", "x", F.round("gray", 6).alias("gray"))
 
 
+def g7_tile_gray(spark, sf):
+    """Composite and luminance inside tiles; taken apart only to be compared."""
+    gray = tiles.unpack(tiles.to_gray(tiles.to_rgb(_scene_tiles(spark, sf))), TILE, "gray")
+    return gray.withColumn("gray", F.round("gray", 6))
+
+
 def g8_otsu(spark, sf):
     return raster.otsu(_gray(spark, sf).withColumn("gray", F.round("gray", 9))).select("scene_id", F.round("cut", 6).alias("cut"))
 
@@ -74,6 +100,11 @@ def g9_norm_diff(spark, sf):
     return p.groupBy("scene_id", "y", "x").agg(F.round(raster.norm_diff(b(2), b(4)), 6).alias("ndwi"))
 
 
+def g9_tile_norm_diff(spark, sf):
+    ratio = tiles.unpack(tiles.norm_diff(_scene_tiles(spark, sf), 2, 4), TILE, "ndwi")
+    return ratio.withColumn("ndwi", F.round("ndwi", 6))
+
+
 def g10_optical_indices(spark, sf):
     return raster.optical_indices(view(spark, sf, "pixels")).select("scene_id", "applicable", "water_fraction", "water_location", "builtup_fraction", "reason")
 
@@ -88,6 +119,20 @@ def g12_change_mask(spark, sf):
     return raster.change_mask(pairs, rules)
 
 
+def g12_tile_change_mask(spark, sf):
+    """From tiles to change masks: grey by range, differences, cuts and totals without a row per pixel."""
+    dated = _vector_tiles(spark, sf, [F.floor(F.col("vec_id") / 2).cast("long").alias("pair_id"), (F.col("vec_id") % 2).alias("date")])
+    limits = dated.groupBy("pair_id").agg(F.min(F.array_min("values")).alias("lo"), F.max(F.array_max("values")).alias("hi"))
+    gray = dated.join(limits, "pair_id").withColumn("values", F.transform("values", lambda v: F.round((v - F.col("lo")) / (F.col("hi") - F.col("lo")), 9))).drop("lo", "hi")
+    deltas = tiles.paired(gray.where("date = 0"), gray.where("date = 1")).withColumn("values", F.transform("values", lambda v: F.round(v, 9)))
+    rules = deltas.select("pair_id").distinct().select("pair_id", F.when(F.col("pair_id") % 4 == 0, 0.3).alias("threshold"), F.when(F.col("pair_id") % 3 == 0, 0.2).alias("min_area_frac"))
+    return tiles.change_mask(deltas, rules, TILE)
+
+
+def g13_tile_resize(spark, sf):
+    return tiles.unpack(tiles.resize(_scene_tiles(spark, sf), 5, 11, size=TILE), TILE).withColumn("v", F.round("v", 6))
+
+
 def g13_resize(spark, sf):
     p = view(spark, sf, "pixels")
     return raster.resize(p, 5, 11).select("scene_id", "band", "y", "x", F.round("v", 6).alias("v"))
@@ -106,7 +151,7 @@ def g15_replan_change(spark, sf):
     return raster.replan_change(pairs, first).select("pair_id", "attempt", "method", "threshold", "changed_area_frac")
 
 
-QUERIES = {f.__name__: f for f in [g1_stack_bands, g2_stretch, g3_is_linear, g4_to_db, g5_to_rgb, g6_sar_composite, g7_to_gray, g8_otsu, g8_tile_histograms, g9_norm_diff, g10_optical_indices, g11_sar_indices, g12_change_mask, g13_resize, g14_quadrants, g15_replan_change]}
+QUERIES = {f.__name__: f for f in [g1_stack_bands, g2_stretch, g3_is_linear, g4_to_db, g5_to_rgb, g6_sar_composite, g7_to_gray, g7_tile_gray, g8_otsu, g8_tile_histograms, g9_norm_diff, g9_tile_norm_diff, g10_optical_indices, g11_sar_indices, g12_change_mask, g12_tile_change_mask, g13_resize, g13_tile_resize, g14_quadrants, g15_replan_change]}
 
 PX, PR, SR = (f"{k} AS ({view_sql(v)})" for k, v in (("px", "pixels"), ("pr", "pairs"), ("sr", "sar")))
 
@@ -172,3 +217,5 @@ low AS (SELECT pair_id, round_even(greatest(threshold * 0.55, 0.02), 4) AS u FRO
 SELECT pair_id, CAST(1 AS INTEGER) AS attempt, 'otsu' AS method, threshold, changed AS changed_area_frac FROM one
 UNION ALL SELECT pair_id, CAST(2 AS INTEGER), 'explicit', max(u), round_even(avg(CAST(diff > u AS INT)), 4) FROM low JOIN pairs USING (pair_id) GROUP BY pair_id""",
 }
+#: Tiles give what pixels give.
+SQL |= {f"{kind}_tile_{name}": SQL[f"{kind}_{plain}"] for kind, name, plain in (("g7", "gray", "to_gray"), ("g9", "norm_diff", "norm_diff"), ("g12", "change_mask", "change_mask"), ("g13", "resize", "resize"))}
