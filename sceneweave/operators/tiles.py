@@ -78,8 +78,9 @@ def otsu(tiles: DataFrame, key: str = "scene_id") -> DataFrame:
 def stretch(tiles: DataFrame, keys: tuple[str, ...] = ("scene_id", "band"), low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Tiles of levels, 0 to 255.
 
-    Exact percentiles read the values of each tile in place, in every round of
-    their search; what they shuffle is counts, and 10,000 values a rank at last.
+    Here alone tiles are taken apart: exact percentiles read all values in every
+    round of their search, and count them in place as long as the ranges searched
+    fit a broadcast.
     """
     limits = raster.stretch_limits(tiles.select(*keys, F.explode("values").alias("v")), list(keys), low, high)
     lo, hi = F.col("lo"), F.col("hi")
