@@ -10,7 +10,7 @@ from sceneweave.functions import boxes, lookup, text
 from sceneweave.operators import bench, corpus, results
 from sceneweave.plans.fixtures import view, view_sql
 from sceneweave.plans.shared import shared_folder
-from sceneweave.sources import adapters, tables  # noqa: F401  adapters register themselves
+from sceneweave.sources import adapters, documents, tables  # noqa: F401  adapters register themselves
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEED = 1234
@@ -45,6 +45,15 @@ def a2_read_records(spark, sf):
     return a.groupBy("qtype").agg(F.count("*").alias("listed"), F.sum(F.col("id").cast("long")).alias("ids")).join(b.groupBy("qtype").agg(F.count("*").alias("keyed"), F.sum(F.col("id").cast("long")).alias("keys")), "qtype")
 
 
+def a2_read_split_records(spark, sf):
+    """The same documents, cut at byte ranges."""
+    q = view(spark, sf, "questions")
+    fields = {"id": ["question_id", "id"], "qtype": ["category", "type"]}
+    a = tables.resolve_fields(documents.read_split_records(spark, _json_folder(spark, q, "list"), ("questions",)), fields)
+    b = tables.resolve_fields(documents.read_split_records(spark, _json_folder(spark, q, "keyed")), {"id": ["_key"], "qtype": ["type"]})
+    return a.groupBy("qtype").agg(F.count("*").alias("listed"), F.sum(F.col("id").cast("long")).alias("ids")).join(b.groupBy("qtype").agg(F.count("*").alias("keyed"), F.sum(F.col("id").cast("long")).alias("keys")), "qtype")
+
+
 def a3_resolve_fields(spark, sf):
     folder = _json_folder(spark, view(spark, sf, "questions"), "list")
     r = tables.resolve_fields(tables.read_records(spark, folder, ("questions",)), {"question": ["question", "id"], "image_id": ["image_id", "img_id"]}, required=["question", "image_id"], overrides={"image_id": "image"})
@@ -239,15 +248,17 @@ def c11_pending_cells(spark, sf):
     return results.pending_cells(grid, done).withColumn("state", F.lit("pending")).union(results.cached_cells(grid, done).withColumn("state", F.lit("cached")))
 
 
-QUERIES = {f.__name__: f for f in [a2_read_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f7_readiness, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
+QUERIES = {f.__name__: f for f in [a2_read_records, a2_read_split_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f7_readiness, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
 
 RES = f"res AS ({view_sql('results')}), head AS (SELECT * FROM res WHERE metric = CASE task WHEN 'vqa' THEN 'oa' WHEN 'caption' THEN 'cider_d' WHEN 'grounding' THEN 'acc@0.5' ELSE 'oa' END)"
 QA = f"q AS ({view_sql('questions')}), a AS ({view_sql('answers')}), f AS (SELECT question_id, arg_min(answer, pos) AS answer FROM a WHERE coalesce(active, TRUE) GROUP BY question_id), qa AS (SELECT q.*, f.answer FROM q JOIN f USING (question_id) WHERE coalesce(q.active, TRUE))"
 _cell = lambda p, form: form.format(f"max(value) FILTER (WHERE benchmark = '{p}')")
 _prompt = "CASE task " + " ".join(f"WHEN '{t}' THEN " + (f"CASE WHEN trim(question) <> '' THEN replace('{p}', '{{question}}', trim(question)) END" if "{question}" in p else f"'{p}'").replace("\n", "' || chr(10) || '") for t, p in lookup.PROMPTS.items()) + " END"
 _tasks = "[" + ", ".join(f"'{t}'" for t in lookup.TASKS) + "]"
+A2 = f"WITH q AS ({view_sql('questions')}) SELECT qtype, count(*) AS listed, CAST(sum(question_id) AS BIGINT) AS ids, count(*) AS keyed, CAST(sum(question_id) AS BIGINT) AS keys FROM q GROUP BY qtype"
 SQL = {
-    "a2_read_records": f"WITH q AS ({view_sql('questions')}) SELECT qtype, count(*) AS listed, CAST(sum(question_id) AS BIGINT) AS ids, count(*) AS keyed, CAST(sum(question_id) AS BIGINT) AS keys FROM q GROUP BY qtype",
+    "a2_read_records": A2,
+    "a2_read_split_records": A2,
     "a3_resolve_fields": f"WITH q AS ({view_sql('questions')}) SELECT question_id, img_id FROM q",
     "a5_assemble_pairs": f"""WITH turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns GROUP BY conv_id HAVING count(*) > 2),
 k AS (SELECT conv_id, trim(regexp_replace(q, '^Image 1: <image>\\nImage 2: <image>\\n', '')) AS question, trim(a) AS answer FROM u)

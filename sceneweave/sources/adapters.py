@@ -1,7 +1,8 @@
 """Benchmark releases as one samples table: (sample_id, task, images, question, answer, references, bbox, qtype).
 
 A spec is a dict: adapter, name, annotations (or questions and answers), root,
-suffix, fields (overrides), and for boxes scale, xywh and image_size.
+suffix, fields (overrides), large (documents are cut at byte ranges), and for
+boxes scale, xywh and image_size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sceneweave.functions import boxes, text
 from sceneweave.operators import bench
+from sceneweave.sources.documents import read_split_records
 from sceneweave.sources.tables import read_records, resolve_fields
 
 CONTAINERS = ("annotations", "data", "questions", "items")
@@ -22,8 +24,12 @@ def _image(path: Column, modality: str, role: str) -> Column:
     return F.struct(path.alias("path"), F.lit(modality).alias("modality"), F.lit(role).alias("role"))
 
 
+def _read(spark: SparkSession, spec: dict, path: str, containers: tuple[str, ...]) -> DataFrame:
+    return (read_split_records if spec.get("large") else read_records)(spark, path, containers)
+
+
 def _records(spark: SparkSession, spec: dict, fields: dict[str, list[str]], required: list[str]) -> DataFrame:
-    found = read_records(spark, spec["annotations"], CONTAINERS)
+    found = _read(spark, spec, spec["annotations"], CONTAINERS)
     resolved = resolve_fields(found, fields, required, spec.get("fields"))
     return resolved.withColumn("sample_id", F.concat(F.lit(spec["name"] + "-"), "pos"))
 
@@ -70,8 +76,8 @@ def cdvqa(spark: SparkSession, spec: dict) -> DataFrame:
 def rsvqa(spark: SparkSession, spec: dict) -> DataFrame:
     """Questions and answers in files of their own; inactive ones go, the first answer of a question counts."""
     fields = {"question": ["question"], "qtype": ["type", "question_type"], "image_id": ["img_id", "image_id", "image"], "question_id": ["id"], "active": ["active"]}
-    q = resolve_fields(read_records(spark, spec["questions"], ("questions",)), fields, ["question", "image_id"], spec.get("fields"))
-    a = resolve_fields(read_records(spark, spec["answers"], ("answers",)), {"question_id": ["question_id"], "answer": ["answer"], "active": ["active"]}, [], spec.get("fields"))
+    q = resolve_fields(_read(spark, spec, spec["questions"], ("questions",)), fields, ["question", "image_id"], spec.get("fields"))
+    a = resolve_fields(_read(spark, spec, spec["answers"], ("answers",)), {"question_id": ["question_id"], "answer": ["answer"], "active": ["active"]}, [], spec.get("fields"))
     joined = bench.join_qa(q.withColumn("active", F.col("active").cast("boolean")), a.withColumn("active", F.col("active").cast("boolean")).select("question_id", "answer", "active", "pos"))
     image = _image(text.resolve_image(F.col("image_id"), spec.get("root", ""), spec.get("suffix", "")), "optical", "single")
     return joined.select(F.concat(F.lit(spec["name"] + "-"), "question_id").alias("sample_id"), F.lit("vqa").alias("task"), F.array(image).alias("images"), "question", "answer", text.clean_qtype(F.col("qtype")).alias("qtype"))

@@ -27,7 +27,8 @@ def read_records(spark: SparkSession, path: str, containers: tuple[str, ...] = (
     A document is a list of objects; or an object with a list under one of the
     ``containers``, else with its first list of objects; or an object of
     objects, whose keys become _key. Anything else is an error. ``pos`` goes on
-    from file to file, in the order of their paths.
+    from file to file, in the order of their paths. A document is one row of one
+    task; ``documents.read_split_records`` cuts large ones.
     """
     files = spark.read.text(path, wholetext=True)
     whole = files.select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
