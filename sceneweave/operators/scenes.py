@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneweave.functions import boxes, lookup, scenes
+from sceneweave.operators.cluster import cut_lineage, join_skewed
 
 COREGISTRATION_IOU, GSD_TOLERANCE = 0.90, 0.05
+#: By how much a split of a leaf may raise the sum of squared counts.
+GROWTH = 1.1
 
 
 def _optical(collection: Column) -> Column:
@@ -128,23 +133,83 @@ def check_named_pairs(pairs: DataFrame, rasters: DataFrame) -> DataFrame:
     return joined.select("a_id", "b_id", *pair_report())
 
 
-def check_pairs(rasters: DataFrame, cell: float = 1.0, least_iou: float = 0.0) -> DataFrame:
+def _leaves(boxed: DataFrame, most: int, rounds: int) -> DataFrame:
+    """(id, crs, x1, y1, x2, y2, level, cx, cy, n): boxes in units of the coarsest cell, filed under the leaves of a quadtree that they touch.
+
+    A round splits the leaves of over ``most`` boxes into their quarters, unless
+    the sum of squared counts grows beyond GROWTH: boxes that cover the same
+    ground stay together, for splitting would only copy them. A crowd within
+    one quarter may gain nothing for some rounds, and is split further down.
+    """
+    cell = ["crs", "level", "cx", "cy"]
+
+    def quarters(axis: str) -> Column:
+        """The halves of a cell along an axis that a box touches, at the level below."""
+        scale, first = F.pow(F.lit(2.0), F.col("level")), F.col(f"c{axis}") * 2
+        return F.explode(F.sequence(F.greatest(F.floor(F.col(f"{axis}1") * scale), first), F.least(F.floor(F.col(f"{axis}2") * scale), first + 1)))
+
+    def counted(filed: DataFrame) -> DataFrame:
+        return filed.groupBy(*cell).agg(F.count("*").alias("n"))
+
+    whole = {f"c{axis}": F.explode(F.sequence(F.floor(f"{axis}1"), F.floor(f"{axis}2"))) for axis in "xy"}
+    filed = cut_lineage(boxed.withColumn("level", F.lit(0)).withColumn("cx", whole["cx"]).withColumn("cy", whole["cy"]))
+    total, done = filed.count(), []
+    for _ in range(rounds):
+        sizes = cut_lineage(counted(filed).where(F.col("n") > most))
+        if sizes.isEmpty():
+            break
+        mine = join_skewed(filed, sizes.withColumn("m", F.col("n")), cell, "n", total, "inner")
+        split = mine.select("id", "crs", "x1", "y1", "x2", "y2", (F.col("level") + 1).alias("level"), "cx", "cy", "m")
+        split = split.withColumn("qx", quarters("x")).withColumn("qy", quarters("y"))
+        counts = split.groupBy("crs", "level", "cx", "cy", "qx", "qy").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+        worth = counts.groupBy("crs", "level", "cx", "cy").agg(F.sum(F.pow("n", F.lit(2.0))).alias("after"), F.first("m").alias("m")).where(F.col("after") <= GROWTH * F.pow("m", F.lit(2.0)))
+        worth = cut_lineage(worth.select(*cell, F.col("m").alias("size")))
+        parents = worth.withColumn("level", F.col("level") - 1)
+        # Leaves that were not worth a split are done; so are all that are small.
+        hot = join_skewed(filed, parents.withColumn("splits", F.lit(True)), cell, "size", total, "left")
+        done.append(cut_lineage(hot.where("splits IS NULL").select(*filed.columns)))
+        again = join_skewed(split.drop("m"), worth, cell, "size", total, "inner")
+        filed = cut_lineage(again.select("id", "crs", "x1", "y1", "x2", "y2", "level", F.col("qx").alias("cx"), F.col("qy").alias("cy")))
+    leaves = reduce(DataFrame.unionByName, [*done, filed])
+    return join_skewed(leaves, counted(leaves).withColumn("size", F.col("n")), cell, "size", total)
+
+
+def pair_units(rasters: DataFrame, cell: float | None = None, most: int = 1000, rounds: int = 16) -> DataFrame:
+    """(crs, level, cx, cy, i, j, block, id, x1, y1, r): units of work in which rasters meet; see ``check_pairs``."""
+    sides = ["x1", "y1", "x2", "y2"]
+    placed = F.col("crs").isNotNull() & F.forall(F.array(*[F.col(f"bounds.{s}") for s in sides]), lambda v: v.isNotNull() & ~F.isnan(v))
+    known = rasters.where(placed)
+    if cell is None:
+        longest = F.max(F.greatest(F.abs(F.col("bounds.x2") - F.col("bounds.x1")), F.abs(F.col("bounds.y2") - F.col("bounds.y1"))))
+        cell = known.agg(longest).head()[0] or 1.0
+    ends = {f"{axis}{k}": end(f"bounds.{axis}1", f"bounds.{axis}2") for k, end in ((1, F.least), (2, F.greatest)) for axis in "xy"}
+    leaves = _leaves(known.select("id", "crs", *[(v / cell).alias(c) for c, v in ends.items()]), most, rounds)
+    blocks = F.ceil(F.col("n") / most)
+    dealt = leaves.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.join(known.select("id", F.struct("width", "height", "crs", "bounds", "gsd_m").alias("r")), "id")
+    return dealt.select("crs", "level", "cx", "cy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "x1", "y1", "r")
+
+
+def check_pairs(rasters: DataFrame, cell: float | None = None, least_iou: float = 0.0, most: int = 1000, rounds: int = 16) -> DataFrame:
     """(a_id, b_id, overlap and checks) for all pairs of rasters (id, width, height, crs, bounds, gsd_m) of one CRS that overlap.
 
     Boxes in different CRS have no common ground to search; ``check_named_pairs``
-    compares given pairs.
-
-    Boxes are filed under the grid cells that they touch, so that pairs meet by
-    an equality. A pair is reported from one cell only: the one of the corner
-    of its intersection. ``cell`` should be about the size of a raster.
+    compares given pairs. Ids are unique; boxes with a null or NaN side meet nothing.
+
+    Boxes are filed under the leaves that they touch of a quadtree, whose
+    coarsest cells are of ``cell``, or else of the longest side of all boxes;
+    leaves of over ``most`` boxes are split for up to ``rounds`` rounds. What
+    then still holds more (boxes over the same ground) is dealt into blocks of
+    about ``most``, and each two blocks are a unit of work of their own. So
+    pairs meet by an equality, and no unit holds more than about twice ``most``.
+    A pair is reported from one leaf only: that of the corner of its intersection.
     """
-    span = lambda lo, hi: F.sequence(F.floor(F.col(f"bounds.{lo}") / cell), F.floor(F.col(f"bounds.{hi}") / cell))
-    filed = rasters.where("bounds IS NOT NULL").withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    raster = F.struct("width", "height", "crs", "bounds", "gsd_m")
-    left = filed.select("crs", "cx", "cy", F.col("id").alias("a_id"), raster.alias("a"))
-    right = filed.select("crs", "cx", "cy", F.col("id").alias("b_id"), raster.alias("b"))
-    met = left.join(right, ["crs", "cx", "cy"]).where("a_id < b_id")
-    corner = (F.floor(F.greatest("a.bounds.x1", "b.bounds.x1") / cell) == F.col("cx")) & (F.floor(F.greatest("a.bounds.y1", "b.bounds.y1") / cell) == F.col("cy"))
+    dealt = cut_lineage(pair_units(rasters, cell, most, rounds))
+    unit = ["crs", "level", "cx", "cy", "i", "j"]
+    left, right = (dealt.select(*unit, *[F.col(c).alias(f"{s}_{c}") for c in ("block", "id", "x1", "y1")], F.col("r").alias(s)) for s in "ab")
+    met = left.join(right, unit).where("a_id < b_id AND (i = j OR a_block != b_block)")
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    corner = (F.floor(F.greatest("a_x1", "b_x1") * scale) == F.col("cx")) & (F.floor(F.greatest("a_y1", "b_y1") * scale) == F.col("cy"))
     return met.where(corner).select("a_id", "b_id", *pair_report()).where((F.col("extent_iou") > 0) & (F.col("extent_iou") >= least_iou))
 
 

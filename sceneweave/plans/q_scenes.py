@@ -62,7 +62,7 @@ CHECKS = ["size_match", "crs_match", "gsd_match", "coregistered"]
 
 
 def c5_check_pairs(spark, sf):
-    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m"), cell=1.0)
+    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m"))
     return p.select("a_id", "b_id", *CHECKS, F.round("extent_iou", 6).alias("extent_iou"), F.array_join("warnings", "; ").alias("warnings"))
 
 
