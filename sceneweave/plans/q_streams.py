@@ -29,8 +29,8 @@ def _stream(spark, sf):
     return s.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), "value")
 
 
-def _finish(spark, frame, mode, name, writer=None):
-    """Run a stream to the end of its input and read what it wrote, by a function of the folder or as it is."""
+def _finish(spark, frame, mode, name, writer=None, reader=None):
+    """Run a stream to the end of its input and read what it wrote, by functions of the folder or as it is."""
     folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
     def write(batch, batch_id):
@@ -39,12 +39,12 @@ def _finish(spark, frame, mode, name, writer=None):
     each = writer(f"{folder}/out") if writer else write
     q = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return reader(spark, f"{folder}/out") if reader else spark.read.parquet(f"{folder}/out")
 
 
 def k1_run_summary_stream(spark, sf):
-    parts = _finish(spark, _stream(spark, sf), "append", "k1", runs.append_summaries)
-    return runs.merged_summary(parts).select("run_id", "status", "steps", "n_events", _stamp("first_ts"), _stamp("last_ts"))
+    found = _finish(spark, _stream(spark, sf), "append", "k1", runs.append_summaries, runs.summaries)
+    return found.select("run_id", "status", "steps", "n_events", _stamp("first_ts"), _stamp("last_ts"))
 
 
 def k2_silent_sessions_stream(spark, sf):
@@ -53,6 +53,18 @@ def k2_silent_sessions_stream(spark, sf):
     return s.select("run_id", _stamp("start"), _stamp("end"), "n")
 
 
+def _alerts(found):
+    return found.select("run_id", _stamp("silent_since"), _stamp("alerted_at"))
+
+
+def k2_silence_alerts(spark, sf):
+    return _alerts(runs.silence_alerts(view(spark, sf, "run_events"), GAP))
+
+
+def k2_silence_alerts_stream(spark, sf):
+    return _alerts(_finish(spark, runs.silence_alerts(_stream(spark, sf), GAP), "append", "k2-alerts"))
+
+
 def k2_silent_runs(spark, sf):
     return runs.silent_runs(view(spark, sf, "run_events"), GAP)
 
@@ -70,10 +82,10 @@ def k3_running_accuracy_stream(spark, sf):
 
 
 def k3_headlines(spark, sf):
-    """Result rows in two batches, the second of them sent twice; the last value by seq counts."""
+    """Result rows in two batches, the second of them sent again after a snapshot took it in; the last value by seq counts."""
     folder = f"{shared_folder(spark)}/headlines-{uuid.uuid4().hex}"
     r = view(spark, sf, "results").where("metric = 'oa'")
-    write = runs.upsert_headlines(folder)
+    write = runs.upsert_headlines(folder, every=2)
     write(r.where("seq % 2 = 0"), 0)
     for _ in range(2):
         write(r.where("seq % 2 = 1"), 1)
@@ -105,13 +117,20 @@ def k4_acquisition_feed_stream(spark, sf):
     return _finish(spark, runs.acquisition_feed(s, _areas(spark, sf)), "append", "k4").select("area_id", "id", "collection")
 
 
-QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silent_runs, k2_silent_sessions_stream, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed, k4_acquisition_feed_stream]}
+QUERIES = {f.__name__: f for f in [k1_run_summary, k1_run_summary_stream, k2_silence_alerts, k2_silence_alerts_stream, k2_silent_runs, k2_silent_sessions_stream, k3_running_accuracy, k3_running_accuracy_stream, k3_headlines, k4_acquisition_feed, k4_acquisition_feed_stream]}
 
 EV = f"ev AS ({view_sql('run_events')})"
 K1 = "SELECT run_id, CASE WHEN bool_or(type = 'error') THEN 'error' WHEN bool_or(type = 'complete') THEN 'complete' ELSE 'running' END AS status, count(*) FILTER (WHERE type = 'step') AS steps, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts"
 K3 = "SELECT CAST(user_id % 3 AS VARCHAR) AS model, count(*) AS n, round(avg(CAST(event_id % 4 = 0 AS INT)), 6) AS oa FROM events GROUP BY 1"
 K4 = f"WITH sc AS ({view_sql('scenes')}), ar AS (SELECT DISTINCT area_id FROM sc) SELECT ar.area_id, sc.id, sc.collection FROM sc JOIN ar ON (x1 + x2) / 2 BETWEEN 70.0 + ar.area_id AND 71.0 + ar.area_id AND (y1 + y2) / 2 BETWEEN 10.0 AND 11.5 WHERE collection = 'sentinel-1-rtc' OR cloud_cover < 20"
+ALERTS = f"""WITH {EV}, g AS (SELECT run_id, ts, type, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= {GAP}, TRUE) AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+k AS (SELECT run_id, ts, type, sum(CAST(fresh AS INT)) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+z AS (SELECT run_id, session, max(ts) AS a FROM k GROUP BY run_id, session),
+e AS (SELECT z.run_id, z.a, bool_or(k.type IN ('complete', 'error')) AS ended FROM z JOIN k ON k.run_id = z.run_id AND k.session = z.session AND k.ts = z.a GROUP BY ALL)
+SELECT run_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS silent_since, strftime(a + INTERVAL {GAP} SECONDS, '%Y-%m-%d %H:%M:%S') AS alerted_at FROM e WHERE NOT ended AND a + INTERVAL {GAP} SECONDS <= (SELECT max(ts) FROM ev)"""
 SQL = {
+    "k2_silence_alerts": ALERTS,
+    "k2_silence_alerts_stream": ALERTS,
     "k1_run_summary": f"WITH {EV} {K1} FROM ev GROUP BY run_id",
     "k1_run_summary_stream": f"WITH {EV} {K1} FROM ev GROUP BY run_id",
     "k2_silent_sessions_stream": f"""WITH {EV}, g AS (SELECT run_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= {GAP}, TRUE) AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sceneweave.operators import scenes as scene_ops
+from sceneweave.streaming.folds import EVERY, FoldedFolder
 
 
 def partial_summary(events: DataFrame) -> DataFrame:
@@ -14,11 +15,15 @@ def partial_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(failed.alias("failed"), done.alias("done"), F.count_if(F.col("type") == "step").alias("steps"), F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def added_summaries(parts: DataFrame) -> DataFrame:
+    """Partial summaries of the same runs as one; as often as wanted."""
+    return parts.groupBy("run_id").agg(F.max("failed").alias("failed"), F.max("done").alias("done"), F.sum("steps").alias("steps"), F.sum("n_events").alias("n_events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
 def merged_summary(parts: DataFrame) -> DataFrame:
     """(run_id, status, steps, n_events, first_ts, last_ts) of partial summaries: error, else complete, else running."""
-    sums = parts.groupBy("run_id").agg(F.max("failed").alias("failed"), F.max("done").alias("done"), F.sum("steps").alias("steps"), F.sum("n_events").alias("n_events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     status = F.when(F.col("failed") == 1, "error").when(F.col("done") == 1, "complete").otherwise("running")
-    return sums.select("run_id", status.alias("status"), "steps", "n_events", "first_ts", "last_ts")
+    return added_summaries(parts).select("run_id", status.alias("status"), "steps", "n_events", "first_ts", "last_ts")
 
 
 def run_summary(events: DataFrame) -> DataFrame:
@@ -26,20 +31,24 @@ def run_summary(events: DataFrame) -> DataFrame:
     return merged_summary(partial_summary(events))
 
 
-def append_summaries(path: str):
-    """A foreachBatch function that keeps a micro-batch's partial summaries in a folder of their own.
+def append_summaries(path: str, every: int = EVERY):
+    """A foreachBatch function that keeps partial summaries, folded every ``every`` batches.
 
     A run may go on for any time, so a state per run could never be dropped;
-    partial summaries need none. A repeated batch writes over what it wrote
-    before. ``merged_summary`` reads the folder.
+    partial summaries need none. ``summaries`` reads the folder: a snapshot with
+    a row a run, and fewer than ``every`` batches after it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial_summary(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        FoldedFolder(batch.sparkSession, path, added_summaries, every).append(partial_summary(batch), batch_id)
 
     return write
 
 
+def summaries(spark: SparkSession, path: str) -> DataFrame:
+    return merged_summary(FoldedFolder(spark, path, added_summaries).read())
+
+
 def silent_runs(events: DataFrame, gap_seconds: int = 15) -> DataFrame:
     """(run_id, n_gaps, longest_gap_s): silences of over ``gap_seconds`` between a run's events.
 
@@ -58,6 +67,26 @@ def silent_sessions(events: DataFrame, gap_seconds: int = 15, watermark: str = "
     return s.select("run_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+def silence_alerts(events: DataFrame, gap_seconds: int = 15, delay: str = "0 seconds") -> DataFrame:
+    """(run_id, silent_since, alerted_at) for each silence of ``gap_seconds`` or more of a run that has not ended; in append mode as a stream.
+
+    An alert comes once, as soon as event time (that of any run, less
+    ``delay``) is ``gap_seconds`` past the run's last event, while the silence
+    lasts; ``delay`` is how late an event may come. A run whose last event
+    before the silence is complete or error has ended (of several events at one
+    time, those two come last). State is a session a run, which goes with its
+    alert. Over a table, all silences that its last event has outlasted.
+    """
+    ended = F.col("type").isin("complete", "error")
+    told = events.withWatermark("ts", delay) if events.isStreaming else events
+    s = told.groupBy("run_id", F.session_window("ts", f"{gap_seconds} seconds").alias("s")).agg(F.max("ts").alias("last"), F.max(F.struct("ts", ended.alias("ended"))).alias("e"))
+    alerts = s.where(~F.coalesce(F.col("e.ended"), F.lit(False))).select("run_id", F.col("last").alias("silent_since"), F.col("s.end").alias("alerted_at"))
+    if events.isStreaming:
+        return alerts
+    now = events.agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("now"))
+    return alerts.join(F.broadcast(now), F.col("alerted_at") <= F.col("now")).drop("now")
+
+
 def deduplicated(predictions: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Predictions without those delivered again, by sample and model."""
     keys = ["sample_id", "model"]
@@ -69,23 +98,25 @@ def running_accuracy(marked: DataFrame) -> DataFrame:
     return marked.groupBy("model").agg(F.count("*").alias("n"), F.avg("hit").alias("oa"))
 
 
-def upsert_headlines(path: str):
-    """A foreachBatch function that keeps the last value by seq per (model, benchmark) in a folder per micro-batch.
+def last_headlines(rows: DataFrame) -> DataFrame:
+    """(model, benchmark, seq, value): the last value by seq."""
+    return rows.groupBy("model", "benchmark").agg(F.max(F.struct("seq", "value")).alias("l")).select("model", "benchmark", "l.seq", "l.value")
+
+
+def upsert_headlines(path: str, every: int = EVERY):
+    """A foreachBatch function that keeps the last value by seq per (model, benchmark), folded every ``every`` batches.
 
-    A batch writes its own folder, over what an earlier attempt left, so that a
-    repeated batch changes nothing; ``headlines`` reads the last values.
+    A repeated batch changes nothing; ``headlines`` reads the last values.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("model", "benchmark").agg(F.max_by(F.struct("seq", "value"), "seq").alias("l")).select("model", "benchmark", "l.seq", "l.value")
-        last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        FoldedFolder(batch.sparkSession, path, last_headlines, every).append(last_headlines(batch), batch_id)
 
     return write
 
 
 def headlines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.groupBy("model", "benchmark").agg(F.max_by("value", "seq").alias("value"))
+    return FoldedFolder(spark, path, last_headlines).read().select("model", "benchmark", "value")
 
 
 def acquisition_feed(stream: DataFrame, areas: DataFrame, max_cloud: float = 20.0) -> DataFrame:
