@@ -60,6 +60,17 @@ def join_predictions(samples: DataFrame, predictions: DataFrame, key: str = "sam
     return samples.join(predictions, key)
 
 
+def write_store(store: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The store (key, bands) as a table in buckets by key, one file each, and the table read again.
+
+    ``load_patch_bands`` then moves keys to the buckets of both stores, and the
+    optical bands once, to their radar bands; the table itself is not shuffled.
+    A bucket should hold about as much as a task is to read.
+    """
+    store.repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
+    return store.sparkSession.table(table)
+
+
 def load_patch_bands(keys: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys (patch_id, s1_name) with optical and radar bands of the store (key, bands); and the keys that miss either, whatever other keys of their patch have."""
     optical = store.select(F.col("key").alias("patch_id"), F.col("bands").alias("optical"))

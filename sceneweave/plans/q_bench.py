@@ -77,15 +77,27 @@ def a5_assemble_pairs(spark, sf):
     return questions.join(shared, "img_name").groupBy("img_name").agg(F.count("*").alias("questions"), F.sum(F.length("question")).alias("q_chars"), F.sum(F.length("answer")).alias("a_chars"))
 
 
-def a6_load_patch_bands(spark, sf):
-    keys = view(spark, sf, "annotations").select("patch_id", "s1_name").distinct()
+def _band_store(spark, sf):
     optical = view(spark, sf, "patches").where("NOT contains_seasonal_snow").select(F.col("patch_id").alias("key"))
     radar = view(spark, sf, "annotations").where("split = 'train'").select(F.col("s1_name").alias("key")).distinct()
-    stored = optical.union(radar).withColumn("bands", F.array(F.lit(1.0)))
-    found, missed = bench.load_patch_bands(keys, stored)
+    return optical.union(radar).withColumn("bands", F.array(F.lit(1.0)))
+
+
+def _looked_up(spark, sf, store):
+    keys = view(spark, sf, "annotations").select("patch_id", "s1_name").distinct()
+    found, missed = bench.load_patch_bands(keys, store)
     return found.select("patch_id", "s1_name", F.lit(True).alias("found")).union(missed.select("patch_id", "s1_name", F.lit(False)))
 
 
+def a6_load_patch_bands(spark, sf):
+    return _looked_up(spark, sf, _band_store(spark, sf))
+
+
+def a6_bucketed_store(spark, sf):
+    """The same from a table in buckets."""
+    return _looked_up(spark, sf, bench.write_store(_band_store(spark, sf), f"bands_{uuid.uuid4().hex}", 16))
+
+
 def c2_join_modalities(spark, sf):
     a = view(spark, sf, "annotations")
     return a.where("split = 'train'").select("id", "patch_id").join(bench.last_s1_names(a), "patch_id").select("id", "patch_id", "s1_name")
@@ -248,13 +260,15 @@ def c11_pending_cells(spark, sf):
     return results.pending_cells(grid, done).withColumn("state", F.lit("pending")).union(results.cached_cells(grid, done).withColumn("state", F.lit("cached")))
 
 
-QUERIES = {f.__name__: f for f in [a2_read_records, a2_read_split_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f7_readiness, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
+QUERIES = {f.__name__: f for f in [a2_read_records, a2_read_split_records, a3_resolve_fields, a5_assemble_pairs, a6_load_patch_bands, a6_bucketed_store, a9_prediction_log, a10_append_results, a11_read_absent, a12_sniff_keys, b2_active_only, c1_join_qa, c2_join_modalities, c3_pair_temporal, c4_join_predictions, c10_matrix_grid, c11_pending_cells, d2_seeded_subset, e14_requests, e26_config_hash, f7_describe, f7_readiness, f10_dashboard, f10_recent_runs, f11_comparison, f13_sweep_status, f15_normalise_scores, h1_union_samples, l3_load_samples]}
 
 RES = f"res AS ({view_sql('results')}), head AS (SELECT * FROM res WHERE metric = CASE task WHEN 'vqa' THEN 'oa' WHEN 'caption' THEN 'cider_d' WHEN 'grounding' THEN 'acc@0.5' ELSE 'oa' END)"
 QA = f"q AS ({view_sql('questions')}), a AS ({view_sql('answers')}), f AS (SELECT question_id, arg_min(answer, pos) AS answer FROM a WHERE coalesce(active, TRUE) GROUP BY question_id), qa AS (SELECT q.*, f.answer FROM q JOIN f USING (question_id) WHERE coalesce(q.active, TRUE))"
 _cell = lambda p, form: form.format(f"max(value) FILTER (WHERE benchmark = '{p}')")
 _prompt = "CASE task " + " ".join(f"WHEN '{t}' THEN " + (f"CASE WHEN trim(question) <> '' THEN replace('{p}', '{{question}}', trim(question)) END" if "{question}" in p else f"'{p}'").replace("\n", "' || chr(10) || '") for t, p in lookup.PROMPTS.items()) + " END"
 _tasks = "[" + ", ".join(f"'{t}'" for t in lookup.TASKS) + "]"
+A6 = f"""WITH ann AS ({view_sql("annotations")}), pa AS ({view_sql("patches")}), k AS (SELECT DISTINCT patch_id, s1_name, patch_id IN (SELECT patch_id FROM pa WHERE NOT contains_seasonal_snow) AND s1_name IN (SELECT s1_name FROM ann WHERE split = 'train') AS found FROM ann)
+SELECT * FROM k"""
 A2 = f"WITH q AS ({view_sql('questions')}) SELECT qtype, count(*) AS listed, CAST(sum(question_id) AS BIGINT) AS ids, count(*) AS keyed, CAST(sum(question_id) AS BIGINT) AS keys FROM q GROUP BY qtype"
 SQL = {
     "a2_read_records": A2,
@@ -263,8 +277,8 @@ SQL = {
     "a5_assemble_pairs": f"""WITH turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns GROUP BY conv_id HAVING count(*) > 2),
 k AS (SELECT conv_id, trim(regexp_replace(q, '^Image 1: <image>\\nImage 2: <image>\\n', '')) AS question, trim(a) AS answer FROM u)
 SELECT 'img' || (conv_id % 40) AS img_name, count(*) AS questions, CAST(sum(length(question)) AS BIGINT) AS q_chars, CAST(sum(length(answer)) AS BIGINT) AS a_chars FROM k WHERE question <> '' AND answer <> '' GROUP BY 1""",
-    "a6_load_patch_bands": f"""WITH ann AS ({view_sql("annotations")}), pa AS ({view_sql("patches")}), k AS (SELECT DISTINCT patch_id, s1_name, patch_id IN (SELECT patch_id FROM pa WHERE NOT contains_seasonal_snow) AND s1_name IN (SELECT s1_name FROM ann WHERE split = 'train') AS found FROM ann)
-SELECT * FROM k""",
+    "a6_load_patch_bands": A6,
+    "a6_bucketed_store": A6,
     "a9_prediction_log": f"""WITH v AS ({view_sql("vqa")}), b AS ({view_sql("boxes")}), s AS (SELECT sample_id, gold, CASE WHEN sample_id % 7 <> 0 THEN raw_text ELSE ' ' END AS t FROM v)
 SELECT sample_id, gold AS reference, FALSE AS has_box, t AS raw_text, CASE WHEN t = ' ' THEN '' ELSE CASE sample_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'residential area' WHEN 3 THEN 'yes' WHEN 4 THEN '3' ELSE 'it is yes' END END AS answer, FALSE AS boxed, t <> ' ' AS parse_ok FROM s
 UNION ALL SELECT -1 - sample_id, NULL, TRUE, raw_text, NULL, raw_text <> 'no box here', raw_text <> 'no box here' FROM b""",

@@ -28,6 +28,20 @@ def test_keys_of_one_patch_are_missed_one_by_one(spark):
     assert sorted((r.patch_id, str(r.s1_name)) for r in missed.collect()) == [("p1", "None"), ("p1", "s2"), ("p2", "s1")]
 
 
+def test_stores_in_buckets_are_not_shuffled(spark):
+    keys = spark.range(200).selectExpr("concat('p', id % 120) AS patch_id", "concat('s', id) AS s1_name")
+    store = spark.range(100).selectExpr("explode(array(concat('p', id), concat('s', id))) AS key", "array(1.0D * id) AS bands")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, missed = bench.load_patch_bands(keys, bench.write_store(store, "bands_in_buckets", 12))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
+        assert found.count() == 100 and missed.count() == 100
+        assert all(r.optical == [float(r.patch_id[1:])] and r.radar == [float(r.s1_name[1:])] for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_set_rules(spark):
     calls = spark.createDataFrame([(1, "change_mask", "tile", 999.0), (1, "change_mask", "threshold", 0.5), (2, "change_mask", "tile", 512.0), (3, "change_mask", "threshold", None), (3, "change_mask", "tile", None), (4, "vlm_vqa", "top_k", 1.0)], "run_id long, tool string, param string, value double")
     said = {r.run_id: r.violations for r in trace.validate_params(calls, trace.rules_table(spark, [("change_mask", "tile", [512, 256])])).collect()}
