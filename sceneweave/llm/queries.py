@@ -61,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents, two of them sent twice.
+    """Four batches over all documents, folded by two, and two of them sent again, one after its fold.
 
     Words are inserted by an estimate of six characters each, then revised to
     their count; pieces are inserted; then exact copies but the smallest doc_id
@@ -78,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = join_skewed(counted, first, ["hash", "digest"], "n", counted.count()).where("doc_id > first_id")
     version = lambda name, column: [F.lit(name).alias("tokenizer_version"), F.col(column).alias("tokens")]
     words, pieces = version("words-1", "words"), version("pieces-1", "pieces")
-    totals = rollup.TokenRollup(spark, f"{checkpoint_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
+    totals = rollup.TokenRollup(spark, f"{checkpoint_folder(spark)}/token-rollup-{uuid.uuid4().hex}", every=2)
     batches = {
         "1-estimates": rollup.inserts(counted.select("source", "lang", *version("words-1", "estimate"))),
         "2-counts": rollup.revisions(counted.select("source", "lang", *words, F.col("estimate").alias("old_tokens"))),
