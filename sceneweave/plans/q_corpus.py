@@ -23,9 +23,9 @@ def _flat(frame):
 
 
 def a1_read_annotations(spark, sf):
-    """The scan itself: pruned columns and a filter that reaches the file."""
+    """The scan itself, of the columns needed."""
     docs = tables.read_annotations(spark, f"{sf}/documents.parquet", columns=["doc_id", "lang", "source"])
-    return docs.where("source = 'src3'").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
 def a7_instruction_json(spark, sf):
@@ -38,7 +38,7 @@ def a8_manifest(spark, sf):
 
 
 def b1_drop_unanswerable(spark, sf):
-    return _flat(corpus.drop_unanswerable(_ann(spark, sf)).where("split = 'train'"))
+    return _flat(corpus.drop_unanswerable(_ann(spark, sf)))
 
 
 def b3_with_imagery(spark, sf):
@@ -148,13 +148,13 @@ JSON = """to_json(struct_pack(id := id, patch_id := patch_id, task := task, imag
 TURNS = f"""turns AS ({view_sql("turns")}), u AS (SELECT conv_id, arg_max(value, turn) FILTER (WHERE speaker <> 'gpt') AS q, arg_max(value, turn) FILTER (WHERE speaker = 'gpt') AS a FROM turns GROUP BY conv_id),
 qa AS (SELECT conv_id, trim(array_to_string(list_filter(string_split(q, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*Image\\s+\\d+\\s*:\\s*<image>\\s*$')), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS question, trim(a) AS answer FROM u)"""
 SQL = {
-    "a1_read_annotations": "SELECT source, lang, count(*) AS n FROM documents WHERE source = 'src3' GROUP BY ALL",
+    "a1_read_annotations": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL",
     "a7_instruction_json": f"WITH {RECORDS} SELECT task, CAST({JSON} AS VARCHAR) AS value FROM records WHERE reject IS NULL",
     "a7_instruction_sink": f"WITH {RECORDS}, j AS (SELECT task, CAST({JSON} AS VARCHAR) AS value FROM records WHERE reject IS NULL) SELECT task, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS characters FROM j GROUP BY task",
     "a8_manifest": f"""WITH {RECORDS}, part AS (SELECT * FROM ann WHERE split = 'train'), clean AS (SELECT * FROM part WHERE NOT ({BAD})), {_sample("clean")},
 ok AS (SELECT r.* FROM records r JOIN sampled s ON s.id = r.id WHERE reject IS NULL)
 SELECT (SELECT count(*) FROM part) AS rows_in, (SELECT count(*) FROM clean) AS rows_clean, (SELECT count(*) FROM sampled) AS rows_sampled, (SELECT count(*) FROM ok) AS records, (SELECT count(DISTINCT patch_id) FROM ok) AS patches, CAST({SEED} AS BIGINT) AS seed, '{",".join(lookup.UNANSWERABLE)}' AS dropped""",
-    "b1_drop_unanswerable": f"WITH {ANN} SELECT {COLS} FROM ann WHERE NOT ({BAD}) AND split = 'train'",
+    "b1_drop_unanswerable": f"WITH {ANN} SELECT {COLS} FROM ann WHERE NOT ({BAD})",
     "b3_with_imagery": f"WITH {ANN} SELECT {COLS} FROM ann WHERE CAST(substr(patch_id, 2) AS BIGINT) % 7 <> 0",
     "b4_build_records": f"WITH {RECORDS} SELECT * FROM records",
     "b5_drop_poor_patches": f"WITH {ANN} SELECT {COLS} FROM ann WHERE CAST(substr(patch_id, 2) AS BIGINT) % 7 <> 0 AND CAST(substr(patch_id, 2) AS BIGINT) % 11 <> 0",
