@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sceneweave.functions import lookup
+from sceneweave.functions import lookup, text
 
 
 def _contains_any(name: Column, hints: list[str]) -> Column:
@@ -69,7 +69,7 @@ def change_floor(gsd: Column, pixels: Column) -> Column:
 
 def change_floor_reason(gsd: Column, pixels: Column) -> Column:
     floor = change_floor(gsd, pixels)
-    return F.when(floor.isNotNull(), F.format_string("speckle floor %.6f of the scene, which is 1 ha at %.2f m/px", floor, gsd)).otherwise("no ground sample distance available; using tool defaults")
+    return F.when(floor.isNotNull(), F.format_string("speckle floor %s of the scene, which is 1 ha at %s m/px", text.fixed(text.rounded(floor, 6), 6), text.fixed(gsd, 2))).otherwise("no ground sample distance available; using tool defaults")
 
 
 def builtup_percentile(gsd: Column) -> Column:

@@ -190,6 +190,17 @@ def text_confidence(text: Column) -> Column:
     return F.when(blank, lookup.CONFIDENCE_FLOOR).otherwise(F.bround(bounded(F.lit(0.78) + hedge + length), 3))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double to so many places as SQL and C round it: the scaled double decides, where ``round`` looks at its shortest decimal text (0.0020475 is below 0.0020475 and gives 0.002047)."""
+    scale = float(10**places)
+    return F.round(value * scale) / scale
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A double as text with so many places, by its binary value; null for null."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
 def percent(value: Column, places: int = 1) -> Column:
     return F.format_string(f"%.{places}f%%", F.bround(value * 100, places))
 
