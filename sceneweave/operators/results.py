@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneweave.functions import lookup
+from sceneweave.functions import lookup, text
 
 RESULTS = "timestamp string, benchmark string, task string, backend string, model string, num_samples long, metric string, value double, duration_s double, prompt_version string, config_hash string, git_sha string"
 
@@ -51,7 +51,7 @@ def dashboard(results: DataFrame, benchmarks: list[str]) -> DataFrame:
 def recent_runs(results: DataFrame) -> DataFrame:
     """(ts, backend, model, n_benchmarks, scores), newest first; scores lists benchmark=value in order."""
     headline = results.where(F.col("metric") == headline_metric(F.col("task"))).groupBy("ts", "backend", "model", "benchmark").agg(F.max_by("value", "seq").alias("value"))
-    scores = F.array_join(F.array_sort(F.collect_list(F.format_string("%s=%.6f", "benchmark", "value"))), ";")
+    scores = F.array_join(F.array_sort(F.collect_list(F.concat("benchmark", F.lit("="), text.fixed(text.rounded(F.col("value"), 6), 6)))), ";")
     return headline.groupBy("ts", "backend", "model").agg(F.count("*").alias("n_benchmarks"), scores.alias("scores")).orderBy(F.desc("ts"), "backend", "model")
 
 
@@ -59,7 +59,7 @@ def comparison(results: DataFrame, benchmarks: list[str]) -> DataFrame:
     """(model, one text column per benchmark): four places, or "-" where a cell is absent."""
     cells = latest_headlines(results, ["model", "benchmark"]).groupBy("model").pivot("benchmark", benchmarks).agg(F.first("value"))
     seen = results.select("model").distinct().join(cells, "model", "left")
-    return seen.select("model", *[F.when(F.col(f"`{b}`").isNotNull(), F.format_string("%.4f", F.col(f"`{b}`"))).otherwise("-").alias(b) for b in benchmarks])
+    return seen.select("model", *[F.when(F.col(f"`{b}`").isNotNull(), text.fixed(F.col(f"`{b}`"), 4)).otherwise("-").alias(b) for b in benchmarks])
 
 
 def matrix_grid(models: DataFrame, benchmarks: DataFrame) -> DataFrame:
