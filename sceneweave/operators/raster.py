@@ -72,13 +72,26 @@ def decibels_where_linear(pixels: DataFrame, linear: DataFrame) -> DataFrame:
     return pixels.join(linear, "scene_id", "left").withColumn("v", F.when(F.coalesce("linear", F.lit(False)), to_db(F.col("v"))).otherwise(F.col("v"))).drop("linear")
 
 
-def to_rgb(pixels: DataFrame) -> DataFrame:
-    """(scene_id, y, x, r, g, b): stretched preview bands, or band 1 as grey."""
-    counts = pixels.groupBy("scene_id").agg(F.max("band").alias("n"), F.min("band").alias("first"))
+def band_count(bands: int | None) -> Column:
+    """Aggregate n: how many bands a scene has, by its largest band or by the layout of all scenes, whose bands may be absent."""
+    return F.max("band" if bands is None else F.lit(bands)).alias("n")
+
+
+def to_rgb(pixels: DataFrame, bands: int | None = None) -> DataFrame:
+    """(scene_id, y, x, r, g, b): stretched preview bands, or band 1 as grey.
+
+    Where the layout says how many ``bands`` scenes have, a scene that lacks some
+    of them is no other kind of scene: those channels are null.
+    """
+    counts = pixels.groupBy("scene_id").agg(band_count(bands), F.min("band").alias("first"))
     choice = F.coalesce(scenes.preview_bands(F.col("n")), F.array(F.col("first"), F.col("first"), F.col("first")))
     wanted = counts.select("scene_id", F.posexplode(choice).alias("channel", "band"))
     needed = pixels.join(wanted.select("scene_id", "band").distinct(), ["scene_id", "band"], "left_semi")
-    levels = stretch(needed).join(wanted, ["scene_id", "band"])
+    levels = stretch(needed).join(wanted, ["scene_id", "band"]).select("scene_id", "y", "x", "channel", "level")
+    if bands is not None:
+        # Places that only other bands cover have a row, too.
+        others = pixels.join(wanted.select("scene_id", "band").distinct(), ["scene_id", "band"], "left_anti")
+        levels = levels.unionByName(others.select("scene_id", "y", "x", F.lit(None).cast("int").alias("channel"), F.lit(None).cast("int").alias("level")))
     channel = lambda k, name: F.max(F.when(F.col("channel") == k, F.col("level"))).alias(name)
     return levels.groupBy("scene_id", "y", "x").agg(channel(0, "r"), channel(1, "g"), channel(2, "b"))
 
