@@ -288,7 +288,7 @@ def tile_histograms(tiles: DataFrame) -> DataFrame:
     """(scene_id, bin, c) of packed tiles (scene_id, values array<float in 0..1>): the form for large scenes.
 
     A tile is counted in one expression, so pixels never become rows before the
-    map-side sum.
+    map-side sum. A null keeps its place in a tile and counts in the last bin.
     """
     bins = F.transform("values", lambda v: F.least(F.floor(v.cast("double") * BINS), F.lit(BINS - 1)).cast("int"))
     return tiles.select("scene_id", F.explode(bins).alias("bin")).groupBy("scene_id", "bin").agg(F.count("*").alias("c"))
