@@ -162,18 +162,22 @@ def quadrant_summary(mask: DataFrame, key: str = "scene_id") -> DataFrame:
     return counted.select(key, "fraction", quadrant_phrase().alias("location"))
 
 
-def optical_indices(pixels: DataFrame, water_threshold: float = 0.0, builtup_threshold: float = 0.0) -> DataFrame:
-    """(scene_id, applicable, water_fraction, water_location, builtup_fraction, builtup_location, reason)."""
-    counts = pixels.groupBy("scene_id").agg(F.max("band").alias("n"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+def optical_indices(pixels: DataFrame, water_threshold: float = 0.0, builtup_threshold: float = 0.0, bands: int | None = None) -> DataFrame:
+    """(scene_id, applicable, water_fraction, water_location, builtup_fraction, builtup_location, reason).
+
+    ``bands`` is as in ``to_rgb``. Pixels without green or near-infrared take no
+    part; a scene without any other has a null fraction, and water nowhere.
+    """
+    counts = pixels.groupBy("scene_id").agg(band_count(bands), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     for band in ("green", "nir", "swir"):
         counts = counts.withColumn(band, scenes.band_index(F.col("n"), band))
     band = lambda name: F.max(F.when(F.col("band") == F.col(name), F.col("v"))).alias(f"v_{name}")
     wide = pixels.join(counts.where("nir IS NOT NULL"), "scene_id").where("band IN (green, nir) OR band = swir").groupBy("scene_id", "h", "w", "y", "x").agg(band("green"), band("nir"), band("swir"))
     wide = wide.withColumn("water", norm_diff(F.col("v_green"), F.col("v_nir")) > water_threshold).withColumn("built", norm_diff(F.col("v_swir"), F.col("v_nir")) > builtup_threshold)
-    wide = wide.withColumn("built", F.when(F.col("v_swir").isNotNull(), F.col("built")))
+    wide = wide.withColumn("water", F.when(F.col("v_green").isNotNull() & F.col("v_nir").isNotNull(), F.col("water"))).withColumn("built", F.when(F.col("v_swir").isNotNull(), F.col("built")))
     q = lambda hit, p: [c.alias(f"{p}_{n}") for c, n in zip(quadrant_counts(hit), ("nw", "ne", "sw", "se"), strict=True)]
     sums = wide.groupBy("scene_id").agg(F.avg(F.col("water").cast("int")).alias("wf"), F.avg(F.col("built").cast("int")).alias("bf"), *q(F.col("water"), "water"), *q(F.coalesce("built", F.lit(False)), "built"))
-    out = counts.join(sums, "scene_id", "left")
+    out = counts.join(sums, "scene_id", "left").fillna(0, [f"water_{n}" for n in ("nw", "ne", "sw", "se")])
     applicable = F.col("nir").isNotNull()
     return out.select(
         "scene_id",
