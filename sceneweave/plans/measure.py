@@ -81,17 +81,19 @@ def measure_radar(scenes_wanted: DataFrame, pixels: DataFrame) -> DataFrame:
     return found
 
 
-def measure_sets(sets: DataFrame, images: DataFrame, rasters: DataFrame, pixels: DataFrame) -> DataFrame:
+def measure_sets(sets: DataFrame, images: DataFrame, rasters: DataFrame, pixels: DataFrame, unknown_floor: float | None = None) -> DataFrame:
     """One row per set of ``sets`` (set_id, config), with its check and all that its configuration lets measure.
 
     ``images`` is (set_id, position, modality, scene_id), ``rasters`` as in
     ``check_sets``, ``pixels`` (scene_id, band, y, x, v). Pairs in time have a
     change mask, and a second attempt where the first was quiet; pairs of sensors
-    have the indices of both. Single images are not measured.
+    have the indices of both. Single images are not measured. ``unknown_floor``
+    is that of pairs whose ground sample distance nobody knows; they have none by
+    default.
     """
     checked = cut_lineage(sets.where("config IS NOT NULL").select("set_id", "config").join(check_sets(images, rasters), "set_id"))
     timed = checked.where("config = 'bitemporal_pair'")
-    floors = timed.select("first", "second", F.coalesce(scenes.change_floor(F.col("gsd_m"), F.col("pixels")), F.lit(0.0)).alias("min_area_frac")).distinct()
+    floors = timed.select("first", "second", F.coalesce(scenes.change_floor(F.col("gsd_m"), F.col("pixels")), F.lit(unknown_floor or 0.0)).alias("min_area_frac")).distinct()
     changes = measure_changes(floors, pixels)
     crossed = images.join(checked.where("config = 'crossmodal_pair'").select("set_id", "gsd_m"), "set_id")
     radar_sets = crossed.where("modality = 'sar'").select("set_id", "scene_id", F.coalesce(scenes.builtup_percentile(F.col("gsd_m")), F.lit(DEFAULT_PERCENTILE)).alias("percentile"))
