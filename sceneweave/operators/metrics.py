@@ -54,14 +54,14 @@ def grounding_metrics(frame: DataFrame, predicted: str = "predicted", gold: str
 TOKENS = 200_000
 
 
-def dealt(captions: DataFrame, tokens: Column) -> DataFrame:
+def dealt(captions: DataFrame, tokens: Column, keys: tuple[str, ...] = ("sample_id", "part", "ref")) -> DataFrame:
     """``captions`` in as many partitions as their ``tokens`` (their number) need.
 
     What comes out of a caption is many times its size. Adaptive execution sees
     captions alone, and would put those of a whole join into one task or two.
     """
     total = captions.agg(F.sum(tokens)).head()[0] or 0
-    return captions.repartition(max(1, -(-total // TOKENS)), "sample_id", "part", "ref")
+    return captions.repartition(max(1, -(-total // TOKENS)), *keys)
 
 
 def caption_grams(captions: DataFrame) -> DataFrame:
@@ -119,8 +119,8 @@ def rouge_l(captions: DataFrame, beta: float = 1.2) -> DataFrame:
     """One row rouge_l: mean over candidates of the best reference's F-measure; 0 without references."""
     tokens = tokenized(captions)
     candidate = tokens.where("part = 'candidate'").select("sample_id", F.col("tokens").alias("a"))
-    reference = tokens.where("part = 'reference'").select("sample_id", F.col("tokens").alias("b"))
-    pairs = candidate.join(reference, "sample_id", "left").withColumn("lcs", F.coalesce(text.lcs_length(F.col("a"), F.col("b")), F.lit(0)))
+    reference = tokens.where("part = 'reference'").select("sample_id", "ref", F.col("tokens").alias("b"))
+    pairs = dealt(candidate.join(reference, "sample_id", "left"), F.size("a") + F.coalesce(F.size("b"), F.lit(0)), ("sample_id", "ref")).withColumn("lcs", F.coalesce(text.lcs_length(F.col("a"), F.col("b")), F.lit(0)))
     p, r = F.try_divide(F.col("lcs"), F.size("a")), F.try_divide(F.col("lcs"), F.size("b"))
     score = F.when(F.col("lcs") > 0, (1 + beta**2) * p * r / (r + beta**2 * p)).otherwise(0.0)
     return pairs.groupBy("sample_id").agg(F.max(score).alias("best")).agg(F.avg("best").alias("rouge_l"))

@@ -17,3 +17,10 @@ def test_grams(captions):
     grams = metrics.caption_grams(metrics.tokenized(captions))
     assert grams.rdd.getNumPartitions() == 6000 * 100 // metrics.TOKENS
     assert {r["n"]: r["c"] for r in grams.groupBy("n").agg(F.sum("count").alias("c")).collect()} == {n: 6000 * (101 - n) for n in (1, 2, 3, 4)}
+
+
+def test_subsequences(captions):
+    """Each pair is compared by a task with its share of the tokens, not by the one that joined them."""
+    plan = metrics.rouge_l(captions)._jdf.queryExecution().optimizedPlan().toString()
+    # 3,000 pairs of 200 tokens.
+    assert "RepartitionByExpression [sample_id" in plan and f", {6000 * 100 // metrics.TOKENS}" in plan
