@@ -24,3 +24,8 @@ def test_subsequences(captions):
     plan = metrics.rouge_l(captions)._jdf.queryExecution().optimizedPlan().toString()
     # 3,000 pairs of 200 tokens.
     assert "RepartitionByExpression [sample_id" in plan and f", {6000 * 100 // metrics.TOKENS}" in plan
+
+
+def test_scores_count_grams_of_dealt_captions(captions):
+    plan = metrics.bleu(captions)._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {6000 * 100 // metrics.TOKENS}" in plan and "RepartitionByExpression [sample_id" in plan
