@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sceneweave.operators import metrics
+from sceneweave.plans import q_metrics
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,20 @@ def test_subsequences(captions):
 def test_scores_count_grams_of_dealt_captions(captions):
     plan = metrics.bleu(captions)._jdf.queryExecution().optimizedPlan().toString()
     assert f", {6000 * 100 // metrics.TOKENS}" in plan and "RepartitionByExpression [sample_id" in plan
+
+
+def test_reference_grams(spark, captions, monkeypatch):
+    """h3_reference_ngrams takes captions apart in as many tasks as their tokens need."""
+    monkeypatch.setattr(q_metrics, "view", lambda *_: captions)
+    plan = q_metrics.h3_reference_ngrams(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    # References alone, half of the captions, may be what is dealt.
+    assert "RepartitionByExpression [sample_id" in plan and any(f", {n * 100 // metrics.TOKENS}" in plan for n in (6000, 3000))
+
+
+def test_consensus_counts_grams_of_dealt_captions(captions, monkeypatch):
+    """cider_d keeps its grams, so its plan no longer tells how captions were dealt; what it counts does."""
+    counted = []
+    grams = metrics.caption_grams
+    monkeypatch.setattr(metrics, "caption_grams", lambda tokens: counted.append(grams(tokens)) or counted[-1])
+    assert metrics.cider_d(captions).head()["cider_d"] >= 0
+    assert [g.rdd.getNumPartitions() for g in counted] == [6000 * 100 // metrics.TOKENS]
