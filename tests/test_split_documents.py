@@ -79,3 +79,14 @@ def test_adapters_read_large_documents(small_splits, tmp_path):
     spec = {"adapter": "vrsbench_vqa", "name": "v", "annotations": str(tmp_path)}
     whole, cut = (bench.load_samples(small_splits, spec | {"large": large}).collect() for large in (False, True))
     assert len(whole) == 40 and sorted(map(str, cut)) == sorted(map(str, whole))
+
+
+def test_names_and_records_that_cross_batches(spark, tmp_path):
+    """A list is found by its name wherever a task's batches end, also within the name."""
+    (tmp_path / "a.json").write_text(json.dumps({"other": [{"z": 1}], "a}b": [{"id": k, "s": "}{" * k} for k in range(9)]}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = documents.read_split_records(spark, str(tmp_path), ("a}b",)).sort("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [json.loads(r.record.toJson()) for r in got] == [{"id": k, "s": "}{" * k} for k in range(9)]
