@@ -13,6 +13,9 @@ from sceneweave.operators.cluster import cut_lineage, join_skewed
 COREGISTRATION_IOU, GSD_TOLERANCE = 0.90, 0.05
 #: By how much a split of a leaf may raise the sum of squared counts.
 GROWTH = 1.1
+#: Pairs of rasters that a task tells of.
+PAIRS = 4_000_000
+SIZES, DISTANCES = "pixel dimensions differ", "ground sample distance differs"
 
 
 def _optical(collection: Column) -> Column:
@@ -94,17 +97,17 @@ def diagnose(catalogue: DataFrame, requests: DataFrame, limit: int = 12) -> Data
     return counts.select("request_id", "kept", F.when(empty, F.col("all")).alias("filtered_out"), F.when(empty, F.col("clearest")).alias("clearest"), F.when(empty & (F.col("all") > 0), some).when(empty, none).otherwise("").alias("hint"))
 
 
-def pair_report(a: str = "a", b: str = "b") -> list[Column]:
-    """Columns size_match, crs_match, extent_iou, gsd_match, coregistered, warnings for two raster structs.
+def partly_said(overlap: Column) -> Column:
+    return F.format_string("extents only partially overlap (IoU %.2f)", overlap)
 
-    A raster has width, height, crs, bounds (a box struct) and gsd_m.
-    """
-    x, y = F.col(a), F.col(b)
+
+def metres(distance: Column) -> Column:
+    return F.format_string("%.2f m", distance)
+
+
+def report_on(x: Column, y: Column, geo_a: Column, both: Column, crs: Column, overlap: Column, partly: Column, sized: Column, other_crs: Column, apart: Column) -> list[Column]:
+    """The columns of ``pair_report`` from two raster structs (width, height, gsd_m), and from what is known of their places and the words for it."""
     size = (x["width"] == y["width"]) & (x["height"] == y["height"])
-    geo_a, geo_b = x["crs"].isNotNull() & x["bounds"].isNotNull(), y["crs"].isNotNull() & y["bounds"].isNotNull()
-    both = geo_a & geo_b
-    crs = both & (x["crs"] == y["crs"])
-    overlap = F.when(both, boxes.iou(x["bounds"], y["bounds"], None))
     relative = F.abs(x["gsd_m"] - y["gsd_m"]) / F.greatest(x["gsd_m"], y["gsd_m"])
     known = both & (x["gsd_m"] > 0) & (y["gsd_m"] > 0)
     gsd = F.coalesce(known & (relative <= GSD_TOLERANCE), F.lit(False))
@@ -112,17 +115,38 @@ def pair_report(a: str = "a", b: str = "b") -> list[Column]:
     same = (crs & extent) | (~(crs & extent) & size & ~geo_a)
     said = F.array_compact(
         F.array(
-            F.when(~size, F.format_string("pixel dimensions differ: %dx%d vs %dx%d", x["width"], x["height"], y["width"], y["height"])),
-            F.when(both & ~crs, F.format_string("CRS differs: %s vs %s", x["crs"], y["crs"])),
-            F.when(both & ~extent & (overlap > 0), F.format_string("extents only partially overlap (IoU %.2f)", overlap)),
+            F.when(~size, sized),
+            F.when(both & ~crs, other_crs),
+            F.when(both & ~extent & (overlap > 0), partly),
             F.when(both & (overlap == 0), F.lit("extents do not overlap: images cover different ground")),
-            F.when(known & ~gsd, F.format_string("ground sample distance differs: %.2f m vs %.2f m", x["gsd_m"], y["gsd_m"])),
+            F.when(known & ~gsd, apart),
             F.when(~both, F.lit("one or both inputs are not georeferenced; co-registration assumed from identical pixel dimensions")),
         )
     )
     return [F.coalesce(size, F.lit(False)).alias("size_match"), F.coalesce(crs, F.lit(False)).alias("crs_match"), overlap.alias("extent_iou"), gsd.alias("gsd_match"), F.coalesce(same, F.lit(False)).alias("coregistered"), said.alias("warnings")]
 
 
+def differ(what: str, x: Column, y: Column) -> Column:
+    return F.concat(F.lit(f"{what}: "), x, F.lit(" vs "), y)
+
+
+def dimensions(width: Column, height: Column) -> Column:
+    return F.concat(width, F.lit("x"), height)
+
+
+def pair_report(a: str = "a", b: str = "b") -> list[Column]:
+    """Columns size_match, crs_match, extent_iou, gsd_match, coregistered, warnings for two raster structs.
+
+    A raster has width, height, crs, bounds (a box struct) and gsd_m.
+    """
+    x, y = F.col(a), F.col(b)
+    geo_a, geo_b = x["crs"].isNotNull() & x["bounds"].isNotNull(), y["crs"].isNotNull() & y["bounds"].isNotNull()
+    both = geo_a & geo_b
+    overlap = F.when(both, boxes.iou(x["bounds"], y["bounds"], None))
+    words = [differ(what, of(x), of(y)) for what, of in ((SIZES, lambda r: dimensions(r["width"], r["height"])), ("CRS differs", lambda r: r["crs"]), (DISTANCES, lambda r: metres(r["gsd_m"])))]
+    return report_on(x, y, geo_a, both, both & (x["crs"] == y["crs"]), overlap, partly_said(overlap), *words)
+
+
 def check_named_pairs(pairs: DataFrame, rasters: DataFrame) -> DataFrame:
     """The checks for ``pairs`` (a_id, b_id) of rasters (id, width, height, crs, bounds, gsd_m), whatever their CRS, and without one too.
 
@@ -174,11 +198,14 @@ def _leaves(boxed: DataFrame, most: int, rounds: int) -> DataFrame:
     return join_skewed(leaves, counted(leaves).withColumn("size", F.col("n")), cell, "size", total)
 
 
+def placed() -> Column:
+    """Whether a raster has a CRS and a box whose sides are numbers."""
+    return F.col("crs").isNotNull() & F.forall(F.array(*[F.col(f"bounds.{s}") for s in ("x1", "y1", "x2", "y2")]), lambda v: v.isNotNull() & ~F.isnan(v))
+
+
 def pair_units(rasters: DataFrame, cell: float | None = None, most: int = 1000, rounds: int = 16) -> DataFrame:
-    """(crs, level, cx, cy, i, j, block, id, x1, y1, r): units of work in which rasters meet; see ``check_pairs``."""
-    sides = ["x1", "y1", "x2", "y2"]
-    placed = F.col("crs").isNotNull() & F.forall(F.array(*[F.col(f"bounds.{s}") for s in sides]), lambda v: v.isNotNull() & ~F.isnan(v))
-    known = rasters.where(placed)
+    """(crs, level, cx, cy, i, j, block, id, x1, y1, r): units of work in which rasters, or places (id, crs, bounds), meet; see ``check_pairs``."""
+    known = rasters.where(placed())
     if cell is None:
         longest = F.max(F.greatest(F.abs(F.col("bounds.x2") - F.col("bounds.x1")), F.abs(F.col("bounds.y2") - F.col("bounds.y1"))))
         cell = known.agg(longest).head()[0] or 1.0
@@ -186,7 +213,7 @@ def pair_units(rasters: DataFrame, cell: float | None = None, most: int = 1000,
     leaves = _leaves(known.select("id", "crs", *[(v / cell).alias(c) for c, v in ends.items()]), most, rounds)
     blocks = F.ceil(F.col("n") / most)
     dealt = leaves.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.join(known.select("id", F.struct("width", "height", "crs", "bounds", "gsd_m").alias("r")), "id")
+    dealt = dealt.join(known.select("id", F.struct(*[c for c in known.columns if c != "id"]).alias("r")), "id")
     return dealt.select("crs", "level", "cx", "cy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "x1", "y1", "r")
 
 
@@ -196,21 +223,69 @@ def check_pairs(rasters: DataFrame, cell: float | None = None, least_iou: float
     Boxes in different CRS have no common ground to search; ``check_named_pairs``
     compares given pairs. Ids are unique; boxes with a null or NaN side meet nothing.
 
-    Boxes are filed under the leaves that they touch of a quadtree, whose
-    coarsest cells are of ``cell``, or else of the longest side of all boxes;
-    leaves of over ``most`` boxes are split for up to ``rounds`` rounds. What
-    then still holds more (boxes over the same ground) is dealt into blocks of
-    about ``most``, and each two blocks are a unit of work of their own. So
-    pairs meet by an equality, and no unit holds more than about twice ``most``.
-    A pair is reported from one leaf only: that of the corner of its intersection.
+    Rasters with the very same box are one place. Places are filed under the
+    leaves that they touch of a quadtree, whose coarsest cells are of ``cell``,
+    or else of the longest side of all boxes; leaves of over ``most`` places are
+    split for up to ``rounds`` rounds. What then still holds more (boxes over
+    the same ground) is dealt into blocks of about ``most``, and each two blocks
+    are a unit of work of their own. So places meet by an equality, and no unit
+    holds more than about twice ``most``. Two places are found in one leaf only:
+    that of the corner of their intersection.
+
+    What the checks say is told once for each two kinds of raster in each two
+    places; then each raster of a kind meets each, in blocks of about ``most``,
+    dealt by the number of their pairs.
     """
-    dealt = cut_lineage(pair_units(rasters, cell, most, rounds))
+    return each_pair(pair_kinds(rasters, cell, least_iou, most, rounds))
+
+
+def pair_kinds(rasters: DataFrame, cell: float | None = None, least_iou: float = 0.0, most: int = 1000, rounds: int = 16) -> DataFrame:
+    """(a_ids, b_ids, overlap and checks): what ``check_pairs`` says of each of ``a_ids`` with each larger one of ``b_ids``; see ``each_pair``."""
+    known = rasters.where(placed())
+    places = cut_lineage(known.groupBy("crs", "bounds").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    dealt = cut_lineage(pair_units(places, cell, most, rounds))
     unit = ["crs", "level", "cx", "cy", "i", "j"]
     left, right = (dealt.select(*unit, *[F.col(c).alias(f"{s}_{c}") for c in ("block", "id", "x1", "y1")], F.col("r").alias(s)) for s in "ab")
-    met = left.join(right, unit).where("a_id < b_id AND (i = j OR a_block != b_block)")
+    met = left.join(right, unit).where("a_id <= b_id AND (i = j OR a_block != b_block)")
     scale = F.pow(F.lit(2.0), F.col("level"))
     corner = (F.floor(F.greatest("a_x1", "b_x1") * scale) == F.col("cx")) & (F.floor(F.greatest("a_y1", "b_y1") * scale) == F.col("cy"))
-    return met.where(corner).select("a_id", "b_id", *pair_report()).where((F.col("extent_iou") > 0) & (F.col("extent_iou") >= least_iou))
+    meet = [F.least(f"a.bounds.{k}2", f"b.bounds.{k}2") > F.greatest(f"a.bounds.{k}1", f"b.bounds.{k}1") for k in "xy"]
+    found = met.where(corner & meet[0] & meet[1]).select("a_id", "b_id", F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), boxes.iou(F.col("a.bounds"), F.col("b.bounds"), None).alias("overlap"))
+    # Kept here, so that filters and words below do not take the overlap apart again: methods that long are never compiled.
+    found = cut_lineage(found).where((F.col("overlap") > 0) & (F.col("overlap") >= least_iou))
+    return _kinds_of(known, places, found, most)
+
+
+def _kinds_of(known: DataFrame, places: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """Pairs of places ``found`` (a_id, b_id, a_n, b_n, overlap) as pairs of the kinds of raster of ``known`` there, either way round."""
+    blocks = lambda n: F.ceil(F.col(n) / most)
+    own = known.join(places.select("crs", "bounds", F.col("id").alias("place"), "n"), ["crs", "bounds"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks("n")))
+    kinds = own.groupBy("place", "block", "width", "height", "gsd_m").agg(F.collect_list("id").alias("ids"))
+    kind = F.struct("ids", "width", "height", "gsd_m", dimensions(F.col("width"), F.col("height")).alias("dimensions"), metres(F.col("gsd_m")).alias("metres"))
+    crowds = kinds.groupBy("place", "block").agg(F.collect_list(kind).alias("kinds"))
+    pairs = found
+    for side in "ab":
+        pairs = pairs.withColumn(f"{side}_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks(f"{side}_n") - 1)))
+    pairs = pairs.where("a_id <> b_id OR a_block <= b_block").drop("a_n", "b_n").withColumn("partly", partly_said(F.col("overlap")))
+    for side in "ab":
+        key = [f"{side}_id", f"{side}_block"]
+        pairs = pairs.join(crowds.select(F.col("place").alias(key[0]), F.col("block").alias(key[1]), F.col("kinds").alias(f"{side}_kinds")), key)
+    # Adaptive execution sees the bytes of crowds, not how many pairs come out of them.
+    total = found.agg(F.sum(F.col("a_n") * F.col("b_n"))).head()[0] or 0
+    pairs = pairs.repartition(max(1, -(-total // PAIRS)), "a_id", "a_block", "b_id", "b_block")
+    way = lambda a, b: F.struct(F.col(f"{a}_kinds").alias("a"), F.col(f"{b}_kinds").alias("b"))
+    alone = (F.col("a_id") == F.col("b_id")) & (F.col("a_block") == F.col("b_block"))
+    ways = pairs.select("overlap", "partly", F.explode(F.when(alone, F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))).alias("w"))
+    met = ways.select("overlap", "partly", F.explode("w.a").alias("a"), F.col("w.b").alias("b")).select("overlap", "partly", "a", F.explode("b").alias("b"))
+    x, y, yes = F.col("a"), F.col("b"), F.lit(True)
+    report = report_on(x, y, yes, yes, yes, F.col("overlap"), F.col("partly"), differ(SIZES, x["dimensions"], y["dimensions"]), F.lit(None).cast("string"), differ(DISTANCES, x["metres"], y["metres"]))
+    return met.select(F.col("a.ids").alias("a_ids"), F.col("b.ids").alias("b_ids"), *report)
+
+
+def each_pair(kinds: DataFrame) -> DataFrame:
+    """``kinds`` (a_ids, b_ids, any columns) as one row for each of ``a_ids`` with each larger one of ``b_ids``: a_id, b_id, those columns."""
+    told = [c for c in kinds.columns if c not in ("a_ids", "b_ids")]
+    return kinds.select(F.explode("a_ids").alias("a_id"), "b_ids", *told).select("a_id", F.explode("b_ids").alias("b_id"), *told).where("a_id < b_id")
 
 
 def infer_sets(images: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ CHECKS = ["size_match", "crs_match", "gsd_match", "coregistered"]
 
 
 def c5_check_pairs(spark, sf):
-    p = ops.check_pairs(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m"))
-    return p.select("a_id", "b_id", *CHECKS, F.round("extent_iou", 6).alias("extent_iou"), F.array_join("warnings", "; ").alias("warnings"))
+    """Figures are rounded and words joined before kinds of raster become pairs."""
+    k = ops.pair_kinds(_rasters(spark, sf).select("id", "width", "height", "crs", "bounds", "gsd_m"))
+    return ops.each_pair(k.select("a_ids", "b_ids", *CHECKS, F.round("extent_iou", 6).alias("extent_iou"), F.array_join("warnings", "; ").alias("warnings")))
 
 
 def c5_check_named_pairs(spark, sf):

@@ -51,3 +51,19 @@ def test_boxes_without_extent_or_place_meet_nothing(spark):
     rows = [(1, 10, 10, "e", (0.0, 0.0, 0.0, 0.0), 1.0), (2, 10, 10, "e", (0.0, 0.0, 0.0, 0.0), 1.0), (3, 10, 10, "e", (float("nan"), 0.0, 1.0, 1.0), 1.0), (4, 10, 10, None, (0.0, 0.0, 1.0, 1.0), 1.0), (5, 10, 10, "e", None, 1.0)]
     r = spark.createDataFrame(rows, SCHEMA)
     assert scenes.check_pairs(r).isEmpty() and scenes.check_pairs(r.where(F.lit(False))).isEmpty()
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    """Rasters over the very same ground are one place to the search, and each pair of them has its own report."""
+    boxes = [(0.0, 0.0, 2.0, 2.0), (0.05, 0.0, 2.05, 2.0), (1.0, 1.0, 3.0, 3.0), (9.0, 9.0, 10.0, 10.0)]
+    rows = [(k, 10 + k % 2, 10, "ef"[k % 5 == 0], boxes[k * 7 % 4], [10.0, 10.4, 20.0, None][k % 3 if k % 11 else 3]) for k in range(60)]
+    r = spark.createDataFrame(rows, SCHEMA)
+    searched, units = [], scenes.pair_units
+    monkeypatch.setattr(scenes, "pair_units", lambda places, *rest: searched.append(places.count()) or units(places, *rest))
+    for most in (4, 1000):
+        found = scenes.check_pairs(r, most=most)
+        pairs = found.select("a_id", "b_id")
+        assert {tuple(p) for p in pairs.collect()} == brute(rows) and pairs.count() == len(brute(rows))
+        want = scenes.check_named_pairs(pairs, r).select(*found.columns)
+        assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    assert searched == [len({(row[3], row[4]) for row in rows})] * 2
