@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,21 +70,43 @@ def caption_grams(captions: DataFrame) -> DataFrame:
 
     Captions are dealt by their own keys, so grams are counted where they are made.
     """
+    return count_grams(dealt(captions, F.size("tokens")))
 
+
+def count_grams(captions: DataFrame) -> DataFrame:
     def numbered(n: int) -> Column:
         return F.transform(text.ngrams(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
-    rows = dealt(captions, F.size("tokens")).select("sample_id", "part", "ref", F.explode(F.concat(*map(numbered, (1, 2, 3, 4)))).alias("g"))
+    rows = captions.select("sample_id", "part", "ref", F.explode(F.concat(*map(numbered, (1, 2, 3, 4)))).alias("g"))
     return rows.select("sample_id", "part", "ref", "g.n", "g.gram").groupBy("sample_id", "part", "ref", "n", "gram").count()
 
 
-def gram_table(tokens: DataFrame) -> DataFrame:
-    """(sample_id, n, gram, c, most, refs): a candidate's count, the largest of its references', and each reference's.
+def by_sample(captions: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``combine``, an aggregate by sample, of the ``caption_grams`` of ``captions``.
+
+    All captions of a sample are dealt to one task, so grams are combined where
+    they are made and none is shuffled: no task grows with the input. Samples
+    that alone have more than ``TOKENS`` tokens are dealt by caption, and their
+    counts shuffled.
+    """
+    length = F.size("tokens")
+    tokens = captions.groupBy("sample_id").agg(F.sum(length).alias("n"))
+    large = F.col("n") > TOKENS
+    # At most one sample in so many tokens is large.
+    total, named = tokens.agg(F.sum(F.when(~large, F.col("n"))), F.collect_list(F.when(large, F.col("sample_id")))).head()
+    crowded = F.col("sample_id").isin(named)
+    rest = captions.where(F.col("sample_id").isNull() | ~crowded) if named else captions
+    out = combine(count_grams(rest.repartition(max(1, -(-(total or 0) // TOKENS)), "sample_id")))
+    return out.unionByName(combine(caption_grams(captions.where(crowded)))) if named else out
+
+
+def gram_table(grams: DataFrame) -> DataFrame:
+    """(sample_id, n, gram, c, most, refs) of ``caption_grams``: a candidate's count, the largest of its references', and each reference's.
 
     Candidate and references meet in one aggregate, so that no score joins the grams with themselves.
     """
     reference = F.col("part") == "reference"
-    return caption_grams(tokens).groupBy("sample_id", "n", "gram").agg(
+    return grams.groupBy("sample_id", "n", "gram").agg(
         F.coalesce(F.sum(F.when(~reference, F.col("count"))), F.lit(0)).alias("c"),
         F.coalesce(F.max(F.when(reference, F.col("count"))), F.lit(0)).alias("most"),
         F.collect_list(F.when(reference, F.struct("ref", "count"))).alias("refs"),
@@ -98,7 +121,7 @@ def tokenized(captions: DataFrame) -> DataFrame:
 def bleu(captions: DataFrame) -> DataFrame:
     """One row bleu1..bleu4 over the corpus: clipped counts against the best reference, brevity from the closest length."""
     tokens = tokenized(captions)
-    sums = gram_table(tokens).groupBy("n").agg(F.sum(F.least("c", "most")).alias("clipped"), F.sum("c").alias("total"))
+    sums = by_sample(tokens, gram_table).groupBy("n").agg(F.sum(F.least("c", "most")).alias("clipped"), F.sum("c").alias("total"))
     lengths = tokens.withColumn("length", F.size("tokens"))
     candidate = lengths.where("part = 'candidate'").select("sample_id", F.col("length").alias("c"))
     pairs = candidate.join(lengths.where("part = 'reference'").select("sample_id", F.col("length").alias("r")), "sample_id", "left")
@@ -136,7 +159,7 @@ def cider_d(captions: DataFrame, sigma: float = 6.0) -> DataFrame:
     """
     tokens = tokenized(captions)
     samples = tokens.where("part = 'candidate'").select("sample_id")
-    grams = cut_lineage(gram_table(tokens.join(samples, "sample_id", "left_semi")))
+    grams = cut_lineage(gram_table(caption_grams(tokens.join(samples, "sample_id", "left_semi"))))
     df = cut_lineage(grams.groupBy("n", "gram").agg(F.count_if(F.col("most") > 0).alias("df"), F.count("*").alias("rows")))
     total = samples.agg(F.count("*").alias("samples"))
     idf = F.ln("samples") - F.ln(F.greatest("df", F.lit(1)))

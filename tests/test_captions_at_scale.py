@@ -47,3 +47,12 @@ def test_consensus_counts_grams_of_dealt_captions(captions, monkeypatch):
     monkeypatch.setattr(metrics, "caption_grams", lambda tokens: counted.append(grams(tokens)) or counted[-1])
     assert metrics.cider_d(captions).head()["cider_d"] >= 0
     assert [g.rdd.getNumPartitions() for g in counted] == [6000 * 100 // metrics.TOKENS]
+
+
+def _shuffles_grams(frame):
+    return any("gram#" in line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+
+
+def test_scores_meet_grams_of_a_sample_without_a_shuffle(captions):
+    """Otherwise the tasks that meet a sample's grams grow with the input, whose shuffle partitions do not."""
+    assert not _shuffles_grams(metrics.bleu(captions))
