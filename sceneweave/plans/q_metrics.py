@@ -73,8 +73,8 @@ def h2_hedge_overlap(spark, sf):
 
 
 def h3_reference_ngrams(spark, sf):
-    g = metrics.caption_grams(metrics.tokenized(view(spark, sf, "captions"))).where("part = 'reference'")
-    return g.select("sample_id", "n", "gram").distinct().groupBy("sample_id", "n").agg(F.count("*").alias("grams"))
+    references = metrics.tokenized(view(spark, sf, "captions")).where("part = 'reference'")
+    return metrics.by_sample(references, lambda g: g.select("sample_id", "n", "gram").distinct().groupBy("sample_id", "n").agg(F.count("*").alias("grams")))
 
 
 def f1_vqa_metrics(spark, sf):

@@ -56,3 +56,21 @@ def _shuffles_grams(frame):
 def test_scores_meet_grams_of_a_sample_without_a_shuffle(captions):
     """Otherwise the tasks that meet a sample's grams grow with the input, whose shuffle partitions do not."""
     assert not _shuffles_grams(metrics.bleu(captions))
+
+
+def test_reference_grams_are_counted_without_a_shuffle(spark, captions, monkeypatch):
+    monkeypatch.setattr(q_metrics, "view", lambda *_: captions)
+    assert not _shuffles_grams(q_metrics.h3_reference_ngrams(spark, ""))
+
+
+def test_a_large_sample_is_dealt_by_caption(spark, captions, monkeypatch):
+    """Scores are the same whether samples fit a task or all, some or none do."""
+    monkeypatch.setattr(q_metrics, "view", lambda *_: captions.where("sample_id < 40").unionByName(captions.where("sample_id < 9 AND part = 'reference'").withColumn("ref", F.col("ref") + 1_000_000)))
+
+    def results():
+        return sorted(map(tuple, q_metrics.h3_reference_ngrams(spark, "").collect())), tuple(q_metrics.f3_bleu(spark, "").head())
+
+    want = results()
+    for tokens in (150, 250):
+        monkeypatch.setattr(metrics, "TOKENS", tokens)
+        assert results() == want
