@@ -49,7 +49,8 @@ def measure_changes(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     """
     named = pairs.withColumn("pair_id", F.concat_ws("-", "first", "second"))
     used = named.select(F.col("first").alias("scene_id")).union(named.select("second")).distinct()
-    gray = cut_lineage(raster.to_gray(raster.to_rgb(pixels.join(used, "scene_id", "left_semi"))))
+    # Percentiles read their input several times: it is found once.
+    gray = cut_lineage(raster.to_gray(raster.to_rgb(cut_lineage(pixels.join(used, "scene_id", "left_semi")))))
     of = lambda which: named.select("pair_id", F.col(which).alias("scene_id")).join(gray, "scene_id").drop("scene_id")
     differences = cut_lineage(raster.paired(of("first"), of("second")))
     rules = named.select("pair_id", F.lit(None).cast("double").alias("threshold"), "min_area_frac")
@@ -69,8 +70,8 @@ def measure_optical(scenes_wanted: DataFrame, pixels: DataFrame) -> DataFrame:
 
 def measure_radar(scenes_wanted: DataFrame, pixels: DataFrame) -> DataFrame:
     """(scene_id, percentile, radar): the radar indices of the wanted scenes (scene_id, percentile), from the first band, in dB where it is linear."""
-    wanted = pixels.join(scenes_wanted.select("scene_id").distinct(), "scene_id", "left_semi")
-    decibels = raster.decibels_where_linear(wanted, raster.is_linear(wanted)).where("band = 1")
+    wanted = cut_lineage(pixels.join(scenes_wanted.select("scene_id").distinct(), "scene_id", "left_semi"))
+    decibels = cut_lineage(raster.decibels_where_linear(wanted, raster.is_linear(wanted)).where("band = 1"))
     gray = cut_lineage(raster.stretch(decibels).select("scene_id", "y", "x", (F.col("level") / 255.0).alias("gray")))
     found = None
     for percentile in (92.0, DEFAULT_PERCENTILE):  # all that parameters can be

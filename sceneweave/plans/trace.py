@@ -106,9 +106,9 @@ def agree(measures: DataFrame, tolerance: float = 0.15) -> DataFrame:
     return measures.withColumn("gap", gap).withColumn("agrees", gap <= tolerance).withColumn("confidence", F.when(gap <= tolerance, 0.85).otherwise(0.4))
 
 
-def blend(steps: DataFrame, by: str = "run_id") -> DataFrame:
-    """(by, confidence): the mean of the confidences reported, within bounds, to 3 places; null if none was."""
-    return steps.groupBy(by).agg(F.bround(text.bounded(F.avg("confidence")), 3).alias("confidence"))
+def blend(steps: DataFrame, by: str = "run_id", *also: Column) -> DataFrame:
+    """(by, confidence): the mean of the confidences reported, within bounds, to 3 places; null if none was. ``also`` are further aggregates."""
+    return steps.groupBy(by).agg(F.bround(text.bounded(F.avg("confidence")), 3).alias("confidence"), *also)
 
 
 def run_model(requests: DataFrame, make: Callable[[], Callable[[list[str], list[int]], list[tuple[str, str]]]], batch_rows: int = 64) -> DataFrame:
@@ -190,8 +190,9 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     for name, kind in (EVIDENCE | MEASURED).items():
         if name not in measures.columns:
             measures = measures.withColumn(name, F.lit(None).cast(kind))
-    runs = routed(queries, sets)
-    planned = select_tools(runs, tools_table(spark))
+    # Questions are routed and meet their measures once; answers, retries and all steps read what is kept.
+    measured = cut_lineage(routed(queries, sets).join(measures.select("set_id", *EVIDENCE, *MEASURED), "set_id", "left"))
+    planned = select_tools(measured, tools_table(spark))
     tokens = text.generation_budget(F.col("task"), F.col("query"))
     distance, size = F.col("gsd_m"), F.col("pixels")
     floor = F.coalesce(scenes.change_floor(distance, size), F.lit(unknown_floor).cast("double"))
@@ -207,7 +208,6 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
         .when(F.col("tool").startswith("vlm_"), tokens["reason"])
         .otherwise("")
     )
-    measured = runs.join(measures.select("set_id", *EVIDENCE, "coregistered", "check_warnings"), "set_id", "left")
     values = {k: F.col(k) for k in EVIDENCE}
     body = text.render_prompt(F.col("task"), F.when(F.trim("query") != "", F.col("query")).otherwise("Describe the image."))
     with_preamble = lambda again: F.concat_ws("\n\n", F.nullif(text.evidence_preamble(values, again), F.lit("")), body)
@@ -215,7 +215,7 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     # A model is asked once: both rounds of replies are kept before anything reads them.
     replies = cut_lineage(model(first.select("run_id", "prompt", "max_new_tokens")))
     answered = first.join(replies.select("run_id", "answer", "finish"), "run_id")
-    retries = retry_truncated(answered).unionByName(retry_contradicted(answered, with_preamble(F.lit(True))))
+    retries = cut_lineage(retry_truncated(answered).unionByName(retry_contradicted(answered, with_preamble(F.lit(True)))))
     second = cut_lineage(model(retries.select("run_id", "prompt", "max_new_tokens"))).select("run_id", F.col("answer").alias("answer_2"))
     second = retries.select("run_id", F.col("reason").alias("reason_2"), F.col("max_new_tokens").alias("tokens_2")).join(second, "run_id")
     final = answered.join(second, "run_id", "left").withColumn("final_answer", F.coalesce("answer_2", "answer"))
@@ -228,7 +228,7 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     )
     model_rows = final.select("run_id", F.explode(model_step).alias("m")).select("run_id", "m.*")
     specialist = F.when(F.col("tool") == "optical_indices", F.when(F.col("optical_water_fraction").isNotNull(), 0.85)).when(F.col("tool") == "sar_indices", F.when(F.col("sar_water_fraction").isNotNull(), 0.8)).when(F.col("tool") == "change_mask", F.when(F.col("changed_area_frac").isNotNull(), F.coalesce("change_confidence", F.lit(0.5))))
-    steps = planned.join(measures.select("set_id", *EVIDENCE, *MEASURED), "set_id", "left").withColumn("params", params).withColumn("reason", reason)
+    steps = planned.withColumn("params", params).withColumn("reason", reason)
     special = steps.where(~F.col("tool").startswith("vlm_")).select("run_id", "ord", F.lit(0).alias("k"), "tool", "params", specialist.alias("confidence"), "reason")
     second = steps.where("tool = 'change_mask' AND change_threshold_2 IS NOT NULL")
     second = second.select("run_id", "ord", F.lit(1).alias("k"), "tool", F.to_json(F.struct(floor.alias("min_area_frac"), F.col("change_threshold_2").alias("threshold"))).alias("params"), F.col("change_confidence_2").alias("confidence"), F.col("change_reason_2").alias("reason"))
@@ -240,8 +240,7 @@ def trace(spark: SparkSession, queries: DataFrame, sets: DataFrame, measures: Da
     ranked = every.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "k", "tool", "params", "confidence", "reason"))).alias("s"))
     numbered = ranked.select("run_id", F.posexplode("s").alias("i", "t")).select("run_id", (F.col("i") + 1).alias("step"), "t.tool", "t.params", "t.confidence", "t.reason", F.when(F.col("t.k") == 1, F.col("i")).alias("revises"))
     verdict = text.agreement(F.col("final_answer"), F.col("changed_area_frac"), F.col("sar_water_fraction"), F.col("optical_water_fraction"))
-    blended = blend(every).withColumnRenamed("confidence", "mean")
-    counts = every.groupBy("run_id").agg(F.count("*").alias("n_steps"))
-    traces = final.withColumn("v", verdict).join(blended, "run_id").join(counts, "run_id")
+    blended = blend(every, "run_id", F.count("*").alias("n_steps")).withColumnRenamed("confidence", "mean")
+    traces = final.withColumn("v", verdict).join(blended, "run_id")
     traces = traces.select("run_id", "task", "rule", F.col("final_answer").alias("answer"), F.bround(text.bounded(F.col("mean") + F.col("v.adjustment")), 3).alias("confidence"), F.col("v.warning").alias("warning"), "n_steps", "coregistered", "check_warnings")
     return traces, numbered
