@@ -44,10 +44,11 @@ def read_records(spark: SparkSession, path: str, containers: tuple[str, ...] = (
     rows = F.coalesce(rows, F.raise_error(F.lit("unsupported annotation payload")).cast("array<struct<key:string,value:variant>>"))
     flat = whole.select("file", F.posexplode(rows).alias("pos", "r")).select("file", F.col("pos").cast("long").alias("pos"), F.col("r.key").alias("_key"), F.col("r.value").alias("record"))
     if len(files.inputFiles()) > 1:
-        # One row a file; the records of the files before it.
+        # One row a file, whose names the driver has listed; the records of the files before it. Records stay in the
+        # tasks that read them: shuffled by file they are few bytes, so that two tasks or so would resolve the fields of all.
         sizes = whole.select("file", F.size(rows).alias("n"))
         before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        flat = flat.join(sizes.select("file", before.alias("before")), "file").withColumn("pos", F.col("pos") + F.col("before"))
+        flat = flat.join(F.broadcast(sizes.select("file", before.alias("before"))), "file").withColumn("pos", F.col("pos") + F.col("before"))
     return flat.where(F.schema_of_variant("record").startswith("OBJECT")).select("pos", "_key", "record")
 
 
